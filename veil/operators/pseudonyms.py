@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .._util import dtype_of, qcol, reject_nested
 from ..functions.hashing import new_secret, pseudonym_token
-from ..plans.ranking import dense_rank_mapping
+from ..plans.ranking import RankTable, dense_rank_mapping
 
 
 def random_pseudonyms(
@@ -30,34 +30,34 @@ def random_pseudonyms(
     return df.withColumns(updates)
 
 
-def rank_mapping(df: DataFrame, column: str) -> DataFrame:
+def rank_mapping(df: DataFrame, column: str) -> RankTable:
     """``(value, rank)`` for the distinct non-null values of ``column``, dense-ranked 1..U."""
     dt = dtype_of(df, column)
     reject_nested(dt, column)
     return dense_rank_mapping(df.select(qcol(column).alias("v")), "v")
 
 
-def apply_rank_mapping(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+def apply_rank_mapping(df: DataFrame, column: str, mapping: RankTable) -> DataFrame:
     """Replace values by their rank (``LongType``); nulls stay null.
 
     A left equi-join with a mapping that is unique on ``value``, so row count and pairing are
-    kept. Spark picks broadcast or shuffle join from the mapping's size (AQE); hot keys on the
-    data side are split by AQE's skew-join handling.
+    kept. The mapping is broadcast only when its measured size fits the broadcast threshold;
+    otherwise both sides shuffle on the key and AQE splits partitions made hot by a skewed key.
     """
-    m = mapping.select(F.col("value").alias("__ope_v"), F.col("rank").alias("__ope_r"))
+    m = mapping.join_side().select(F.col("value").alias("__ope_v"), F.col("rank").alias("__ope_r"))
     joined = df.join(m, qcol(column) == F.col("__ope_v"), "left")
     return joined.withColumn(column, F.col("__ope_r")).drop("__ope_v", "__ope_r").select(*[qcol(c) for c in df.columns])
 
 
-def reverse_rank_mapping(df: DataFrame, column: str, mapping: DataFrame, original_type: T.DataType) -> DataFrame:
+def reverse_rank_mapping(df: DataFrame, column: str, mapping: RankTable, original_type: T.DataType) -> DataFrame:
     """Ranks back to original values; values without a rank pass through (cast to the original type)."""
-    m = mapping.select(F.col("rank").alias("__ope_r"), F.col("value").alias("__ope_v"))
+    m = mapping.join_side().select(F.col("rank").alias("__ope_r"), F.col("value").alias("__ope_v"))
     key = qcol(column) if isinstance(dtype_of(df, column), T.LongType) else qcol(column).try_cast("long")
     joined = df.join(m, key == F.col("__ope_r"), "left")
     restored = F.coalesce(F.col("__ope_v"), qcol(column).try_cast(original_type))
     return joined.withColumn(column, restored).drop("__ope_v", "__ope_r").select(*[qcol(c) for c in df.columns])
 
 
-def order_preserving_pseudonyms(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+def order_preserving_pseudonyms(df: DataFrame, column: str) -> tuple[DataFrame, RankTable]:
     mapping = rank_mapping(df, column)
     return apply_rank_mapping(df, column, mapping), mapping

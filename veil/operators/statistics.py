@@ -2,11 +2,12 @@
 
 One pass unpivots every column into ``(o, t, x)`` rows (ordinal, injective text, numeric value),
 aggregates them to distinct ``(o, t)`` pairs with their multiplicity (map-side combined, so a hot
-value costs one row per task), and range-sorts that table once. Everything else reads the sorted,
-checkpointed table: counts, exact distinct counts, mean, min, max, sample std (two-pass), and the
-exact median by distributed selection - only the one or two range partitions that hold the middle
-of each column are scanned with a window. No column's values are gathered in one task or on the
-driver. ``approx=True`` swaps in ``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
+value costs one row per task), and range-sorts that table once into parquet in the shared
+checkpoint folder. Three passes over it follow: a per-(column, partition) summary (counts, exact
+distinct counts, sums, min, max), the squared deviations for the sample std (two-pass), and the
+exact median by distributed selection, which reads only the one or two range partitions holding
+the middle of each column. No column's values are gathered in one task or on the driver; only
+the per-partition summary (rows = partitions + columns) is small enough to broadcast. ``approx=True`` swaps in ``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from .._util import qcol
 from ..functions.text import key_text
 from ..metadata import NUMERIC, Metadata
-from ..plans.ranking import partition_offsets, sorted_positions
+from ..plans.ranking import running_offsets, sorted_positions
 from .numeric import as_double
 
 SCHEMA = T.StructType([
@@ -64,46 +65,54 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
         return _finish(df, metadata, stats)
 
     pairs = long.groupBy("o", "t").agg(F.count(F.lit(1)).alias("c"), F.max("x").alias("x"))
-    pos = sorted_positions(pairs, ["o", "x", "t"])
+    pos = sorted_positions(pairs, ["o", "x", "t"], name="stats")
     w = F.when(F.col("x").isNotNull(), F.col("c")).otherwise(F.lit(0))
 
-    basic = pos.groupBy("o").agg(
+    # pass 1: one summary row per (column, range partition); everything per column derives from it
+    per = pos.groupBy("o", "__pid").agg(
         F.sum(F.when(F.col("t").isNotNull(), F.col("c"))).alias("count"),
         F.count("t").alias("unique_count"),
         F.sum(F.when(F.col("t").isNull(), F.col("c"))).alias("nulls"),
         F.sum(w).alias("nx"),
         F.sum(F.col("x") * F.col("c")).alias("sx"),
         F.min("x").alias("min"), F.max("x").alias("max"),
-    ).withColumn("mean", F.when(F.col("nx") > 0, F.col("sx") / F.col("nx")))
+    ).cache()
+    basic = per.groupBy("o").agg(
+        *[F.sum(c).alias(c) for c in ("count", "unique_count", "nulls", "nx", "sx")],
+        F.min("min").alias("min"), F.max("max").alias("max"),
+    ).withColumn("mean", F.when(F.col("nx") > 0, F.col("sx") / F.col("nx"))).cache()
 
-    means = F.broadcast(basic.select("o", "mean", "nx"))
+    # pass 2: sum of squared deviations around the mean (two-pass variance, numerically stable)
     spread = (
-        pos.where(F.col("x").isNotNull()).join(means, "o")
-        .groupBy("o").agg(F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss"), F.first("nx").alias("nx"))
+        pos.where(F.col("x").isNotNull()).join(F.broadcast(basic.select("o", "mean")), "o")
+        .groupBy("o").agg(F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss"))
+        .join(F.broadcast(basic.select("o", "nx")), "o")
         .select("o", F.when(F.col("nx") > 1, F.sqrt(F.col("ss") / (F.col("nx") - 1))).alias("std"))
     )
 
-    # exact median: targets k_lo, k_hi (0-based) among the nx non-null values of each column
-    offs = partition_offsets(pos, w, ["o"])
+    # pass 3: exact median - ranks k_lo, k_hi (0-based) among the nx numbers of each column; only the
+    # partitions holding them are read (pushed-down __pid filter) and ordered by a window per block
+    offs = running_offsets(per.select("o", "__pid", "nx"), "nx", ["o"])
     targets = basic.where(F.col("nx") > 0).select(
-        "o", F.array(((F.col("nx") - 1) / 2).cast("long"), (F.col("nx") / 2).cast("long")).alias("ks")
-    ).select("o", F.explode("ks").alias("k")).distinct()
+        "o", F.explode(F.array_distinct(F.array(((F.col("nx") - 1) / 2).cast("long"),
+                                                 (F.col("nx") / 2).cast("long")))).alias("k"))
     blocks = offs.join(F.broadcast(targets), "o").where(
-        (F.col("k") >= F.col("__off")) & (F.col("k") < F.col("__off") + F.col("__n"))
-    ).select("o", "__pid", "__off", "k")
+        (F.col("k") >= F.col("__off")) & (F.col("k") < F.col("__off") + F.col("nx"))
+    ).select("o", "__pid", "__off", "k").cache()
+    pids = sorted({r["__pid"] for r in blocks.select("__pid").distinct().collect()})
     before = Window.partitionBy("o", "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
     cand = (
-        pos.join(F.broadcast(blocks.select("o", "__pid", "__off").distinct()), ["o", "__pid"])
-        .withColumn("w", w)
-        .withColumn("lo", F.col("__off") + F.coalesce(F.sum("w").over(before), F.lit(0)))
+        pos.where(F.col("__pid").isin(pids) & F.col("x").isNotNull())
+        .join(F.broadcast(blocks.select("o", "__pid", "__off").distinct()), ["o", "__pid"])
+        .withColumn("lo", F.col("__off") + F.coalesce(F.sum("c").over(before), F.lit(0)))
     )
     hits = cand.join(F.broadcast(blocks.select("o", "__pid", "k")), ["o", "__pid"]).where(
-        (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("lo") + F.col("w"))
+        (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("lo") + F.col("c"))
     )
     median = hits.groupBy("o").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
 
     stats = (
         basic.select("o", "count", "unique_count", "nulls", "mean", "min", "max")
-        .join(spread, "o", "left").join(median, "o", "left")
+        .join(F.broadcast(spread), "o", "left").join(F.broadcast(median), "o", "left")
     )
     return _finish(df, metadata, stats)

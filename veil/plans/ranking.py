@@ -2,30 +2,44 @@
 
 ``dense_rank().over(Window.orderBy(v))`` moves every row into one partition. Instead the values
 are range-partitioned and sorted within partitions; each row records its partition id and its
-position inside the partition, and the result is cut from its lineage with ``checkpoint()`` (into
-the cluster's ``spark.checkpoint.dir``) so the sampled range boundaries cannot change between the
-two uses below. Per-partition totals form a table with one row per partition (a size bound fixed
-by configuration, not by data), whose running sums give each partition's offset; that table is
-broadcast back. All heavy work stays partitioned.
+position inside the partition, and the result is written as parquet into the cluster's shared
+checkpoint folder (``spark.checkpoint.dir``). That cuts the lineage, so the sampled range
+boundaries cannot change between later uses, survives executor loss, and gives Spark real file
+sizes and per-file ``__pid`` statistics (later filters on ``__pid`` skip whole files).
+Per-partition totals form a table with one row per partition - a size fixed by configuration,
+not by data - whose running sums give each partition's offset; that table is broadcast back.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import scratch_path
 
 _POS_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the in-partition row number in 33 bits
 MAX_RANGE_PARTITIONS = 100_000
+HASH_ENTRY_OVERHEAD = 32  # bytes per row a broadcast hash relation adds on top of the payload
 
 
 def range_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(n, MAX_RANGE_PARTITIONS))
 
 
-def sorted_positions(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """``df`` plus ``__pid`` (range partition) and ``__pos`` (0-based row within it), checkpointed."""
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def sorted_positions(df: DataFrame, order: list[str], partitions: int | None = None,
+                     name: str = "positions") -> DataFrame:
+    """``df`` plus ``__pid`` (range partition) and ``__pos`` (0-based row within it), materialized."""
     p = partitions or range_partitions(df)
     cols = [F.col(c) for c in order]
     staged = (
@@ -34,29 +48,54 @@ def sorted_positions(df: DataFrame, order: list[str], partitions: int | None = N
         .withColumn("__pid", F.spark_partition_id())
         .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK)))
     )
-    return staged.checkpoint(eager=True)
+    return materialize(staged, name)
 
 
-def partition_offsets(positioned: DataFrame, weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
-    """Per ``(by..., __pid)``: total weight in the partition and the total of all earlier partitions.
+def running_offsets(per: DataFrame, weight: str, by: list[str] | None = None) -> DataFrame:
+    """Add ``__off``: total ``weight`` of all earlier partitions (per ``by`` group).
 
-    One row per partition (per group key touching it), so the table's size is bounded by the
-    partition count plus the number of groups that straddle partitions.
+    ``per`` has one row per (group, partition); the window runs over that small table only.
     """
     by = by or []
-    w = weight if weight is not None else F.lit(1)
-    per = positioned.groupBy(*by, "__pid").agg(F.sum(w).cast("long").alias("__n"))
     running = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("__off", F.coalesce(F.sum("__n").over(running), F.lit(0)).cast("long"))
+    return per.withColumn("__off", F.coalesce(F.sum(weight).over(running), F.lit(0)).cast("long"))
+
+
+def _payload_bytes(c: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+    return F.lit(16 if isinstance(dtype, T.DecimalType) else 8).cast("long")
+
+
+@dataclass(frozen=True)
+class RankTable:
+    """``(value, rank)`` with its exact row count and payload size, measured when it was built."""
+
+    table: DataFrame
+    rows: int
+    bytes: int
+
+    def join_side(self) -> DataFrame:
+        """The mapping, marked for broadcast only when its measured size fits the session's threshold."""
+        spark = self.table.sparkSession
+        limit = int(str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).rstrip("bB") or -1)
+        size = self.bytes + HASH_ENTRY_OVERHEAD * self.rows
+        return F.broadcast(self.table) if 0 <= size <= limit else self.table
 
 
-def dense_rank_mapping(values: DataFrame, column: str) -> DataFrame:
-    """Mapping ``(value, rank)``: distinct non-null values of ``column`` ranked 1..U ascending."""
+def dense_rank_mapping(values: DataFrame, column: str) -> RankTable:
+    """Distinct non-null values of ``column`` ranked 1..U ascending."""
     v = F.col(column)
     distinct = values.select(v.alias("value")).where(F.col("value").isNotNull()).distinct()
-    positioned = sorted_positions(distinct, ["value"])
-    offsets = partition_offsets(positioned).select("__pid", "__off")
-    return (
+    positioned = sorted_positions(distinct, ["value"], name="ranks")
+    dtype = positioned.schema["value"].dataType
+    per = positioned.groupBy("__pid").agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(_payload_bytes(F.col("value"), dtype)).alias("__bytes")
+    ).cache()
+    total = per.agg(F.sum("__n").alias("n"), F.sum("__bytes").alias("b")).first()
+    offsets = running_offsets(per, "__n").select("__pid", "__off")
+    mapping = (
         positioned.join(F.broadcast(offsets), "__pid")
         .select("value", (F.col("__off") + F.col("__pos") + 1).alias("rank"))
     )
+    return RankTable(mapping, int(total["n"] or 0), int(total["b"] or 0))

@@ -27,16 +27,21 @@ from ..functions.noise import keyed_standard_normal
 from ..operators import pseudonyms as ps
 from ..operators.metrics import precision_privacy
 from ..operators.statistics import column_statistics
+from .ranking import RankTable
 
 
 @dataclass(frozen=True)
 class RankMapping:
     """A stored order-preserving mapping ``(value, rank)`` for one column."""
 
-    table: DataFrame
+    ranks: RankTable
     original_type: T.DataType
     version: int
 
+    @property
+    def table(self) -> DataFrame:
+        return self.ranks.table
+
 
 def _normalize(df: DataFrame) -> DataFrame:
     """NaN is a missing value to the reference; make it SQL NULL so counts and equality agree."""
@@ -225,7 +230,7 @@ class Release:
                 )
         frame = self._s.frame
         for c in cols:
-            frame = ps.reverse_rank_mapping(frame, c, self._s.mappings[c].table, self._s.mappings[c].original_type)
+            frame = ps.reverse_rank_mapping(frame, c, self._s.mappings[c].ranks, self._s.mappings[c].original_type)
         mappings = {k: v for k, v in self._s.mappings.items() if k not in cols}
         return Release._from_state(replace(self._s, frame=frame, versions=self._bump(cols), mappings=mappings))
 

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .._util import orig_name
 from ..errors import LoadError
 from ..metadata import Metadata
+from ..plans.ranking import RankTable
 
 FORMAT = "veil-release"
 FORMAT_VERSION = 1
@@ -38,7 +39,7 @@ def save(release, path: str) -> str:
     for i, (c, m) in enumerate(s.mappings.items()):
         m.table.write.mode("errorifexists").parquet(f"{base}/mapping-{i}")
         mappings.append({"column": c, "dir": f"mapping-{i}", "original_type": m.original_type.json(),
-                         "version": m.version})
+                         "version": m.version, "rows": m.ranks.rows, "bytes": m.ranks.bytes})
     meta = {
         "format": FORMAT, "format_version": FORMAT_VERSION, "version": version,
         "columns": list(s.columns), "metadata": s.metadata.to_dict(), "versions": s.versions,
@@ -82,7 +83,8 @@ def load(spark: SparkSession, path: str):
         mappings = {}
         for m in meta["mappings"]:
             table = spark.read.parquet(f"{base}/{m['dir']}")
-            mappings[m["column"]] = RankMapping(table, T._parse_datatype_json_string(m["original_type"]), m["version"])
+            ranks = RankTable(table, int(m["rows"]), int(m["bytes"]))
+            mappings[m["column"]] = RankMapping(ranks, T._parse_datatype_json_string(m["original_type"]), m["version"])
     except (PySparkException, KeyError, TypeError, ValueError) as e:
         _fail(f"bundle '{base}' is incomplete or corrupt", e)
     expected = set(columns) | {orig_name(c) for c in versions}
