@@ -102,3 +102,25 @@ def test_rank_plan_has_no_global_window(spark):
             assert "__pid" in lines[i + 1] and "__n" in lines[i + 1]
     rows = r.working().select("o_custkey").distinct().orderBy("o_custkey").collect()
     assert [x[0] for x in rows] == list(range(1, len(rows) + 1))
+
+
+def test_skewed_keys_take_the_salted_path(spark):
+    """With broadcasting off, a value holding half the rows and many nulls still rank correctly."""
+    from veil.plans.inspect import physical_plan
+
+    rows = [(i, 7 if i % 2 == 0 else (None if i % 5 == 0 else i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "rid long, k long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200")
+    try:
+        r = Release(df, Metadata({}, identifiers=["k"])).order_preserving_pseudonyms()
+        plan = physical_plan(r.working())
+        got = {x["rid"]: x["k"] for x in r.working().collect()}
+        back = {x["rid"]: x["k"] for x in r.reverse_pseudonyms().working().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    values = sorted({k for _, k in rows if k is not None})
+    rank = {v: i + 1 for i, v in enumerate(values)}
+    assert got == {rid: (None if k is None else rank[k]) for rid, k in rows}
+    assert back == dict(rows)
+    assert "rand(" in plan

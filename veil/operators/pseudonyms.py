@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,25 +37,54 @@ def rank_mapping(df: DataFrame, column: str) -> RankTable:
     return dense_rank_mapping(df.select(qcol(column).alias("v")), "v")
 
 
-def apply_rank_mapping(df: DataFrame, column: str, mapping: RankTable) -> DataFrame:
-    """Replace values by their rank (``LongType``); nulls stay null.
+def lookup(df: DataFrame, key: Column, ranks: RankTable, key_col: str, val_col: str) -> tuple[DataFrame, Column]:
+    """Left-join ``df`` to the mapping on ``key`` = ``ranks.table[key_col]``; returns (joined, value).
 
-    A left equi-join with a mapping that is unique on ``value``, so row count and pairing are
-    kept. The mapping is broadcast only when its measured size fits the broadcast threshold;
-    otherwise both sides shuffle on the key and AQE splits partitions made hot by a skewed key.
+    Small mapping (measured): one broadcast hash join, the data side is not shuffled.
+    Large mapping: both sides shuffle on the key. Hot keys - values holding more than one
+    partition's fair share of rows, a set bounded by the partition count - are answered by a
+    broadcast join first and leave the shuffle with a null key; rows with a null key are spread
+    over all partitions by a random salt in the join key. The mapping side is never replicated,
+    so one value holding a third of all rows costs nothing extra and lands in no single task.
+    Row count and pairing are kept: the mapping is unique on ``key_col``.
     """
-    m = mapping.join_side().select(F.col("value").alias("__ope_v"), F.col("rank").alias("__ope_r"))
-    joined = df.join(m, qcol(column) == F.col("__ope_v"), "left")
-    return joined.withColumn(column, F.col("__ope_r")).drop("__ope_v", "__ope_r").select(*[qcol(c) for c in df.columns])
+    if ranks.small:
+        m = F.broadcast(ranks.table.select(F.col(key_col).alias("__lk"), F.col(val_col).alias("__lv")))
+        return df.join(m, key == F.col("__lk"), "left").drop("__lk"), F.col("__lv")
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = df
+    k = key
+    hot_val = None
+    if ranks.hot is not None:
+        h = F.broadcast(ranks.hot.select(F.col(key_col).alias("__hk"), F.col(val_col).alias("__hv")))
+        out = out.join(h, key == F.col("__hk"), "left").drop("__hk")
+        k = F.when(F.col("__hv").isNull(), key)
+        hot_val = F.col("__hv")
+    out = out.withColumn("__sk", k).withColumn(
+        "__salt", F.when(F.col("__sk").isNull(), (F.rand() * salts).cast("int") + 1).otherwise(F.lit(0)))
+    m = ranks.table.select(F.col(key_col).alias("__ck"), F.col(val_col).alias("__cv"), F.lit(0).alias("__csalt"))
+    out = out.join(m, (F.col("__sk") == F.col("__ck")) & (F.col("__salt") == F.col("__csalt")), "left")
+    out = out.drop("__sk", "__salt", "__ck", "__csalt")
+    val = F.col("__cv") if hot_val is None else F.coalesce(hot_val, F.col("__cv"))
+    return out, val
+
+
+def _finish_lookup(joined: DataFrame, df: DataFrame, column: str, value: Column) -> DataFrame:
+    helpers = [c for c in ("__lv", "__hv", "__cv") if c in joined.columns]
+    return joined.withColumn(column, value).drop(*helpers).select(*[qcol(c) for c in df.columns])
+
+
+def apply_rank_mapping(df: DataFrame, column: str, mapping: RankTable) -> DataFrame:
+    """Replace values by their rank (``LongType``); nulls stay null."""
+    joined, rank = lookup(df, qcol(column), mapping, "value", "rank")
+    return _finish_lookup(joined, df, column, rank)
 
 
 def reverse_rank_mapping(df: DataFrame, column: str, mapping: RankTable, original_type: T.DataType) -> DataFrame:
     """Ranks back to original values; values without a rank pass through (cast to the original type)."""
-    m = mapping.join_side().select(F.col("rank").alias("__ope_r"), F.col("value").alias("__ope_v"))
     key = qcol(column) if isinstance(dtype_of(df, column), T.LongType) else qcol(column).try_cast("long")
-    joined = df.join(m, key == F.col("__ope_r"), "left")
-    restored = F.coalesce(F.col("__ope_v"), qcol(column).try_cast(original_type))
-    return joined.withColumn(column, restored).drop("__ope_v", "__ope_r").select(*[qcol(c) for c in df.columns])
+    joined, value = lookup(df, key, mapping, "rank", "value")
+    return _finish_lookup(joined, df, column, F.coalesce(value, qcol(column).try_cast(original_type)))
 
 
 def order_preserving_pseudonyms(df: DataFrame, column: str) -> tuple[DataFrame, RankTable]:

@@ -67,35 +67,65 @@ def _payload_bytes(c: Column, dtype: T.DataType) -> Column:
     return F.lit(16 if isinstance(dtype, T.DecimalType) else 8).cast("long")
 
 
+def broadcast_limit(spark) -> int:
+    """The session's broadcast threshold in bytes (-1: broadcasting disabled)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for u in sorted(units, key=len, reverse=True):
+        if raw.endswith(u):
+            return int(float(raw[: -len(u)]) * units[u])
+    return int(raw)
+
+
+def fits_broadcast(spark, rows: int, payload: int) -> bool:
+    limit = broadcast_limit(spark)
+    return 0 <= payload + HASH_ENTRY_OVERHEAD * rows <= limit
+
+
 @dataclass(frozen=True)
 class RankTable:
-    """``(value, rank)`` with its exact row count and payload size, measured when it was built."""
+    """``(value, rank)`` plus sizes measured when it was built, and its hot keys.
+
+    ``hot`` holds the values whose row count exceeds one partition's fair share of the data
+    (at most one per range partition, so its size is bounded by configuration); it is ``None``
+    when there is no such value or the hot set does not fit the broadcast threshold.
+    """
 
     table: DataFrame
     rows: int
     bytes: int
+    hot: DataFrame | None = None
 
-    def join_side(self) -> DataFrame:
-        """The mapping, marked for broadcast only when its measured size fits the session's threshold."""
-        spark = self.table.sparkSession
-        limit = int(str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")).rstrip("bB") or -1)
-        size = self.bytes + HASH_ENTRY_OVERHEAD * self.rows
-        return F.broadcast(self.table) if 0 <= size <= limit else self.table
+    @property
+    def small(self) -> bool:
+        return fits_broadcast(self.table.sparkSession, self.rows, self.bytes)
 
 
 def dense_rank_mapping(values: DataFrame, column: str) -> RankTable:
-    """Distinct non-null values of ``column`` ranked 1..U ascending."""
+    """Distinct non-null values of ``column`` ranked 1..U ascending, with per-value row counts."""
     v = F.col(column)
-    distinct = values.select(v.alias("value")).where(F.col("value").isNotNull()).distinct()
-    positioned = sorted_positions(distinct, ["value"], name="ranks")
+    counted = (values.select(v.alias("value")).where(F.col("value").isNotNull())
+               .groupBy("value").agg(F.count(F.lit(1)).alias("__cnt")))
+    positioned = sorted_positions(counted, ["value"], name="ranks")
+    spark = positioned.sparkSession
     dtype = positioned.schema["value"].dataType
+    size = _payload_bytes(F.col("value"), dtype)
     per = positioned.groupBy("__pid").agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(_payload_bytes(F.col("value"), dtype)).alias("__bytes")
+        F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__bytes"),
+        F.sum("__cnt").alias("__rows"), F.max("__cnt").alias("__max"),
     ).cache()
-    total = per.agg(F.sum("__n").alias("n"), F.sum("__bytes").alias("b")).first()
+    total = per.agg(F.sum("__n").alias("n"), F.sum("__bytes").alias("b"), F.sum("__rows").alias("r"),
+                    F.max("__max").alias("m")).first()
     offsets = running_offsets(per, "__n").select("__pid", "__off")
-    mapping = (
-        positioned.join(F.broadcast(offsets), "__pid")
-        .select("value", (F.col("__off") + F.col("__pos") + 1).alias("rank"))
-    )
-    return RankTable(mapping, int(total["n"] or 0), int(total["b"] or 0))
+    ranked = positioned.join(F.broadcast(offsets), "__pid").select(
+        "value", (F.col("__off") + F.col("__pos") + 1).alias("rank"), "__cnt")
+    mapping = ranked.select("value", "rank")
+    rows, payload = int(total["n"] or 0), int(total["b"] or 0)
+    hot = None
+    share = -(-int(total["r"] or 0) // range_partitions(positioned))  # rows per partition if spread evenly
+    if not fits_broadcast(spark, rows, payload) and (total["m"] or 0) > share:
+        candidate = ranked.where(F.col("__cnt") > share).select("value", "rank")
+        hs = candidate.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+        if fits_broadcast(spark, int(hs["n"]), int(hs["b"] or 0)):
+            hot = candidate
+    return RankTable(mapping, rows, payload, hot)

@@ -38,7 +38,11 @@ def save(release, path: str) -> str:
     mappings = []
     for i, (c, m) in enumerate(s.mappings.items()):
         m.table.write.mode("errorifexists").parquet(f"{base}/mapping-{i}")
-        mappings.append({"column": c, "dir": f"mapping-{i}", "original_type": m.original_type.json(),
+        hot = None
+        if m.ranks.hot is not None:
+            hot = f"mapping-{i}-hot"
+            m.ranks.hot.write.mode("errorifexists").parquet(f"{base}/{hot}")
+        mappings.append({"column": c, "dir": f"mapping-{i}", "hot": hot, "original_type": m.original_type.json(),
                          "version": m.version, "rows": m.ranks.rows, "bytes": m.ranks.bytes})
     meta = {
         "format": FORMAT, "format_version": FORMAT_VERSION, "version": version,
@@ -83,7 +87,8 @@ def load(spark: SparkSession, path: str):
         mappings = {}
         for m in meta["mappings"]:
             table = spark.read.parquet(f"{base}/{m['dir']}")
-            ranks = RankTable(table, int(m["rows"]), int(m["bytes"]))
+            hot = spark.read.parquet(f"{base}/{m['hot']}") if m.get("hot") else None
+            ranks = RankTable(table, int(m["rows"]), int(m["bytes"]), hot)
             mappings[m["column"]] = RankMapping(ranks, T._parse_datatype_json_string(m["original_type"]), m["version"])
     except (PySparkException, KeyError, TypeError, ValueError) as e:
         _fail(f"bundle '{base}' is incomplete or corrupt", e)
