@@ -51,3 +51,10 @@ def test_errors(spark):
         r.perturb("s", 0.1)
     with pytest.raises(TypeError):
         Release(df, Metadata({})).perturb("v", 0.1)
+
+
+def test_nulls_stay_null_among_values(spark):
+    df = spark.createDataFrame([(1, 1.0, 1), (2, None, None), (3, 9.0, 9)], "i long, v double, n long")
+    r = Release(df, Metadata({"v": "numeric", "n": "numeric"})).perturb("v", 0.2, random_state=3).perturb("n", 0.2, random_state=3)
+    got = r.working().orderBy("i").collect()
+    assert got[1]["v"] is None and got[1]["n"] is None and got[0]["v"] is not None

@@ -23,9 +23,9 @@ def validate(strategy: str, k: int | None, regex_pattern: str | None,
         return None
     java = regex.to_java(regex.check_python(regex_pattern))
     if spark is not None:
-        # compile once in the JVM (constant-folded; runs no job over data)
+        # compile once in the JVM; the query is constant-folded on the driver, no job runs
         try:
-            spark.range(1).select(F.regexp_replace(F.lit(""), F.lit(java), F.lit("*"))).collect()
+            spark.sql("SELECT regexp_replace('', :p, '*')", args={"p": java}).collect()
         except Exception as e:  # noqa: BLE001 - any JVM pattern error
             raise ValueError(f"Invalid regex pattern for the Spark engine: {e}") from e
     return java

@@ -38,7 +38,9 @@ def perturbed(c: Column, dtype: T.DataType, r: Range, noise_std: float, z: Colum
         rng = 1.0
     eff = float(noise_std * rng)
     v = as_double(c, dtype) + z * F.lit(eff)
-    return cast_back(F.least(F.greatest(v, F.lit(r.min)), F.lit(r.max)), dtype)
+    # least/greatest skip nulls, so guard them: a null value stays null
+    clipped = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(r.min)), F.lit(r.max)))
+    return cast_back(clipped, dtype)
 
 
 def draw_seed(random_state: int | None) -> int:

@@ -30,6 +30,9 @@ from ..operators.statistics import column_statistics
 from .ranking import RankTable
 
 
+DISPLAY_ROUNDED = ("mean", "min", "max", "std", "median")
+
+
 @dataclass(frozen=True)
 class RankMapping:
     """A stored order-preserving mapping ``(value, rank)`` for one column."""
@@ -275,16 +278,24 @@ class Release:
 
     # -- measures -----------------------------------------------------------------------------
 
-    def precision_privacy(self) -> DataFrame:
-        return precision_privacy(self._s.frame, list(self._s.columns), set(self._s.versions), self.metadata)
+    def precision_privacy(self, digits: int | None = None) -> DataFrame:
+        """One row ``(precision_pct, privacy_pct)``; ``digits=1`` gives the reference UI's display."""
+        out = precision_privacy(self._s.frame, list(self._s.columns), set(self._s.versions), self.metadata)
+        if digits is None:
+            return out
+        return out.select(*[F.round(c, digits).alias(c) for c in out.columns])
 
     def compute_precision_privacy_tradeoff(self) -> tuple[float, float]:
         r = self.precision_privacy().first()
         return float(r["precision_pct"]), float(r["privacy_pct"])
 
-    def statistics(self, use_working: bool = True, approx: bool = False) -> DataFrame:
+    def statistics(self, use_working: bool = True, approx: bool = False, digits: int | None = None) -> DataFrame:
+        """One row per column; ``digits=4`` rounds the five numeric statistics as the reference UI shows them."""
         df = self.working() if use_working else self.original()
-        return column_statistics(df, self.metadata, approx=approx)
+        out = column_statistics(df, self.metadata, approx=approx)
+        if digits is None:
+            return out
+        return out.select(*[F.round(c, digits).alias(c) if c in DISPLAY_ROUNDED else F.col(c) for c in out.columns])
 
     get_column_statistics = statistics
 
