@@ -75,3 +75,20 @@ def test_median_matches_exact_on_larger_table(spark):
     assert rows["o_custkey"]["unique_count"] == pdf["o_custkey"].nunique()
     approx = {r["column"]: r for r in Release(o, md).statistics(approx=True).collect()}
     assert approx["o_totalprice"]["count"] == 15000
+
+
+def test_distributed_selection_median(spark, monkeypatch):
+    """Force the large-column path: medians from range-partitioned selection equal pandas."""
+    from veil.operators import statistics as S
+
+    monkeypatch.setattr(S, "MEDIAN_MAP_LIMIT", 0)
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_totalprice", "o_custkey")
+    md = Metadata({"o_totalprice": "numeric", "o_custkey": "numeric"})
+    rows = {r["column"]: r for r in Release(o, md).statistics().collect()}
+    pdf = o.toPandas()
+    for c in ("o_totalprice", "o_custkey"):
+        assert rows[c]["median"] == pytest.approx(float(pdf[c].median()), abs=1e-9)
+        assert rows[c]["std"] == pytest.approx(float(pdf[c].std()), rel=1e-12)
+    odd = spark.createDataFrame([(float(v),) for v in [5, 1, 3, 3, 9]], "v double")
+    r = Release(odd, Metadata({"v": "numeric"})).statistics().first()
+    assert r["median"] == 3.0

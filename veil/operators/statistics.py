@@ -1,13 +1,14 @@
 """Per-column statistics, exact and distributed.
 
 One pass unpivots every column into ``(o, t, x)`` rows (ordinal, injective text, numeric value),
-aggregates them to distinct ``(o, t)`` pairs with their multiplicity (map-side combined, so a hot
-value costs one row per task), and range-sorts that table once into parquet in the shared
-checkpoint folder. Three passes over it follow: a per-(column, partition) summary (counts, exact
-distinct counts, sums, min, max), the squared deviations for the sample std (two-pass), and the
-exact median by distributed selection, which reads only the one or two range partitions holding
-the middle of each column. No column's values are gathered in one task or on the driver; only
-the per-partition summary (rows = partitions + columns) is small enough to broadcast. ``approx=True`` swaps in ``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
+aggregates them to distinct ``(o, value)`` pairs with their multiplicity (map-side combined, so a
+hot value costs one row per task) and writes that table as parquet into the shared checkpoint
+folder. Pass 1 gives per column the counts, the exact distinct count, sums, min and max (one row
+per column reaches the driver). Pass 2 gives the squared deviations for the sample std and, for
+columns with at most ``MEDIAN_MAP_LIMIT`` distinct numbers, the exact median from a bounded
+(value, frequency) map. Larger columns get the exact median by distributed selection over
+range-partitioned values, reading back only the partitions that hold the middle ranks. No
+column's values are gathered in one task or on the driver. ``approx=True`` swaps in ``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import qcol
+from .._util import INTEGRAL, qcol
 from ..functions.text import key_text
 from ..metadata import NUMERIC, Metadata
-from ..plans.ranking import running_offsets, sorted_positions
+from ..plans.ranking import materialize, running_offsets, sorted_positions
 from .numeric import as_double
 
 SCHEMA = T.StructType([
@@ -27,16 +28,44 @@ SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
     T.StructField("type", T.StringType(), False),
 ])
+# Columns with at most this many distinct numbers get their exact median from a (value, frequency)
+# map in one aggregate; beyond it, from distributed selection over range-partitioned values.
+MEDIAN_MAP_LIMIT = 1_000_000
+
 OUTPUT = ["column", "type", "count", "unique_count", "nulls", "mean", "min", "max", "std", "median"]
 
 
+def _keys(c, dtype: T.DataType):
+    """(k, x, t): the value as an exact long, a double or a text - exactly one carries it."""
+    none_l, none_d, none_s = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(dtype, INTEGRAL) or isinstance(dtype, T.BooleanType):
+        return c.cast("long"), none_d, none_s
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("long"), none_d, none_s
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")), none_d, none_s
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return none_l, as_double(c, dtype), none_s
+    return none_l, none_d, key_text(c, dtype)
+
+
 def _unpivot(df: DataFrame, metadata: Metadata) -> DataFrame:
+    """Rows ``(o, k, x, t)``; ``x`` is the number statistics use (declared-numeric columns only).
+
+    Grouping on typed keys avoids turning every number into text; a value is null exactly
+    when ``k``, ``x`` and ``t`` are all null.
+    """
     structs = []
     for i, f in enumerate(df.schema.fields):
         c = qcol(f.name)
+        k, x, t = _keys(c, f.dataType)
         numeric = metadata.declared_type(f.name) == NUMERIC
-        x = as_double(c, f.dataType) if numeric else F.lit(None).cast("double")
-        structs.append(F.struct(F.lit(i).alias("o"), key_text(c, f.dataType).alias("t"), x.alias("x")))
+        if numeric and k is not None and not isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            x = as_double(c, f.dataType)
+        elif not numeric and isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            # a fractional column declared categorical: keep the double only as a grouping key
+            k, x, t = F.lit(None).cast("long"), F.lit(None).cast("double"), key_text(c, f.dataType)
+        structs.append(F.struct(F.lit(i).alias("o"), k.alias("k"), x.alias("x"), t.alias("t")))
     return df.select(F.inline(F.array(*structs)))
 
 
@@ -55,64 +84,83 @@ def _finish(df: DataFrame, metadata: Metadata, stats: DataFrame) -> DataFrame:
 def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -> DataFrame:
     long = _unpivot(df, metadata)
     if approx:
+        value = F.coalesce(F.col("k").cast("string"), F.col("x").cast("string"), F.col("t"))
         stats = long.groupBy("o").agg(
-            F.count("t").alias("count"),
-            F.approx_count_distinct("t").alias("unique_count"),
-            F.count_if(F.col("t").isNull()).alias("nulls"),
+            F.count(value).alias("count"),
+            F.approx_count_distinct(value).alias("unique_count"),
+            F.count_if(value.isNull()).alias("nulls"),
             F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"),
             F.stddev_samp("x").alias("std"), F.percentile_approx("x", 0.5, 100000).cast("double").alias("median"),
         )
         return _finish(df, metadata, stats)
 
-    pairs = long.groupBy("o", "t").agg(F.count(F.lit(1)).alias("c"), F.max("x").alias("x"))
-    pos = sorted_positions(pairs, ["o", "x", "t"], name="stats")
+    spark = df.sparkSession
+    pairs = materialize(long.groupBy("o", "k", "x", "t").agg(F.count(F.lit(1)).alias("c")), "stats-pairs")
+    present = F.col("k").isNotNull() | F.col("x").isNotNull() | F.col("t").isNotNull()
     w = F.when(F.col("x").isNotNull(), F.col("c")).otherwise(F.lit(0))
 
-    # pass 1: one summary row per (column, range partition); everything per column derives from it
-    per = pos.groupBy("o", "__pid").agg(
-        F.sum(F.when(F.col("t").isNotNull(), F.col("c"))).alias("count"),
-        F.count("t").alias("unique_count"),
-        F.sum(F.when(F.col("t").isNull(), F.col("c"))).alias("nulls"),
+    # pass 1: per column - counts, exact distinct count, sums, min, max (one row per column)
+    summary = pairs.groupBy("o").agg(
+        F.sum(F.when(present, F.col("c"))).alias("count"),
+        F.count_if(present).alias("unique_count"),
+        F.sum(F.when(~present, F.col("c"))).alias("nulls"),
         F.sum(w).alias("nx"),
+        F.count_if(F.col("x").isNotNull()).alias("ux"),
         F.sum(F.col("x") * F.col("c")).alias("sx"),
         F.min("x").alias("min"), F.max("x").alias("max"),
-    ).cache()
-    basic = per.groupBy("o").agg(
-        *[F.sum(c).alias(c) for c in ("count", "unique_count", "nulls", "nx", "sx")],
-        F.min("min").alias("min"), F.max("max").alias("max"),
-    ).withColumn("mean", F.when(F.col("nx") > 0, F.col("sx") / F.col("nx"))).cache()
-
-    # pass 2: sum of squared deviations around the mean (two-pass variance, numerically stable)
-    spread = (
-        pos.where(F.col("x").isNotNull()).join(F.broadcast(basic.select("o", "mean")), "o")
-        .groupBy("o").agg(F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss"))
-        .join(F.broadcast(basic.select("o", "nx")), "o")
-        .select("o", F.when(F.col("nx") > 1, F.sqrt(F.col("ss") / (F.col("nx") - 1))).alias("std"))
+    ).withColumn("mean", F.when(F.col("nx") > 0, F.col("sx") / F.col("nx"))).collect()
+    numeric = [r for r in summary if r["nx"]]
+    in_memory = [r["o"] for r in numeric if r["ux"] <= MEDIAN_MAP_LIMIT]
+    selected = [r["o"] for r in numeric if r["ux"] > MEDIAN_MAP_LIMIT]
+    basic = spark.createDataFrame(
+        [(r["o"], r["count"], r["unique_count"], r["nulls"], r["nx"], r["mean"], r["min"], r["max"]) for r in summary],
+        "o int, count long, unique_count long, nulls long, nx long, mean double, min double, max double")
+
+    # pass 2: squared deviations around the mean (two-pass variance) and, for columns whose distinct
+    # numbers fit a bounded map, the exact median from (value, frequency) pairs
+    second = (
+        pairs.where(F.col("x").isNotNull()).join(F.broadcast(basic.select("o", "mean", "nx")), "o")
+        .groupBy("o").agg(
+            F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss"), F.first("nx").alias("nx"),
+            F.percentile(F.when(F.col("o").isin(in_memory), F.col("x")), F.lit(0.5), F.col("c")).alias("median"),
+        )
+        .select("o", F.when(F.col("nx") > 1, F.sqrt(F.col("ss") / (F.col("nx") - 1))).alias("std"),
+                F.when(F.col("o").isin(in_memory), F.col("median")).alias("median"))
     )
+    if selected:
+        big = _selected_medians(pairs.where(F.col("o").isin(selected) & F.col("x").isNotNull()).select("o", "x", "c"))
+        second = second.join(F.broadcast(big.withColumnRenamed("median", "m2")), "o", "left").select(
+            "o", "std", F.coalesce("median", "m2").alias("median"))
 
-    # pass 3: exact median - ranks k_lo, k_hi (0-based) among the nx numbers of each column; only the
-    # partitions holding them are read (pushed-down __pid filter) and ordered by a window per block
-    offs = running_offsets(per.select("o", "__pid", "nx"), "nx", ["o"])
-    targets = basic.where(F.col("nx") > 0).select(
-        "o", F.explode(F.array_distinct(F.array(((F.col("nx") - 1) / 2).cast("long"),
-                                                 (F.col("nx") / 2).cast("long")))).alias("k"))
+    stats = basic.drop("nx").join(F.broadcast(second), "o", "left")
+    return _finish(df, metadata, stats)
+
+
+def _selected_medians(values: DataFrame) -> DataFrame:
+    """Exact medians of ``(o, x, c)`` without gathering a column: distributed selection.
+
+    Values are range-partitioned and sorted; per-(column, partition) weights give each partition's
+    offset; only the one or two partitions holding ranks ``(n-1) div 2`` and ``n div 2`` are read
+    back (pushed-down ``__pid`` filter) and walked with a window inside each of them.
+    """
+    pos = sorted_positions(values, ["o", "x"], name="stats-median")
+    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx")).cache()
+    totals = per.groupBy("o").agg(F.sum("nx").alias("n"))
+    offs = running_offsets(per, "nx", ["o"])
+    targets = totals.select(
+        "o", F.explode(F.array_distinct(F.array(((F.col("n") - 1) / 2).cast("long"),
+                                                 (F.col("n") / 2).cast("long")))).alias("__k"))
     blocks = offs.join(F.broadcast(targets), "o").where(
-        (F.col("k") >= F.col("__off")) & (F.col("k") < F.col("__off") + F.col("nx"))
-    ).select("o", "__pid", "__off", "k").cache()
+        (F.col("__k") >= F.col("__off")) & (F.col("__k") < F.col("__off") + F.col("nx"))
+    ).select("o", "__pid", "__off", "__k").cache()
     pids = sorted({r["__pid"] for r in blocks.select("__pid").distinct().collect()})
     before = Window.partitionBy("o", "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
     cand = (
-        pos.where(F.col("__pid").isin(pids) & F.col("x").isNotNull())
+        pos.where(F.col("__pid").isin(pids))
         .join(F.broadcast(blocks.select("o", "__pid", "__off").distinct()), ["o", "__pid"])
         .withColumn("lo", F.col("__off") + F.coalesce(F.sum("c").over(before), F.lit(0)))
     )
-    hits = cand.join(F.broadcast(blocks.select("o", "__pid", "k")), ["o", "__pid"]).where(
-        (F.col("k") >= F.col("lo")) & (F.col("k") < F.col("lo") + F.col("c"))
+    hits = cand.join(F.broadcast(blocks.select("o", "__pid", "__k")), ["o", "__pid"]).where(
+        (F.col("__k") >= F.col("lo")) & (F.col("__k") < F.col("lo") + F.col("c"))
     )
-    median = hits.groupBy("o").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
-
-    stats = (
-        basic.select("o", "count", "unique_count", "nulls", "mean", "min", "max")
-        .join(F.broadcast(spread), "o", "left").join(F.broadcast(median), "o", "left")
-    )
-    return _finish(df, metadata, stats)
+    return hits.groupBy("o").agg(((F.min("x") + F.max("x")) / 2).alias("median"))

@@ -173,6 +173,10 @@ class Release:
             mappings=self._s.mappings if mappings is None else mappings,
         ))
 
+    def _fit_input(self, column: str) -> DataFrame:
+        """Where to fit a column: the source while it is unchanged (skips joins added by earlier verbs)."""
+        return self._s.source if column not in self._s.versions else self._s.frame
+
     def _original_value(self, column: str) -> Column:
         return qcol(orig_name(column)) if column in self._s.versions else qcol(column)
 
@@ -200,7 +204,7 @@ class Release:
 
     def _ope_one(self, c: str) -> Release:
         dt = self._ensure_column(c)
-        mapping = ps.rank_mapping(self._s.frame, c)
+        mapping = ps.rank_mapping(self._fit_input(c), c)
         frame = self._with_originals(self._s.frame, [c])
         frame = ps.apply_rank_mapping(frame, c, mapping)
         versions = self._bump([c])
@@ -245,7 +249,7 @@ class Release:
                    rounding: str = "half_even") -> Release:
         dt = self._ensure_column(column)
         self.metadata.ensure_numeric(column)
-        b = gen.fit_bins(self._s.frame, column, bins, include_lowest)
+        b = gen.fit_bins(self._fit_input(column), column, bins, include_lowest)
         return self._replace({column: gen.generalized(qcol(column), dt, b, rounding)})
 
     generalize_numeric_column = generalize
@@ -259,7 +263,7 @@ class Release:
         dt = self._ensure_column(column)
         self.metadata.ensure_numeric(column)
         ptb.check_noise(noise_std)
-        r = ptb.fit_perturb_range(self._s.frame, column)
+        r = ptb.fit_perturb_range(self._fit_input(column), column)
         keys = list(key) if key else (list(self.metadata.identifiers) or list(self._s.columns))
         for k in keys:
             if k not in self._s.columns:
