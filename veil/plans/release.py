@@ -27,6 +27,7 @@ from ..functions.noise import keyed_standard_normal
 from ..operators import pseudonyms as ps
 from ..operators.metrics import precision_privacy
 from ..operators.statistics import column_statistics
+from ..session import ensure_checkpoint_dir
 from .ranking import RankTable
 
 
@@ -83,6 +84,7 @@ class Release:
         metadata.validate(df.columns)
         src = _normalize(df)
         if snapshot:
+            ensure_checkpoint_dir(df.sparkSession)
             src = src.checkpoint(eager=True)
         self._s = _State(src, src, metadata, tuple(df.columns))
 
