@@ -29,9 +29,10 @@ def _double_py_str(c: Column) -> Column:
         exp_sign,
         F.lpad(F.regexp_extract(s, _SCI, 5), 2, "0"),
     )
-    small = F.regexp_replace(_try_cast(c, "decimal(38,37)").cast("string"), "0+$", "")
+    # fixed notation through an exact decimal (Spark converts via the same shortest digits)
+    small = F.regexp_replace(c.try_cast("decimal(38,37)").cast("string"), "0+$", "")
     large = F.regexp_replace(
-        F.regexp_replace(_try_cast(c, "decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0"
+        F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0"
     )
     return (
         F.when(c.isNull(), F.lit(None).cast("string"))
@@ -46,10 +47,6 @@ def _double_py_str(c: Column) -> Column:
     )
 
 
-def _try_cast(c: Column, to: str) -> Column:
-    return c.try_cast(to)
-
-
 def py_str(c: Column, dtype: T.DataType) -> Column:
     """Text of each non-null value as Python's ``str`` would print it; null stays null."""
     if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):

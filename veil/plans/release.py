@@ -18,19 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._util import ORIG_PREFIX, dtype_of, orig_name, qcol, reject_nested
+from ..functions.hashing import new_secret, pseudonym_token
+from ..functions.noise import keyed_standard_normal
 from ..metadata import Metadata
 from ..operators import generalize as gen
 from ..operators import mask as msk
 from ..operators import perturb as ptb
-from ..functions.hashing import new_secret, pseudonym_token
-from ..functions.noise import keyed_standard_normal
 from ..operators import pseudonyms as ps
 from ..operators.metrics import precision_privacy
 from ..operators.statistics import column_statistics
 from ..session import ensure_checkpoint_dir
 from .ranking import RankTable
 
-
 DISPLAY_ROUNDED = ("mean", "min", "max", "std", "median")
 
 
@@ -146,7 +145,8 @@ class Release:
         return df.limit(n)
 
     def count(self) -> int:
-        return self._s.frame.count()
+        """Row count; every verb keeps rows one-to-one, so the source answers without any join."""
+        return self._s.source.count()
 
     # -- internal -----------------------------------------------------------------------------
 
