@@ -44,7 +44,7 @@ def lookup(df: DataFrame, key: Column, ranks: RankTable, key_col: str, val_col:
     Large mapping: both sides shuffle on the key. Hot keys - values holding more than one
     partition's fair share of rows, a set bounded by the partition count - are answered by a
     broadcast join first and leave the shuffle with a null key; rows with a null key are spread
-    over all partitions by a random salt in the join key. The mapping side is never replicated,
+    over all partitions by a salt (a hash of the row) in the join key. The mapping side is never replicated,
     so one value holding a third of all rows costs nothing extra and lands in no single task.
     Row count and pairing are kept: the mapping is unique on ``key_col``.
     """
@@ -60,8 +60,12 @@ def lookup(df: DataFrame, key: Column, ranks: RankTable, key_col: str, val_col:
         out = out.join(h, key == F.col("__hk"), "left").drop("__hk")
         k = F.when(F.col("__hv").isNull(), key)
         hot_val = F.col("__hv")
+    # the salt is a hash of the row, not rand(): a retried map task must send every row to the
+    # same reducer as before. Rows identical in every column share a salt; AQE's skew split
+    # (deterministic, by map-output ranges) handles a partition made hot by such copies.
+    row_hash = F.xxhash64(*[qcol(c) for c in df.columns])
     out = out.withColumn("__sk", k).withColumn(
-        "__salt", F.when(F.col("__sk").isNull(), (F.rand() * salts).cast("int") + 1).otherwise(F.lit(0)))
+        "__salt", F.when(F.col("__sk").isNull(), F.pmod(row_hash, F.lit(salts)).cast("int") + 1).otherwise(F.lit(0)))
     m = ranks.table.select(F.col(key_col).alias("__ck"), F.col(val_col).alias("__cv"), F.lit(0).alias("__csalt"))
     out = out.join(m, (F.col("__sk") == F.col("__ck")) & (F.col("__salt") == F.col("__csalt")), "left")
     out = out.drop("__sk", "__salt", "__ck", "__csalt")
