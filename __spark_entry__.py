@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from veil import Metadata, Release, read_csv  # noqa: E402
 from veil.functions.hashing import new_secret, pseudonym_token  # noqa: E402
 from veil.functions.sql import register_sql_functions  # noqa: E402
+from veil.operators.metrics import precision_privacy_between  # noqa: E402
 from veil.operators.perturb import perturb as perturb_df  # noqa: E402
 from veil.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from veil.streaming import BinModel, mask_stream, pseudonymize_stream  # noqa: E402
@@ -277,6 +278,16 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, SUPPLIER_META)
 
 
+def q_precision_between_export(spark, sf_dir):
+    """Metric between the original table and a release re-read from its CSV export, aligned on the key."""
+    ensure_checkpoint_dir(spark)
+    path = scratch_path(spark, "between")
+    orig = _t(spark, sf_dir, "customer")
+    _customer(spark, sf_dir).mask("c_name", "mask_last_k", k=4).generalize("c_acctbal", bins=10).export_csv(path)
+    back = read_csv(spark, path, CUSTOMER_META).withColumn("c_nationkey", F.col("c_nationkey").cast("int"))
+    return precision_privacy_between(orig, back, ["c_custkey"], CUSTOMER_META)
+
+
 def q_bundle_roundtrip(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, "bundle")
@@ -399,6 +410,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stats_original": q_stats_original,
         "stats_working": q_stats_working,
         "csv_roundtrip": q_csv_roundtrip,
+        "precision_between_export": q_precision_between_export,
         "bundle_roundtrip": q_bundle_roundtrip,
         "preview": q_preview,
         "stream_release": q_stream_release,
@@ -636,6 +648,12 @@ def oracle_sql() -> dict[str, str]:
             [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "categorical"),
              ("o_totalprice", "numeric"), ("o_orderdate", "categorical"), ("o_orderpriority", "categorical")]),
         "csv_roundtrip": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
+        "precision_between_export": _precision_simple(
+            f"WITH t AS (SELECT * FROM customer), {_bins_ctes('t', 'c_acctbal', 10, True)[5:]} "
+            f"SELECT t.*, {_mask_sql('mask_last_k', 't.c_name', 4)} AS w_name, b.mid AS w_acctbal "
+            f"FROM t {_bin_join('t', 'c_acctbal', True)}",
+            [("count(c_custkey)", 1.0), ("count_if(c_name = w_name)", 1.0), ("count(c_nationkey)", 1.0),
+             ("count_if(c_acctbal = w_acctbal)", 2.0), ("count(c_mktsegment)", 1.0)]),
         "bundle_roundtrip": _pipeline_sql(),
         "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 20",
         "stream_release": _pipeline_sql(),

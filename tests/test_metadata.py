@@ -49,3 +49,14 @@ def test_views_and_reset(people):
     assert g.original().collect() == r.original().collect()
     assert g.reset().working().collect() == r.working().collect()
     assert g.get_working_dataset().columns == people.columns
+
+
+def test_checkpoint_keeps_everything(people):
+    md = Metadata({"code": "numeric", "score": "numeric"}, identifiers=["name", "code"], sensitive_attributes=["score"])
+    r = Release(people, md).order_preserving_pseudonyms("name").generalize("code", 2)
+    c = r.checkpoint()
+    assert c.working().exceptAll(r.working()).count() == 0
+    assert c.original().exceptAll(r.original()).count() == 0
+    assert c.compute_precision_privacy_tradeoff() == r.compute_precision_privacy_tradeoff()
+    assert sorted(x["name"] or "" for x in c.reverse_pseudonyms().working().collect()) == ["", "Z", "b", "b", "é"]
+    assert "Scan parquet" in c.working()._jdf.queryExecution().executedPlan().toString()

@@ -28,7 +28,7 @@ from ..operators import pseudonyms as ps
 from ..operators.metrics import precision_privacy
 from ..operators.statistics import column_statistics
 from ..session import ensure_checkpoint_dir
-from .ranking import RankTable
+from .ranking import RankTable, materialize
 
 DISPLAY_ROUNDED = ("mean", "min", "max", "std", "median")
 
@@ -144,6 +144,14 @@ class Release:
             df = df.orderBy(*[qcol(c) for c in order_by])
         return df.limit(n)
 
+    def checkpoint(self) -> Release:
+        """Cut the lineage of a long chain of verbs: write the paired frame as parquet in the shared
+        checkpoint folder and continue from it. Original, working, mappings and metric are unchanged."""
+        frame = materialize(self._s.frame, "release")
+        cols = self._s.columns
+        source = frame.select(*[(qcol(orig_name(c)) if c in self._s.versions else qcol(c)).alias(c) for c in cols])
+        return Release._from_state(replace(self._s, frame=frame, source=source))
+
     def count(self) -> int:
         """Row count; every verb keeps rows one-to-one, so the source answers without any join."""
         return self._s.source.count()
