@@ -106,3 +106,16 @@ def test_expression_matches_searchsorted(spark, values, bins, include_lowest):
     got = [r["m"] for r in df.select("i", binning.midpoint(F.col("v"), b).alias("m")).orderBy("i").collect()]
     want = [_ref_mid(b, v) for v in values]
     assert all((g is None and w is None) or math.isclose(g, w, rel_tol=0, abs_tol=0) for g, w in zip(got, want))
+
+
+@pytest.mark.parametrize("mn,mx,bins", [(-994.28, 9997.41, 200), (1.0, 50.0, 65), (0.0, 1e-3, 97), (-1e6, 1e6, 1000),
+                                        (12345.678, 12345.679, 80)])
+@pytest.mark.parametrize("include_lowest", [True, False])
+def test_exact_edges_on_both_paths(spark, mn, mx, bins, include_lowest):
+    """Values sitting exactly on every edge (and one ulp either side) land where searchsorted puts them."""
+    b = binning.fit(mn, mx, bins, include_lowest)
+    probes = [x for e in b.edges for x in (math.nextafter(e, -math.inf), e, math.nextafter(e, math.inf))]
+    probes = [x for x in probes if b.edges[0] <= x <= b.edges[-1]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(probes)], "i int, v double")
+    got = [r["m"] for r in df.select("i", binning.midpoint(F.col("v"), b).alias("m")).orderBy("i").collect()]
+    assert got == [_ref_mid(b, v) for v in probes]
