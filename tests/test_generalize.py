@@ -119,3 +119,21 @@ def test_exact_edges_on_both_paths(spark, mn, mx, bins, include_lowest):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(probes)], "i int, v double")
     got = [r["m"] for r in df.select("i", binning.midpoint(F.col("v"), b).alias("m")).orderBy("i").collect()]
     assert got == [_ref_mid(b, v) for v in probes]
+
+
+@pytest.mark.parametrize("table,column,bins", [("customer", "c_acctbal", 10), ("customer", "c_acctbal", 7),
+                                               ("part", "p_retailprice", 13), ("orders", "o_totalprice", 100),
+                                               ("lineitem", "l_discount", 3), ("events", "value", 10)])
+@pytest.mark.parametrize("include_lowest", [True, False])
+def test_midpoints_equal_pandas_cut(spark, table, column, bins, include_lowest):
+    """Bit-for-bit against the public pandas.cut label midpoints the reference uses."""
+    import pandas as pd
+
+    df = spark.read.parquet(f"/root/testdata/sf0.01/{table}.parquet").select(column)
+    got = [r[column] for r in Release(df.withColumn("__i", F.monotonically_increasing_id()), Metadata({column: "numeric"}))
+           .generalize(column, bins, include_lowest).working().orderBy("__i").collect()]
+    src = pd.Series([r[column] for r in df.withColumn("__i", F.monotonically_increasing_id()).orderBy("__i").collect()],
+                    dtype="float64")
+    cut = pd.cut(src, bins=bins, include_lowest=include_lowest)
+    want = [float(iv.mid) for iv in cut]
+    assert got == want

@@ -97,3 +97,16 @@ def test_preview(patients):
     assert r.count() == 120
     with pytest.raises(ValueError):
         r.preview(0)
+
+
+def test_csv_values_equal_pandas(spark, scratch):
+    import pandas as pd
+
+    text = "a,b,c,d\n1,1.5,x,NA\n2,,null,7\n3,-0.25,#N/A,8\n4,1e3,None,\n"
+    path = _write(scratch, text)
+    ours = read_csv(spark, path).orderBy("a").toPandas()
+    theirs = pd.read_csv(path)
+    for c in theirs.columns:
+        got = [None if pd.isna(v) else v for v in ours[c]]
+        want = [None if pd.isna(v) else v for v in theirs[c]]
+        assert got == want, c
