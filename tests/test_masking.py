@@ -99,3 +99,37 @@ def test_no_python_udf_in_mask_plan(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = Release(df, Metadata({})).mask("text", "mask_regex", regex_pattern=r"\d+").mask("lang", "mask_first_k", k=1)
     assert python_nodes(r.working()) == []
+
+
+def _py_mask(text, strategy, k=None, pattern=None):
+    import re
+
+    if text is None:
+        return None
+    if strategy == "mask_first_k":
+        n = min(k, len(text))
+        return "*" * n + text[n:]
+    if strategy == "mask_last_k":
+        n = min(k, len(text))
+        return text if n == 0 else text[:-n] + "*" * n
+    if strategy == "mask_before_first_space":
+        i = text.find(" ")
+        return text if i == -1 else "*" * i + text[i:]
+    if strategy == "mask_after_last_space":
+        i = text.rfind(" ")
+        return text if i == -1 else text[: i + 1] + "*" * (len(text) - i - 1)
+    return re.sub(pattern, "*", text)
+
+
+@pytest.mark.parametrize("strategy,k,pattern", [
+    ("mask_first_k", 9, None), ("mask_last_k", 9, None), ("mask_before_first_space", None, None),
+    ("mask_after_last_space", None, None), ("mask_regex", None, r"\d+"), ("mask_regex", None, r"\w+@\w+"),
+    ("mask_regex", None, r"(?i)\bthe\b"), ("mask_regex", None, r"\s+"),
+])
+def test_documents_equal_python(spark, strategy, k, pattern):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["text"] for r in
+           Release(docs, Metadata({})).mask("text", strategy, k=k, regex_pattern=pattern).working().collect()}
+    src = {r["doc_id"]: r["text"] for r in docs.collect()}
+    bad = [d for d, t in src.items() if got[d] != _py_mask(t, strategy, k, pattern)]
+    assert bad == []
