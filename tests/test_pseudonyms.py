@@ -124,3 +124,6 @@ def test_skewed_keys_take_the_salted_path(spark):
     assert got == {rid: (None if k is None else rank[k]) for rid, k in rows}
     assert back == dict(rows)
     assert "xxhash64(" in plan and "rand(" not in plan
+    # the salt must be part of the shuffle key, or null and hot rows would all meet in one task
+    assert "hashpartitioning(__sk" in plan and all(
+        "__salt" in line for line in plan.splitlines() if "hashpartitioning(__sk" in line)

@@ -66,7 +66,7 @@ def lookup(df: DataFrame, key: Column, ranks: RankTable, key_col: str, val_col:
     row_hash = F.xxhash64(*[qcol(c) for c in df.columns])
     out = out.withColumn("__sk", k).withColumn(
         "__salt", F.when(F.col("__sk").isNull(), F.pmod(row_hash, F.lit(salts)).cast("int") + 1).otherwise(F.lit(0)))
-    m = ranks.table.select(F.col(key_col).alias("__ck"), F.col(val_col).alias("__cv"), F.lit(0).alias("__csalt"))
+    m = ranks.data.select(F.col(key_col).alias("__ck"), F.col(val_col).alias("__cv"), F.col("__zero").alias("__csalt"))
     out = out.join(m, (F.col("__sk") == F.col("__ck")) & (F.col("__salt") == F.col("__csalt")), "left")
     out = out.drop("__sk", "__salt", "__ck", "__csalt")
     val = F.col("__cv") if hot_val is None else F.coalesce(hot_val, F.col("__cv"))

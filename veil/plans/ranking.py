@@ -86,26 +86,33 @@ def fits_broadcast(spark, rows: int, payload: int) -> bool:
 class RankTable:
     """``(value, rank)`` plus sizes measured when it was built, and its hot keys.
 
+    ``data`` also carries ``__zero``, a stored column of zeros: the shuffle join matches it against
+    the data side's salt. Being read from files, the optimizer cannot fold it into a constant and
+    drop the salt from the join's hash partitioning.
     ``hot`` holds the values whose row count exceeds one partition's fair share of the data
     (at most one per range partition, so its size is bounded by configuration); it is ``None``
     when there is no such value or the hot set does not fit the broadcast threshold.
     """
 
-    table: DataFrame
+    data: DataFrame
     rows: int
     bytes: int
     hot: DataFrame | None = None
 
+    @property
+    def table(self) -> DataFrame:
+        return self.data.select("value", "rank")
+
     @property
     def small(self) -> bool:
-        return fits_broadcast(self.table.sparkSession, self.rows, self.bytes)
+        return fits_broadcast(self.data.sparkSession, self.rows, self.bytes)
 
 
 def dense_rank_mapping(values: DataFrame, column: str) -> RankTable:
     """Distinct non-null values of ``column`` ranked 1..U ascending, with per-value row counts."""
     v = F.col(column)
     counted = (values.select(v.alias("value")).where(F.col("value").isNotNull())
-               .groupBy("value").agg(F.count(F.lit(1)).alias("__cnt")))
+               .groupBy("value").agg(F.count(F.lit(1)).alias("__cnt")).withColumn("__zero", F.lit(0)))
     positioned = sorted_positions(counted, ["value"], name="ranks")
     spark = positioned.sparkSession
     dtype = positioned.schema["value"].dataType
@@ -118,8 +125,8 @@ def dense_rank_mapping(values: DataFrame, column: str) -> RankTable:
                     F.max("__max").alias("m")).first()
     offsets = running_offsets(per, "__n").select("__pid", "__off")
     ranked = positioned.join(F.broadcast(offsets), "__pid").select(
-        "value", (F.col("__off") + F.col("__pos") + 1).alias("rank"), "__cnt")
-    mapping = ranked.select("value", "rank")
+        "value", (F.col("__off") + F.col("__pos") + 1).alias("rank"), "__cnt", "__zero")
+    mapping = ranked.select("value", "rank", "__zero")
     rows, payload = int(total["n"] or 0), int(total["b"] or 0)
     hot = None
     share = -(-int(total["r"] or 0) // range_partitions(positioned))  # rows per partition if spread evenly

@@ -37,7 +37,7 @@ def save(release, path: str) -> str:
     s.frame.write.mode("errorifexists").parquet(f"{base}/frame")
     mappings = []
     for i, (c, m) in enumerate(s.mappings.items()):
-        m.table.write.mode("errorifexists").parquet(f"{base}/mapping-{i}")
+        m.ranks.data.write.mode("errorifexists").parquet(f"{base}/mapping-{i}")
         hot = None
         if m.ranks.hot is not None:
             hot = f"mapping-{i}-hot"
