@@ -60,3 +60,12 @@ def test_checkpoint_keeps_everything(people):
     assert c.compute_precision_privacy_tradeoff() == r.compute_precision_privacy_tradeoff()
     assert sorted(x["name"] or "" for x in c.reverse_pseudonyms().working().collect()) == ["", "Z", "b", "b", "é"]
     assert "Scan parquet" in c.working()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_from_pandas(spark):
+    import pandas as pd
+
+    pdf = pd.DataFrame({"id": [1, 2, 3], "age": [20.0, float("nan"), 40.0], "name": ["a b", None, "c"]})
+    r = Release.from_pandas(spark, pdf, Metadata({"age": "numeric"}, identifiers=["id"]))
+    assert [x["age"] for x in r.working().orderBy("id").collect()] == [20.0, None, 40.0]
+    assert r.generalize("age", 2).working().where("age is null").count() == 1

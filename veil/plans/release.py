@@ -87,6 +87,11 @@ class Release:
             src = src.checkpoint(eager=True)
         self._s = _State(src, src, metadata, tuple(df.columns))
 
+    @classmethod
+    def from_pandas(cls, spark, pdf, metadata: Metadata, schema=None, **kwargs) -> Release:
+        """A release over a pandas DataFrame (shipped to the cluster through Arrow)."""
+        return cls(spark.createDataFrame(pdf, schema=schema), metadata, **kwargs)
+
     @classmethod
     def _from_state(cls, state: _State) -> Release:
         obj = cls.__new__(cls)

@@ -26,25 +26,38 @@ def local_session(master: str = "local[8]", app: str = "veil", **conf: str) -> S
     for k, v in {**LOCAL_CONF, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """Return the shared folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when no folder is configured (tests, local runs) is a local one created.
+    Only when nothing is configured (tests, local runs) is a local folder created; a classic
+    session's SparkContext is pointed at the folder so ``DataFrame.checkpoint()`` works too.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if not configured and sc is not None:
+        configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is None:
+            raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster.")
         configured = tempfile.mkdtemp(prefix="veil-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
