@@ -41,6 +41,12 @@ def test_regex_python_named_groups(names):
     assert out[:-1] == [re.sub(pattern, "*", s) for s in NAMES[:-1]]
 
 
+def test_huge_k_masks_everything(names):
+    stars = [None if v is None else "*" * len(v) for v in NAMES]
+    assert _run(names, "mask_first_k", k=10**12) == stars
+    assert _run(names, "mask_last_k", k=10**12) == stars
+
+
 def test_k_zero_is_identity(names):
     assert _run(names, "mask_first_k", k=0) == NAMES
     assert _run(names, "mask_last_k", k=0) == NAMES
@@ -133,3 +139,20 @@ def test_documents_equal_python(spark, strategy, k, pattern):
     src = {r["doc_id"]: r["text"] for r in docs.collect()}
     bad = [d for d, t in src.items() if got[d] != _py_mask(t, strategy, k, pattern)]
     assert bad == []
+
+
+def test_sql_functions_match_masks(spark, names):
+    from veil.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    names.createOrReplaceTempView("veil_names")
+    rows = spark.sql("SELECT id, veil_mask_first_k(s, 2) AS a, veil_mask_last_k(s, 2) AS b, "
+                     "veil_mask_before_first_space(s) AS c, veil_mask_after_last_space(s) AS d, "
+                     "veil_mask_first_k(s, 2000000000) AS e, veil_mask_last_k(s, 2000000000) AS f "
+                     "FROM veil_names ORDER BY id").collect()
+    assert [r["a"] for r in rows] == EXPECTED[("mask_first_k", 2)]
+    assert [r["b"] for r in rows] == EXPECTED[("mask_last_k", 2)]
+    assert [r["c"] for r in rows] == EXPECTED[("mask_before_first_space", None)]
+    assert [r["d"] for r in rows] == EXPECTED[("mask_after_last_space", None)]
+    stars = [None if v is None else "*" * len(v) for v in NAMES]
+    assert [r["e"] for r in rows] == stars and [r["f"] for r in rows] == stars

@@ -23,16 +23,25 @@ def _star() -> Column:
     return F.lit("*")
 
 
+def _clamp(k: int) -> int:
+    # Spark strings are shorter than 2^31 characters, so a larger k masks the same as this one
+    return min(k, _MAX - 1)
+
+
 def mask_first_k(s: Column, k: int) -> Column:
-    n = F.least(F.lit(k), F.length(s))
-    return F.concat(F.repeat(_star(), n), s.substr(F.lit(k + 1), F.lit(_MAX)))
+    # least() skips nulls: without the guard a null string would ask repeat() for k stars
+    n = F.least(F.lit(_clamp(k)), F.length(s))
+    return F.when(s.isNotNull(), F.concat(F.repeat(_star(), n), s.substr(n + 1, F.lit(_MAX))))
 
 
 def mask_last_k(s: Column, k: int) -> Column:
+    k = _clamp(k)
     n = F.length(s)
     return (
-        F.when(n <= k, F.repeat(_star(), n))
-        .otherwise(F.concat(s.substr(F.lit(1), n - k), F.repeat(_star(), F.lit(k))))
+        F.when(s.isNull(), F.lit(None).cast("string"))
+        .when(n <= k, F.repeat(_star(), n))
+        # least(k, n) == k here; keeping it data-dependent stops constant folding of repeat('*', k)
+        .otherwise(F.concat(s.substr(F.lit(1), n - k), F.repeat(_star(), F.least(F.lit(k), n))))
     )
 
 

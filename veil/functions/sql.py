@@ -1,7 +1,8 @@
 """The masking strategies and keyed pseudonyms as SQL functions, for ``spark.sql`` users.
 
 Registered as temporary SQL functions (``CREATE TEMPORARY FUNCTION ... RETURN <expr>``): they
-are inlined into the plan as native expressions, no Python worker is involved.
+are inlined into the plan as native expressions, no Python worker is involved. Nulls are guarded
+explicitly because ``least`` skips them (a null string must never size a ``repeat``).
 """
 
 from __future__ import annotations
@@ -11,12 +12,13 @@ from pyspark.sql import SparkSession
 _FUNCTIONS = {
     "veil_mask_first_k": (
         "s STRING, k INT",
-        "concat(repeat('*', least(k, char_length(s))), substr(s, k + 1))",
+        "CASE WHEN s IS NULL THEN NULL ELSE concat(repeat('*', least(k, char_length(s))), "
+        "substr(s, least(k, char_length(s)) + 1)) END",
     ),
     "veil_mask_last_k": (
         "s STRING, k INT",
-        "CASE WHEN char_length(s) <= k THEN repeat('*', char_length(s)) "
-        "ELSE concat(substr(s, 1, char_length(s) - k), repeat('*', k)) END",
+        "CASE WHEN s IS NULL THEN NULL WHEN char_length(s) <= k THEN repeat('*', char_length(s)) "
+        "ELSE concat(substr(s, 1, char_length(s) - k), repeat('*', least(k, char_length(s)))) END",
     ),
     "veil_mask_before_first_space": (
         "s STRING",
