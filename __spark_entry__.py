@@ -487,6 +487,11 @@ def _noise_sql(h: str) -> str:
     return f"(sqrt(-2.0::DOUBLE * ln({_u48(h, 1)})) * cos(2.0::DOUBLE * pi() * {_u48(h, 13)}))"
 
 
+def _key_part(x: str) -> str:
+    """One keyed-noise key part: ``<length>:<text>``, ``-`` for null."""
+    return f"coalesce(CAST(length(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+
 def _perturb_sql(table: str, key_sql: str, x: str, noise: float, seed: int, select_key: str, cast: str | None,
                  hash_key: str) -> str:
     out = f"least(greatest({x}::DOUBLE + {_noise_sql('h')} * eff, mn), mx)"
@@ -553,7 +558,8 @@ def _stats_sql_named(table_sql: str, cols: list[tuple[str, str]]) -> str:
 
 
 def _lineitem_release_sql(round_quantity: bool = True) -> str:
-    noise = _noise_sql("sha256('" + str(SEED) + "|l_quantity|' || CAST(t.l_orderkey AS VARCHAR) || '|' || CAST(t.l_linenumber AS VARCHAR))")
+    noise = _noise_sql("sha256('" + str(SEED) + "|l_quantity|' || " + _key_part("t.l_orderkey") + " || '|' || "
+                       + _key_part("t.l_linenumber") + ")")
     qty = f"least(greatest(t.l_quantity + {noise} * f.eff, f.mn), f.mx)"
     if round_quantity:
         qty = f"round({qty}, 6)"
@@ -607,12 +613,12 @@ def oracle_sql() -> dict[str, str]:
                                                ["p_partkey"], "v", 4),
         "generalize_nulls": _generalize_sql(f"SELECT c_custkey, c_acctbal FROM ({_CUSTOMER_NULL_BAL})", ["c_custkey"],
                                             "c_acctbal", 5),
-        "perturb_seeded": _perturb_sql("events", "event_id", "value", 0.1, SEED, "event_id", None, "CAST(event_id AS VARCHAR)"),
+        "perturb_seeded": _perturb_sql("events", "event_id", "value", 0.1, SEED, "event_id", None, _key_part("event_id")),
         "perturb_nulls": _perturb_sql(
             "(SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS value FROM events)",
-            "event_id", "value", 0.1, SEED, "event_id", None, "CAST(event_id AS VARCHAR)"),
+            "event_id", "value", 0.1, SEED, "event_id", None, _key_part("event_id")),
         "perturb_int": _perturb_sql("part", "p_partkey", "p_size", 0.2, SEED, "p_partkey", "INTEGER",
-                                    "CAST(p_partkey AS VARCHAR)"),
+                                    _key_part("p_partkey")),
         "perturb_zero_noise": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
         "perturb_invariants": "SELECT count(*) AS n_rows, TRUE AS bounded, 0::BIGINT AS nulls FROM lineitem",
         "mask_first_k": f"SELECT doc_id, {_mask_sql('mask_first_k', 'text', 5)} AS text FROM documents",

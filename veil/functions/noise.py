@@ -1,7 +1,7 @@
 """Gaussian noise as native expressions.
 
-Keyed noise: two uniforms from 48-bit slices of ``sha256(seed | column | key...)`` and a Box-Muller
-transform. It depends only on the row's key, so it is the same under any partitioning, ordering or
+Keyed noise: two uniforms from 48-bit slices of ``sha256(seed | column | key...)`` (each key part
+length-prefixed, so the input is injective) and a Box-Muller transform. It depends only on the row's key, so it is the same under any partitioning, ordering or
 task retry. Without a key Spark's ``randn(seed)`` is used, which depends on partitioning.
 """
 
@@ -20,7 +20,10 @@ def _u48(h: Column, start: int) -> Column:
 
 
 def keyed_standard_normal(seed: int, column: str, keys: list[Column]) -> Column:
-    parts = [F.lit(str(seed)), F.lit(column)] + [F.coalesce(k.cast("string"), F.lit("\u0000")) for k in keys]
+    # each key part as "<length>:<text>" (null: "-") so no two different keys give the same input
+    parts = [F.lit(str(seed)), F.lit(column)] + [
+        F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in (k.cast("string") for k in keys)
+    ]
     h = F.sha2(F.concat_ws("|", *parts), 256)
     u1 = _u48(h, 1)
     u2 = _u48(h, 13)
