@@ -127,3 +127,24 @@ def test_skewed_keys_take_the_salted_path(spark):
     # the salt must be part of the shuffle key, or null and hot rows would all meet in one task
     assert "hashpartitioning(__sk" in plan and all(
         "__salt" in line for line in plan.splitlines() if "hashpartitioning(__sk" in line)
+
+
+def test_direct_reverse_is_a_projection(spark):
+    """Reversing right after ranking adds no join (the rank join itself stays in the plan)."""
+    from veil.plans.inspect import physical_plan
+
+    def joins(df):
+        return physical_plan(df).count("Join [")
+
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_custkey")
+    md = Metadata({}, identifiers=["o_custkey"])
+    ranked = Release(o, md).order_preserving_pseudonyms()
+    back = ranked.reverse_pseudonyms()
+    assert joins(back.working()) == joins(ranked.working())
+    assert back.working().exceptAll(o).count() == 0
+    # ranked after another change: the reverse needs the mapping join, and is still exact
+    tok = Release(o, md).random_pseudonyms(secret="k")
+    ranked2 = tok.order_preserving_pseudonyms()
+    back2 = ranked2.reverse_pseudonyms()
+    assert joins(back2.working()) > joins(ranked2.working())
+    assert back2.working().exceptAll(tok.working()).count() == 0

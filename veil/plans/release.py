@@ -40,6 +40,7 @@ class RankMapping:
     ranks: RankTable
     original_type: T.DataType
     version: int
+    from_original: bool = False  # ranked straight from the original values (the column was unchanged)
 
     @property
     def table(self) -> DataFrame:
@@ -224,7 +225,8 @@ class Release:
         frame = ps.apply_rank_mapping(frame, c, mapping)
         versions = self._bump([c])
         mappings = {k: v for k, v in self._s.mappings.items() if k != c}
-        mappings[c] = RankMapping(mapping, dt, versions[c])  # re-application replaces the old mapping
+        # re-application replaces the old mapping
+        mappings[c] = RankMapping(mapping, dt, versions[c], from_original=c not in self._s.versions)
         return Release._from_state(replace(self._s, frame=frame, versions=versions, mappings=mappings))
 
     def reverse_pseudonyms(self, identifier_column: str | None = None, *, force: bool = False) -> Release:
@@ -252,7 +254,13 @@ class Release:
                 )
         frame = self._s.frame
         for c in cols:
-            frame = ps.reverse_rank_mapping(frame, c, self._s.mappings[c].ranks, self._s.mappings[c].original_type)
+            m = self._s.mappings[c]
+            if m.from_original and m.version == self._s.versions.get(c):
+                # the ranks were taken from the original values and nothing changed since: the paired
+                # frame still holds those values, so reversing is a projection - no join, no shuffle
+                frame = frame.withColumn(c, qcol(orig_name(c)))
+            else:
+                frame = ps.reverse_rank_mapping(frame, c, m.ranks, m.original_type)
         mappings = {k: v for k, v in self._s.mappings.items() if k not in cols}
         return Release._from_state(replace(self._s, frame=frame, versions=self._bump(cols), mappings=mappings))
 

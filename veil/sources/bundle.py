@@ -43,7 +43,8 @@ def save(release, path: str) -> str:
             hot = f"mapping-{i}-hot"
             m.ranks.hot.write.mode("errorifexists").parquet(f"{base}/{hot}")
         mappings.append({"column": c, "dir": f"mapping-{i}", "hot": hot, "original_type": m.original_type.json(),
-                         "version": m.version, "rows": m.ranks.rows, "bytes": m.ranks.bytes})
+                         "version": m.version, "rows": m.ranks.rows, "bytes": m.ranks.bytes,
+                         "from_original": m.from_original})
     meta = {
         "format": FORMAT, "format_version": FORMAT_VERSION, "version": version,
         "columns": list(s.columns), "metadata": s.metadata.to_dict(), "versions": s.versions,
@@ -89,7 +90,8 @@ def load(spark: SparkSession, path: str):
             table = spark.read.parquet(f"{base}/{m['dir']}")
             hot = spark.read.parquet(f"{base}/{m['hot']}") if m.get("hot") else None
             ranks = RankTable(table, int(m["rows"]), int(m["bytes"]), hot)
-            mappings[m["column"]] = RankMapping(ranks, T._parse_datatype_json_string(m["original_type"]), m["version"])
+            mappings[m["column"]] = RankMapping(ranks, T._parse_datatype_json_string(m["original_type"]), m["version"],
+                                                bool(m.get("from_original", False)))
     except (PySparkException, KeyError, TypeError, ValueError) as e:
         _fail(f"bundle '{base}' is incomplete or corrupt", e)
     expected = set(columns) | {orig_name(c) for c in versions}
