@@ -148,6 +148,13 @@ def q_ope_reverse_forced(spark, sf_dir):
     return r.working().select("event_id", "user_id")
 
 
+def q_ope_reverse_passthrough(spark, sf_dir):
+    """Rank, then replace the ranks by tokens, reverse anyway: text never matches a rank and passes through."""
+    r = Release(_t(spark, sf_dir, "events"), EVENTS_META).order_preserving_pseudonyms("user_id")
+    r = r.random_pseudonyms("user_id", secret=SECRET).reverse_pseudonyms("user_id", force=True)
+    return r.working().select("event_id", "user_id")
+
+
 def q_generalize_int(spark, sf_dir):
     part = Release(_t(spark, sf_dir, "part"), Metadata({"p_size": "numeric"}))
     return part.generalize("p_size", bins=10).working().select("p_partkey", "p_size")
@@ -382,6 +389,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ope_mapping": q_ope_mapping,
         "ope_roundtrip": q_ope_roundtrip,
         "ope_reverse_forced": q_ope_reverse_forced,
+        "ope_reverse_passthrough": q_ope_reverse_passthrough,
         "generalize_int": q_generalize_int,
         "generalize_truncate": q_generalize_truncate,
         "generalize_float": q_generalize_float,
@@ -602,6 +610,9 @@ def oracle_sql() -> dict[str, str]:
                 "SELECT e.event_id, m.rank AS user_id FROM events e JOIN m ON e.user_id = m.value",
                 ["event_id"], "user_id", 7, cast="BIGINT") + ") "
             "SELECT g.event_id, coalesce(m.value, g.user_id) AS user_id FROM g LEFT JOIN m ON g.user_id = m.rank"),
+        "ope_reverse_passthrough": (
+            "WITH m AS (SELECT user_id AS value, dense_rank() OVER (ORDER BY user_id) AS rank FROM (SELECT DISTINCT user_id FROM events)) "
+            f"SELECT e.event_id, {_token_sql('m.rank', 'user_id')} AS user_id FROM events e JOIN m ON e.user_id = m.value"),
         "generalize_int": _generalize_sql("SELECT p_partkey, p_size FROM part", ["p_partkey"], "p_size", 10, cast="INTEGER"),
         "generalize_truncate": _generalize_sql("SELECT p_partkey, p_size FROM part", ["p_partkey"], "p_size", 10,
                                                cast="INTEGER", truncate=True),

@@ -78,7 +78,7 @@ def test_reverse_after_change_needs_force(people):
     with pytest.raises(ValueError):
         r.reverse_pseudonyms("code")
     forced = r.reverse_pseudonyms("code", force=True)
-    assert _col(forced, "code") == [30, 10, 30, None, 20]
+    assert _col(forced, "code") == ["3", "1", "3", None, "2"]  # masked text never matches an integer rank
 
 
 def test_reapplying_replaces_mapping_and_reset_clears(people):
@@ -148,3 +148,18 @@ def test_direct_reverse_is_a_projection(spark):
     back2 = ranked2.reverse_pseudonyms()
     assert joins(back2.working()) > joins(ranked2.working())
     assert back2.working().exceptAll(tok.working()).count() == 0
+
+
+def test_reverse_matching_rules(spark):
+    """Integral numbers map back, fractional ones only when integral, text never."""
+    from veil.operators.pseudonyms import reverse_rank_mapping
+    from veil.plans.ranking import dense_rank_mapping
+
+    src = spark.createDataFrame([("a",), ("b",), ("c",)], "v string")
+    ranks = dense_rank_mapping(src, "v")
+    from pyspark.sql import types as T
+    d = spark.createDataFrame([(1, 2.0), (2, 2.5), (3, None)], "i long, x double")
+    got = [r["x"] for r in reverse_rank_mapping(d, "x", ranks, T.StringType()).orderBy("i").collect()]
+    assert got == ["b", "2.5", None]
+    t = spark.createDataFrame([(1, "2"), (2, "ID-9")], "i long, x string")
+    assert [r["x"] for r in reverse_rank_mapping(t, "x", ranks, T.StringType()).orderBy("i").collect()] == ["2", "ID-9"]

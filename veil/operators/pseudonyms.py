@@ -85,10 +85,22 @@ def apply_rank_mapping(df: DataFrame, column: str, mapping: RankTable) -> DataFr
 
 
 def reverse_rank_mapping(df: DataFrame, column: str, mapping: RankTable, original_type: T.DataType) -> DataFrame:
-    """Ranks back to original values; values without a rank pass through (cast to the original type)."""
-    key = qcol(column) if isinstance(dtype_of(df, column), T.LongType) else qcol(column).try_cast("long")
+    """Ranks back to original values; anything that is not a rank passes through unchanged.
+
+    Matching follows a lookup with integer keys: integers match, a fractional number matches only
+    when it is integral, and text never matches (the column is then returned as it is, text).
+    Unmatched numbers are returned in the original type.
+    """
+    dtype = dtype_of(df, column)
+    c = qcol(column)
+    if isinstance(dtype, T.IntegralType):
+        key = c.cast("long")
+    elif isinstance(dtype, (T.FractionalType, T.DecimalType)):
+        key = F.when(c == F.floor(c), c.try_cast("long"))
+    else:
+        return df
     joined, value = lookup(df, key, mapping, "rank", "value")
-    return _finish_lookup(joined, df, column, F.coalesce(value, qcol(column).try_cast(original_type)))
+    return _finish_lookup(joined, df, column, F.coalesce(value, c.try_cast(original_type)))
 
 
 def order_preserving_pseudonyms(df: DataFrame, column: str) -> tuple[DataFrame, RankTable]:
