@@ -42,10 +42,12 @@ def _keys(c, dtype: T.DataType):
         return c.cast("long"), none_d, none_s
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("long"), none_d, none_s
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")), none_d, none_s
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c), none_d, none_s
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return none_l, as_double(c, dtype), none_s
+    # text, decimals, binary and local date-times (TIMESTAMP_NTZ): their text is exact, while
+    # turning a local date-time into an instant would depend on the session time zone
     return none_l, none_d, key_text(c, dtype)
 
 
