@@ -163,3 +163,18 @@ def test_reverse_matching_rules(spark):
     assert got == ["b", "2.5", None]
     t = spark.createDataFrame([(1, "2"), (2, "ID-9")], "i long, x string")
     assert [r["x"] for r in reverse_rank_mapping(t, "x", ranks, T.StringType()).orderBy("i").collect()] == ["2", "ID-9"]
+
+
+def test_tokens_do_not_depend_on_session_time_zone(spark):
+    import datetime
+
+    df = spark.createDataFrame([(1, datetime.datetime(2024, 3, 10, 2, 30))], "i long, t timestamp")
+    md = Metadata({}, identifiers=["t"])
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        a = Release(df, md).random_pseudonyms(secret="k").working().first()["t"]
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        b = Release(df, md).random_pseudonyms(secret="k").working().first()["t"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert a == b

@@ -20,9 +20,10 @@ def _u48(h: Column, start: int) -> Column:
 
 
 def keyed_standard_normal(seed: int, column: str, keys: list[Column]) -> Column:
+    """``keys`` are text columns (see ``text.key_text``)."""
     # each key part as "<length>:<text>" (null: "-") so no two different keys give the same input
     parts = [F.lit(str(seed)), F.lit(column)] + [
-        F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in (k.cast("string") for k in keys)
+        F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in keys
     ]
     h = F.sha2(F.concat_ws("|", *parts), 256)
     u1 = _u48(h, 1)

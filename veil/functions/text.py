@@ -1,8 +1,8 @@
 """Stringification as native Column expressions.
 
 ``py_str`` renders a value the way Python's ``str()`` does, so masking a numeric column gives the
-same text as the reference's per-value ``str(value)``. ``key_text`` is an injective text form
-used as hash input and for exact distinct counts.
+same text as the reference's per-value ``str(value)``. ``key_text`` is an injective text form,
+independent of session settings, used as hash input and for exact distinct counts.
 """
 
 from __future__ import annotations
@@ -66,4 +66,7 @@ def key_text(c: Column, dtype: T.DataType) -> Column:
         return F.when(c == 0, F.lit(0.0)).otherwise(c).cast("double").cast("string")
     if isinstance(dtype, T.BinaryType):
         return F.hex(c)
+    if isinstance(dtype, T.TimestampType):
+        # an instant: its text would depend on the session time zone, its microseconds do not
+        return F.unix_micros(c).cast("string")
     return c.cast("string")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .._util import dtype_of, qcol, reject_nested
 from ..functions.noise import keyed_standard_normal
+from ..functions.text import key_text
 from .numeric import Range, as_double, cast_back, fit_range
 
 
@@ -56,6 +57,6 @@ def perturb(df: DataFrame, column: str, noise_std: float = 0.05, random_state: i
     check_noise(noise_std)
     dtype = dtype_of(df, column)
     r = fit_perturb_range(df, column)
-    keys = [qcol(k) for k in (key or df.columns)]
+    keys = [key_text(qcol(k), dtype_of(df, k)) for k in (key or df.columns)]
     z = keyed_standard_normal(draw_seed(random_state), column, keys)
     return df.withColumn(column, perturbed(qcol(column), dtype, r, noise_std, z))

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from .._util import ORIG_PREFIX, dtype_of, orig_name, qcol, reject_nested
 from ..functions.hashing import new_secret, pseudonym_token
 from ..functions.noise import keyed_standard_normal
+from ..functions.text import key_text
 from ..metadata import Metadata
 from ..operators import generalize as gen
 from ..operators import mask as msk
@@ -193,6 +194,9 @@ class Release:
         """Where to fit a column: the source while it is unchanged (skips joins added by earlier verbs)."""
         return self._s.source if column not in self._s.versions else self._s.frame
 
+    def _original_type(self, column: str) -> T.DataType:
+        return dtype_of(self._s.source, column)
+
     def _original_value(self, column: str) -> Column:
         return qcol(orig_name(column)) if column in self._s.versions else qcol(column)
 
@@ -291,7 +295,8 @@ class Release:
         for k in keys:
             if k not in self._s.columns:
                 raise KeyError(f"Column '{k}' does not exist in the dataset.")
-        z = keyed_standard_normal(ptb.draw_seed(random_state), column, [self._original_value(k) for k in keys])
+        texts = [key_text(self._original_value(k), self._original_type(k)) for k in keys]
+        z = keyed_standard_normal(ptb.draw_seed(random_state), column, texts)
         return self._replace({column: ptb.perturbed(qcol(column), dt, r, noise_std, z)})
 
     perturb_numeric_column = perturb

@@ -19,6 +19,7 @@ from .._util import dtype_of, qcol
 from ..functions import binning
 from ..functions.hashing import new_secret, pseudonym_token
 from ..functions.noise import keyed_standard_normal
+from ..functions.text import key_text
 from ..operators import generalize as gen
 from ..operators import mask as msk
 from ..operators import perturb as ptb
@@ -59,7 +60,7 @@ class NoiseModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         dt = dtype_of(df, self.column)
-        z = keyed_standard_normal(self.seed, self.column, [qcol(k) for k in self.key])
+        z = keyed_standard_normal(self.seed, self.column, [key_text(qcol(k), dtype_of(df, k)) for k in self.key])
         return df.withColumn(self.column, ptb.perturbed(qcol(self.column), dt, self.range, self.noise_std, z))
 
 
