@@ -50,3 +50,42 @@ def test_precision_between_two_tables(spark, scratch, patients):
     assert row["precision_pct"] == pytest.approx(506 / 600 * 100)
     with pytest.raises(ValueError):
         precision_privacy_between(df, back.where(F.col("SSN") > 5), ["SSN"], md)
+
+
+def test_empty_table_through_every_verb(spark, scratch):
+    df = spark.createDataFrame([], "id long, x double, s string")
+    md = Metadata({"x": "numeric"}, identifiers=["id"])
+    r = Release(df, md).order_preserving_pseudonyms().random_pseudonyms().mask("s", "mask_first_k", k=1)
+    assert r.working().count() == 0
+    assert r.reverse_pseudonyms(force=True).working().count() == 0
+    assert r.compute_precision_privacy_tradeoff() == (100.0, 0.0)
+    assert [x["count"] for x in r.statistics().collect()] == [0, 0, 0]
+    p = scratch("empty")
+    r.save(p)
+    assert Release.load(spark, p).working().count() == 0
+
+
+def test_awkward_column_names(spark, scratch):
+    df = spark.createDataFrame([(1, 2.5, "a b"), (2, 7.5, "c d")], "`a.b` long, `we``ird` double, `x y` string")
+    md = Metadata({"we`ird": "numeric"}, identifiers=["a.b"], sensitive_attributes=["x y"])
+    r = (Release(df, md).order_preserving_pseudonyms().generalize("we`ird", 2)
+         .perturb("we`ird", 0.1, random_state=1).mask("x y", "mask_after_last_space"))
+    assert r.working().columns == ["a.b", "we`ird", "x y"]
+    assert sorted(x["x y"] for x in r.working().collect()) == ["a *", "c *"]
+    assert len(r.statistics().collect()) == 3
+    p = scratch("awkward")
+    r.save(p)
+    back = Release.load(spark, p).reverse_pseudonyms()
+    assert sorted(x["a.b"] for x in back.working().collect()) == [1, 2]
+    out = scratch("awkward-csv")
+    back.export_csv(out)
+    assert read_csv(spark, out).columns == ["a.b", "we`ird", "x y"]
+
+
+def test_case_clash_and_non_unique_key(spark):
+    clash = spark.createDataFrame([(1, 2)], "a long, A long")
+    with pytest.raises(ValueError):
+        Release(clash, Metadata({}))
+    a = spark.createDataFrame([(1, "x"), (1, "y")], "k long, v string")
+    with pytest.raises(Exception):
+        precision_privacy_between(a, a, ["k"], Metadata({})).collect()

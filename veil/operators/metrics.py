@@ -23,8 +23,13 @@ def equal_count(c: str, changed: bool, orig_type: T.DataType, work_type: T.DataT
     return F.count_if(qcol(orig_name(c)) == qcol(c))
 
 
-def precision_privacy(frame: DataFrame, columns: list[str], changed: set[str], metadata: Metadata) -> DataFrame:
-    """One-row DataFrame ``(precision_pct, privacy_pct)``; zero cells give (100, 0)."""
+def precision_privacy(frame: DataFrame, columns: list[str], changed: set[str], metadata: Metadata,
+                      rows: int | None = None) -> DataFrame:
+    """One-row DataFrame ``(precision_pct, privacy_pct)``; zero cells give (100, 0).
+
+    ``rows``: the expected row count; the query fails if the frame has another (a join on a key
+    that is not unique), checked inside the same aggregate.
+    """
     types = {f.name: f.dataType for f in frame.schema.fields}
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(columns):
@@ -39,6 +44,10 @@ def precision_privacy(frame: DataFrame, columns: list[str], changed: set[str], m
         total = total + F.lit(w) * n
         unchanged = unchanged + F.lit(w) * F.col(f"__eq{i}").cast("double")
     precision = F.when(total == 0, F.lit(100.0)).otherwise(unchanged / total * F.lit(100.0))
+    if rows is not None:
+        precision = F.when(F.col("__n") != F.lit(rows),
+                           F.raise_error(F.lit("The key does not align the two tables one to one.")).cast("double")
+                           ).otherwise(precision)
     return row.select(precision.alias("precision_pct")).select(
         "precision_pct", (F.lit(100.0) - F.col("precision_pct")).alias("privacy_pct")
     )
@@ -53,7 +62,8 @@ def precision_privacy_between(original: DataFrame, working: DataFrame, key: list
     """
     if list(original.columns) != list(working.columns):
         raise ValueError("Original and working datasets are not directly comparable.")
-    if original.count() != working.count():
+    n = original.count()
+    if n != working.count():
         raise ValueError("Original and working datasets are not directly comparable.")
     cols = list(original.columns)
     o = original.select(*[qcol(c).alias(orig_name(c)) for c in cols])
@@ -62,4 +72,4 @@ def precision_privacy_between(original: DataFrame, working: DataFrame, key: list
         e = qcol(orig_name(k)).eqNullSafe(qcol(k))
         cond = e if cond is None else cond & e
     paired = o.join(working, cond, "full_outer")
-    return precision_privacy(paired, cols, set(cols), metadata)
+    return precision_privacy(paired, cols, set(cols), metadata, rows=n)

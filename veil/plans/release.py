@@ -62,6 +62,10 @@ def _check_columns(df: DataFrame) -> None:
     names = df.columns
     if len(set(names)) != len(names):
         raise ValueError("Column names must be unique.")
+    case_sensitive = str(df.sparkSession.conf.get("spark.sql.caseSensitive", "false")).lower() == "true"
+    if not case_sensitive and len({n.lower() for n in names}) != len(names):
+        raise ValueError("Column names differ only by case; Spark resolves them as one. "
+                         "Rename them or set spark.sql.caseSensitive=true.")
     for n in names:
         if n.startswith(ORIG_PREFIX):
             raise ValueError(f"Column '{n}' uses the reserved prefix '{ORIG_PREFIX}'.")

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import orig_name
+from .._util import orig_name, qcol
 from ..errors import LoadError
 from ..metadata import Metadata
 from ..plans.ranking import RankTable
@@ -101,6 +101,5 @@ def load(spark: SparkSession, path: str):
         metadata.validate(columns)
     except ValueError as e:
         _fail(f"validation failed (metadata columns must exist in dataset): {e}", e)
-    source = frame.select(*[(F.col(f"`{orig_name(c)}`") if c in versions else F.col(f"`{c}`")).alias(c)
-                            for c in columns])
+    source = frame.select(*[(qcol(orig_name(c)) if c in versions else qcol(c)).alias(c) for c in columns])
     return Release._from_state(_State(source, frame, metadata, tuple(columns), versions, mappings))
