@@ -44,6 +44,15 @@ def perturbed(c: Column, dtype: T.DataType, r: Range, noise_std: float, z: Colum
     return cast_back(clipped, dtype)
 
 
+def standard_noise(df: DataFrame, column: str, noise_std: float, random_state: int | None,
+                   key: list[str]) -> Column:
+    """Keyed N(0, 1) per row; a constant 0 when ``noise_std`` is 0 (no hashing needed)."""
+    if noise_std == 0:
+        return F.lit(0.0)
+    keys = [key_text(qcol(k), dtype_of(df, k)) for k in key]
+    return keyed_standard_normal(draw_seed(random_state), column, keys)
+
+
 def draw_seed(random_state: int | None) -> int:
     return int(random_state) if random_state is not None else secrets.randbits(62)
 
@@ -57,6 +66,5 @@ def perturb(df: DataFrame, column: str, noise_std: float = 0.05, random_state: i
     check_noise(noise_std)
     dtype = dtype_of(df, column)
     r = fit_perturb_range(df, column)
-    keys = [key_text(qcol(k), dtype_of(df, k)) for k in (key or df.columns)]
-    z = keyed_standard_normal(draw_seed(random_state), column, keys)
+    z = standard_noise(df, column, noise_std, random_state, key or df.columns)
     return df.withColumn(column, perturbed(qcol(column), dtype, r, noise_std, z))

@@ -299,8 +299,11 @@ class Release:
         for k in keys:
             if k not in self._s.columns:
                 raise KeyError(f"Column '{k}' does not exist in the dataset.")
-        texts = [key_text(self._original_value(k), self._original_type(k)) for k in keys]
-        z = keyed_standard_normal(ptb.draw_seed(random_state), column, texts)
+        if noise_std == 0:
+            z = F.lit(0.0)
+        else:
+            texts = [key_text(self._original_value(k), self._original_type(k)) for k in keys]
+            z = keyed_standard_normal(ptb.draw_seed(random_state), column, texts)
         return self._replace({column: ptb.perturbed(qcol(column), dt, r, noise_std, z)})
 
     perturb_numeric_column = perturb
