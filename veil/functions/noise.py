@@ -1,8 +1,9 @@
 """Gaussian noise as native expressions.
 
 Keyed noise: two uniforms from 48-bit slices of ``sha256(seed | column | key...)`` (each key part
-length-prefixed, so the input is injective) and a Box-Muller transform. It depends only on the row's key, so it is the same under any partitioning, ordering or
-task retry. Without a key Spark's ``randn(seed)`` is used, which depends on partitioning.
+length-prefixed, so the input is injective) and a Box-Muller transform. It depends only on the
+row's key, so it is the same under any partitioning, ordering or task retry - unlike Spark's
+``randn(seed)``, which is seeded per partition and follows row order.
 """
 
 from __future__ import annotations
@@ -29,7 +30,3 @@ def keyed_standard_normal(seed: int, column: str, keys: list[Column]) -> Column:
     u1 = _u48(h, 1)
     u2 = _u48(h, 13)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-
-
-def standard_normal(seed: int) -> Column:
-    return F.randn(seed)

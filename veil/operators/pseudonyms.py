@@ -44,8 +44,9 @@ def lookup(df: DataFrame, key: Column, ranks: RankTable, key_col: str, val_col:
     Large mapping: both sides shuffle on the key. Hot keys - values holding more than one
     partition's fair share of rows, a set bounded by the partition count - are answered by a
     broadcast join first and leave the shuffle with a null key; rows with a null key are spread
-    over all partitions by a salt (a hash of the row) in the join key. The mapping side is never replicated,
-    so one value holding a third of all rows costs nothing extra and lands in no single task.
+    over all partitions by a salt (a hash of the row) in the join key. The mapping side is never
+    replicated, so one value holding a third of all rows costs nothing extra and lands in no
+    single task.
     Row count and pairing are kept: the mapping is unique on ``key_col``.
     """
     if ranks.small:

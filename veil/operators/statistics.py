@@ -8,7 +8,8 @@ per column reaches the driver). Pass 2 gives the squared deviations for the samp
 columns with at most ``MEDIAN_MAP_LIMIT`` distinct numbers, the exact median from a bounded
 (value, frequency) map. Larger columns get the exact median by distributed selection over
 range-partitioned values, reading back only the partitions that hold the middle ranks. No
-column's values are gathered in one task or on the driver. ``approx=True`` swaps in ``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
+column's values are gathered in one task or on the driver. ``approx=True`` swaps in
+``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
 """
 
 from __future__ import annotations
