@@ -69,3 +69,24 @@ def test_from_pandas(spark):
     r = Release.from_pandas(spark, pdf, Metadata({"age": "numeric"}, identifiers=["id"]))
     assert [x["age"] for x in r.working().orderBy("id").collect()] == [20.0, None, 40.0]
     assert r.generalize("age", 2).working().where("age is null").count() == 1
+
+
+def test_workspace_mutates_in_place(people, scratch, spark):
+    from veil import Workspace
+
+    md = Metadata({"code": "numeric", "score": "numeric"}, identifiers=["name", "code"], sensitive_attributes=["score"])
+    w = Workspace(people, md)
+    assert w.deidentify_with_order_preserving_pseudonyms() is None
+    assert w.ope_mapping_columns == ["name", "code"]
+    w.generalize_numeric_column("score", bins=2)
+    with pytest.raises(TypeError):
+        w.generalize_numeric_column("name")  # failing call: nothing changes
+    assert w.changed_columns == ["name", "code", "score"]
+    w.reverse_order_preserving_pseudonyms()
+    assert sorted(x["code"] or 0 for x in w.get_working_dataset().collect()) == [0, 10, 20, 30, 30]
+    p = scratch("ws")
+    w.save(p)
+    again = Workspace.load(spark, p)
+    assert again.compute_precision_privacy_tradeoff() == w.compute_precision_privacy_tradeoff()
+    w.reset_working_dataset()
+    assert w.changed_columns == []
