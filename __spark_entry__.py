@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from veil import Metadata, Release, read_csv  # noqa: E402
-from veil.functions.hashing import new_secret, pseudonym_token  # noqa: E402
+from veil.functions.hashing import new_secret, pseudonym_token, secret_value  # noqa: E402
 from veil.functions.sql import register_sql_functions  # noqa: E402
 from veil.operators.metrics import precision_privacy_between  # noqa: E402
 from veil.operators.perturb import perturb as perturb_df  # noqa: E402
@@ -104,8 +104,8 @@ def q_pseudonym_keep_nulls(spark, sf_dir):
 def q_pseudonym_random_invariants(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_custkey")
     c = F.col("o_custkey")
-    a = pseudonym_token(c, o.schema["o_custkey"].dataType, new_secret(), "o_custkey")
-    b = pseudonym_token(c, o.schema["o_custkey"].dataType, new_secret(), "o_custkey")
+    a = pseudonym_token(c, o.schema["o_custkey"].dataType, secret_value(spark, new_secret()), "o_custkey")
+    b = pseudonym_token(c, o.schema["o_custkey"].dataType, secret_value(spark, new_secret()), "o_custkey")
     t = o.select(c.alias("v"), a.alias("a"), b.alias("b"))
     return t.agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -178,3 +178,19 @@ def test_tokens_do_not_depend_on_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert a == b
+
+
+def test_secret_never_appears_in_plans(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_custkey")
+    secret = "do-not-print-this-secret"
+    w = Release(o, Metadata({}, identifiers=["o_custkey"])).random_pseudonyms(secret=secret).working()
+    w.write.format("noop").mode("overwrite").save()
+    for mode in ("extended", "formatted", "cost"):
+        buf = io.StringIO()
+        with redirect_stdout(buf):
+            w.explain(mode)
+        assert secret not in buf.getvalue()
+    assert "Join" not in buf.getvalue()

@@ -5,13 +5,17 @@ Each distinct value maps to ``"ID-" + n`` with ``n`` a 63-bit integer taken from
 and no mapping table is built or shuffled: the token is a pure function of the row, so a retried
 task recomputes the same tokens. With a fresh random secret that is never stored the tokens are
 irreversible, like the reference's unseeded draws. Null is hashed as its own tagged value.
+
+The secret enters the plan as an uncorrelated scalar subquery over a one-row DataFrame
+(``secret_value``): Spark evaluates it once per query and no join is involved, while
+``explain`` output and event logs show only ``Subquery``, never the secret itself.
 """
 
 from __future__ import annotations
 
 import secrets as _secrets
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,15 +28,21 @@ def new_secret() -> str:
     return _secrets.token_hex(16)
 
 
+def secret_value(spark: SparkSession, secret: str) -> Column:
+    """The secret as a scalar subquery: its value stays out of plan strings and event logs."""
+    return spark.createDataFrame([(secret,)], "secret string").scalar()
+
+
 def hash63(parts: list[Column], start: int = 1) -> Column:
     """63-bit non-negative integer from 16 hex digits of sha256 over ``parts`` joined by ``|``."""
     h = F.sha2(F.concat_ws("|", *parts), 256)
     return F.conv(h.substr(start, 16), 16, -10).cast("long").bitwiseAND(F.lit(LONG_MAX))
 
 
-def pseudonym_token(c: Column, dtype: T.DataType, secret: str, column: str, keep_nulls: bool = False) -> Column:
+def pseudonym_token(c: Column, dtype: T.DataType, secret: Column, column: str, keep_nulls: bool = False) -> Column:
+    """``secret``: a Column, normally ``secret_value(spark, text)``."""
     tagged = F.when(c.isNull(), F.lit("n:")).otherwise(F.concat(F.lit("v:"), key_text(c, dtype)))
-    token = F.concat(F.lit("ID-"), hash63([F.lit(secret), F.lit(column), tagged]).cast("string"))
+    token = F.concat(F.lit("ID-"), hash63([secret, F.lit(column), tagged]).cast("string"))
     if keep_nulls:
         return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(token)
     return token

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._util import dtype_of, qcol, reject_nested
-from ..functions.hashing import new_secret, pseudonym_token
+from ..functions.hashing import new_secret, pseudonym_token, secret_value
 from ..plans.ranking import RankTable, dense_rank_mapping
 
 
@@ -26,7 +26,7 @@ def random_pseudonyms(
     for c in columns:
         dt = dtype_of(df, c)
         reject_nested(dt, c)
-        updates[c] = pseudonym_token(qcol(c), dt, secret or new_secret(), c, keep_nulls)
+        updates[c] = pseudonym_token(qcol(c), dt, secret_value(df.sparkSession, secret or new_secret()), c, keep_nulls)
     return df.withColumns(updates)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._util import ORIG_PREFIX, dtype_of, orig_name, qcol, reject_nested
-from ..functions.hashing import new_secret, pseudonym_token
+from ..functions.hashing import new_secret, pseudonym_token, secret_value
 from ..functions.noise import keyed_standard_normal
 from ..functions.text import key_text
 from ..metadata import Metadata
@@ -212,7 +212,8 @@ class Release:
         updates = {}
         for c in cols:
             dt = self._ensure_column(c)
-            updates[c] = pseudonym_token(qcol(c), dt, secret or new_secret(), c, keep_nulls)
+            key = secret_value(self._s.frame.sparkSession, secret or new_secret())
+            updates[c] = pseudonym_token(qcol(c), dt, key, c, keep_nulls)
         return self._replace(updates)
 
     deidentify_with_random_pseudonyms = random_pseudonyms

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .._util import dtype_of, qcol
 from ..functions import binning
-from ..functions.hashing import new_secret, pseudonym_token
+from ..functions.hashing import new_secret, pseudonym_token, secret_value
 from ..functions.noise import keyed_standard_normal
 from ..functions.text import key_text
 from ..operators import generalize as gen
@@ -72,5 +72,5 @@ def mask_stream(df: DataFrame, column: str, strategy: str, k: int | None = None,
 def pseudonymize_stream(df: DataFrame, columns: list[str], secret: str | None = None,
                         keep_nulls: bool = False) -> DataFrame:
     """Keyed tokens; pass the same ``secret`` across restarts to keep tokens stable."""
-    secret = secret or new_secret()
-    return df.withColumns({c: pseudonym_token(qcol(c), dtype_of(df, c), secret, c, keep_nulls) for c in columns})
+    key = secret_value(df.sparkSession, secret or new_secret())
+    return df.withColumns({c: pseudonym_token(qcol(c), dtype_of(df, c), key, c, keep_nulls) for c in columns})
