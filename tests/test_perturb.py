@@ -58,3 +58,15 @@ def test_nulls_stay_null_among_values(spark):
     r = Release(df, Metadata({"v": "numeric", "n": "numeric"})).perturb("v", 0.2, random_state=3).perturb("n", 0.2, random_state=3)
     got = r.working().orderBy("i").collect()
     assert got[1]["v"] is None and got[1]["n"] is None and got[0]["v"] is not None
+
+
+def test_seed_never_appears_in_plans(spark):
+    import io
+    from contextlib import redirect_stdout
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(20)], "i long, v double")
+    w = Release(df, Metadata({"v": "numeric"}, identifiers=["i"])).perturb("v", 0.1, random_state=987654321).working()
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        w.explain("extended")
+    assert "987654321" not in buf.getvalue()

@@ -20,10 +20,12 @@ def _u48(h: Column, start: int) -> Column:
     return (F.conv(h.substr(start, 12), 16, 10).cast("long").cast("double") + 0.5) / _TWO48
 
 
-def keyed_standard_normal(seed: int, column: str, keys: list[Column]) -> Column:
-    """``keys`` are text columns (see ``text.key_text``)."""
+def keyed_standard_normal(seed: Column, column: str, keys: list[Column]) -> Column:
+    """``seed``: a text Column, normally ``hashing.secret_value(spark, str(seed))`` so the seed never
+    shows in plans (with it and the output, the noise could be subtracted again).
+    ``keys`` are text columns (see ``text.key_text``)."""
     # each key part as "<length>:<text>" (null: "-") so no two different keys give the same input
-    parts = [F.lit(str(seed)), F.lit(column)] + [
+    parts = [seed, F.lit(column)] + [
         F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in keys
     ]
     h = F.sha2(F.concat_ws("|", *parts), 256)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._util import dtype_of, qcol, reject_nested
+from ..functions.hashing import secret_value
 from ..functions.noise import keyed_standard_normal
 from ..functions.text import key_text
 from .numeric import Range, as_double, cast_back, fit_range
@@ -50,13 +51,18 @@ def standard_noise(df: DataFrame, column: str, noise_std: float, random_state: i
     if noise_std == 0:
         return F.lit(0.0)
     keys = [key_text(qcol(k), dtype_of(df, k)) for k in key]
-    return keyed_standard_normal(draw_seed(random_state), column, keys)
+    return keyed_standard_normal(seed_value(df.sparkSession, random_state), column, keys)
 
 
 def draw_seed(random_state: int | None) -> int:
     return int(random_state) if random_state is not None else secrets.randbits(62)
 
 
+def seed_value(spark, random_state: int | None) -> Column:
+    """The seed (drawn fresh when None) as a scalar subquery, kept out of plan strings."""
+    return secret_value(spark, str(draw_seed(random_state)))
+
+
 def perturb(df: DataFrame, column: str, noise_std: float = 0.05, random_state: int | None = None,
             key: list[str] | None = None) -> DataFrame:
     """Perturb ``column``; noise is a deterministic function of (seed, column, key columns).

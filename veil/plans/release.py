@@ -304,7 +304,7 @@ class Release:
             z = F.lit(0.0)
         else:
             texts = [key_text(self._original_value(k), self._original_type(k)) for k in keys]
-            z = keyed_standard_normal(ptb.draw_seed(random_state), column, texts)
+            z = keyed_standard_normal(ptb.seed_value(self._s.frame.sparkSession, random_state), column, texts)
         return self._replace({column: ptb.perturbed(qcol(column), dt, r, noise_std, z)})
 
     perturb_numeric_column = perturb

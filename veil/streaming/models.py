@@ -60,7 +60,8 @@ class NoiseModel:
 
     def transform(self, df: DataFrame) -> DataFrame:
         dt = dtype_of(df, self.column)
-        z = keyed_standard_normal(self.seed, self.column, [key_text(qcol(k), dtype_of(df, k)) for k in self.key])
+        seed = secret_value(df.sparkSession, str(self.seed))
+        z = keyed_standard_normal(seed, self.column, [key_text(qcol(k), dtype_of(df, k)) for k in self.key])
         return df.withColumn(self.column, ptb.perturbed(qcol(self.column), dt, self.range, self.noise_std, z))
 
 
