@@ -54,3 +54,26 @@ def family(dt: T.DataType) -> str:
 def reject_nested(dt: T.DataType, column: str) -> None:
     if isinstance(dt, NESTED):
         raise TypeError(f"Column '{column}' has nested type {dt.simpleString()}; only flat columns can be transformed.")
+
+
+_ARROW_TYPES = {
+    T.IntegerType: "int32", T.LongType: "int64", T.DoubleType: "float64", T.StringType: "string",
+    T.BooleanType: "bool_",
+}
+
+
+def local_frame(spark, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small driver-side table (a handful of rows) as a JVM local relation.
+
+    Built through Arrow, so using it never starts a Python worker; a plain list of tuples would
+    become a Python RDD. Only for metadata-sized inputs (column lists, per-column summaries).
+    """
+    try:
+        import pyarrow as pa
+    except ImportError:  # pragma: no cover - pyarrow ships with pyspark[sql]
+        return spark.createDataFrame(rows, schema)
+    cols = {}
+    for i, f in enumerate(schema.fields):
+        pa_type = getattr(pa, _ARROW_TYPES[type(f.dataType)])()
+        cols[f.name] = pa.array([r[i] for r in rows], type=pa_type)
+    return spark.createDataFrame(pa.table(cols))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .._util import local_frame
 from .text import key_text
 
 LONG_MAX = 9223372036854775807
@@ -29,8 +30,13 @@ def new_secret() -> str:
 
 
 def secret_value(spark: SparkSession, secret: str) -> Column:
-    """The secret as a scalar subquery: its value stays out of plan strings and event logs."""
-    return spark.createDataFrame([(secret,)], "secret string").scalar()
+    """The secret as a scalar subquery: its value stays out of plan strings and event logs.
+
+    The one-row table is a JVM-side local relation (see ``local_frame``), so evaluating the
+    subquery starts no Python worker.
+    """
+    schema = T.StructType([T.StructField("secret", T.StringType())])
+    return local_frame(spark, [(secret,)], schema).scalar()
 
 
 def hash63(parts: list[Column], start: int = 1) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import INTEGRAL, qcol
+from .._util import INTEGRAL, local_frame, qcol
 from ..functions.text import key_text
 from ..metadata import NUMERIC, Metadata
 from ..plans.ranking import materialize, running_offsets, sorted_positions
@@ -33,6 +33,9 @@ SCHEMA = T.StructType([
 # map in one aggregate; beyond it, from distributed selection over range-partitioned values.
 MEDIAN_MAP_LIMIT = 1_000_000
 
+SUMMARY = T.StructType([T.StructField(n, t) for n, t in (
+    ("o", T.IntegerType()), ("count", T.LongType()), ("unique_count", T.LongType()), ("nulls", T.LongType()),
+    ("nx", T.LongType()), ("mean", T.DoubleType()), ("min", T.DoubleType()), ("max", T.DoubleType()))])
 OUTPUT = ["column", "type", "count", "unique_count", "nulls", "mean", "min", "max", "std", "median"]
 
 
@@ -74,7 +77,7 @@ def _unpivot(df: DataFrame, metadata: Metadata) -> DataFrame:
 
 def _columns(df: DataFrame, metadata: Metadata) -> DataFrame:
     rows = [(i, c, metadata.declared_type(c)) for i, c in enumerate(df.columns)]
-    return df.sparkSession.createDataFrame(rows, SCHEMA)
+    return local_frame(df.sparkSession, rows, SCHEMA)
 
 
 def _finish(df: DataFrame, metadata: Metadata, stats: DataFrame) -> DataFrame:
@@ -115,9 +118,10 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
     numeric = [r for r in summary if r["nx"]]
     in_memory = [r["o"] for r in numeric if r["ux"] <= MEDIAN_MAP_LIMIT]
     selected = [r["o"] for r in numeric if r["ux"] > MEDIAN_MAP_LIMIT]
-    basic = spark.createDataFrame(
+    basic = local_frame(
+        spark,
         [(r["o"], r["count"], r["unique_count"], r["nulls"], r["nx"], r["mean"], r["min"], r["max"]) for r in summary],
-        "o int, count long, unique_count long, nulls long, nx long, mean double, min double, max double")
+        SUMMARY)
 
     # pass 2: squared deviations around the mean (two-pass variance) and, for columns whose distinct
     # numbers fit a bounded map, the exact median from (value, frequency) pairs

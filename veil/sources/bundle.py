@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import orig_name, qcol
+from .._util import local_frame, orig_name, qcol
 from ..errors import LoadError
 from ..metadata import Metadata
 from ..plans.ranking import RankTable
@@ -50,7 +50,8 @@ def save(release, path: str) -> str:
         "columns": list(s.columns), "metadata": s.metadata.to_dict(), "versions": s.versions,
         "mappings": mappings,
     }
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{base}/_release")
+    text = T.StructType([T.StructField("value", T.StringType())])
+    local_frame(spark, [(json.dumps(meta),)], text).coalesce(1).write.text(f"{base}/_release")
     return base
 
 
