@@ -28,3 +28,18 @@ def test_bin_model_clamps_out_of_range(spark):
     m = BinModel.fit(fit_on, "v", bins=3)
     out = m.transform(spark.createDataFrame([(-5.0,), (50.0,), (None,)], "v double")).collect()
     assert out[0]["v"] == m.bins.mids[0] and out[1]["v"] == m.bins.mids[-1] and out[2]["v"] is None
+
+
+def test_release_on_a_stream(spark, scratch):
+    import pytest
+
+    from veil import Metadata, Release
+
+    batch = spark.read.parquet(f"{SF}/customer.parquet")
+    stream = spark.readStream.schema(batch.schema).option("basePath", SF).parquet(f"{SF}/customer*.parquet")
+    r = Release(stream, Metadata({"c_acctbal": "numeric"}, identifiers=["c_custkey"]))
+    masked = r.mask("c_name", "mask_first_k", k=3).random_pseudonyms(secret="s")  # row-local verbs work
+    assert masked.working().isStreaming
+    for call in (lambda: r.generalize("c_acctbal"), lambda: r.order_preserving_pseudonyms(), lambda: r.statistics()):
+        with pytest.raises(TypeError):
+            call()

@@ -194,6 +194,11 @@ class Release:
             mappings=self._s.mappings if mappings is None else mappings,
         ))
 
+    def _batch_only(self, verb: str) -> None:
+        if self._s.frame.isStreaming:
+            raise TypeError(f"'{verb}' needs the whole table; on a stream use veil.streaming "
+                            "(BinModel / NoiseModel fitted on a batch) or run it per micro-batch via foreachBatch.")
+
     def _fit_input(self, column: str) -> DataFrame:
         """Where to fit a column: the source while it is unchanged (skips joins added by earlier verbs)."""
         return self._s.source if column not in self._s.versions else self._s.frame
@@ -228,6 +233,7 @@ class Release:
     deidentify_with_order_preserving_pseudonyms = order_preserving_pseudonyms
 
     def _ope_one(self, c: str) -> Release:
+        self._batch_only("order_preserving_pseudonyms")
         dt = self._ensure_column(c)
         mapping = ps.rank_mapping(self._fit_input(c), c)
         frame = self._with_originals(self._s.frame, [c])
@@ -281,6 +287,7 @@ class Release:
                    rounding: str = "half_even") -> Release:
         dt = self._ensure_column(column)
         self.metadata.ensure_numeric(column)
+        self._batch_only("generalize")
         b = gen.fit_bins(self._fit_input(column), column, bins, include_lowest)
         return self._replace({column: gen.generalized(qcol(column), dt, b, rounding)})
 
@@ -295,6 +302,7 @@ class Release:
         dt = self._ensure_column(column)
         self.metadata.ensure_numeric(column)
         ptb.check_noise(noise_std)
+        self._batch_only("perturb")
         r = ptb.fit_perturb_range(self._fit_input(column), column)
         keys = list(key) if key else (list(self.metadata.identifiers) or list(self._s.columns))
         for k in keys:
@@ -331,6 +339,7 @@ class Release:
 
     def statistics(self, use_working: bool = True, approx: bool = False, digits: int | None = None) -> DataFrame:
         """One row per column; ``digits=4`` rounds the five numeric statistics as the reference UI shows them."""
+        self._batch_only("statistics")
         df = self.working() if use_working else self.original()
         out = column_statistics(df, self.metadata, approx=approx)
         if digits is None:
