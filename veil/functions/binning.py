@@ -17,6 +17,13 @@ from pyspark.sql import functions as F
 
 CASE_CHAIN_MAX_BINS = 64
 
+# Fixed values of pandas.cut, which the midpoints must reproduce exactly: the range is widened by
+# 0.1% (0.001) of itself (or of |x|, or by 0.001 when the range is 0); labels are rounded to 3
+# significant fraction digits, raised one at a time below 20 until they are distinct.
+RANGE_ADJUST = 0.001
+LABEL_PRECISION = 3
+MAX_LABEL_PRECISION = 20
+
 
 def _power_of_ten(n: int) -> float:
     # numpy's power_of_ten(): exact table to 1e8, then repeated multiplication
@@ -67,16 +74,16 @@ def linspace(start: float, stop: float, num: int) -> list[float]:
 
 def cut_edges(mn: float, mx: float, bins: int) -> list[float]:
     if mn == mx:
-        lo = mn - (0.001 * abs(mn) if mn != 0 else 0.001)
-        hi = mx + (0.001 * abs(mx) if mx != 0 else 0.001)
+        lo = mn - (RANGE_ADJUST * abs(mn) if mn != 0 else RANGE_ADJUST)
+        hi = mx + (RANGE_ADJUST * abs(mx) if mx != 0 else RANGE_ADJUST)
         return linspace(lo, hi, bins + 1)
     edges = linspace(mn, mx, bins + 1)
-    edges[0] -= (mx - mn) * 0.001
+    edges[0] -= (mx - mn) * RANGE_ADJUST
     return edges
 
 
-def infer_precision(edges: list[float], base: int = 3) -> int:
-    for p in range(base, 20):
+def infer_precision(edges: list[float], base: int = LABEL_PRECISION) -> int:
+    for p in range(base, MAX_LABEL_PRECISION):
         if len({round_frac(b, p) for b in edges}) == len(edges):
             return p
     return base

@@ -23,6 +23,8 @@ from .._util import local_frame
 from .text import key_text
 
 LONG_MAX = 9223372036854775807
+# Token text is "ID-" followed by a non-negative 63-bit integer, as in the reference.
+TOKEN_PREFIX = "ID-"
 
 
 def new_secret() -> str:
@@ -48,7 +50,7 @@ def hash63(parts: list[Column], start: int = 1) -> Column:
 def pseudonym_token(c: Column, dtype: T.DataType, secret: Column, column: str, keep_nulls: bool = False) -> Column:
     """``secret``: a Column, normally ``secret_value(spark, text)``."""
     tagged = F.when(c.isNull(), F.lit("n:")).otherwise(F.concat(F.lit("v:"), key_text(c, dtype)))
-    token = F.concat(F.lit("ID-"), hash63([secret, F.lit(column), tagged]).cast("string"))
+    token = F.concat(F.lit(TOKEN_PREFIX), hash63([secret, F.lit(column), tagged]).cast("string"))
     if keep_nulls:
         return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(token)
     return token

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The strategy names callers pass, as in the reference.
 STRATEGIES = (
     "mask_first_k",
     "mask_last_k",

@@ -6,8 +6,10 @@ import json
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+# The two declared types and the metric weight of a sensitive column, as in the reference.
 NUMERIC = "numeric"
 CATEGORICAL = "categorical"
+SENSITIVE_WEIGHT = 2.0
 _TYPES = (NUMERIC, CATEGORICAL)
 
 
@@ -74,7 +76,7 @@ class Metadata:
         return [c for c, t in self.column_types.items() if t == NUMERIC]
 
     def weight(self, column: str) -> float:
-        return 2.0 if column in self.sensitive_attributes else 1.0
+        return SENSITIVE_WEIGHT if column in self.sensitive_attributes else 1.0
 
     # -- persistence --------------------------------------------------------------------------
 

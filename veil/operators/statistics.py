@@ -36,6 +36,7 @@ MEDIAN_MAP_LIMIT = 1_000_000
 SUMMARY = T.StructType([T.StructField(n, t) for n, t in (
     ("o", T.IntegerType()), ("count", T.LongType()), ("unique_count", T.LongType()), ("nulls", T.LongType()),
     ("nx", T.LongType()), ("mean", T.DoubleType()), ("min", T.DoubleType()), ("max", T.DoubleType()))])
+# The statistics columns, in the reference's order.
 OUTPUT = ["column", "type", "count", "unique_count", "nulls", "mean", "min", "max", "std", "median"]
 
 
