@@ -194,3 +194,29 @@ def test_secret_never_appears_in_plans(spark):
             w.explain(mode)
         assert secret not in buf.getvalue()
     assert "Join" not in buf.getvalue()
+
+
+def test_hot_key_and_nulls_do_not_pile_into_one_task(spark):
+    """Measured on the join output itself (AQE off): no partition gets the hot third or the nulls."""
+    from pyspark.sql import functions as F
+
+    n = 30000
+    rows = [(i, 5 if i % 3 == 0 else (None if i % 3 == 1 and i % 2 == 0 else i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "rid long, k long").repartition(8)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "2k"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        r = Release(df, Metadata({}, identifiers=["k"])).order_preserving_pseudonyms()
+        sizes = [x["n"] for x in r.working().groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+                 .collect()]
+        ranked = {x["rid"]: x["k"] for x in r.working().collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert r._s.mappings["k"].ranks.hot is not None  # the hot value was recognised
+    assert max(sizes) < n / 4  # without splitting, one task would hold the hot third plus the nulls
+    values = sorted({k for _, k in rows if k is not None})
+    rank = {v: i + 1 for i, v in enumerate(values)}
+    assert ranked == {rid: (None if k is None else rank[k]) for rid, k in rows}
