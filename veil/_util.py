@@ -34,10 +34,6 @@ def is_integral(dt: T.DataType) -> bool:
     return isinstance(dt, INTEGRAL)
 
 
-def is_numeric_type(dt: T.DataType) -> bool:
-    return isinstance(dt, T.NumericType)
-
-
 def family(dt: T.DataType) -> str:
     """Coarse type family used to decide whether two cells can ever be equal."""
     if isinstance(dt, T.BooleanType):
