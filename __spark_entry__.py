@@ -23,7 +23,7 @@ from veil.functions.sql import register_sql_functions  # noqa: E402
 from veil.operators.metrics import precision_privacy_between  # noqa: E402
 from veil.operators.perturb import perturb as perturb_df  # noqa: E402
 from veil.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
-from veil.streaming import BinModel, mask_stream, pseudonymize_stream  # noqa: E402
+from veil.streaming import BinModel, NoiseModel, mask_stream, pseudonymize_stream  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -322,6 +322,22 @@ def q_stream_release(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
+def q_stream_events(spark, sf_dir):
+    """The events table as a stream: tokens for users, keyed noise fitted on the batch, masked digits."""
+    batch = _t(spark, sf_dir, "events")
+    noise = NoiseModel.fit(batch, "value", key=["event_id"], noise_std=0.1, random_state=SEED)
+    stream = spark.readStream.schema(batch.schema).option("basePath", sf_dir).parquet(f"{sf_dir}/events*.parquet")
+    out = mask_stream(pseudonymize_stream(noise.transform(stream), ["user_id"], secret=SECRET), "props", "mask_regex",
+                      regex_pattern=r"\d+")
+    path = scratch_path(spark, "stream-events")
+    q = (out.writeStream.format("parquet").option("checkpointLocation", f"{path}/_checkpoint")
+         .trigger(availableNow=True).start(f"{path}/out"))
+    q.awaitTermination(600)
+    if q.exception() is not None:
+        raise q.exception()
+    return spark.read.parquet(f"{path}/out").select("event_id", "user_id", F.round("value", 6).alias("value"), "props")
+
+
 def q_sql_functions(spark, sf_dir):
     register_sql_functions(spark)
     _t(spark, sf_dir, "customer").createOrReplaceTempView("veil_customer")
@@ -422,6 +438,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bundle_roundtrip": q_bundle_roundtrip,
         "preview": q_preview,
         "stream_release": q_stream_release,
+        "stream_events": q_stream_events,
         "sql_functions": q_sql_functions,
         "lineitem_release": q_lineitem_release,
         "lineitem_precision": q_lineitem_precision,
@@ -685,6 +702,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_returnflag, l_shipdate "
             "FROM (" + _lineitem_release_sql(round_quantity=False) + ")",
             [(c, LINEITEM_META.declared_type(c)) for c in LINEITEM_COLS]),
+        "stream_events": (
+            "SELECT p.event_id, " + _token_sql("e.user_id", "user_id") + " AS user_id, p.value, "
+            + _mask_sql("mask_regex", "e.props", pattern=chr(92) + "p{Nd}+") + " AS props FROM events e JOIN ("
+            + _perturb_sql("events", "event_id", "value", 0.1, SEED, "event_id", None, _key_part("event_id"))
+            + ") p ON e.event_id = p.event_id"),
         "sql_functions": (
             f"SELECT c_custkey, {_mask_sql('mask_first_k', 'c_name', 3)} AS first3, "
             f"{_mask_sql('mask_last_k', 'c_name', 4)} AS last4, "
