@@ -427,6 +427,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "documents", ["doc_id"], "text", "mask_regex",
             regex_pattern=r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
         "mask_numeric_column": q_mask_numeric_column,
+        "mask_pages_after_space": _mask_query("pages", ["page_id"], "html", "mask_after_last_space"),
+        "mask_pages_regex": _mask_query("pages", ["page_id"], "html", "mask_regex", regex_pattern=r"[0-9]{3,}"),
         "precision_untouched": q_precision_untouched,
         "precision_pipeline": q_precision_pipeline,
         "precision_with_nulls": q_precision_with_nulls,
@@ -656,6 +658,8 @@ def oracle_sql() -> dict[str, str]:
         "mask_regex": f"SELECT doc_id, {_mask_sql('mask_regex', 'text', pattern=chr(92) + 'p{Nd}+')} AS text FROM documents",
         "mask_regex_email": (f"SELECT doc_id, {_mask_sql('mask_regex', 'text', pattern='[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')}"
                              " AS text FROM documents"),
+        "mask_pages_after_space": f"SELECT page_id, {_mask_sql('mask_after_last_space', 'html')} AS html FROM pages",
+        "mask_pages_regex": f"SELECT page_id, {_mask_sql('mask_regex', 'html', pattern='[0-9]{3,}')} AS html FROM pages",
         "mask_numeric_column": f"SELECT c_name, {_mask_sql('mask_first_k', 'CAST(c_custkey AS VARCHAR)', 2)} AS c_custkey FROM customer",
         "precision_untouched": _precision_simple("SELECT * FROM customer",
                                                  [(f"count({c})", cust_w.get(c, 1.0)) for c in cust_cols]),
