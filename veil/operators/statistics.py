@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .._util import INTEGRAL, local_frame, qcol
 from ..functions.text import key_text
 from ..metadata import NUMERIC, Metadata
-from ..plans.ranking import materialize, running_offsets, sorted_positions
+from ..plans.ranking import check_positions, materialize, running_offsets, sorted_positions
 from .numeric import as_double
 
 SCHEMA = T.StructType([
@@ -152,7 +152,8 @@ def _selected_medians(values: DataFrame) -> DataFrame:
     back (pushed-down ``__pid`` filter) and walked with a window inside each of them.
     """
     pos = sorted_positions(values, ["o", "x"], name="stats-median")
-    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx")).cache()
+    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx"), F.count(F.lit(1)).alias("__n")).cache()
+    check_positions(per.agg(F.max("__n")).first()[0])
     totals = per.groupBy("o").agg(F.sum("nx").alias("n"))
     offs = running_offsets(per, "nx", ["o"])
     targets = totals.select(

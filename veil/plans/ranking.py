@@ -51,6 +51,13 @@ def sorted_positions(df: DataFrame, order: list[str], partitions: int | None = N
     return materialize(staged, name)
 
 
+def check_positions(widest: int | None) -> None:
+    """Positions come from the low 33 bits of ``monotonically_increasing_id``; refuse to go past them."""
+    if widest is not None and widest > _POS_MASK:
+        raise ValueError(f"A range partition holds {widest} rows, more than 2^33; raise "
+                         "spark.sql.shuffle.partitions so each partition holds fewer.")
+
+
 def running_offsets(per: DataFrame, weight: str, by: list[str] | None = None) -> DataFrame:
     """Add ``__off``: total ``weight`` of all earlier partitions (per ``by`` group).
 
@@ -122,7 +129,8 @@ def dense_rank_mapping(values: DataFrame, column: str) -> RankTable:
         F.sum("__cnt").alias("__rows"), F.max("__cnt").alias("__max"),
     ).cache()
     total = per.agg(F.sum("__n").alias("n"), F.sum("__bytes").alias("b"), F.sum("__rows").alias("r"),
-                    F.max("__max").alias("m")).first()
+                    F.max("__max").alias("m"), F.max("__n").alias("widest")).first()
+    check_positions(total["widest"])
     offsets = running_offsets(per, "__n").select("__pid", "__off")
     ranked = positioned.join(F.broadcast(offsets), "__pid").select(
         "value", (F.col("__off") + F.col("__pos") + 1).alias("rank"), "__cnt", "__zero")
