@@ -153,7 +153,7 @@ def _selected_medians(values: DataFrame) -> DataFrame:
     """
     pos = sorted_positions(values, ["o", "x"], name="stats-median")
     per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx"), F.count(F.lit(1)).alias("__n")).cache()
-    check_positions(per.agg(F.max("__n")).first()[0])
+    check_positions(per.groupBy("__pid").agg(F.sum("__n").alias("w")).agg(F.max("w")).first()[0])
     totals = per.groupBy("o").agg(F.sum("nx").alias("n"))
     offs = running_offsets(per, "nx", ["o"])
     targets = totals.select(
