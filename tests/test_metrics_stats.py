@@ -125,15 +125,13 @@ def test_metric_equals_pandas_formula(spark):
                   identifiers=["c_custkey"], sensitive_attributes=["c_acctbal"])
     r = (Release(c, md).random_pseudonyms(secret="s").mask("c_name", "mask_regex", regex_pattern=r"0+")
          .generalize("c_acctbal", 5).mask("c_nationkey", "mask_first_k", k=0))
+    import numpy as np
+
     pdf = r.frame.toPandas()
-    total = unchanged = 0.0
-    for col in r.columns:
-        w = 2.0 if col in md.sensitive_attributes else 1.0
-        orig = pdf[f"__orig_{col}"] if f"__orig_{col}" in pdf else pdf[col]
-        orig = orig.astype("float64") if col in ("c_acctbal",) else orig
-        work = pdf[col].astype(object) if pdf[col].dtype == object else pdf[col]
-        matches = (orig == work).fillna(False)
-        total += w * len(matches)
-        unchanged += w * matches.sum()
-    want = unchanged / total * 100.0
+    weights = np.array([2.0 if c in md.sensitive_attributes else 1.0 for c in r.columns])
+    # equal cells per column under pandas semantics: dtype-aware ==, missing never equal
+    before = [pdf.get(f"__orig_{c}", pdf[c]) for c in r.columns]
+    before = [b.astype("float64") if c == "c_acctbal" else b for b, c in zip(before, r.columns)]
+    equal = np.array([int(b.eq(pdf[c]).fillna(False).sum()) for b, c in zip(before, r.columns)])
+    want = float(weights @ equal) / float(weights.sum() * len(pdf)) * 100.0
     assert r.compute_precision_privacy_tradeoff()[0] == pytest.approx(want, rel=1e-12)
