@@ -27,7 +27,7 @@ def dtype_of(df: DataFrame, name: str) -> T.DataType:
     for f in df.schema.fields:
         if f.name == name:
             return f.dataType
-    raise KeyError(f"Column '{name}' does not exist in the dataset.")
+    raise KeyError(f"No column named '{name}'.")
 
 
 def is_integral(dt: T.DataType) -> bool:

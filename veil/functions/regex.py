@@ -88,9 +88,9 @@ def to_java(pattern: str) -> str:
 def check_python(pattern: str | None) -> str:
     """The reference's eager checks: required, non-empty, compiles under Python ``re``."""
     if not pattern:
-        raise ValueError("Parameter 'regex_pattern' is required for mask_regex strategy.")
+        raise ValueError("mask_regex needs a non-empty regex_pattern.")
     try:
         re.compile(pattern)
     except re.error as e:
-        raise ValueError(f"Invalid regex pattern: {e}") from e
+        raise ValueError(f"regex_pattern does not compile: {e}") from e
     return pattern

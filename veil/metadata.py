@@ -49,24 +49,24 @@ class Metadata:
         defined = set(columns)
         for name in self.column_types:
             if name not in defined:
-                raise ValueError(f"Metadata refers to unknown column '{name}'.")
+                raise ValueError(f"A declared type names '{name}', which is not a column of the table.")
         for name in (*self.identifiers, *self.quasi_identifiers, *self.sensitive_attributes):
             if name not in defined:
-                raise ValueError(f"Metadata role refers to unknown column '{name}'.")
+                raise ValueError(f"A role names '{name}', which is not a column of the table.")
 
     def select_identifiers(self, column: str | None) -> list[str]:
         if not self.identifiers:
-            raise ValueError("No identifiers are configured in metadata.")
+            raise ValueError("The metadata declares no identifier columns.")
         if column is None:
             return list(self.identifiers)
         if column not in self.identifiers:
-            raise ValueError(f"Column '{column}' is not in metadata.identifiers: {list(self.identifiers)}.")
+            raise ValueError(f"'{column}' is not declared as an identifier (identifiers: {list(self.identifiers)}).")
         return [column]
 
     def ensure_numeric(self, column: str) -> None:
         declared = self.column_types.get(column)
         if declared != NUMERIC:
-            raise TypeError(f"Column '{column}' is not declared as numeric in metadata (got '{declared}').")
+            raise TypeError(f"'{column}' must be declared numeric for this operation (declared: {declared}).")
 
     def declared_type(self, column: str) -> str:
         return self.column_types.get(column, CATEGORICAL)

@@ -14,10 +14,10 @@ def validate(strategy: str, k: int | None, regex_pattern: str | None,
              spark: SparkSession | None = None) -> str | None:
     """Eager parameter checks; returns the Java form of the regex for ``mask_regex``."""
     if strategy not in masking.STRATEGIES:
-        raise ValueError(f"Unknown masking strategy '{strategy}'.")
+        raise ValueError(f"'{strategy}' is not a masking strategy; choose one of {', '.join(masking.STRATEGIES)}.")
     if strategy in ("mask_first_k", "mask_last_k"):
         if k is None or isinstance(k, bool) or not isinstance(k, int) or k < 0:
-            raise ValueError("Parameter 'k' must be a non-negative integer.")
+            raise ValueError("k must be an integer of 0 or more for this strategy.")
     if strategy != "mask_regex":
         return None
     java = regex.to_java(regex.check_python(regex_pattern))

@@ -61,10 +61,10 @@ def precision_privacy_between(original: DataFrame, working: DataFrame, key: list
     aligns rows; unmatched rows count as changed.
     """
     if list(original.columns) != list(working.columns):
-        raise ValueError("Original and working datasets are not directly comparable.")
+        raise ValueError("The two tables differ in columns or row count; cells cannot be paired.")
     n = original.count()
     if n != working.count():
-        raise ValueError("Original and working datasets are not directly comparable.")
+        raise ValueError("The two tables differ in columns or row count; cells cannot be paired.")
     cols = list(original.columns)
     o = original.select(*[qcol(c).alias(orig_name(c)) for c in cols])
     cond = None

@@ -171,7 +171,7 @@ class Release:
 
     def _ensure_column(self, column: str) -> T.DataType:
         if column not in self._s.columns:
-            raise KeyError(f"Column '{column}' does not exist in the dataset.")
+            raise KeyError(f"No column named '{column}'.")
         dt = dtype_of(self._s.frame, column)
         reject_nested(dt, column)
         return dt
@@ -254,11 +254,11 @@ class Release:
             cols = list(self._s.mappings)
         else:
             if identifier_column not in self.metadata.identifiers:
-                raise ValueError(f"Column '{identifier_column}' is not in metadata.identifiers.")
+                raise ValueError(f"'{identifier_column}' is not declared as an identifier.")
             if identifier_column not in self._s.mappings:
                 raise ValueError(
-                    f"No reversible mapping for column '{identifier_column}'. "
-                    "Apply order_preserving_pseudonyms first."
+                    f"'{identifier_column}' has no stored rank mapping to reverse; "
+                    "rank it with order_preserving_pseudonyms first."
                 )
             cols = [identifier_column]
         for c in cols:
@@ -307,7 +307,7 @@ class Release:
         keys = list(key) if key else (list(self.metadata.identifiers) or list(self._s.columns))
         for k in keys:
             if k not in self._s.columns:
-                raise KeyError(f"Column '{k}' does not exist in the dataset.")
+                raise KeyError(f"No key column named '{k}'.")
         if noise_std == 0:
             z = F.lit(0.0)
         else:
