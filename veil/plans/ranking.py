@@ -97,7 +97,7 @@ class RankTable:
     the data side's salt. Being read from files, the optimizer cannot fold it into a constant and
     drop the salt from the join's hash partitioning.
     ``hot`` holds the values whose row count exceeds one partition's fair share of the data
-    (at most one per range partition, so its size is bounded by configuration); it is ``None``
+    (fewer such values than range partitions, so its size is bounded by configuration); it is ``None``
     when there is no such value or the hot set does not fit the broadcast threshold.
     """
 
