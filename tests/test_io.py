@@ -102,10 +102,11 @@ def test_preview(patients):
 def test_csv_values_equal_pandas(spark, scratch):
     import pandas as pd
 
-    text = "a,b,c,d\n1,1.5,x,NA\n2,,null,7\n3,-0.25,#N/A,8\n4,1e3,None,\n"
+    text = "a,b,c,d,e\n1,1.5,x,NA,\n2,,null,7,NA\n3,-0.25,#N/A,8,\n4,1e3,None,,n/a\n"
     path = _write(scratch, text)
     ours = read_csv(spark, path).orderBy("a").toPandas()
     theirs = pd.read_csv(path)
+    assert dict(read_csv(spark, path).dtypes)["e"] == "double" and theirs["e"].dtype == "float64"
     for c in theirs.columns:
         got = [None if pd.isna(v) else v for v in ours[c]]
         want = [None if pd.isna(v) else v for v in theirs[c]]

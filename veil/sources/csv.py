@@ -87,11 +87,13 @@ def read_csv(spark: SparkSession, path: str, metadata: Metadata | None = None, *
             if non_num:
                 raise ValueError(f"Column '{n}' is declared numeric but holds {non_num} non-numeric value(s).")
             cols.append((F.trim(c).cast("long") if non_int == 0 else F.trim(c).cast("double")).alias(n))
-        elif count and non_int == 0:
+        elif not count:
+            cols.append(c.cast("double").alias(n))  # only missing values: a float column of NaN in pandas
+        elif non_int == 0:
             cols.append(F.trim(c).cast("long").alias(n))
-        elif count and non_num == 0:
+        elif non_num == 0:
             cols.append(F.trim(c).cast("double").alias(n))
-        elif count and non_bool == 0:
+        elif non_bool == 0:
             cols.append(c.isin(*TRUE_TOKENS).alias(n))
         else:
             cols.append(c)
