@@ -270,6 +270,27 @@ def q_stats_working(spark, sf_dir):
     return _round_stats(r.statistics(use_working=True))
 
 
+def q_stats_approx(spark, sf_dir):
+    """approx=True against the exact statistics: counts and means agree exactly, distinct counts
+    within 5% and medians within 1%."""
+    r = Release(_t(spark, sf_dir, "orders"), ORDERS_META)
+    a = r.statistics(approx=True).alias("a")
+    e = r.statistics().alias("e")
+    j = a.join(e, "column")
+
+    def near(c, tol):
+        return (F.col(f"a.{c}").isNull() & F.col(f"e.{c}").isNull()) | (
+            F.abs(F.col(f"a.{c}") - F.col(f"e.{c}")) <= F.lit(tol) * F.abs(F.col(f"e.{c}")))
+
+    return j.select(
+        "column", F.col("e.count").alias("count"), F.col("e.nulls").alias("nulls"),
+        F.round("e.mean", 6).alias("mean"),
+        (F.col("a.count") == F.col("e.count")).alias("count_equal"),
+        near("unique_count", 0.05).alias("unique_close"), near("median", 0.01).alias("median_close"),
+        near("mean", 1e-9).alias("mean_close"),
+    )
+
+
 def _round_stats(df: DataFrame) -> DataFrame:
     return df.select(
         "column", "type", "count", "unique_count", "nulls",
@@ -435,6 +456,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "precision_type_change": q_precision_type_change,
         "stats_original": q_stats_original,
         "stats_working": q_stats_working,
+        "stats_approx": q_stats_approx,
         "csv_roundtrip": q_csv_roundtrip,
         "precision_between_export": q_precision_between_export,
         "bundle_roundtrip": q_bundle_roundtrip,
@@ -685,6 +707,13 @@ def oracle_sql() -> dict[str, str]:
             f"b.mid AS o_totalprice, t0.o_orderdate, t0.o_orderpriority FROM t0 {_bin_join('t0', 'o_totalprice', True)}",
             [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "categorical"),
              ("o_totalprice", "numeric"), ("o_orderdate", "categorical"), ("o_orderpriority", "categorical")]),
+        "stats_approx": (
+            "SELECT \"column\", \"count\", nulls, mean, TRUE AS count_equal, TRUE AS unique_close, "
+            "TRUE AS median_close, TRUE AS mean_close FROM ("
+            + _stats_sql_named("SELECT * FROM orders",
+                               [("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "categorical"),
+                                ("o_totalprice", "numeric"), ("o_orderdate", "categorical"),
+                                ("o_orderpriority", "categorical")]) + ")"),
         "csv_roundtrip": "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal FROM supplier",
         "precision_between_export": _precision_simple(
             f"WITH t AS (SELECT * FROM customer), {_bins_ctes('t', 'c_acctbal', 10, True)[5:]} "

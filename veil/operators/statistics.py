@@ -36,6 +36,9 @@ MEDIAN_MAP_LIMIT = 1_000_000
 SUMMARY = T.StructType([T.StructField(n, t) for n, t in (
     ("o", T.IntegerType()), ("count", T.LongType()), ("unique_count", T.LongType()), ("nulls", T.LongType()),
     ("nx", T.LongType()), ("mean", T.DoubleType()), ("min", T.DoubleType()), ("max", T.DoubleType()))])
+# approx=True: relative standard deviation of the distinct-count sketch (bounded HyperLogLog++ state)
+APPROX_RSD = 0.01
+
 # The statistics columns, in the reference's order.
 OUTPUT = ["column", "type", "count", "unique_count", "nulls", "mean", "min", "max", "std", "median"]
 
@@ -94,7 +97,7 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
         value = F.coalesce(F.col("k").cast("string"), F.col("x").cast("string"), F.col("t"))
         stats = long.groupBy("o").agg(
             F.count(value).alias("count"),
-            F.approx_count_distinct(value).alias("unique_count"),
+            F.approx_count_distinct(value, APPROX_RSD).alias("unique_count"),
             F.count_if(value.isNull()).alias("nulls"),
             F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"),
             F.stddev_samp("x").alias("std"), F.percentile_approx("x", 0.5, 100000).cast("double").alias("median"),
