@@ -32,3 +32,12 @@ def keyed_standard_normal(seed: Column, column: str, keys: list[Column]) -> Colu
     u1 = _u48(h, 1)
     u2 = _u48(h, 13)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+
+def row_fingerprint(cols: list[Column]) -> list[Column]:
+    """A 96-bit fingerprint of whole rows (``xxhash64`` and 32-bit ``hash``) as key text.
+
+    Used when noise is keyed by the entire row: hashing a fingerprint keeps the sha256 input
+    short however wide the row (long texts), at a collision chance of about n^2 / 2^97.
+    """
+    return [F.concat(F.xxhash64(*cols).cast("string"), F.lit("/"), F.hash(*cols).cast("string"))]

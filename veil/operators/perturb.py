@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .._util import dtype_of, qcol, reject_nested
 from ..functions.hashing import secret_value
-from ..functions.noise import keyed_standard_normal
+from ..functions.noise import keyed_standard_normal, row_fingerprint
 from ..functions.text import key_text
 from .numeric import Range, as_double, cast_back, fit_range
 
@@ -50,7 +50,10 @@ def standard_noise(df: DataFrame, column: str, noise_std: float, random_state: i
     """Keyed N(0, 1) per row; a constant 0 when ``noise_std`` is 0 (no hashing needed)."""
     if noise_std == 0:
         return F.lit(0.0)
-    keys = [key_text(qcol(k), dtype_of(df, k)) for k in key]
+    if list(key) == list(df.columns):
+        keys = row_fingerprint([qcol(k) for k in key])
+    else:
+        keys = [key_text(qcol(k), dtype_of(df, k)) for k in key]
     return keyed_standard_normal(seed_value(df.sparkSession, random_state), column, keys)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from .._util import ORIG_PREFIX, dtype_of, orig_name, qcol, reject_nested
 from ..functions.hashing import new_secret, pseudonym_token, secret_value
-from ..functions.noise import keyed_standard_normal
+from ..functions.noise import keyed_standard_normal, row_fingerprint
 from ..functions.text import key_text
 from ..metadata import Metadata
 from ..operators import generalize as gen
@@ -304,14 +304,17 @@ class Release:
         ptb.check_noise(noise_std)
         self._batch_only("perturb")
         r = ptb.fit_perturb_range(self._fit_input(column), column)
-        keys = list(key) if key else (list(self.metadata.identifiers) or list(self._s.columns))
+        keys = list(key) if key else list(self.metadata.identifiers)
         for k in keys:
             if k not in self._s.columns:
                 raise KeyError(f"No key column named '{k}'.")
         if noise_std == 0:
             z = F.lit(0.0)
         else:
-            texts = [key_text(self._original_value(k), self._original_type(k)) for k in keys]
+            if keys:
+                texts = [key_text(self._original_value(k), self._original_type(k)) for k in keys]
+            else:  # no key and no identifiers: the whole original row, through a short fingerprint
+                texts = row_fingerprint([self._original_value(c) for c in self._s.columns])
             z = keyed_standard_normal(ptb.seed_value(self._s.frame.sparkSession, random_state), column, texts)
         return self._replace({column: ptb.perturbed(qcol(column), dt, r, noise_std, z)})
 
