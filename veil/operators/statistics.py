@@ -118,7 +118,7 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
         F.count_if(F.col("x").isNotNull()).alias("ux"),
         F.sum(F.col("x") * F.col("c")).alias("sx"),
         F.min("x").alias("min"), F.max("x").alias("max"),
-    ).withColumn("mean", F.when(F.col("nx") > 0, F.col("sx") / F.col("nx"))).collect()
+    ).withColumn("mean", F.when(F.col("nx") > 0, F.col("sx") / F.col("nx"))).collect()  # one row per column
     numeric = [r for r in summary if r["nx"]]
     in_memory = [r["o"] for r in numeric if r["ux"] <= MEDIAN_MAP_LIMIT]
     selected = [r["o"] for r in numeric if r["ux"] > MEDIAN_MAP_LIMIT]
@@ -165,6 +165,7 @@ def _selected_medians(values: DataFrame) -> DataFrame:
     blocks = offs.join(F.broadcast(targets), "o").where(
         (F.col("__k") >= F.col("__off")) & (F.col("__k") < F.col("__off") + F.col("nx"))
     ).select("o", "__pid", "__off", "__k").cache()
+    # at most two partition ids per column: pushed into the scan so only those files are read
     pids = sorted({r["__pid"] for r in blocks.select("__pid").distinct().collect()})
     before = Window.partitionBy("o", "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
     cand = (

@@ -64,6 +64,7 @@ def load(spark: SparkSession, path: str):
 
     root = path.rstrip("/")
     try:
+        # one small JSON document per saved version
         rows = spark.read.text(f"{root}/*/_release").select("value", F.col("_metadata.file_path").alias("f")).collect()
     except PySparkException as e:
         _fail(f"no bundle at '{path}'", e)

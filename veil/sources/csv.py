@@ -36,7 +36,7 @@ _READ_DEFAULTS = {"header": "true", "inferSchema": "false", "quote": '"', "escap
 
 
 def _header(spark: SparkSession, path: str, opts: dict) -> list[str]:
-    first = spark.read.options(**{**opts, "header": "false"}).csv(path).limit(1).collect()
+    first = spark.read.options(**{**opts, "header": "false"}).csv(path).limit(1).collect()  # the header line only
     if not first:
         raise ValueError(f"CSV '{path}' is empty: no header row.")
     names = [v if v is not None else "" for v in first[0]]
