@@ -15,7 +15,6 @@ import uuid
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._util import local_frame, orig_name, qcol
@@ -65,7 +64,7 @@ def load(spark: SparkSession, path: str):
     root = path.rstrip("/")
     try:
         # one small JSON document per saved version
-        rows = spark.read.text(f"{root}/*/_release").select("value", F.col("_metadata.file_path").alias("f")).collect()
+        rows = spark.read.text(f"{root}/*/_release").collect()
     except PySparkException as e:
         _fail(f"no bundle at '{path}'", e)
     metas = []
