@@ -115,8 +115,10 @@ def fit(mn: float, mx: float, bins: int, include_lowest: bool = True) -> Bins:
     breaks = [round_frac(b, p) for b in edges]
     if include_lowest:
         breaks[0] = breaks[0] - 10 ** (-p)
-    if not all(math.isfinite(x) for x in breaks) or len(set(breaks)) < len(breaks):
-        raise ValueError("Bin labels cannot be formed for this range (not finite or not unique).")
+    # labels may repeat when no precision below 20 separates them; pandas then lets those bins
+    # share a label, and each bin keeps the midpoint of its own (possibly equal) label edges
+    if not all(math.isfinite(x) for x in breaks):
+        raise ValueError("Bin labels cannot be formed for this range (rounding overflows).")
     mids = tuple(0.5 * (breaks[i - 1] + breaks[i]) for i in range(1, len(breaks)))
     return Bins(tuple(edges), mids, include_lowest, p)
 
