@@ -155,3 +155,22 @@ def test_sql_functions_match_masks(spark, names):
     assert [r["d"] for r in rows] == EXPECTED[("mask_after_last_space", None)]
     stars = [None if v is None else "*" * len(v) for v in NAMES]
     assert [r["e"] for r in rows] == stars and [r["f"] for r in rows] == stars
+
+
+def test_python_regex_classes_and_line_ends(spark):
+    """\\w excludes combining marks, \\s includes \\x1c-\\x1f, '.' and '$' treat only \\n as a line end."""
+    import re
+
+    texts = ["x́yb ", "a\x1cb c", "r\rs\nt", "²_‿", "end\n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    for pattern in (r"\w+", r"\W", r"\s", r"\S+", r"\b", r"\B", r".", r"$", r"^.", r"(?a)\w+"):
+        got = [r["s"] for r in Release(df, Metadata({})).mask("s", "mask_regex", regex_pattern=pattern)
+               .working().orderBy("i").collect()]
+        assert got == [re.sub(pattern, "*", t) for t in texts], pattern
+
+
+def test_three_digit_exponents(spark):
+    vals = [-5.694946403451123e-209, 1.3481316636868863e+217, 2.5e-310, 1e100]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
+    got = [r["v"] for r in Release(df, Metadata({})).mask("v", "mask_first_k", k=0).working().orderBy("i").collect()]
+    assert got == [str(v) for v in vals]

@@ -2,8 +2,9 @@
 
 The reference compiles patterns with Python's ``re``; Spark runs ``java.util.regex``. Rewrites:
 named groups ``(?P<n>...)`` -> ``(?<n>...)``, back-references ``(?P=n)`` -> ``\\k<n>``, ``\\Z`` -> ``\\z``,
-``{,n}`` -> ``{0,n}``, and a leading ``(?U)`` so ``\\d \\w \\s \\b`` and case folding are Unicode-aware as
-in Python 3. An inline ``(?a)`` keeps ASCII classes instead. Python-only constructs with no Java
+``{,n}`` -> ``{0,n}``; ``\\w \\W \\s \\S \\b \\B`` become explicit classes with Python's membership;
+a leading ``(?dU)`` gives Python's line terminator (only ``\\n``) and Unicode digits and case
+folding. An inline ``(?a)`` selects ASCII classes instead. Python-only constructs with no Java
 form (conditionals ``(?(id)yes|no)``, ``(?L)``) raise ``ValueError``.
 """
 
@@ -12,19 +13,40 @@ from __future__ import annotations
 import re
 
 
+# Python's classes, which Java's differ from: \w is letters, numbers and "_" (Java's Unicode
+# \w adds combining marks and connector punctuation); \s is str.isspace() (Java's lacks
+# \x1C-\x1F). Derived from Python's own definitions: they equal these category sets.
+_W = {True: r"\p{L}\p{Nd}\p{Nl}\p{No}_", False: r"a-zA-Z0-9_"}
+_S = {
+    True: r"\t\n\x0B\f\r\x1C-\x1F\x20\x{85}\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}"
+          r"\x{205F}\x{3000}",
+    False: r"\t\n\x0B\f\r\x20",
+}
+
+
+def _escape(nxt: str, in_class: bool, uni: bool) -> str | None:
+    """Java text for the Python escape ``\\nxt``, or None to copy it unchanged."""
+    w, sp = _W[uni], _S[uni]
+    if in_class:
+        return {"w": w, "W": f"[^{w}]", "s": sp, "S": f"[^{sp}]", "b": r"\x08"}.get(nxt)
+    return {
+        "w": f"[{w}]", "W": f"[^{w}]", "s": f"[{sp}]", "S": f"[^{sp}]", "Z": r"\z",
+        "b": f"(?:(?<=[{w}])(?![{w}])|(?<![{w}])(?=[{w}]))",
+        "B": f"(?:(?<=[{w}])(?=[{w}])|(?<![{w}])(?![{w}]))",
+    }.get(nxt)
+
+
 def to_java(pattern: str) -> str:
+    uni = not re.match(r"\(\?[aiLmsux]*a[aiLmsux]*\)", pattern)  # leading global flags with "a": ASCII
     out: list[str] = []
     i, n = 0, len(pattern)
     in_class = False
-    ascii_only = False
     while i < n:
         ch = pattern[i]
         if ch == "\\" and i + 1 < n:
             nxt = pattern[i + 1]
-            if nxt == "Z" and not in_class:
-                out.append("\\z")
-            else:
-                out.append(pattern[i:i + 2])
+            rep = _escape(nxt, in_class, uni)
+            out.append(rep if rep is not None else pattern[i:i + 2])
             i += 2
             continue
         if in_class:
@@ -66,10 +88,7 @@ def to_java(pattern: str) -> str:
             flags = m.group(1)
             if "L" in flags:
                 raise ValueError("The locale flag '(?L)' is not supported.")
-            if "a" in flags:
-                ascii_only = True
-                flags = flags.replace("a", "")
-            flags = flags.replace("u", "")
+            flags = flags.replace("a", "").replace("u", "")
             if flags:
                 out.append(f"(?{flags})")
             i += len(m.group(0))
@@ -81,8 +100,8 @@ def to_java(pattern: str) -> str:
             continue
         out.append(ch)
         i += 1
-    body = "".join(out)
-    return body if ascii_only else "(?U)" + body
+    # (?d): only "\n" ends a line for ".", "^" and "$", as in Python; (?U): Unicode digits and case folding
+    return ("(?dU)" if uni else "(?d)") + "".join(out)
 
 
 def check_python(pattern: str | None) -> str:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Python prints doubles in fixed notation for 1e-4 <= |x| < 1e16, Java (Spark's cast) only for
-# 1e-3 <= |x| < 1e7; both use the shortest round-tripping digits.
+# 1e-3 <= |x| < 1e7; both aim at the shortest round-tripping digits. (Java before 19 sometimes
+# prints a 17th digit where 16 suffice, so such doubles can differ from Python in that digit.)
 _SCI = r"^(-?)(\d)(?:\.(\d+))?E(-?)(\d+)$"
 
 
@@ -27,7 +28,9 @@ def _double_py_str(c: Column) -> Column:
         F.when(mant_frac == "", F.lit("")).otherwise(F.concat(F.lit("."), mant_frac)),
         F.lit("e"),
         exp_sign,
-        F.lpad(F.regexp_extract(s, _SCI, 5), 2, "0"),
+        # at least two exponent digits (lpad would cut a three-digit exponent)
+        F.when(F.length(F.regexp_extract(s, _SCI, 5)) < 2, F.concat(F.lit("0"), F.regexp_extract(s, _SCI, 5)))
+        .otherwise(F.regexp_extract(s, _SCI, 5)),
     )
     # fixed notation through an exact decimal (Spark converts via the same shortest digits)
     small = F.regexp_replace(c.try_cast("decimal(38,37)").cast("string"), "0+$", "")
