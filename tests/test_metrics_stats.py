@@ -135,3 +135,41 @@ def test_metric_equals_pandas_formula(spark):
     equal = np.array([int(b.eq(pdf[c]).fillna(False).sum()) for b, c in zip(before, r.columns)])
     want = float(weights @ equal) / float(weights.sum() * len(pdf)) * 100.0
     assert r.compute_precision_privacy_tradeoff()[0] == pytest.approx(want, rel=1e-12)
+
+
+def test_statistics_equal_pandas_on_random_tables(spark):
+    """Random tables with nulls, -0.0, huge integers and numeric text: pandas' numbers, to 1e-9."""
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(21)
+    for _ in range(6):
+        n = rnd.randint(0, 50)
+
+        def rv():
+            r = rnd.random()
+            if r < 0.15:
+                return None
+            if r < 0.3:
+                return rnd.choice([-0.0, 0.0])
+            return rnd.choice([rnd.uniform(-1e3, 1e3), float(rnd.randint(-5, 5)), rnd.uniform(-1e12, 1e12)])
+
+        xs = [rv() for _ in range(n)]
+        ks = [None if rnd.random() < 0.1 else rnd.randint(-3, 3) * 10 ** rnd.randint(0, 17) for _ in range(n)]
+        ts = [None if rnd.random() < 0.1 else rnd.choice(["a", "1.5", " 2 ", "x", "1e3", "-4"]) for _ in range(n)]
+        df = spark.createDataFrame(list(zip(xs, ks, ts)), "x double, k long, t string")
+        got = {r["column"]: r for r in Release(df, Metadata({"x": "numeric", "k": "numeric", "t": "numeric"}))
+               .statistics().collect()}
+        pdf = pd.DataFrame({"x": pd.Series(xs, dtype="float64"), "k": pd.Series(ks, dtype="Int64"),
+                            "t": pd.Series(ts, dtype="object")})
+        for c in ("x", "k", "t"):
+            s, g = pdf[c], got[c]
+            assert (g["count"], g["unique_count"], g["nulls"]) == (s.count(), s.nunique(), s.isna().sum())
+            num = pd.to_numeric(s, errors="coerce").astype("float64")
+            for stat, want in (("mean", num.mean()), ("min", num.min()), ("max", num.max()),
+                               ("std", num.std()), ("median", num.median())):
+                if want != want:  # NaN: missing
+                    assert g[stat] is None, (c, stat)
+                else:
+                    assert g[stat] == pytest.approx(float(want), rel=1e-9, abs=1e-9), (c, stat)
