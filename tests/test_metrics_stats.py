@@ -132,7 +132,8 @@ def test_metric_equals_pandas_formula(spark):
     # equal cells per column under pandas semantics: dtype-aware ==, missing never equal
     before = [pdf.get(f"__orig_{c}", pdf[c]) for c in r.columns]
     before = [b.astype("float64") if c == "c_acctbal" else b for b, c in zip(before, r.columns)]
-    equal = np.array([int(b.eq(pdf[c]).fillna(False).sum()) for b, c in zip(before, r.columns)])
+    # `==`, not .eq(): for object columns pandas' .eq() counts None == None as equal, `==` does not
+    equal = np.array([int((b == pdf[c]).fillna(False).sum()) for b, c in zip(before, r.columns)])
     want = float(weights @ equal) / float(weights.sum() * len(pdf)) * 100.0
     assert r.compute_precision_privacy_tradeoff()[0] == pytest.approx(want, rel=1e-12)
 
