@@ -104,6 +104,10 @@ class Release:
         obj._s = state
         return obj
 
+    def __repr__(self) -> str:
+        return (f"Release(columns={list(self._s.columns)}, changed={self.changed_columns}, "
+                f"rank_mappings={self.ope_mapping_columns}, streaming={self._s.frame.isStreaming})")
+
     # -- accessors ----------------------------------------------------------------------------
 
     @property
