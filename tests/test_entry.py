@@ -32,3 +32,16 @@ def test_oracle_small(spark, name):
     a = Counter(tuple(r[c] for c in key) for r in sdf.collect())
     b = Counter(tuple(dict(zip(cols, r))[c] for c in key) for r in res.fetchall())
     assert a == b
+
+
+def test_quickstart_example_runs(spark, capsys):
+    import importlib.util
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spec = importlib.util.spec_from_file_location("quickstart", os.path.join(root, "examples", "quickstart.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    mod.main(os.path.join(root, "tests", "data", "patients.csv"))
+    out = capsys.readouterr().out
+    assert "precision_pct" in out and "Heart Dise***" in out
