@@ -174,3 +174,14 @@ def test_three_digit_exponents(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v double")
     got = [r["v"] for r in Release(df, Metadata({})).mask("v", "mask_first_k", k=0).working().orderBy("i").collect()]
     assert got == [str(v) for v in vals]
+
+
+def test_more_python_escapes(spark):
+    import re
+
+    texts = ["a\x0bb\nc", "x😀y", "p #q r", "tab\tend"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    for pattern in (r"\v", r"[\v]", r"\U0001F600", r"(?x) [ #] q", r"(?x)[ ]", r"\t"):
+        got = [r["s"] for r in Release(df, Metadata({})).mask("s", "mask_regex", regex_pattern=pattern)
+               .working().orderBy("i").collect()]
+        assert got == [re.sub(pattern, "*", t) for t in texts], pattern

@@ -28,9 +28,9 @@ def _escape(nxt: str, in_class: bool, uni: bool) -> str | None:
     """Java text for the Python escape ``\\nxt``, or None to copy it unchanged."""
     w, sp = _W[uni], _S[uni]
     if in_class:
-        return {"w": w, "W": f"[^{w}]", "s": sp, "S": f"[^{sp}]", "b": r"\x08"}.get(nxt)
+        return {"w": w, "W": f"[^{w}]", "s": sp, "S": f"[^{sp}]", "b": r"\x08", "v": r"\x0B"}.get(nxt)
     return {
-        "w": f"[{w}]", "W": f"[^{w}]", "s": f"[{sp}]", "S": f"[^{sp}]", "Z": r"\z",
+        "w": f"[{w}]", "W": f"[^{w}]", "s": f"[{sp}]", "S": f"[^{sp}]", "Z": r"\z", "v": r"\x0B",
         "b": f"(?:(?<=[{w}])(?![{w}])|(?<![{w}])(?=[{w}]))",
         "B": f"(?:(?<=[{w}])(?=[{w}])|(?<![{w}])(?![{w}]))",
     }.get(nxt)
@@ -45,6 +45,10 @@ def to_java(pattern: str) -> str:
         ch = pattern[i]
         if ch == "\\" and i + 1 < n:
             nxt = pattern[i + 1]
+            if nxt == "U" and re.match(r"[0-9a-fA-F]{8}", pattern[i + 2:i + 10]):
+                out.append("\\x{" + pattern[i + 2:i + 10].lstrip("0").rjust(1, "0") + "}")  # Java has no \U
+                i += 10
+                continue
             rep = _escape(nxt, in_class, uni)
             out.append(rep if rep is not None else pattern[i:i + 2])
             i += 2
@@ -56,6 +60,9 @@ def to_java(pattern: str) -> str:
             elif ch in "[&":
                 # literal in Python sets; nested class / intersection in Java
                 out.append("\\" + ch)
+            elif ch in " #":
+                # literal in Python sets even in verbose mode; Java's comments mode would drop them
+                out.append("\\x20" if ch == " " else "\\#")
             else:
                 out.append(ch)
             i += 1
