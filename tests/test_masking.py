@@ -185,3 +185,14 @@ def test_more_python_escapes(spark):
         got = [r["s"] for r in Release(df, Metadata({})).mask("s", "mask_regex", regex_pattern=pattern)
                .working().orderBy("i").collect()]
         assert got == [re.sub(pattern, "*", t) for t in texts], pattern
+
+
+def test_case_insensitive_unicode(spark):
+    import re
+
+    texts = ["KKk", "sſS", "İiıI", "ß ss SS", "σςΣ", "Éée", "ǅǄǆ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    for pattern in (r"(?i)k", r"(?i)s", r"(?i)i", r"(?i)σ", r"(?i)é", r"(?i)ǅ", r"(?i)[a-z]+"):
+        got = [r["s"] for r in Release(df, Metadata({})).mask("s", "mask_regex", regex_pattern=pattern)
+               .working().orderBy("i").collect()]
+        assert got == [re.sub(pattern, "*", t) for t in texts], pattern

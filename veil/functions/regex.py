@@ -2,7 +2,9 @@
 
 The reference compiles patterns with Python's ``re``; Spark runs ``java.util.regex``. Rewrites:
 named groups ``(?P<n>...)`` -> ``(?<n>...)``, back-references ``(?P=n)`` -> ``\\k<n>``, ``\\Z`` -> ``\\z``,
-``{,n}`` -> ``{0,n}``; ``\\w \\W \\s \\S \\b \\B`` become explicit classes with Python's membership;
+``{,n}`` -> ``{0,n}``, ``\\v`` -> ``\\x0B``, ``\\UXXXXXXXX`` -> ``\\x{...}``, spaces and ``#`` inside sets
+escaped (verbose mode keeps them in Python, drops them in Java); ``\\w \\W \\s \\S \\b \\B`` become
+explicit classes with Python's membership;
 a leading ``(?dU)`` gives Python's line terminator (only ``\\n``) and Unicode digits and case
 folding. An inline ``(?a)`` selects ASCII classes instead. Python-only constructs with no Java
 form (conditionals ``(?(id)yes|no)``, ``(?L)``) raise ``ValueError``.
