@@ -111,3 +111,17 @@ def test_csv_values_equal_pandas(spark, scratch):
         got = [None if pd.isna(v) else v for v in ours[c]]
         want = [None if pd.isna(v) else v for v in theirs[c]]
         assert got == want, c
+
+
+def test_export_bytes_equal_pandas_to_csv(spark, scratch):
+    import glob
+
+    import pandas as pd
+
+    rows = [(1, 1.5, "a,b", True), (2, None, 'say "hi"', False), (3, 1e-05, None, None),
+            (4, 100000000.0, "", True), (5, 0.1, "plain", False)]
+    df = spark.createDataFrame(rows, "i long, x double, s string, b boolean")
+    out = scratch("bytes")
+    Release(df.coalesce(1), Metadata({})).export_csv(out)
+    ours = open(glob.glob(local_path(out) + "/part-*.csv")[0], encoding="utf-8").read()
+    assert ours == pd.DataFrame(rows, columns=["i", "x", "s", "b"]).to_csv(index=False)
