@@ -220,3 +220,17 @@ def test_hot_key_and_nulls_do_not_pile_into_one_task(spark):
     values = sorted({k for _, k in rows if k is not None})
     rank = {v: i + 1 for i, v in enumerate(values)}
     assert ranked == {rid: (None if k is None else rank[k]) for rid, k in rows}
+
+
+def test_rank_order_is_python_code_point_order(spark):
+    import random
+
+    rnd = random.Random(17)
+    alphabet = ["a", "B", "é", "É", "ß", "😀", "𝔘", "中", "́", " ", "0", "￿", "\U0010ffff", "\x00"]
+    vals = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 5))) for _ in range(800)] + [None] * 5
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v string")
+    r = Release(df, Metadata({}, identifiers=["v"])).order_preserving_pseudonyms()
+    rank = {v: k + 1 for k, v in enumerate(sorted({v for v in vals if v is not None}))}
+    assert {x["i"]: x["v"] for x in r.working().collect()} == {
+        i: (None if v is None else rank[v]) for i, v in enumerate(vals)}
+    assert {x["i"]: x["v"] for x in r.reverse_pseudonyms().working().collect()} == dict(enumerate(vals))
