@@ -25,6 +25,19 @@ from veil.operators.perturb import perturb as perturb_df  # noqa: E402
 from veil.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from veil.streaming import BinModel, NoiseModel, mask_stream, pseudonymize_stream  # noqa: E402
 
+try:  # the training-text operators are an optional subpackage; without it everything else works
+    from veil.llm import queries as text_queries
+except ImportError as e:
+    if not (e.name or "").startswith("veil.llm") and "veil.llm" not in str(e):
+        raise
+    text_queries = None
+try:
+    import corpus_pipeline
+except ImportError as e:
+    if not (e.name or "").startswith(("veil.llm", "corpus_pipeline")) and "veil.llm" not in str(e):
+        raise
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Fixed parameters shared by the Spark queries and their oracles.
@@ -414,6 +427,24 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = _own_queries()
+    if text_queries is not None:
+        own |= text_queries.QUERIES
+    if corpus_pipeline is not None:
+        own["pipeline"] = corpus_pipeline.run
+    return own
+
+
+def oracle_sql() -> dict[str, str]:
+    own = _own_oracles()
+    if text_queries is not None:
+        own |= text_queries.ORACLES
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL is not None:
+        own["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return own
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "release_pipeline": q_release_pipeline,
         "pseudonym_seeded": q_pseudonym_seeded,
@@ -625,7 +656,7 @@ def _lineitem_release_sql(round_quantity: bool = True) -> str:
     FROM t JOIN r ON t.l_orderkey = r.value CROSS JOIN f {_bin_join('t', 'l_extendedprice', True)}"""
 
 
-def oracle_sql() -> dict[str, str]:
+def _own_oracles() -> dict[str, str]:
     cust_cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
     cust_w = {"c_acctbal": 2.0}
     return {
