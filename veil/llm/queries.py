@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veil.llm import bpe, langid, maxscore, mixing, quality_gbdt, quality_rules, toxicity
+from veil.llm import bpe, fm_dedup, langid, maxscore, mixing, quality_gbdt, quality_rules, sa_dedup, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return fm_dedup.digest_documents(_t(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.digest_documents(_t(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -35,6 +39,10 @@ def op5_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return sa_dedup.digest_documents(_t(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return quality_gbdt.quality_scores(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
@@ -49,7 +57,8 @@ def op9_mixing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_bpe, op3_language_id, op4_quality_rules, op5_toxicity, op7_quality_classifier, op8_maxscore, op9_mixing)}
+    op1_substring_dedup, op2_bpe, op3_language_id, op4_quality_rules, op5_toxicity, op6_suffix_array_dedup,
+    op7_quality_classifier, op8_maxscore, op9_mixing)}
 
 _OP4 = f"""
 WITH base AS (
