@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+ROOT = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, ROOT)
 
 from veil import Metadata, Release, read_csv  # noqa: E402
 from veil.functions.hashing import new_secret, pseudonym_token, secret_value  # noqa: E402
@@ -429,12 +430,24 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = _own_queries()
     if text_queries is not None:
-        own |= text_queries.QUERIES
+        own |= {name: _with_package(q) for name, q in text_queries.QUERIES.items()}
     if corpus_pipeline is not None:
-        own["pipeline"] = corpus_pipeline.run
+        own["pipeline"] = _with_package(corpus_pipeline.run)
     return own
 
 
+def _with_package(query: Callable) -> Callable:
+    """Let Python workers started from now on import this repository, wherever the driver was started."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        env = spark.sparkContext.environment
+        paths = env.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+        return query(spark, sf_dir)
+
+    return run
+
+
 def oracle_sql() -> dict[str, str]:
     own = _own_oracles()
     if text_queries is not None:
