@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veil.llm import bpe, fm_dedup, langid, maxscore, mixing, quality_gbdt, quality_rules, sa_dedup, toxicity
+from veil.llm import bpe, fm_dedup, langid, maxscore, minhash_odd, mixing, quality_gbdt, quality_rules, sa_dedup, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op9_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_dedup(spark, sf_dir):
+    return minhash_odd.near_duplicates(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_bpe, op3_language_id, op4_quality_rules, op5_toxicity, op6_suffix_array_dedup,
-    op7_quality_classifier, op8_maxscore, op9_mixing)}
+    op7_quality_classifier, op8_maxscore, op9_mixing, op10_near_dedup)}
 
 _OP4 = f"""
 WITH base AS (
