@@ -17,9 +17,10 @@ table gives an empty table.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from veil.llm._common import sha256_hex
+from veil.llm._common import sha256_hex, slices
 from veil.llm.repeats import Unit, covered, keyed, union_mask, with_covered
 
 WORDS, ROUTE = 35, 8
@@ -193,10 +194,6 @@ def digest_documents(df: DataFrame, words: int = WORDS) -> DataFrame:
 
 def _assemble(found: DataFrame, column: str, show) -> DataFrame:
     def run(batches):
-        import pyarrow as pa
-
-        from veil.llm._common import slices
-
         for batch in batches:
             for piece in slices(batch):
                 rows = [_kept(t, s) for t, s in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist())]

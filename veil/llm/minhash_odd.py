@@ -14,8 +14,8 @@ the threshold leave it; they are confirmed likewise. So every pair of a bucket i
 already or compared, whatever the bucket's size. Members of one bucket are gathered as sketches, 128
 bytes a class, from which the largest component's members are never compared among themselves.
 
-Bands of 5 rows, 24 of them: a pair at the threshold 0.85 shares none with probability 8e-7. The sketch
-test allows five standard deviations.
+24 bands of 5 rows, or 28 of 4 rows for thresholds below 0.85: a pair at 0.85 shares no band with
+probability 8e-7, one at 0.8 with 4e-7. The sketch test allows five standard deviations.
 
 Defined results: null and empty texts and texts without words have no shingles, are linked with
 nothing and are their own component; fewer words than a shingle count as one shingle; equal rows are
@@ -36,7 +36,7 @@ from veil.llm._common import slices, utf8
 from veil.llm.repeats import Unit, keyed, mix, run_hashes, symbols
 from veil.session import ensure_checkpoint_dir
 
-BANDS, ROWS, SAMPLES, BITS = 24, 5, 4096, 1024
+SAMPLES, BITS = 4096, 1024
 SIGMAS = 5.0
 
 _U = np.uint64
@@ -58,9 +58,14 @@ def shingle_sets(blobs: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def _multipliers() -> np.ndarray:
+def band_plan(percent: int) -> tuple[int, int]:
+    """Number of bands and rows a band."""
+    return (24, 5) if percent >= 85 else (28, 4)
+
+
+def _multipliers(count: int) -> np.ndarray:
     rng = np.random.default_rng(20)
-    return rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
+    return rng.integers(0, 1 << 63, count, dtype=np.uint64) * _U(2) + _U(1)
 
 
 def odd_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -71,36 +76,39 @@ def odd_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], count: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Size, class, band hashes and odd sketch of each set."""
     n = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(n)
-    bands = np.zeros((len(sets), BANDS), np.uint64)
+    bands = np.zeros((len(sets), count), np.uint64)
     node = np.zeros(len(sets), np.uint64)
     sketch = np.zeros((len(sets), BITS // 64), np.uint64)
     if len(full):
         values = np.concatenate([sets[i] for i in full])
         starts = np.cumsum(n[full]) - n[full]
         node[full] = mix(np.add.reduceat(mix(values), starts) + n[full].astype(np.uint64))
-        least = np.empty((len(full), BANDS * ROWS), np.uint64)
-        for k, m in enumerate(_multipliers()):
+        least = np.empty((len(full), count * rows), np.uint64)
+        for k, m in enumerate(_multipliers(count * rows)):
             np.minimum.reduceat(values * m, starts, out=least[:, k])
-        for b in range(BANDS):
+        for b in range(count):
             h = np.full(len(full), b + 1, np.uint64)
-            for r in range(ROWS):
-                h = mix(h * _U(0x9E3779B97F4A7C15) + least[:, b * ROWS + r])
+            for r in range(rows):
+                h = mix(h * _U(0x9E3779B97F4A7C15) + least[:, b * rows + r])
             bands[full, b] = h
         for i in full:
             sketch[i] = odd_sketch(sets[i])
     return n, node, bands, sketch
 
 
-def signature_table(docs: DataFrame, width: int) -> DataFrame:
+def signature_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """key, doc_id, n, node, bands and sketch of every row of ``keyed`` documents."""
+    count, band_rows = band_plan(percent)
+
     def run(batches):
         for batch in batches:
             for piece in slices(batch, 2, 1 << 20):
-                n, node, bands, sketch = signatures(shingle_sets(utf8(piece.column(2).to_pylist()), width))
+                sets = shingle_sets(utf8(piece.column(2).to_pylist()), width)
+                n, node, bands, sketch = signatures(sets, count, band_rows)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(n), pa.array(node.view(np.int64)),
                      pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
@@ -218,12 +226,12 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float):
         yield from pairs(pa.concat_tables(held))
 
 
-def near_duplicates(df: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     ensure_checkpoint_dir(df.sparkSession)
     threshold = percent / 100
     docs = keyed(df)
-    rows = signature_table(docs, width).checkpoint()
+    rows = signature_table(docs, width, percent).checkpoint()
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
     nodes = rows.select("key", "node", "n", "bands", "sketch").join(nodes.select("key", "node"), ["key", "node"]).dropDuplicates(["node"])
     places = nodes.select("node", F.explode("bands").alias("band"))
@@ -254,7 +262,7 @@ def near_duplicates(df: DataFrame, width: int = 3, percent: int = 85) -> DataFra
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def kept_documents(df: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
+def kept_documents(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, one of each component, with all columns."""
     keep = near_duplicates(df, width, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     return df.join(keep, df["doc_id"].eqNullSafe(keep["_kept_id"])).drop("_kept_id")

@@ -8,12 +8,14 @@ Newton step needs only the tilted words of a source. These sums are aggregated f
 once (with map-side partial sums); the steps run as an expression on that table, one row a source.
 Rates are rounded into copies by a running total: documents of a source stand in a fixed random
 order and get one copy more while the total, counting half of the document itself, stays within the
-target: a source misses its target by at most half a document. The total is taken in two levels of hash buckets, so no task orders a whole source.
+target: a source misses its target by at most half a document. The total is taken over hash buckets, then
+over finer buckets of the one where it passes the target, so no task orders a whole source. What
+remains is one row a source, which is joined to the documents.
 
 The single-task windows see one row per source; sources are the settings of a mix, not data.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source, sorted last;
-rows with equal or null doc_id are separate documents; a source without words has target 0; an
+rows with a null doc_id are documents like others; rows equal in doc_id and text get equal copies; a source without words has target 0; an
 empty table gives an empty table.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.llm._common import WORD
+from veil.session import ensure_checkpoint_dir
 
 WEIGHTS, SHARE, CAP, STEPS = (5, 2, 1), 1.5, 2.0, 100
 
@@ -70,60 +73,86 @@ def newton_multiplier(words: Column, target: Column, steps: int = STEPS) -> Colu
                   F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
 
 
-def mix_copies(df: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP,
-               keep: list[str] | None = None) -> DataFrame:
-    """Every document with size, source_size, target, rate (expected copies), copies and taken words.
-
-    ``keep`` names columns of ``df`` to carry along; by default doc_id and source.
-    """
-    keep = ["doc_id", "source"] if keep is None else keep
-    docs = df.select(*keep, *[c for c in ("source",) if c not in keep], text_size(F.col("text")).alias("size"),
-                     F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("h"))
-    targets = source_targets(docs.select("source", "size"), weights, share, cap)
-    rates = targets.select(
-        F.col("source").alias("s"), "source_size", "target",
+def mix_plan(slim: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """One row a source: size, target, rate, whole copies, and up to which place of the source's order a
+    document gets one copy more. ``slim`` has source, size and h, which fixes the order."""
+    targets = source_targets(slim.select("source", "size"), weights, share, cap)
+    plan = targets.select(
+        "source", "source_size", "target",
         F.coalesce(F.exp(newton_multiplier(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0))
         .alias("rate"))
-    # the rate's whole copies, and how many words the additional copies may take
-    rates = rates.withColumn("rate", F.least(F.lit(float(cap)), F.when(
+    # Newton's steps end within rounding of a whole rate
+    plan = plan.withColumn("rate", F.least(F.lit(float(cap)), F.when(
         F.abs(F.col("rate") - F.rint("rate")) < 1e-9, F.rint("rate")).otherwise(F.col("rate"))))
-    rates = rates.withColumn("whole", F.floor("rate")).withColumn(
-        "more", F.rint((F.col("rate") - F.col("whole")) * F.col("source_size")).cast("long"))
-    b1, b2 = F.pmod(F.col("h"), F.lit(BUCKETS)), F.pmod(F.shiftright("h", 16), F.lit(BUCKETS))
-    docs = docs.withColumn("b1", b1).withColumn("b2", b2)
-    # words of each bucket, and the running total before it
-    level1 = _before(docs.groupBy(F.col("source").alias("s"), "b1").agg(F.sum("size").alias("w")), ["s"], "b1")
-    full = level1.join(rates, level1.s.eqNullSafe(rates.s)).select(
-        level1.s.alias("s1"), F.col("b1").alias("k1"), "source_size", "target", "rate", "whole",
-        (F.col("more") - F.col("before")).alias("room"), "w")
-    placed = docs.join(full, docs.source.eqNullSafe(F.col("s1")) & (F.col("b1") == F.col("k1")))
-    # only the bucket in which the total crosses the target is looked at more closely
-    edge = (F.col("room") > 0) & (F.col("room") < F.col("w"))
-    level2 = _before(placed.where(edge).groupBy(F.col("source").alias("s2"), F.col("b1").alias("e1"), F.col("b2").alias("k2"))
-                     .agg(F.sum("size").alias("w2"), F.min("room").alias("room2")), ["s2", "e1"], "k2", "w2")
-    level2 = level2.select("s2", "e1", "k2", "w2", (F.col("room2") - F.col("before")).alias("room3"))
-    inner = placed.where(edge).join(level2, F.col("source").eqNullSafe(F.col("s2")) & (F.col("b1") == F.col("e1"))
-                                    & (F.col("b2") == F.col("k2")))
-    line = Window.partitionBy("source", "b1", "b2").orderBy("h", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    carried = [*dict.fromkeys([*keep, "source"])]
-    inner = inner.withColumn("extra", (2 * F.sum("size").over(line) - F.col("size") <= 2 * F.col("room3")).cast("int"))
-    outer = placed.where(~edge).withColumn("extra", (F.col("room") >= F.greatest("w", F.lit(1))).cast("int"))
-    columns = [*carried, "size", "source_size", "target", "rate", "whole", "extra"]
-    both = outer.select(*columns).unionByName(inner.select(*columns))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(F.lit(0))
-    return both.select(*carried, "size", "source_size", "target", "rate", copies.cast("int").alias("copies"),
-                       (F.col("size") * copies).cast("long").alias("taken"))
-
-
-def _before(sums: DataFrame, groups: list[str], order: str, value: str = "w") -> DataFrame:
-    """The running total of a group's buckets before each; a group has at most ``BUCKETS`` rows."""
-    w = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sums.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    plan = plan.withColumn("whole", F.floor("rate")).withColumn(
+        "room", F.rint((F.col("rate") - F.col("whole")) * F.col("source_size")).cast("long"))
+    rows = slim.select(F.col("source").alias("s"), "size", "h", *_buckets(F.col("h")))
+    # first the bucket, then the finer bucket in which the running total passes the room that is left
+    level1 = _edge(rows.groupBy("s", "b1").agg(F.sum("size").alias("w")), plan, "b1", "e1")
+    inside = rows.join(level1.select(F.col("source").alias("s1"), "e1"), F.col("s").eqNullSafe(F.col("s1"))
+                       & (F.col("b1") == F.col("e1"))).select("s", "b2", "h", "size")
+    level2 = _edge(inside.groupBy("s", "b2").agg(F.sum("size").alias("w")), level1, "b2", "e2")
+    last = inside.join(level2.select(F.col("source").alias("s2"), "e2", "room"), F.col("s").eqNullSafe(F.col("s2"))
+                       & (F.col("b2") == F.col("e2")))
+    line = Window.partitionBy("s").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = last.withColumn("half", 2 * F.sum("size").over(line) - F.col("size"))
+    cut = last.where(F.col("half") <= 2 * F.col("room")).groupBy("s").agg(F.max("h").alias("cut"))
+    return level2.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "source_size", "target", "rate", "whole", "e1", "e2", "cut")
+
+
+def _buckets(h: Column) -> list[Column]:
+    return [F.pmod(h, F.lit(BUCKETS)).alias("b1"), F.pmod(F.shiftright(h, 16), F.lit(BUCKETS)).alias("b2")]
+
+
+def _edge(sums: DataFrame, plan: DataFrame, bucket: str, name: str) -> DataFrame:
+    """For every source the first bucket that the room doesn't hold whole, and the room left there
+    (no bucket and so a number behind all if it holds all). A source has at most ``BUCKETS`` rows."""
+    line = Window.partitionBy("s").orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = sums.withColumn("upto", F.sum("w").over(line))
+    first = (sums.join(plan.select("source", "room"), F.col("s").eqNullSafe(F.col("source")))
+             .where(F.col("upto") > F.col("room"))
+             .groupBy("s").agg(F.min(F.struct(bucket, (F.col("room") - F.col("upto") + F.col("w")).alias("left"))).alias("f")))
+    return plan.withColumnRenamed("room", "_room").join(first, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        *[c for c in plan.columns if c != "room"], F.coalesce(F.col(f"f.{bucket}"), F.lit(BUCKETS)).alias(name),
+        F.coalesce("f.left", F.lit(0)).alias("room"))
+
+
+#: Sources up to which the plan is broadcast; a longer one is joined by a shuffle.
+BROADCAST_SOURCES = 10_000
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row (with source, size and h) with its source's figures, copies and taken words."""
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    plan = plan.withColumnRenamed("source", "_source")
+    rows = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
+    b1, b2 = _buckets(F.col("h"))
+    extra = (b1 < F.col("e1")) | ((b1 == F.col("e1")) & (
+        (b2 < F.col("e2")) | ((b2 == F.col("e2")) & F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)))))
+    copies = F.when(F.col("size") > 0, F.col("whole") + extra.cast("int")).otherwise(F.lit(0)).cast("int")
+    return rows.withColumn("copies", copies).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+
+
+def _place(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("string"), text)
+
+
+def mix_copies(df: DataFrame, **settings) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies and taken words of every document."""
+    ensure_checkpoint_dir(df.sparkSession)
+    slim = df.select("doc_id", "source", text_size(F.col("text")).alias("size"),
+                     _place(F.col("doc_id"), F.col("text")).alias("h")).checkpoint()
+    plan = mix_plan(slim, **settings).checkpoint()
+    return _with_plan(slim, plan).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
 
 def mixed_documents(df: DataFrame, **settings) -> DataFrame:
-    """The mix itself: every document as often as it has copies, with all its columns."""
-    out = mix_copies(df, keep=df.columns, **settings)
-    return out.where(F.col("copies") > 0).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
+    """The mix itself: every document as often as it has copies, with all its columns. The texts stay
+    where they are read; only the plan (one row a source) is brought to them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    size, place = text_size(F.col("text")).alias("size"), _place(F.col("doc_id"), F.col("text")).alias("h")
+    plan = mix_plan(df.select("source", size, place).checkpoint(), **settings).checkpoint()
+    rows = df.select(F.struct(*df.columns).alias("row"), "source", size, place)
+    out = _with_plan(rows, plan).where(F.col("copies") > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

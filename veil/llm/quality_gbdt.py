@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import bounded_sample, documents, flat, fold, map_documents, utf8
+from veil.llm._common import bounded_sample, documents, flat, fold, map_documents, slices, utf8
 
 FEATURES = [
     "log_words", "mean_word_bytes", "longest_word", "distinct_words", "same_as_before", "upper", "digits", "symbols",
@@ -178,6 +178,21 @@ def score_documents(docs: DataFrame, forest: Forest) -> DataFrame:
     return map_documents(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accepted_documents(df: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``df`` that score ``threshold`` or more, with all columns and without a shuffle."""
+    at = df.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for piece in slices(batch, at):
+                ok = forest.score(statistics(piece.column(at).to_pylist())) >= threshold
+                yield piece.filter(pa.array(ok))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, held: int = 0,
                    sample_rows: int = 8192) -> DataFrame:
     """Score every document; labels of the held-out fold are not learned from."""

@@ -57,7 +57,7 @@ def op9_mixing(spark, sf_dir):
 
 
 def op10_near_dedup(spark, sf_dir):
-    return minhash_odd.near_duplicates(_t(spark, sf_dir, "documents"))
+    return minhash_odd.near_duplicates(_t(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.llm._common import documents, flat, slices, utf8
@@ -171,10 +171,15 @@ def segments(blobs: list[bytes], unit: Unit, hot: np.ndarray):
             a, b, first)
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """The hash that a row is known by."""
+    return F.xxhash64(doc_id.cast("string"), F.coalesce(text, F.lit("")))
+
+
 def keyed(df: DataFrame) -> DataFrame:
     """key, doc_id and text (null as empty)."""
-    docs = documents(df).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.select(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")).alias("key"), "doc_id", "text")
+    return documents(df).select(document_key(F.col("doc_id"), F.col("text")).alias("key"), "doc_id",
+                                F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _long(a: np.ndarray) -> pa.Array:

@@ -23,10 +23,12 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from veil.llm._common import flat, sha256_hex
-from veil.llm.repeats import Unit, covered, keyed, mix, union_mask, with_covered
+from veil.llm._common import flat, sha256_hex, slices
+from veil.llm.repeats import Unit, covered, document_key, keyed, mix, with_covered
 
 BYTES, ROUTE = 200, 32
 
@@ -214,6 +216,32 @@ def removed_bytes(df: DataFrame, length: int = BYTES) -> DataFrame:
     return with_covered(docs, covered(docs, unit, lambda r, t, w: index_bytes(r, t, w, length)))
 
 
+def dedup_texts(df: DataFrame, length: int = BYTES) -> DataFrame:
+    """``df`` with the repeated bytes taken out of ``text`` (cut characters go whole), all columns
+    kept; ``n_chars``, where there is one, follows."""
+    unit = Unit(False, length, min(ROUTE, length))
+    found = covered(keyed(df), unit, lambda r, t, w: index_bytes(r, t, w, length))
+    spans = found.groupBy("key").agg(F.collect_set(F.struct("doc_id", "start", "end")).alias("_spans"))
+    rows = df.withColumn("_key", document_key(F.col("doc_id"), F.col("text"))).join(
+        spans, F.col("_key") == F.col("key"), "left").select(*df.columns, F.filter(
+            "_spans", lambda s: s.getField("doc_id").eqNullSafe(F.col("doc_id"))).alias("_spans"))
+    at, width = df.columns.index("text"), len(df.columns)
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, at):
+                texts = [None if t is None else _kept(t, s)[3].decode("utf-8", "ignore")
+                         for t, s in zip(piece.column(at).to_pylist(), piece.column(width).to_pylist())]
+                columns = [*piece.columns[:width]]
+                columns[at] = pa.array(texts, columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names[:width])
+
+    out = rows.mapInArrow(run, df.schema)
+    if "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
+    return out
+
+
 def _merge(spans) -> list[tuple[int, int]]:
     """The maximal runs that the spans cover; touching spans are one run."""
     out: list[list[int]] = []
@@ -237,10 +265,6 @@ def _kept(text: str | None, spans) -> tuple[int, int, int, bytes]:
 
 def _assemble(found: DataFrame, column: str, show) -> DataFrame:
     def run(batches):
-        import pyarrow as pa
-
-        from veil.llm._common import slices
-
         name, kind = column.split()
         for batch in batches:
             for piece in slices(batch):
