@@ -264,5 +264,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 def kept_documents(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, one of each component, with all columns."""
-    keep = near_duplicates(df, width, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return df.join(keep, df["doc_id"].eqNullSafe(keep["_kept_id"])).drop("_kept_id")
+    kept = near_duplicates(df, width, percent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
+    kept = kept.select(F.col("doc_id").alias("_id"), "m").checkpoint()
+
+    def of(ids: DataFrame) -> DataFrame:
+        return df.join(ids, df["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+
+    again = kept.where("m > 1")
+    if again.isEmpty():
+        return of(kept)
+    return of(kept.where("m = 1")).unionByName(of(again).dropDuplicates(["doc_id"]))  # rows sharing an id

@@ -7,10 +7,10 @@ multiplier per source, document rates are ``q * exp(multiplier)`` for a base rat
 Newton step needs only the tilted words of a source. These sums are aggregated from all documents
 once (with map-side partial sums); the steps run as an expression on that table, one row a source.
 Rates are rounded into copies by a running total: documents of a source stand in a fixed random
-order and get one copy more while the total, counting half of the document itself, stays within the
-target: a source misses its target by at most half a document. The total is taken over hash buckets, then
-over finer buckets of the one where it passes the target, so no task orders a whole source. What
-remains is one row a source, which is joined to the documents.
+order and get one copy more while the total stays within the target; then FILLS times the largest
+document that still fits. The total is taken over hash buckets, then over finer buckets of the one where
+it passes the target, so no task orders a whole source. What remains is one row a source, which is
+joined to the documents.
 
 The single-task windows see one row per source; sources are the settings of a mix, not data.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from veil.llm._common import WORD
 from veil.session import ensure_checkpoint_dir
 
-WEIGHTS, SHARE, CAP, STEPS = (5, 2, 1), 1.5, 2.0, 100
+WEIGHTS, SHARE, CAP, STEPS, FILLS = (5, 2, 1), 1.5, 2.0, 100, 2
 
 #: Hash buckets of each of the two levels of the running total.
 BUCKETS = 4096
@@ -95,10 +95,27 @@ def mix_plan(slim: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     last = inside.join(level2.select(F.col("source").alias("s2"), "e2", "room"), F.col("s").eqNullSafe(F.col("s2"))
                        & (F.col("b2") == F.col("e2")))
     line = Window.partitionBy("s").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = last.withColumn("half", 2 * F.sum("size").over(line) - F.col("size"))
-    cut = last.where(F.col("half") <= 2 * F.col("room")).groupBy("s").agg(F.max("h").alias("cut"))
-    return level2.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "rate", "whole", "e1", "e2", "cut")
+    cut = last.withColumn("upto", F.sum("size").over(line)).where(F.col("upto") <= F.col("room")).groupBy("s").agg(
+        F.max("h").alias("cut"))
+    ends = level2.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "source_size", "target", "rate", "whole", "e1", "e2", "cut", F.array().cast("array<long>").alias("fills"))
+    for _ in range(FILLS):
+        ends = _fill(slim, ends.checkpoint())
+    return ends
+
+
+def _fill(slim: DataFrame, plan: DataFrame) -> DataFrame:
+    """One more document a source: the largest that the words still missing have room for."""
+    rows = _joined(slim.select("source", "size", "h"), plan)
+    used = rows.groupBy("_source").agg(F.sum(F.when(_extra(), F.col("size")).otherwise(0)).alias("used"))
+    missing = plan.join(used, F.col("source").eqNullSafe(F.col("_source"))).select(
+        *plan.columns, (F.rint((F.col("rate") - F.col("whole")) * F.col("source_size")) - F.col("used")).alias("gap"))
+    rows = _joined(slim.select("source", "size", "h"), missing.checkpoint()).where(
+        ~_extra() & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    best = rows.groupBy(F.col("_source").alias("s")).agg(F.max(F.struct("size", "h")).alias("best"))
+    return plan.join(best, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        *[c for c in plan.columns if c != "fills"],
+        F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("best.h"))).alias("fills"))
 
 
 def _buckets(h: Column) -> list[Column]:
@@ -122,15 +139,25 @@ def _edge(sums: DataFrame, plan: DataFrame, bucket: str, name: str) -> DataFrame
 BROADCAST_SOURCES = 10_000
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each row (with source, size and h) with its source's figures, copies and taken words."""
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row with its source's plan."""
     few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     plan = plan.withColumnRenamed("source", "_source")
-    rows = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
+    return rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("_source")))
+
+
+def _extra() -> Column:
+    """Whether a document stands before its source's end, or was filled in."""
     b1, b2 = _buckets(F.col("h"))
-    extra = (b1 < F.col("e1")) | ((b1 == F.col("e1")) & (
+    before = (b1 < F.col("e1")) | ((b1 == F.col("e1")) & (
         (b2 < F.col("e2")) | ((b2 == F.col("e2")) & F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)))))
-    copies = F.when(F.col("size") > 0, F.col("whole") + extra.cast("int")).otherwise(F.lit(0)).cast("int")
+    return before | F.array_contains("fills", F.col("h"))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row (with source, size and h) with its source's figures, copies and taken words."""
+    rows = _joined(rows, plan)
+    copies = F.when(F.col("size") > 0, F.col("whole") + _extra().cast("int")).otherwise(F.lit(0)).cast("int")
     return rows.withColumn("copies", copies).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 

@@ -222,10 +222,12 @@ def dedup_texts(df: DataFrame, length: int = BYTES) -> DataFrame:
     unit = Unit(False, length, min(ROUTE, length))
     found = covered(keyed(df), unit, lambda r, t, w: index_bytes(r, t, w, length))
     spans = found.groupBy("key").agg(F.collect_set(F.struct("doc_id", "start", "end")).alias("_spans"))
-    rows = df.withColumn("_key", document_key(F.col("doc_id"), F.col("text"))).join(
-        spans, F.col("_key") == F.col("key"), "left").select(*df.columns, F.filter(
-            "_spans", lambda s: s.getField("doc_id").eqNullSafe(F.col("doc_id"))).alias("_spans"))
-    at, width = df.columns.index("text"), len(df.columns)
+    row, doc_id = F.struct(*df.columns).alias("row"), F.col("doc_id").alias("id")
+    rows = df.select(row, doc_id, document_key(F.col("doc_id"), F.col("text")).alias("k")).join(
+        spans, F.col("k") == F.col("key"), "left").select(
+            *[F.col("row").getField(c).alias(f"c{i}") for i, c in enumerate(df.columns)],
+            F.filter("_spans", lambda s: s.getField("doc_id").eqNullSafe(F.col("id"))).alias("spans"))
+    at, width, names = df.columns.index("text"), len(df.columns), df.columns
 
     def run(batches):
         for batch in batches:
@@ -234,7 +236,7 @@ def dedup_texts(df: DataFrame, length: int = BYTES) -> DataFrame:
                          for t, s in zip(piece.column(at).to_pylist(), piece.column(width).to_pylist())]
                 columns = [*piece.columns[:width]]
                 columns[at] = pa.array(texts, columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names[:width])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = rows.mapInArrow(run, df.schema)
     if "n_chars" in df.columns:

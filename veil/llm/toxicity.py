@@ -3,10 +3,11 @@
 A word's vector is the average of the embeddings of its character n-grams and of the whole word, so
 a misspelling that shares n-grams with known words gets a near vector. Two classes, one linear
 softmax. Embeddings and softmax weights are trained together on the driver from a bounded sample of
-labelled documents (``sample_rows``). A document is a bag of words of which one is enough: its
-score pools the strongest word. Training alternates: words of a toxic document that score low are
-taken out of its positives, words of clean documents always are negatives. A last logistic step
-maps the strongest word's margin to the document's probability.
+labelled documents (``sample_rows``, half of them toxic if there are so many). A document is a bag of
+words of which few are enough: its score pools the TOP strongest ones. Training alternates: words of
+a toxic document that score low are taken out of its positives, words of clean documents always are
+negatives. A last logistic step maps the strongest words' margins to the document's probability; its
+offset is set back from the sample's share of toxic documents to that of all labels.
 
 Scoring keeps a bounded table of words already scored and needs no shuffle.
 
@@ -17,6 +18,9 @@ their maximum; very long texts are read whole; an empty table gives an empty tab
 
 from __future__ import annotations
 
+import heapq
+import zlib
+
 import numpy as np
 import regex
 from pyspark.sql import Column, DataFrame
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from veil.llm._common import fold, map_documents
 from veil.llm.quality_gbdt import labelled
 
-BUCKETS, WIDTH, NGRAMS = 1 << 17, 4, (3, 4, 5)
+BUCKETS, WIDTH, NGRAMS, TOP = 1 << 18, 4, (3, 4, 5, 6), 3
 
 #: Words whose score a task keeps at hand.
 TABLE_ROWS = 300_000
@@ -75,7 +79,7 @@ def subwords(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class SubwordSoftmax:
     """Margin (toxic against clean) of a word, and the probability of a document."""
 
-    def __init__(self, margins: np.ndarray, bias: float, slope: float, offset: float):
+    def __init__(self, margins: np.ndarray, bias: float, slope: np.ndarray, offset: float):
         self.margins, self.bias, self.slope, self.offset = margins.astype(np.float32), bias, slope, offset
 
     def word_margins(self, vocabulary: list[str]) -> np.ndarray:
@@ -86,19 +90,29 @@ class SubwordSoftmax:
         return np.bincount(o, self.margins[b], n) / np.bincount(o, minlength=n) + self.bias
 
     def probability(self, strongest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * strongest + self.offset, -30, 30)))
+        """From rows of the TOP largest margins of documents."""
+        return 1 / (1 + np.exp(-np.clip(strongest @ self.slope + self.offset, -30, 30)))
 
 
-#: Margin taken for a document without words.
+#: Margin taken for each word that a document lacks.
 NO_WORD = -20.0
 
 
+def strongest(margins: list[list[float]]) -> np.ndarray:
+    """The TOP largest margins of each document, largest first."""
+    out = np.full((len(margins), TOP), NO_WORD)
+    for row, m in zip(out, margins):
+        best = heapq.nlargest(TOP, m)
+        row[:len(best)] = best
+    return np.clip(out, NO_WORD, -NO_WORD)
+
+
 def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int = 25, rate: float = 0.08,
-          seed: int = 7) -> SubwordSoftmax:
+          seed: int = 7, share: float | None = None) -> SubwordSoftmax:
     """Embeddings and softmax weights by Adam on the word bags of three documents in four; the rest
     fit the document's logistic step, so that words never seen count as they will when scoring."""
     if not len(y) or y.min() == y.max():
-        return SubwordSoftmax(np.zeros(BUCKETS), 0.0, 0.0, -30.0)
+        return SubwordSoftmax(np.zeros(BUCKETS), 0.0, np.zeros(TOP), -30.0)
     all_bags, all_y = [sorted(words(t)) for t in texts], y
     rest = np.arange(len(y)) % 4 == 3
     if min((rest & (y > 0.5)).sum(), (rest & (y <= 0.5)).sum(), (~rest & (y > 0.5)).sum(), (~rest & (y <= 0.5)).sum()) < 2:
@@ -155,32 +169,48 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int =
         positive = toxic & (margin[word] >= np.minimum(best[doc], np.maximum(best[doc] * 0.5, 0)))
     margins = np.zeros(BUCKETS, np.float32)
     margins[seen] = emb @ (out[:, 1] - out[:, 0])
-    model = SubwordSoftmax(margins, float(bias[1] - bias[0]), 1.0, 0.0)
+    model = SubwordSoftmax(margins, float(bias[1] - bias[0]), np.zeros(TOP), 0.0)
     held = [(b, v) for b, v, r in zip(all_bags, all_y, rest) if r] or list(zip(bags, y))
-    best = np.array([model.word_margins(b).max() if b else NO_WORD for b, _ in held])
+    best = strongest([model.word_margins(b).tolist() for b, _ in held])
     model.slope, model.offset = _logistic(best, np.array([v for _, v in held]))
+    if share is not None:
+        here = np.clip(all_y.mean(), 1e-6, 1 - 1e-6)
+        model.offset += np.log(share / (1 - share)) - np.log(here / (1 - here))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Newton fit of P(y) = s(slope * x + offset), slightly regularised."""
-    w = np.array([1.0, 0.0])
-    a = np.stack([x, np.ones_like(x)], 1)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + 1e-2 * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        w = w - np.clip(step, -1, 1)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(w[0], 0.0)), float(w[1])
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Newton fit of P(y) = s(x @ slope + offset), slightly regularised; no slope is negative."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        a = np.concatenate([x[:, use], np.ones((len(x), 1))], 1)
+        w = np.zeros(a.shape[1])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            g = a.T @ (p - y) + 1e-2 * w
+            h = (a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(a.shape[1])
+            step = np.linalg.solve(h, g)
+            w = w - np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-8:
+                break
+        if (w[:-1] >= 0).all():
+            slope = np.zeros(x.shape[1])
+            slope[use] = w[:-1]
+            return slope, float(w[-1])
+        use[np.flatnonzero(use)[w[:-1] < 0]] = False
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None,
         sample_rows: int = 2048) -> SubwordSoftmax:
     """Train on at most ``sample_rows`` labelled documents."""
-    sample = labelled(docs, labels, label, F.lit(True) if learn is None else learn, sample_rows)
+    usable = labels.where(F.lit(True) if learn is None else learn).where(
+        F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
+    counts = usable.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) > 0).alias("toxic")).first()
+    if not counts.toxic or counts.toxic == counts.n:
+        return train([], np.zeros(0))
+    toxic = min(counts.toxic, sample_rows // 2)
+    sample = (labelled(docs, usable.where(F.col(label) > 0), label, F.lit(True), toxic)
+              .unionByName(labelled(docs, usable.where(F.col(label) <= 0), label, F.lit(True), sample_rows - toxic)))
 
     def run(batches):
         import pyarrow as pa
@@ -192,7 +222,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = sorted(sample.mapInArrow(run, f"doc_id {kind}, y double, bag string").collect())  # sample_rows at most
-    return train([r.bag for r in got], np.array([r.y for r in got]))
+    got.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
+    return train([r.bag for r in got], np.array([r.y for r in got]), share=counts.toxic / counts.n)
 
 
 def score_documents(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
@@ -207,8 +238,7 @@ def score_documents(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
                 known.clear()
                 new = sorted(set().union(*bags))
             known.update(zip(new, model.word_margins(new).tolist()))
-            best = np.array([max(map(known.__getitem__, b)) if b else NO_WORD for b in bags])
-            return ids, model.probability(best)
+            return ids, model.probability(strongest([list(map(known.__getitem__, b)) for b in bags]))
         return run
 
     return map_documents(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
