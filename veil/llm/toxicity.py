@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the average of the embeddings of its character n-grams and of the whole word, so
+A word's vector is the average of the embeddings of its character n-grams, its first letters and the whole word, so
 a misspelling that shares n-grams with known words gets a near vector. Two classes, one linear
 softmax. Embeddings and softmax weights are trained together on the driver from a bounded sample of
 labelled documents (``sample_rows``, half of them toxic if there are so many). A document is a bag of
@@ -29,12 +29,16 @@ from pyspark.sql import functions as F
 from veil.llm._common import fold, map_documents
 from veil.llm.quality_gbdt import labelled
 
-BUCKETS, WIDTH, NGRAMS, TOP = 1 << 18, 4, (3, 4, 5, 6), 3
+BUCKETS, WIDTH, NGRAMS, PREFIXES, TOP = 1 << 18, 2, (3, 4, 5), (5, 6, 7, 8, 9), 3
+
+#: A word counts as if PRIOR more documents of the usual toxicity held it; a subword is learned from
+#: SHARED documents on.
+PRIOR, SHARED = 2.0, 3
 
 #: Words whose score a task keeps at hand.
 TABLE_ROWS = 300_000
 
-_WORDS = regex.compile(r"[\p{L}\p{N}'@$]+")
+_WORDS = regex.compile(r"[\p{L}'@$]*\p{L}[\p{L}\p{N}'@$]*")
 
 
 def words(text: str | None) -> set[str]:
@@ -63,13 +67,21 @@ def subwords(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = owner[:m] == owner[n - 1:]
         buckets.append(_hash(h[inside]))
         owners.append(owner[:m][inside])
-    h, step = np.zeros(len(marked), np.uint64), np.uint64(1)  # the whole word
+    first = np.cumsum(sizes) - sizes
+    for n in PREFIXES:  # longer n-grams at the word's beginning, where stems stand
+        long = np.flatnonzero(sizes >= n)
+        h = np.full(len(long), 1000 + n, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[first[long] + k]
+        buckets.append(_hash(h))
+        owners.append(long)
+    h = np.zeros(len(marked), np.uint64)  # the whole word
     power = np.ones(int(sizes.max(initial=0)) + 1, np.uint64)
     power[1:] = np.uint64(0xD6E8FEB86659FD93)
     power = np.cumprod(power, dtype=np.uint64)
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     if len(codes):
-        h = np.add.reduceat(codes * power[np.arange(len(codes)) - first], np.cumsum(sizes) - sizes) * step
+        place = np.arange(len(codes)) - np.repeat(first, sizes)
+        h = np.add.reduceat(codes * power[place], first)
     buckets.append(_hash(h))
     owners.append(np.arange(len(marked)))
     b, o = np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
@@ -124,8 +136,11 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int =
     word = np.array([index[w] for b in bags for w in b], np.int64)
     n = len(vocabulary)
     b, o = subwords(vocabulary)
-    seen, b = np.unique(b, return_inverse=True)
     many = np.bincount(o, minlength=n)[:, None].astype(np.float32)
+    # what fewer than SHARED documents hold is noise: such n-grams and words keep a zero vector
+    number = np.bincount(b, np.bincount(word, minlength=n)[o], BUCKETS)
+    b, o = b[number[b] >= SHARED], o[number[b] >= SHARED]
+    seen, b = np.unique(b, return_inverse=True)
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (len(seen), WIDTH)).astype(np.float32)
     out = np.zeros((WIDTH, 2), np.float32)
@@ -145,8 +160,8 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int =
         return np.stack([np.bincount(o, emb[b, k], n) for k in range(WIDTH)], 1).astype(np.float32) / many
 
     for _ in range(rounds):
-        bad = np.bincount(word[positive], minlength=n).astype(np.float32)
-        total = bad + clean
+        bad = np.bincount(word[positive], minlength=n).astype(np.float32) + PRIOR * y.mean()
+        total = np.bincount(word[positive], minlength=n) + clean + PRIOR
         weight = np.sqrt(total) / np.maximum(total, 1)  # a word's weight grows as the root of its documents
         for _ in range(steps):
             t += 1
