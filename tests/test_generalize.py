@@ -168,3 +168,20 @@ def test_fit_matches_pandas_cut_on_random_ranges():
             except ValueError:
                 theirs = None
         assert ours == theirs, (vals[:3], bins, il)
+
+
+@pytest.mark.parametrize("bins", [65, 999, 3000, 20_000])
+def test_any_number_of_bins(spark, bins):
+    """The bin index holds for many bins too, also where values lie on the edges."""
+    import bisect
+    import random
+
+    from veil.functions.binning import fit, midpoint
+
+    rng = random.Random(bins)
+    for mn, mx in ((0.0, float(bins)), (-999.99, 9999.99), (1e6, 1e6 + 1)):
+        b = fit(mn, mx, bins)
+        values = [mn, mx] + [rng.uniform(mn, mx) for _ in range(500)] + rng.sample(list(b.edges[1:]), 200)
+        want = [b.mids[max(bisect.bisect_left(b.edges, v), 1) - 1] for v in values]
+        df = spark.createDataFrame([(float(v), w) for v, w in zip(values, want)], "v double, w double")
+        assert df.where(midpoint(F.col("v"), b) != F.col("w")).count() == 0

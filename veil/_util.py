@@ -47,6 +47,17 @@ def family(dt: T.DataType) -> str:
     return dt.simpleString()
 
 
+def is_hashable(dt: T.DataType) -> bool:
+    """Whether Spark can hash the type: maps and variants can't be, anywhere inside."""
+    if isinstance(dt, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(dt, T.ArrayType):
+        return is_hashable(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return all(is_hashable(f.dataType) for f in dt.fields)
+    return True
+
+
 def reject_nested(dt: T.DataType, column: str) -> None:
     if isinstance(dt, NESTED):
         raise TypeError(f"Column '{column}' has nested type {dt.simpleString()}; only flat columns can be transformed.")

@@ -3,8 +3,11 @@
 Edges come from the column's min and max (``n + 1`` numbers, computed on the driver); each row is
 replaced by the midpoint of its bin's *label* interval, whose edges are rounded to 3 significant
 fraction digits (more if needed to keep them distinct). Rows are assigned to bins by the unrounded
-edges, right-closed. Everything per row is a native expression: a CASE chain for few bins, an
-arithmetic bin index with a one-step correction against literal edge arrays for many.
+edges, right-closed. Everything per row is a native expression, the same for any number of bins: an
+arithmetic bin index from the unshifted start and width, corrected by one step against the edges
+(the division is off by at most one bin), then a look-up in the array of midpoints.
+
+The edge and label recipe reproduces the numbers of pandas.cut and numpy.linspace (BSD 3-Clause).
 """
 
 from __future__ import annotations
@@ -15,8 +18,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CASE_CHAIN_MAX_BINS = 64
-
 # Fixed values of pandas.cut, which the midpoints must reproduce exactly: the range is widened by
 # 0.1% (0.001) of itself (or of |x|, or by 0.001 when the range is 0); labels are rounded to 3
 # significant fraction digits, raised one at a time below 20 until they are distinct.
@@ -97,6 +98,8 @@ class Bins:
     mids: tuple[float, ...]
     include_lowest: bool
     precision: int
+    start: float  # edge i is i * step + start, but for the lowered first and the exact last one
+    step: float
 
     @property
     def n(self) -> int:
@@ -120,29 +123,25 @@ def fit(mn: float, mx: float, bins: int, include_lowest: bool = True) -> Bins:
     if not all(math.isfinite(x) for x in breaks):
         raise ValueError("Bin labels cannot be formed for this range (rounding overflows).")
     mids = tuple(0.5 * (breaks[i - 1] + breaks[i]) for i in range(1, len(breaks)))
-    return Bins(tuple(edges), mids, include_lowest, p)
+    start = edges[0] if mn == mx else float(mn)
+    return Bins(tuple(edges), mids, include_lowest, p, start, (edges[-1] - start) / bins)
 
 
 def midpoint(v: Column, b: Bins, clamp: bool = False) -> Column:
     """Midpoint of ``v``'s bin as a double; null for null or (unless ``clamp``) out-of-range values."""
-    e = b.edges
-    below = (v < e[0]) | ((v == e[0]) & F.lit(not b.include_lowest))
-    above = v > e[-1]
-    if b.n <= CASE_CHAIN_MAX_BINS:
-        chain = F.when(v.isNull(), F.lit(None).cast("double"))
-        chain = chain.when(below, F.lit(b.mids[0]) if clamp else F.lit(None).cast("double"))
-        for i in range(1, b.n + 1):
-            chain = chain.when(v <= e[i], F.lit(b.mids[i - 1]))
-        return chain.otherwise(F.lit(b.mids[-1]) if clamp else F.lit(None).cast("double"))
-    edges = F.array(*[F.lit(x) for x in e])
-    mids = F.array(*[F.lit(x) for x in b.mids])
-    guess = F.ceil((v - e[0]) / F.lit((e[-1] - e[0]) / b.n)).cast("int")
-    g = F.least(F.greatest(guess, F.lit(1)), F.lit(b.n))
-    # bin g covers (edges[g-1], edges[g]]; element_at is 1-based, so edges[g] is element g + 1
-    g = F.when(v > F.element_at(edges, g + 1), g + 1).when(v <= F.element_at(edges, g), g - 1).otherwise(g)
-    g = F.least(F.greatest(g, F.lit(1)), F.lit(b.n))
-    g = F.when(v > F.element_at(edges, g + 1), g + 1).when(v <= F.element_at(edges, g), g - 1).otherwise(g)
-    inside = F.element_at(mids, F.least(F.greatest(g, F.lit(1)), F.lit(b.n)))
+    n, first, last = b.n, b.edges[0], b.edges[-1]
+    below = (v < first) | ((v == first) & F.lit(not b.include_lowest))
+    above = v > last
+
+    def edge(i: Column) -> Column:
+        return F.when(i <= 0, F.lit(first)).when(i >= n, F.lit(last)).otherwise(i.cast("double") * b.step + b.start)
+
+    # one literal, folded once by the optimizer, however many bins there are
+    mids = F.split(F.lit(",".join(map(repr, b.mids))), ",").cast("array<double>")
+    guess = F.least(F.greatest(F.ceil((v - b.start) / b.step), F.lit(1)), F.lit(n)).cast("int")
+    # bin g covers (edge(g-1), edge(g)]
+    g = F.when(v > edge(guess), guess + 1).when(v <= edge(guess - 1), guess - 1).otherwise(guess)
+    inside = F.element_at(mids, F.least(F.greatest(g, F.lit(1)), F.lit(n)))
     out = F.when(v.isNull(), F.lit(None).cast("double"))
     if clamp:
         return out.when(below, F.lit(b.mids[0])).when(above, F.lit(b.mids[-1])).otherwise(inside)

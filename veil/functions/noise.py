@@ -40,4 +40,6 @@ def row_fingerprint(cols: list[Column]) -> list[Column]:
     Used when noise is keyed by the entire row: hashing a fingerprint keeps the sha256 input
     short however wide the row (long texts), at a collision chance of about n^2 / 2^97.
     """
+    if not cols:
+        raise ValueError("A row without hashable columns has no fingerprint; pass a key.")
     return [F.concat(F.xxhash64(*cols).cast("string"), F.lit("/"), F.hash(*cols).cast("string"))]

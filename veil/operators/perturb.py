@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import dtype_of, qcol, reject_nested
+from .._util import is_hashable, dtype_of, qcol, reject_nested
 from ..functions.hashing import secret_value
 from ..functions.noise import keyed_standard_normal, row_fingerprint
 from ..functions.text import key_text
@@ -51,7 +51,7 @@ def standard_noise(df: DataFrame, column: str, noise_std: float, random_state: i
     if noise_std == 0:
         return F.lit(0.0)
     if list(key) == list(df.columns):
-        keys = row_fingerprint([qcol(k) for k in key])
+        keys = row_fingerprint([qcol(k) for k in key if is_hashable(dtype_of(df, k))])
     else:
         keys = [key_text(qcol(k), dtype_of(df, k)) for k in key]
     return keyed_standard_normal(seed_value(df.sparkSession, random_state), column, keys)

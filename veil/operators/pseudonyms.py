@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import dtype_of, qcol, reject_nested
+from .._util import is_hashable, dtype_of, qcol, reject_nested
 from ..functions.hashing import new_secret, pseudonym_token, secret_value
 from ..plans.ranking import RankTable, dense_rank_mapping
 
@@ -64,7 +64,8 @@ def lookup(df: DataFrame, key: Column, ranks: RankTable, key_col: str, val_col:
     # the salt is a hash of the row, not rand(): a retried map task must send every row to the
     # same reducer as before. Rows identical in every column share a salt; AQE's skew split
     # (deterministic, by map-output ranges) handles a partition made hot by such copies.
-    row_hash = F.xxhash64(*[qcol(c) for c in df.columns])
+    # Columns that Spark can't hash (maps) are left out.
+    row_hash = F.xxhash64(*[qcol(f.name) for f in df.schema.fields if is_hashable(f.dataType)])
     out = out.withColumn("__sk", k).withColumn(
         "__salt", F.when(F.col("__sk").isNull(), F.pmod(row_hash, F.lit(salts)).cast("int") + 1).otherwise(F.lit(0)))
     m = ranks.data.select(F.col(key_col).alias("__ck"), F.col(val_col).alias("__cv"), F.col("__zero").alias("__csalt"))

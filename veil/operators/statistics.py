@@ -1,14 +1,13 @@
 """Per-column statistics, exact and distributed.
 
-One pass unpivots every column into ``(o, t, x)`` rows (ordinal, injective text, numeric value),
-aggregates them to distinct ``(o, value)`` pairs with their multiplicity (map-side combined, so a
-hot value costs one row per task) and writes that table as parquet into the shared checkpoint
-folder. Pass 1 gives per column the counts, the exact distinct count, sums, min and max (one row
-per column reaches the driver). Pass 2 gives the squared deviations for the sample std and, for
-columns with at most ``MEDIAN_MAP_LIMIT`` distinct numbers, the exact median from a bounded
-(value, frequency) map. Larger columns get the exact median by distributed selection over
-range-partitioned values, reading back only the partitions that hold the middle ranks. No
-column's values are gathered in one task or on the driver. ``approx=True`` swaps in
+One aggregate over the wide table gives counts, nulls, mean, min, max and the sample deviation of every
+column: no value is shuffled. Exact distinct counts and medians need each column's values brought
+together: cells are unpivoted into fixed-width keys (numbers as they are, texts as 128 bits of
+hash, so a long text travels as 16 bytes), reduced to distinct keys with their multiplicity (map-side
+combined: a hot value costs one row a task) and written to the shared checkpoint folder, which is
+removed again when the result is known. Medians are selected from range-partitioned values, reading
+back only the partitions that hold the middle ranks; the rule is the same for any number of values.
+No column's values are gathered in one task or on the driver. ``approx=True`` swaps in
 ``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
 """
 
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from .._util import INTEGRAL, local_frame, qcol
 from ..functions.text import key_text
 from ..metadata import NUMERIC, Metadata
-from ..plans.ranking import check_positions, materialize, running_offsets, sorted_positions
+from ..plans.ranking import check_positions, materialize, release_scratch, running_offsets, sorted_positions
 from .numeric import as_double
 
 SCHEMA = T.StructType([
@@ -29,13 +28,10 @@ SCHEMA = T.StructType([
     T.StructField("column", T.StringType(), False),
     T.StructField("type", T.StringType(), False),
 ])
-# Columns with at most this many distinct numbers get their exact median from a (value, frequency)
-# map in one aggregate; beyond it, from distributed selection over range-partitioned values.
-MEDIAN_MAP_LIMIT = 1_000_000
-
 SUMMARY = T.StructType([T.StructField(n, t) for n, t in (
     ("o", T.IntegerType()), ("count", T.LongType()), ("unique_count", T.LongType()), ("nulls", T.LongType()),
-    ("nx", T.LongType()), ("mean", T.DoubleType()), ("min", T.DoubleType()), ("max", T.DoubleType()))])
+    ("mean", T.DoubleType()), ("min", T.DoubleType()), ("max", T.DoubleType()), ("std", T.DoubleType()),
+    ("median", T.DoubleType()))])
 # approx=True: relative standard deviation of the distinct-count sketch (bounded HyperLogLog++ state)
 APPROX_RSD = 0.01
 
@@ -105,57 +101,44 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
         return _finish(df, metadata, stats)
 
     spark = df.sparkSession
-    pairs = materialize(long.groupBy("o", "k", "x", "t").agg(F.count(F.lit(1)).alias("c")), "stats-pairs")
-    present = F.col("k").isNotNull() | F.col("x").isNotNull() | F.col("t").isNotNull()
-    w = F.when(F.col("x").isNotNull(), F.col("c")).otherwise(F.lit(0))
-
-    # pass 1: per column - counts, exact distinct count, sums, min, max (one row per column)
-    summary = pairs.groupBy("o").agg(
-        F.sum(F.when(present, F.col("c"))).alias("count"),
-        F.count_if(present).alias("unique_count"),
-        F.sum(F.when(~present, F.col("c"))).alias("nulls"),
-        F.sum(w).alias("nx"),
-        F.count_if(F.col("x").isNotNull()).alias("ux"),
-        F.sum(F.col("x") * F.col("c")).alias("sx"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-    ).withColumn("mean", F.when(F.col("nx") > 0, F.col("sx") / F.col("nx"))).collect()  # one row per column
-    numeric = [r for r in summary if r["nx"]]
-    in_memory = [r["o"] for r in numeric if r["ux"] <= MEDIAN_MAP_LIMIT]
-    selected = [r["o"] for r in numeric if r["ux"] > MEDIAN_MAP_LIMIT]
-    basic = local_frame(
-        spark,
-        [(r["o"], r["count"], r["unique_count"], r["nulls"], r["nx"], r["mean"], r["min"], r["max"]) for r in summary],
-        SUMMARY)
-
-    # pass 2: squared deviations around the mean (two-pass variance) and, for columns whose distinct
-    # numbers fit a bounded map, the exact median from (value, frequency) pairs
-    second = (
-        pairs.where(F.col("x").isNotNull()).join(F.broadcast(basic.select("o", "mean", "nx")), "o")
-        .groupBy("o").agg(
-            F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss"), F.first("nx").alias("nx"),
-            F.percentile(F.when(F.col("o").isin(in_memory), F.col("x")), F.lit(0.5), F.col("c")).alias("median"),
-        )
-        .select("o", F.when(F.col("nx") > 1, F.sqrt(F.col("ss") / (F.col("nx") - 1))).alias("std"),
-                F.when(F.col("o").isin(in_memory), F.col("median")).alias("median"))
-    )
-    if selected:
-        big = _selected_medians(pairs.where(F.col("o").isin(selected) & F.col("x").isNotNull()).select("o", "x", "c"))
-        second = second.join(F.broadcast(big.withColumnRenamed("median", "m2")), "o", "left").select(
-            "o", "std", F.coalesce("median", "m2").alias("median"))
-
-    stats = basic.drop("nx").join(F.broadcast(second), "o", "left")
-    return _finish(df, metadata, stats)
-
-
-def _selected_medians(values: DataFrame) -> DataFrame:
+    numbers = {i: as_double(qcol(f.name), f.dataType) for i, f in enumerate(df.schema.fields)
+               if metadata.declared_type(f.name) == NUMERIC}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(df.schema.fields):
+        aggs.append(F.count(qcol(f.name)).alias(f"c{i}"))
+        if i in numbers:
+            x = numbers[i]
+            aggs += [F.avg(x).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"),
+                     F.when(F.count(x) > 1, F.stddev_samp(x)).alias(f"s{i}")]
+    row = df.agg(*aggs).first()
+
+    low, high = F.xxhash64(F.col("t")), F.xxhash64(F.lit(1), F.col("t"))
+    cells = long.where(F.col("k").isNotNull() | F.col("x").isNotNull() | F.col("t").isNotNull()).select(
+        "o", "k", "x", F.when(F.col("t").isNotNull(), low).alias("t1"), F.when(F.col("t").isNotNull(), high).alias("t2"))
+    pairs = materialize(cells.groupBy("o", "k", "x", "t1", "t2").agg(F.count(F.lit(1)).alias("c")), "stats-pairs")
+    try:
+        unique = {r["o"]: r["u"] for r in pairs.groupBy("o").agg(F.count(F.lit(1)).alias("u")).collect()}  # a row a column
+        valued = pairs.where(F.col("x").isNotNull()).select("o", "x", "c")
+        medians = dict(_selected_medians(valued)) if numbers else {}
+    finally:
+        release_scratch(pairs)
+    rows = []
+    for i in range(len(df.columns)):
+        count = row[f"c{i}"]
+        stats = [row[f"{a}{i}"] if i in numbers else None for a in "alhs"]
+        rows.append((i, count, unique.get(i, 0), row["n"] - count, *stats, medians.get(i)))
+    return _finish(df, metadata, local_frame(spark, rows, SUMMARY))
+
+
+def _selected_medians(values: DataFrame) -> list[tuple[int, float]]:
     """Exact medians of ``(o, x, c)`` without gathering a column: distributed selection.
 
     Values are range-partitioned and sorted; per-(column, partition) weights give each partition's
     offset; only the one or two partitions holding ranks ``(n-1) div 2`` and ``n div 2`` are read
     back (pushed-down ``__pid`` filter) and walked with a window inside each of them.
     """
-    pos = sorted_positions(values, ["o", "x"], name="stats-median")
-    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx"), F.count(F.lit(1)).alias("__n")).cache()
+    pos = sorted_positions(values.groupBy("o", "x").agg(F.sum("c").alias("c")), ["o", "x"], name="stats-median")
+    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx"), F.count(F.lit(1)).alias("__n"))
     check_positions(per.groupBy("__pid").agg(F.sum("__n").alias("w")).agg(F.max("w")).first()[0])
     totals = per.groupBy("o").agg(F.sum("nx").alias("n"))
     offs = running_offsets(per, "nx", ["o"])
@@ -164,7 +147,7 @@ def _selected_medians(values: DataFrame) -> DataFrame:
                                                  (F.col("n") / 2).cast("long")))).alias("__k"))
     blocks = offs.join(F.broadcast(targets), "o").where(
         (F.col("__k") >= F.col("__off")) & (F.col("__k") < F.col("__off") + F.col("nx"))
-    ).select("o", "__pid", "__off", "__k").cache()
+    ).select("o", "__pid", "__off", "__k")
     # at most two partition ids per column: pushed into the scan so only those files are read
     pids = sorted({r["__pid"] for r in blocks.select("__pid").distinct().collect()})
     before = Window.partitionBy("o", "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,4 +159,7 @@ def _selected_medians(values: DataFrame) -> DataFrame:
     hits = cand.join(F.broadcast(blocks.select("o", "__pid", "__k")), ["o", "__pid"]).where(
         (F.col("__k") >= F.col("lo")) & (F.col("__k") < F.col("lo") + F.col("c"))
     )
-    return hits.groupBy("o").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
+    found = hits.groupBy("o").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
+    got = [tuple(r) for r in found.collect()]  # a row a column
+    release_scratch(pos)
+    return got

@@ -18,16 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import remove_tree, scratch_path, scratch_root
 
 _POS_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the in-partition row number in 33 bits
-MAX_RANGE_PARTITIONS = 100_000
 HASH_ENTRY_OVERHEAD = 32  # bytes per row a broadcast hash relation adds on top of the payload
 
 
 def range_partitions(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(n, MAX_RANGE_PARTITIONS))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,6 +35,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release_scratch(df: DataFrame) -> None:
+    """Delete the scratch table that ``materialize`` wrote (it holds original values in the clear)."""
+    for path in {scratch_root(f) for f in df.inputFiles()} - {None}:
+        remove_tree(df.sparkSession, path)
+
+
 def sorted_positions(df: DataFrame, order: list[str], partitions: int | None = None,
                      name: str = "positions") -> DataFrame:
     """``df`` plus ``__pid`` (range partition) and ``__pos`` (0-based row within it), materialized."""
@@ -127,7 +131,7 @@ def dense_rank_mapping(values: DataFrame, column: str) -> RankTable:
     per = positioned.groupBy("__pid").agg(
         F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__bytes"),
         F.sum("__cnt").alias("__rows"), F.max("__cnt").alias("__max"),
-    ).cache()
+    )
     total = per.agg(F.sum("__n").alias("n"), F.sum("__bytes").alias("b"), F.sum("__rows").alias("r"),
                     F.max("__max").alias("m"), F.max("__n").alias("widest")).first()
     check_positions(total["widest"])

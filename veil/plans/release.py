@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import ORIG_PREFIX, dtype_of, orig_name, qcol, reject_nested
+from .._util import ORIG_PREFIX, dtype_of, is_hashable, orig_name, qcol, reject_nested
 from ..functions.hashing import new_secret, pseudonym_token, secret_value
 from ..functions.noise import keyed_standard_normal, row_fingerprint
 from ..functions.text import key_text
@@ -301,14 +301,15 @@ class Release:
                 key: list[str] | None = None) -> Release:
         """Noise is a function of (seed, column, key): identical on any partitioning and on retry.
 
-        ``key`` defaults to the identifiers (their original values), else the whole original row.
+        ``key`` defaults to the whole original row: an identifier need not be unique, and rows that
+        share their noise give away their exact differences. Name a ``key`` only if it is unique.
         """
         dt = self._ensure_column(column)
         self.metadata.ensure_numeric(column)
         ptb.check_noise(noise_std)
         self._batch_only("perturb")
         r = ptb.fit_perturb_range(self._fit_input(column), column)
-        keys = list(key) if key else list(self.metadata.identifiers)
+        keys = list(key or [])
         for k in keys:
             if k not in self._s.columns:
                 raise KeyError(f"No key column named '{k}'.")
@@ -317,8 +318,9 @@ class Release:
         else:
             if keys:
                 texts = [key_text(self._original_value(k), self._original_type(k)) for k in keys]
-            else:  # no key and no identifiers: the whole original row, through a short fingerprint
-                texts = row_fingerprint([self._original_value(c) for c in self._s.columns])
+            else:  # the whole original row, through a short fingerprint
+                texts = row_fingerprint([self._original_value(c) for c in self._s.columns
+                                         if is_hashable(self._original_type(c))])
             z = keyed_standard_normal(ptb.seed_value(self._s.frame.sparkSession, random_state), column, texts)
         return self._replace({column: ptb.perturbed(qcol(column), dt, r, noise_std, z)})
 

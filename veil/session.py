@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
@@ -41,18 +44,24 @@ def _context(spark: SparkSession):
         return None
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process on one machine (``local``, ``local[8]``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (tests, local runs) is a local folder created; a classic
-    session's SparkContext is pointed at the folder so ``DataFrame.checkpoint()`` works too.
+    Only when nothing is configured and the master is ``local[...]`` (tests, local runs) is a local
+    folder created: on a cluster each executor would write to its own disk, so there it is an error.
+    A classic session's SparkContext is pointed at the folder so ``DataFrame.checkpoint()`` works too.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not configured and sc is not None:
         configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if sc is None:
+        if sc is None or not is_local(sc.master):
             raise RuntimeError("Set spark.checkpoint.dir to a folder shared by the cluster.")
         configured = tempfile.mkdtemp(prefix="veil-ckpt-")
     if sc is not None and not sc.getCheckpointDir():
@@ -66,6 +75,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/veil-{name}-{uuid.uuid4().hex}"
 
 
+def scratch_root(file: str) -> str | None:
+    """The scratch folder (a path that ``scratch_path`` made) above a file, if there is one."""
+    m = re.match(r"(.*/veil-[^/]*-[0-9a-f]{32})/", unquote(file))
+    return m[1] if m else None
+
+
+def remove_tree(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder on whatever file system it is; a local one without the JVM."""
+    local = local_path(re.sub(r"^file:/+", "file:/", path))
+    if local is not None:
+        shutil.rmtree(local, ignore_errors=True)
+        return
+    sc = _context(spark)
+    if sc is not None:  # remote file systems are reached through Hadoop
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def local_path(path: str) -> str | None:
     """The local filesystem path behind ``path`` if it is a local path, else None."""
     if path.startswith("file:"):
