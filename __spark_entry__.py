@@ -407,12 +407,12 @@ def q_stream_events(spark, sf_dir):
 
 
 def q_sql_functions(spark, sf_dir):
-    register_sql_functions(spark)
+    register_sql_functions(spark, SECRET)
     _t(spark, sf_dir, "customer").createOrReplaceTempView("veil_customer")
     return spark.sql(
         "SELECT c_custkey, veil_mask_first_k(c_name, 3) AS first3, veil_mask_last_k(c_name, 4) AS last4, "
         "veil_mask_before_first_space(c_mktsegment) AS seg_before, veil_mask_after_last_space(c_mktsegment) AS seg_after, "
-        f"veil_pseudonym(CAST(c_nationkey AS STRING), '{SECRET}', 'c_nationkey') AS nation_token "
+        "veil_pseudonym(CAST(c_nationkey AS STRING), 'c_nationkey') AS nation_token "
         "FROM veil_customer"
     )
 

@@ -19,14 +19,14 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def patients(spark):
+def staff(spark):
     from veil import Metadata, read_csv
 
     md = Metadata(
-        column_types={"SSN": "numeric", "Age": "numeric", "Zipcode": "numeric", "Disease": "categorical"},
-        identifiers=["SSN"], quasi_identifiers=["Age", "Zipcode"], sensitive_attributes=["Disease"],
+        column_types={"badge": "numeric", "years": "numeric", "office": "numeric", "team": "categorical"},
+        identifiers=["badge"], quasi_identifiers=["years", "office"], sensitive_attributes=["team"],
     )
-    return read_csv(spark, os.path.join(DATA, "patients.csv"), md), md
+    return read_csv(spark, os.path.join(DATA, "staff.csv"), md), md
 
 
 @pytest.fixture()

@@ -38,14 +38,14 @@ def test_bad_csv(spark, scratch, text):
         read_csv(spark, _write(scratch, text), Metadata({"id": "numeric"}) if "id" in text else None)
 
 
-def test_export_and_reread(spark, scratch, patients):
-    df, md = patients
+def test_export_and_reread(spark, scratch, staff):
+    df, md = staff
     out = scratch("export")
-    r = Release(df, md).generalize("Age", 10).mask("Disease", "mask_last_k", k=3)
+    r = Release(df, md).generalize("years", 10).mask("team", "mask_last_k", k=3)
     r.export_csv(out)
     back = read_csv(spark, out, md)
-    assert back.columns == ["SSN", "Age", "Zipcode", "Disease"]  # no index, no hidden columns
-    assert back.count() == 120
+    assert back.columns == ["badge", "years", "office", "team"]  # no index, no hidden columns
+    assert back.count() == 150
     assert back.exceptAll(r.working()).count() == 0
 
 
@@ -59,14 +59,14 @@ def test_export_refuses_own_input(spark, scratch):
         Release(src, Metadata({})).export_csv(out, index=True)
 
 
-def test_bundle_roundtrip_and_resave(spark, scratch, patients):
-    df, md = patients
+def test_bundle_roundtrip_and_resave(spark, scratch, staff):
+    df, md = staff
     path = scratch("bundle")
-    r = Release(df, md).order_preserving_pseudonyms().generalize("Age", 5)
+    r = Release(df, md).order_preserving_pseudonyms().generalize("years", 5)
     r.save(path)
     loaded = Release.load(spark, path)
     assert loaded.metadata == md
-    assert loaded.ope_mapping_columns == ["SSN"]
+    assert loaded.ope_mapping_columns == ["badge"]
     assert loaded.working().exceptAll(r.working()).count() == 0
     assert loaded.original().exceptAll(df).count() == 0
     assert loaded.compute_precision_privacy_tradeoff() == r.compute_precision_privacy_tradeoff()
@@ -75,7 +75,7 @@ def test_bundle_roundtrip_and_resave(spark, scratch, patients):
     edited.save(path)
     again = Release.load(spark, path)
     assert again.ope_mapping_columns == []
-    assert sorted(x["SSN"] for x in again.working().collect()) == list(range(1, 121))
+    assert sorted(x["badge"] for x in again.working().collect()) == list(range(1, 151))
 
 
 def test_load_errors(spark, scratch):
@@ -91,11 +91,11 @@ def test_load_errors(spark, scratch):
         Release.load(spark, truncated)
 
 
-def test_preview(patients):
-    df, md = patients
+def test_preview(staff):
+    df, md = staff
     r = Release(df, md)
-    assert [x["SSN"] for x in r.preview(5, order_by=["SSN"]).collect()] == [1, 2, 3, 4, 5]
-    assert r.count() == 120
+    assert [x["badge"] for x in r.preview(5, order_by=["badge"]).collect()] == [1, 2, 3, 4, 5]
+    assert r.count() == 150
     with pytest.raises(ValueError):
         r.preview(0)
 

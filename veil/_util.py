@@ -58,6 +58,11 @@ def is_hashable(dt: T.DataType) -> bool:
     return True
 
 
+def nan_to_null(c: Column, dt: T.DataType) -> Column:
+    """NaN is a missing value here, whatever layer is called."""
+    return F.when(~F.isnan(c), c) if isinstance(dt, FRACTIONAL) else c
+
+
 def reject_nested(dt: T.DataType, column: str) -> None:
     if isinstance(dt, NESTED):
         raise TypeError(f"Column '{column}' has nested type {dt.simpleString()}; only flat columns can be transformed.")

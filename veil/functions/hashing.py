@@ -19,7 +19,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import local_frame
+from .._util import local_frame, nan_to_null
 from .text import key_text
 
 LONG_MAX = 9223372036854775807
@@ -49,6 +49,7 @@ def hash63(parts: list[Column], start: int = 1) -> Column:
 
 def pseudonym_token(c: Column, dtype: T.DataType, secret: Column, column: str, keep_nulls: bool = False) -> Column:
     """``secret``: a Column, normally ``secret_value(spark, text)``."""
+    c = nan_to_null(c, dtype)
     tagged = F.when(c.isNull(), F.lit("n:")).otherwise(F.concat(F.lit("v:"), key_text(c, dtype)))
     token = F.concat(F.lit(TOKEN_PREFIX), hash63([secret, F.lit(column), tagged]).cast("string"))
     if keep_nulls:

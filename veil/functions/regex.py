@@ -2,7 +2,7 @@
 
 The reference compiles patterns with Python's ``re``; Spark runs ``java.util.regex``. Rewrites:
 named groups ``(?P<n>...)`` -> ``(?<n>...)``, back-references ``(?P=n)`` -> ``\\k<n>``, ``\\Z`` -> ``\\z``,
-``{,n}`` -> ``{0,n}``, ``\\v`` -> ``\\x0B``, ``\\UXXXXXXXX`` -> ``\\x{...}``, spaces and ``#`` inside sets
+``{,n}`` -> ``{0,n}``, a literal ``{`` escaped, ``\\v`` -> ``\\x0B``, ``\\UXXXXXXXX`` -> ``\\x{...}``, spaces and ``#`` inside sets
 escaped (verbose mode keeps them in Python, drops them in Java); ``\\w \\W \\s \\S \\b \\B`` become
 explicit classes with Python's membership;
 a leading ``(?dU)`` gives Python's line terminator (only ``\\n``) and Unicode digits and case
@@ -107,6 +107,10 @@ def to_java(pattern: str) -> str:
             out.append("{0," + m.group(1) + "}")
             i += len(m.group(0))
             continue
+        if ch == "{" and not re.match(r"\{\d*(,\d*)?\}", pattern[i:]) or ch == "{" and re.match(r"\{,?\}", pattern[i:]):
+            out.append("\\{")  # literal in Python unless it is a repeat count; Java takes it for one
+            i += 1
+            continue
         out.append(ch)
         i += 1
     # (?d): only "\n" ends a line for ".", "^" and "$", as in Python; (?U): Unicode digits and case folding

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .._util import dtype_of, qcol, reject_nested
+from .._util import dtype_of, nan_to_null, qcol, reject_nested
 from ..functions import masking, regex
 from ..functions.text import py_str
 
@@ -31,7 +31,7 @@ def validate(strategy: str, k: int | None, regex_pattern: str | None,
 
 
 def masked(c: Column, dtype: T.DataType, strategy: str, k: int | None, java_pattern: str | None) -> Column:
-    s = py_str(c, dtype)
+    s = py_str(nan_to_null(c, dtype), dtype)
     if strategy == "mask_first_k":
         return masking.mask_first_k(s, k)
     if strategy == "mask_last_k":

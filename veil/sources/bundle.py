@@ -91,7 +91,7 @@ def load(spark: SparkSession, path: str):
             table = spark.read.parquet(f"{base}/{m['dir']}")
             hot = spark.read.parquet(f"{base}/{m['hot']}") if m.get("hot") else None
             ranks = RankTable(table, int(m["rows"]), int(m["bytes"]), hot)
-            mappings[m["column"]] = RankMapping(ranks, T._parse_datatype_json_string(m["original_type"]), m["version"],
+            mappings[m["column"]] = RankMapping(ranks, T.StructType.fromJson({"fields": [{"name": "v", "type": json.loads(m["original_type"]), "nullable": True, "metadata": {}}]})["v"].dataType, m["version"],
                                                 bool(m.get("from_original", False)))
     except (PySparkException, KeyError, TypeError, ValueError) as e:
         _fail(f"bundle '{base}' is incomplete or corrupt", e)
@@ -101,6 +101,6 @@ def load(spark: SparkSession, path: str):
     try:
         metadata.validate(columns)
     except ValueError as e:
-        _fail(f"validation failed (metadata columns must exist in dataset): {e}", e)
+        _fail(f"the saved metadata names columns that the data lacks: {e}", e)
     source = frame.select(*[(qcol(orig_name(c)) if c in versions else qcol(c)).alias(c) for c in columns])
     return Release._from_state(_State(source, frame, metadata, tuple(columns), versions, mappings))
