@@ -9,9 +9,10 @@ pairs below the threshold reach the exact comparison of full sets.
 
 No bucket's pairs are listed. First each class of a bucket is paired with one center only (the same
 for most buckets of a group). Confirmed links give components. Then, in buckets where components
-still meet, sketches are compared across components, inside the task, and only pairs that may reach
-the threshold leave it; they are confirmed likewise. So every pair of a bucket is either connected
-already or compared, whatever the bucket's size. Members of one bucket are gathered as sketches, 128
+still meet, sketches are compared across components, inside the task: first the most similar pair of a
+class and another component leaves, then, after another confirmation, all pairs that may reach the
+threshold and are not connected by then. So every pair of a bucket is either connected
+already or compared, whatever the bucket's size. Members of one bucket are gathered as sketches, 256
 bytes a class, from which the largest component's members are never compared among themselves.
 
 24 bands of 5 rows, or 28 of 4 rows for thresholds below 0.85: a pair at 0.85 shares no band with
@@ -36,7 +37,7 @@ from veil.llm._common import slices, utf8
 from veil.llm.repeats import Unit, keyed, mix, run_hashes, symbols
 from veil.session import ensure_checkpoint_dir
 
-SAMPLES, BITS = 4096, 1024
+SAMPLES, BITS = 1 << 16, 2048
 SIGMAS = 5.0
 
 _U = np.uint64
@@ -127,17 +128,19 @@ def most_flips(n_a, n_b, threshold: float, exp, sqrt, least):
     both = n_a + n_b
     union = both / (1 + threshold)
     filled = SAMPLES * (1 - exp(-union / SAMPLES))  # partitions that hold anything
-    small = SAMPLES * (1 - exp(-both / (2 * SAMPLES))) / SAMPLES
-    differ = (1 - threshold) * filled * (1 + small)  # a differing sample flips one bit or two
-    spread = SIGMAS * sqrt(2 * differ * least(union / SAMPLES) + differ * (0.05 + 2 * differ / BITS) + 4)
-    return BITS / 2 * (1 - exp(-2 * (differ + spread) / BITS))
+    shared = 1 - exp(-both / (2 * SAMPLES))  # a differing sample flips a second bit where both sets have one
+    differ = (1 - threshold) * filled * (1 + shared)
+    # samples are all of a small set, so only large sets vary here
+    differ = differ + SIGMAS * sqrt(2 * differ * least(union / SAMPLES, 1.0)) + 2
+    # flips that meet in one bit cancel: the count falls short of the samples, and varies
+    return BITS / 2 * (1 - exp(-2 * differ / BITS)) + SIGMAS * sqrt(least(1.7 * differ * differ / BITS, BITS / 4))
 
 
 def near_enough(n_a: Column, n_b: Column, flips: Column, threshold: float) -> Column:
     """Whether sizes and sketches allow the threshold."""
     sizes = F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b) - 1e-9
     return sizes & (flips <= most_flips(n_a.cast("double"), n_b.cast("double"), threshold, F.exp, F.sqrt,
-                                        lambda x: F.least(x, F.lit(1.0))))
+                                        lambda x, y: F.least(x, F.lit(y))))
 
 
 def flip_count(a: Column, b: Column) -> Column:
@@ -186,8 +189,9 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float):
-    """Pairs across components of each bucket of a partition sorted by bucket."""
+def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float, best: bool):
+    """Pairs across components of each bucket of a partition sorted by bucket; with ``best`` only the
+    most similar one of each class and component."""
     held: list[pa.Table] = []
 
     def pairs(rows: pa.Table):
@@ -205,8 +209,12 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float):
             if not len(other):
                 continue
             flips = np.bitwise_count(words[other] ^ words[i]).sum(1)
-            limit = most_flips(float(a), n[other].astype(float), threshold, np.exp, np.sqrt, lambda x: np.minimum(x, 1.0))
-            other = other[flips <= limit]
+            limit = most_flips(float(a), n[other].astype(float), threshold, np.exp, np.sqrt, np.minimum)
+            other, flips = other[flips <= limit], flips[flips <= limit]
+            if best and len(other) > 1:
+                order = np.lexsort((flips, inverse[other]))
+                other = other[order]
+                other = other[np.r_[True, inverse[other][1:] != inverse[other][:-1]]]
             if len(other):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(node[other], node[i])), pa.array(np.maximum(node[other], node[i]))],
@@ -246,14 +254,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         near_enough(F.col("n_a"), F.col("n_b"), flip_count(F.col("s_a"), F.col("s_b")), threshold)).select("a", "b")
     links = confirm(pairs.checkpoint(), docs, nodes, width, percent).checkpoint()
     labels = components(links)
-    # buckets in which different components still meet
-    placed = active.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-    meeting = placed.join(open_, "band").join(sketches, "node").select("band", "node", "label", "n", "sketch")
-    more = (meeting.repartition("band").sortWithinPartitions("band")
-            .mapInArrow(lambda batches: _bucket_pairs(batches, threshold), "a long, b long").distinct())
-    found = confirm(more.checkpoint(), docs, nodes, width, percent)
-    labels = components(links.unionByName(found))
+    # buckets in which different components still meet: first the most similar pairs, which join most of
+    # what belongs together, then every pair across components that may reach the threshold
+    for best in (True, False):
+        placed = active.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+        meeting = placed.join(open_.select("band"), "band").join(sketches, "node").select(
+            "band", "node", "label", "n", "sketch")
+        more = (meeting.repartition("band").sortWithinPartitions("band").mapInArrow(
+            lambda batches, best=best: _bucket_pairs(batches, threshold, best), "a long, b long").distinct())
+        found = confirm(more.checkpoint(), docs, nodes, width, percent)
+        links = links.unionByName(found).checkpoint()
+        labels = components(links)
     of_row = rows.select("doc_id", "n", "node").join(labels, "node", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
     least = of_row.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
