@@ -15,7 +15,8 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(E._own_oracles()) == set(E._own_queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", ["release_pipeline", "generalize_many_bins", "ope_nulls", "stats_working",
@@ -42,6 +43,6 @@ def test_quickstart_example_runs(spark, capsys):
     spec = importlib.util.spec_from_file_location("quickstart", os.path.join(root, "examples", "quickstart.py"))
     mod = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(mod)
-    mod.main(os.path.join(root, "tests", "data", "patients.csv"))
+    mod.main(os.path.join(root, "tests", "data", "staff.csv"))
     out = capsys.readouterr().out
-    assert "precision_pct" in out and "Heart Dise***" in out
+    assert "precision_pct" in out and "Works***" in out

@@ -4,23 +4,24 @@ from pyspark.sql import functions as F
 from veil import Metadata, Release
 
 
-def test_zero_noise_identity(patients):
-    df, md = patients
-    r = Release(df, md).perturb("Age", noise_std=0.0, random_state=1)
+def test_zero_noise_identity(staff):
+    df, md = staff
+    r = Release(df, md).perturb("years", noise_std=0.0, random_state=1)
     assert r.compute_precision_privacy_tradeoff() == (100.0, 0.0)
 
 
-def test_bounds_types_and_seed(patients):
-    df, md = patients
-    r = Release(df, md).perturb("Age", noise_std=0.3, random_state=7)
+def test_bounds_types_and_seed(staff):
+    df, md = staff
+    r = Release(df, md).perturb("years", noise_std=0.3, random_state=7)
     w = r.working()
-    mm = w.agg(F.min("Age"), F.max("Age")).first()
-    assert 22 <= mm[0] and mm[1] <= 79
-    assert dict(w.dtypes)["Age"] == "bigint"
-    a = [x["Age"] for x in w.orderBy("SSN").collect()]
-    b = [x["Age"] for x in Release(df.repartition(5), md).perturb("Age", 0.3, random_state=7).working().orderBy("SSN").collect()]
+    mm = w.agg(F.min("years"), F.max("years")).first()
+    lo, hi = df.agg(F.min("years"), F.max("years")).first()
+    assert lo <= mm[0] and mm[1] <= hi
+    assert dict(w.dtypes)["years"] == "bigint"
+    a = [x["years"] for x in w.orderBy("badge").collect()]
+    b = [x["years"] for x in Release(df.repartition(5), md).perturb("years", 0.3, random_state=7).working().orderBy("badge").collect()]
     assert a == b
-    c = [x["Age"] for x in Release(df, md).perturb("Age", 0.3, random_state=8).working().orderBy("SSN").collect()]
+    c = [x["years"] for x in Release(df, md).perturb("years", 0.3, random_state=8).working().orderBy("badge").collect()]
     assert a != c
 
 

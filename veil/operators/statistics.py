@@ -1,18 +1,19 @@
 """Per-column statistics, exact and distributed.
 
-One aggregate over the wide table gives counts, nulls, mean, min, max and the sample deviation of every
-column: no value is shuffled. Exact distinct counts and medians need each column's values brought
-together: cells are unpivoted into fixed-width keys (numbers as they are, texts as 128 bits of
-hash, so a long text travels as 16 bytes), reduced to distinct keys with their multiplicity (map-side
-combined: a hot value costs one row a task) and written to the shared checkpoint folder, which is
-removed again when the result is known. Medians are selected from range-partitioned values, reading
-back only the partitions that hold the middle ranks; the rule is the same for any number of values.
-No column's values are gathered in one task or on the driver. ``approx=True`` swaps in
-``approx_count_distinct`` and ``percentile_approx`` in one aggregate.
+Cells are unpivoted once into fixed-width keys (numbers as they are, texts as 128 bits of hash, so a
+long text travels as 16 bytes), reduced to distinct keys with their multiplicity (map-side combined: a
+hot value costs one row a task) and written to the shared checkpoint folder. Counts, exact distinct
+counts, mean, min, max and the sample deviation are sums over that table; medians are selected from
+range-partitioned values, reading back only the partitions that hold the middle ranks. The rule is the
+same for any number of values; the scratch tables are removed when the result is known. No column's
+values are gathered in one task or on the driver. ``approx=True`` swaps in ``approx_count_distinct`` and
+``percentile_approx`` in one aggregate.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,7 @@ SUMMARY = T.StructType([T.StructField(n, t) for n, t in (
     ("o", T.IntegerType()), ("count", T.LongType()), ("unique_count", T.LongType()), ("nulls", T.LongType()),
     ("mean", T.DoubleType()), ("min", T.DoubleType()), ("max", T.DoubleType()), ("std", T.DoubleType()),
     ("median", T.DoubleType()))])
+MEANS = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("mean", T.DoubleType())])
 # approx=True: relative standard deviation of the distinct-count sketch (bounded HyperLogLog++ state)
 APPROX_RSD = 0.01
 
@@ -101,32 +103,32 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
         return _finish(df, metadata, stats)
 
     spark = df.sparkSession
-    numbers = {i: as_double(qcol(f.name), f.dataType) for i, f in enumerate(df.schema.fields)
-               if metadata.declared_type(f.name) == NUMERIC}
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i, f in enumerate(df.schema.fields):
-        aggs.append(F.count(qcol(f.name)).alias(f"c{i}"))
-        if i in numbers:
-            x = numbers[i]
-            aggs += [F.avg(x).alias(f"a{i}"), F.min(x).alias(f"l{i}"), F.max(x).alias(f"h{i}"),
-                     F.when(F.count(x) > 1, F.stddev_samp(x)).alias(f"s{i}")]
-    row = df.agg(*aggs).first()
-
-    low, high = F.xxhash64(F.col("t")), F.xxhash64(F.lit(1), F.col("t"))
-    cells = long.where(F.col("k").isNotNull() | F.col("x").isNotNull() | F.col("t").isNotNull()).select(
-        "o", "k", "x", F.when(F.col("t").isNotNull(), low).alias("t1"), F.when(F.col("t").isNotNull(), high).alias("t2"))
+    none = F.lit(None).cast("long")
+    cells = long.select("o", "k", "x", *[F.when(F.col("t").isNotNull(), h).otherwise(none).alias(n) for n, h in (
+        ("t1", F.xxhash64("t")), ("t2", F.xxhash64(F.lit(1), "t")))])
     pairs = materialize(cells.groupBy("o", "k", "x", "t1", "t2").agg(F.count(F.lit(1)).alias("c")), "stats-pairs")
+    present = F.col("k").isNotNull() | F.col("x").isNotNull() | F.col("t1").isNotNull()
+    valued = pairs.where(F.col("x").isNotNull()).select("o", "x", "c")
     try:
-        unique = {r["o"]: r["u"] for r in pairs.groupBy("o").agg(F.count(F.lit(1)).alias("u")).collect()}  # a row a column
-        valued = pairs.where(F.col("x").isNotNull()).select("o", "x", "c")
-        medians = dict(_selected_medians(valued)) if numbers else {}
+        summary = {r["o"]: r for r in pairs.groupBy("o").agg(
+            F.sum(F.when(present, F.col("c")).otherwise(0)).alias("count"), F.count_if(present).alias("unique"),
+            F.sum(F.when(~present, F.col("c")).otherwise(0)).alias("nulls"),
+            F.sum(F.when(F.col("x").isNotNull(), F.col("c")).otherwise(0)).alias("nx"),
+            F.sum(F.col("x") * F.col("c")).alias("sx"), F.min("x").alias("min"), F.max("x").alias("max"),
+        ).collect()}  # a row a column
+        means = {o: r["sx"] / r["nx"] for o, r in summary.items() if r["nx"]}
+        squares, medians = {}, {}
+        if means:
+            known = local_frame(spark, list(means.items()), MEANS)
+            squares = {r["o"]: r["ss"] for r in valued.join(F.broadcast(known), "o").groupBy("o").agg(
+                F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss")).collect()}  # a row a column
+            medians = dict(_selected_medians(valued))
     finally:
         release_scratch(pairs)
     rows = []
-    for i in range(len(df.columns)):
-        count = row[f"c{i}"]
-        stats = [row[f"{a}{i}"] if i in numbers else None for a in "alhs"]
-        rows.append((i, count, unique.get(i, 0), row["n"] - count, *stats, medians.get(i)))
+    for o, r in summary.items():
+        std = math.sqrt(squares[o] / (r["nx"] - 1)) if r["nx"] > 1 else None
+        rows.append((o, r["count"], r["unique"], r["nulls"], means.get(o), r["min"], r["max"], std, medians.get(o)))
     return _finish(df, metadata, local_frame(spark, rows, SUMMARY))
 
 
@@ -137,8 +139,8 @@ def _selected_medians(values: DataFrame) -> list[tuple[int, float]]:
     offset; only the one or two partitions holding ranks ``(n-1) div 2`` and ``n div 2`` are read
     back (pushed-down ``__pid`` filter) and walked with a window inside each of them.
     """
-    pos = sorted_positions(values.groupBy("o", "x").agg(F.sum("c").alias("c")), ["o", "x"], name="stats-median")
-    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx"), F.count(F.lit(1)).alias("__n"))
+    pos = sorted_positions(values, ["o", "x"], name="stats-median")
+    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx"), F.count(F.lit(1)).alias("__n")).cache()
     check_positions(per.groupBy("__pid").agg(F.sum("__n").alias("w")).agg(F.max("w")).first()[0])
     totals = per.groupBy("o").agg(F.sum("nx").alias("n"))
     offs = running_offsets(per, "nx", ["o"])
@@ -161,5 +163,6 @@ def _selected_medians(values: DataFrame) -> list[tuple[int, float]]:
     )
     found = hits.groupBy("o").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
     got = [tuple(r) for r in found.collect()]  # a row a column
+    per.unpersist()
     release_scratch(pos)
     return got

@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .._util import local_frame
 from ..session import remove_tree, scratch_path, scratch_root
 
+OFFSETS = T.StructType([T.StructField("__pid", T.IntegerType()), T.StructField("__off", T.LongType())])
 _POS_MASK = (1 << 33) - 1  # monotonically_increasing_id keeps the in-partition row number in 33 bits
 HASH_ENTRY_OVERHEAD = 32  # bytes per row a broadcast hash relation adds on top of the payload
 
@@ -124,25 +126,27 @@ def dense_rank_mapping(values: DataFrame, column: str) -> RankTable:
     v = F.col(column)
     counted = (values.select(v.alias("value")).where(F.col("value").isNotNull())
                .groupBy("value").agg(F.count(F.lit(1)).alias("__cnt")).withColumn("__zero", F.lit(0)))
-    positioned = sorted_positions(counted, ["value"], name="ranks")
+    positioned = sorted_positions(counted, ["value"], name="positions")
     spark = positioned.sparkSession
     dtype = positioned.schema["value"].dataType
     size = _payload_bytes(F.col("value"), dtype)
-    per = positioned.groupBy("__pid").agg(
+    per = sorted(positioned.groupBy("__pid").agg(
         F.count(F.lit(1)).alias("__n"), F.sum(size).alias("__bytes"),
         F.sum("__cnt").alias("__rows"), F.max("__cnt").alias("__max"),
-    )
-    total = per.agg(F.sum("__n").alias("n"), F.sum("__bytes").alias("b"), F.sum("__rows").alias("r"),
-                    F.max("__max").alias("m"), F.max("__n").alias("widest")).first()
-    check_positions(total["widest"])
-    offsets = running_offsets(per, "__n").select("__pid", "__off")
-    ranked = positioned.join(F.broadcast(offsets), "__pid").select(
-        "value", (F.col("__off") + F.col("__pos") + 1).alias("rank"), "__cnt", "__zero")
+    ).collect())  # one row a range partition: bounded by configuration
+    check_positions(max((r["__n"] for r in per), default=None))
+    offsets, rows = [], 0
+    for r in per:
+        offsets.append((r["__pid"], rows))
+        rows += r["__n"]
+    ranked = materialize(positioned.join(F.broadcast(local_frame(spark, offsets, OFFSETS)), "__pid").select(
+        "value", (F.col("__off") + F.col("__pos") + 1).alias("rank"), "__cnt", "__zero"), "ranks")
+    release_scratch(positioned)
     mapping = ranked.select("value", "rank", "__zero")
-    rows, payload = int(total["n"] or 0), int(total["b"] or 0)
+    payload = sum(r["__bytes"] or 0 for r in per)
     hot = None
-    share = -(-int(total["r"] or 0) // range_partitions(positioned))  # rows per partition if spread evenly
-    if not fits_broadcast(spark, rows, payload) and (total["m"] or 0) > share:
+    share = -(-sum(r["__rows"] for r in per) // range_partitions(ranked))  # rows per partition if spread evenly
+    if not fits_broadcast(spark, rows, payload) and max((r["__max"] for r in per), default=0) > share:
         candidate = ranked.where(F.col("__cnt") > share).select("value", "rank")
         hs = candidate.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
         if fits_broadcast(spark, int(hs["n"]), int(hs["b"] or 0)):

@@ -42,6 +42,9 @@ class RankMapping:
     original_type: T.DataType
     version: int
     from_original: bool = False  # ranked straight from the original values (the column was unchanged)
+    before: DataFrame | None = None  # the paired frame just before and just after ranking, and the
+    after: DataFrame | None = None  # column's change counter then: reversing at once returns to it
+    prior: int | None = None
 
     @property
     def table(self) -> DataFrame:
@@ -240,12 +243,13 @@ class Release:
         self._batch_only("order_preserving_pseudonyms")
         dt = self._ensure_column(c)
         mapping = ps.rank_mapping(self._fit_input(c), c)
-        frame = self._with_originals(self._s.frame, [c])
-        frame = ps.apply_rank_mapping(frame, c, mapping)
+        before = self._s.frame
+        frame = ps.apply_rank_mapping(self._with_originals(before, [c]), c, mapping)
         versions = self._bump([c])
         mappings = {k: v for k, v in self._s.mappings.items() if k != c}
         # re-application replaces the old mapping
-        mappings[c] = RankMapping(mapping, dt, versions[c], from_original=c not in self._s.versions)
+        mappings[c] = RankMapping(mapping, dt, versions[c], from_original=c not in self._s.versions,
+                                  before=before, after=frame, prior=self._s.versions.get(c))
         return Release._from_state(replace(self._s, frame=frame, versions=versions, mappings=mappings))
 
     def reverse_pseudonyms(self, identifier_column: str | None = None, *, force: bool = False) -> Release:
@@ -271,9 +275,17 @@ class Release:
                 raise ValueError(
                     f"Column '{c}' changed after it was pseudonymized; pass force=True to reverse anyway."
                 )
-        frame = self._s.frame
-        for c in cols:
+        frame, versions = self._s.frame, dict(self._s.versions)
+        for c in reversed(cols):
             m = self._s.mappings[c]
+            if m.after is not None and m.after is frame:
+                # nothing followed the ranking: go back to the frame before it, and so to its plan
+                frame = m.before
+                versions.pop(c)
+                if m.prior is not None:
+                    versions[c] = m.prior
+                continue
+            versions[c] = versions.get(c, 0) + 1
             if m.from_original and m.version == self._s.versions.get(c):
                 # the ranks were taken from the original values and nothing changed since: the paired
                 # frame still holds those values, so reversing is a projection - no join, no shuffle
@@ -281,7 +293,7 @@ class Release:
             else:
                 frame = ps.reverse_rank_mapping(frame, c, m.ranks, m.original_type)
         mappings = {k: v for k, v in self._s.mappings.items() if k not in cols}
-        return Release._from_state(replace(self._s, frame=frame, versions=self._bump(cols), mappings=mappings))
+        return Release._from_state(replace(self._s, frame=frame, versions=versions, mappings=mappings))
 
     reverse_order_preserving_pseudonyms = reverse_pseudonyms
 
