@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veil.llm._common import documents, flat, slices, utf8
+from veil.session import ensure_checkpoint_dir
 
 #: One text in so many is looked at for hot runs; a run is hot from this share of the sample on.
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1 / 20000, 8
@@ -242,6 +243,7 @@ def covered(docs: DataFrame, unit: Unit, index: Callable) -> DataFrame:
     ``index(texts, weights)`` gets the distinct segments of some minimizers and how often each is
     held (2 stands for more); it returns, for each, a boolean array: which of its windows occur twice.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     hot = hot_runs(docs, unit)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -296,7 +298,7 @@ def covered(docs: DataFrame, unit: Unit, index: Callable) -> DataFrame:
             yield from _decide(rows, unit, index, out_type)
 
     found = pieces.repartition("run").sortWithinPartitions("run").mapInArrow(
-        decide, f"key long, doc_id {kind}, digest binary, start int, end int")
+        decide, f"key long, doc_id {kind}, digest binary, start int, end int").checkpoint()  # read twice below
 
     def hot_places(batches):
         for batch in batches:

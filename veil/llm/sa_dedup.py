@@ -59,13 +59,30 @@ def suffix_array(text: list[int]) -> list[int]:
     above: dict[int, int] = {}
     for k in range(len(ordered) - 1):
         above[k] = k + 1
+    def move(q: int, low: int, moved: list[int]) -> int:
+        """Take suffixes out of group q into a new group right above group ``low``."""
+        new = len(members)
+        members.append(moved)
+        size.append(len(moved))
+        for j in moved:
+            group[j] = new
+        size[q] -= len(moved)
+        up = above.get(low)
+        below.append(low)
+        above[low] = new
+        if up is not None:
+            above[new] = up
+            below[up] = new
+        return new
+
     while g >= 0:
-        own = [i for i in members[g] if group[i] == g]
+        own = members[g] if len(members[g]) == size[g] else [i for i in members[g] if group[i] == g]
         taken.append(g)
         members[g] = own
         for i in own:
             link[i] = i - 1
         pointed: dict[int, int] = {}
+        j = -1
         for i in own:
             j = i - 1
             while j >= 0 and link[j] != j:  # nearest to the left that is not taken
@@ -74,29 +91,20 @@ def suffix_array(text: list[int]) -> list[int]:
             link[i] = prev[i] = j
             if j >= 0:
                 pointed[j] = pointed.get(j, 0) + 1
-        split: dict[int, dict[int, list[int]]] = {}
-        for j, times in pointed.items():
-            split.setdefault(group[j], {}).setdefault(times, []).append(j)
-        for q, by_times in split.items():
-            if len(by_times) == 1 and len(next(iter(by_times.values()))) == size[q]:
-                continue  # the whole group moves: its place stays the same
-            low = q
-            for times in sorted(by_times):
-                moved = by_times[times]
-                new = len(members)
-                members.append(moved)
-                size.append(len(moved))
-                for j in moved:
-                    group[j] = new
-                size[q] -= len(moved)
-                # into the chain right above ``low``
-                up = above.get(low)
-                below.append(low)
-                above[low] = new
-                if up is not None:
-                    above[new] = up
-                    below[up] = new
-                low = new
+        if len(pointed) == 1:
+            j = next(iter(pointed))
+            if size[group[j]] > 1:
+                move(group[j], group[j], [j])
+        elif pointed:
+            split: dict[int, dict[int, list[int]]] = {}
+            for j, times in pointed.items():
+                split.setdefault(group[j], {}).setdefault(times, []).append(j)
+            for q, by_times in split.items():
+                if len(by_times) == 1 and len(next(iter(by_times.values()))) == size[q]:
+                    continue  # the whole group moves: its place stays the same
+                low = q
+                for times in sorted(by_times):
+                    low = move(q, low, by_times[times])
         g = below[g]
         while g >= 0 and size[g] == 0:
             g = below[g]
