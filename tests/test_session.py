@@ -53,3 +53,21 @@ def test_scratch_folders_are_recognised(spark):
         remove_tree(spark, scratch_root(f))
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_close_deletes_the_reversal_key(spark, scratch):
+    import os
+
+    from veil import Metadata, Release
+
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "a long, b string")
+    r = Release(df, Metadata({}, identifiers=["b"])).order_preserving_pseudonyms()
+    folders = {scratch_root(f).replace("file:", "") for f in r.mapping("b").inputFiles()}
+    assert folders and all(os.path.isdir(f.replace("//", "/")) for f in folders)
+    path = scratch("kept")
+    r.save(path)
+    r.close()
+    assert not any(os.path.isdir(f.replace("//", "/")) for f in folders)
+    back = Release.load(spark, path)
+    back.close()  # a bundle keeps its mapping
+    assert Release.load(spark, path).reverse_pseudonyms().working().exceptAll(df).count() == 0

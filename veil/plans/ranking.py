@@ -37,10 +37,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def release_scratch(df: DataFrame) -> None:
-    """Delete the scratch table that ``materialize`` wrote (it holds original values in the clear)."""
+def release_scratch(df: DataFrame, name: str = "") -> None:
+    """Delete the scratch tables (of that name) that ``df`` reads; they hold original values in the clear."""
     for path in {scratch_root(f) for f in df.inputFiles()} - {None}:
-        remove_tree(df.sparkSession, path)
+        if path.rsplit("/", 1)[-1].startswith(f"veil-{name}"):
+            remove_tree(df.sparkSession, path)
 
 
 def sorted_positions(df: DataFrame, order: list[str], partitions: int | None = None,

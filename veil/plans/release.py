@@ -29,7 +29,7 @@ from ..operators import pseudonyms as ps
 from ..operators.metrics import precision_privacy
 from ..operators.statistics import column_statistics
 from ..session import ensure_checkpoint_dir
-from .ranking import RankTable, materialize
+from .ranking import RankTable, materialize, release_scratch
 
 DISPLAY_ROUNDED = ("mean", "min", "max", "std", "median")
 
@@ -297,6 +297,15 @@ class Release:
 
     reverse_order_preserving_pseudonyms = reverse_pseudonyms
 
+    def close(self) -> None:
+        """Delete the rank tables in the scratch folder: they are the key that reverses pseudonyms.
+
+        Call it when the release is written. Handles with ranked columns that were not checkpointed
+        or saved can't be computed any more; saved bundles keep their own copy of the mapping.
+        """
+        for m in self._s.mappings.values():
+            release_scratch(m.ranks.data, "ranks-")
+
     # -- numeric anonymization ----------------------------------------------------------------
 
     def generalize(self, column: str, bins: int = 10, include_lowest: bool = True,
