@@ -11,9 +11,11 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
@@ -245,6 +247,72 @@ def q_stats_documents(spark, sf_dir):
     return _round_stats(Release(_t(spark, sf_dir, "documents"), meta).statistics())
 
 
+@contextmanager
+def _broadcast_threshold(spark, value: str):
+    """The session's threshold while a verb picks its join, as for a mapping too large to broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def q_ope_large_mapping(spark, sf_dir):
+    """Ranks joined by a shuffle on value and salt: no mapping is broadcast."""
+    with _broadcast_threshold(spark, "-1"):
+        r = Release(_t(spark, sf_dir, "events"), EVENTS_META).order_preserving_pseudonyms("event_id")
+    return r.working().select("event_id", "user_id")
+
+
+def q_ope_hot_key(spark, sf_dir):
+    """A third of all rows hold one value: it is answered by a size-checked broadcast, the rest by the shuffle."""
+    o = _t(spark, sf_dir, "orders")
+    o = o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(7).cast("long")).otherwise(F.col("o_custkey")))
+    with _broadcast_threshold(spark, "1k"):
+        r = Release(o, ORDERS_META).order_preserving_pseudonyms("o_custkey")
+    return r.working().select("o_orderkey", "o_custkey")
+
+
+_SUPPLIER_CSV = Metadata({"s_suppkey": "numeric", "s_name": "categorical", "s_acctbal": "numeric"})
+
+
+def _supplier_lines(spark, sf_dir, missing: str) -> str:
+    """A CSV file of suppliers whose odd keys end in ``missing`` instead of a balance."""
+    path = scratch_path(spark, "supplier-csv")
+    rows = _t(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("i"), F.concat(
+            F.concat_ws(",", "s_suppkey", "s_name"),
+            F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(","), F.col("s_acctbal"))).otherwise(F.lit(missing))).alias("value"))
+    header = spark.range(1).select(F.lit(-1).cast("long").alias("i"), F.lit("s_suppkey,s_name,s_acctbal").alias("value"))
+    header.unionByName(rows.withColumn("i", F.col("i").cast("long"))).coalesce(1).sortWithinPartitions("i").select(
+        "value").write.text(path)  # one file, as its first line is the header
+    return path
+
+
+def q_csv_short_rows(spark, sf_dir):
+    return read_csv(spark, _supplier_lines(spark, sf_dir, ""), _SUPPLIER_CSV)
+
+
+def q_csv_schema_na(spark, sf_dir):
+    schema = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType()),
+                           T.StructField("s_acctbal", T.DoubleType())])
+    return read_csv(spark, _supplier_lines(spark, sf_dir, ",NA"), schema=schema)
+
+
+def q_csv_multi_file(spark, sf_dir):
+    path = scratch_path(spark, "csv-parts")
+    Release(_t(spark, sf_dir, "customer").repartition(5, "c_custkey"), CUSTOMER_META).export_csv(path)
+    return read_csv(spark, path, CUSTOMER_META)
+
+
+def q_export_columns(spark, sf_dir):
+    path = scratch_path(spark, "csv-columns")
+    _customer(spark, sf_dir).export_csv(path, columns=["c_acctbal", "c_custkey"], float_format="%.2f")
+    return read_csv(spark, path, Metadata({"c_custkey": "numeric", "c_acctbal": "numeric"}))
+
+
 def q_perturb_seeded(spark, sf_dir):
     r = Release(_t(spark, sf_dir, "events"), EVENTS_META)
     r = r.perturb("value", noise_std=0.1, random_state=SEED, key=["event_id"])
@@ -510,6 +578,12 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "generalize_truncate": q_generalize_truncate,
         "generalize_float": q_generalize_float,
         "generalize_no_lowest": q_generalize_no_lowest,
+        "ope_large_mapping": q_ope_large_mapping,
+        "ope_hot_key": q_ope_hot_key,
+        "csv_short_rows": q_csv_short_rows,
+        "csv_schema_na": q_csv_schema_na,
+        "csv_multi_file": q_csv_multi_file,
+        "export_columns": q_export_columns,
         "generalize_many_bins": q_generalize_many_bins,
         "generalize_fine_bins": q_generalize_fine_bins,
         "perturb_nonunique_identifier": q_perturb_nonunique_identifier,
@@ -560,6 +634,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # DuckDB oracles
 # ---------------------------------------------------------------------------------------------
 
+_SUPPLIER_HALF = ("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS s_acctbal "
+                  "FROM supplier")
 _MASK63 = "9223372036854775807"
 _TWO48 = "281474976710656.0::DOUBLE"
 
@@ -759,6 +835,13 @@ def _own_oracles() -> dict[str, str]:
         "generalize_float": _generalize_sql("SELECT c_custkey, c_acctbal FROM customer", ["c_custkey"], "c_acctbal", 10),
         "generalize_no_lowest": _generalize_sql("SELECT c_custkey, c_acctbal FROM customer", ["c_custkey"], "c_acctbal", 10,
                                                 include_lowest=False),
+        "ope_large_mapping": "SELECT dense_rank() OVER (ORDER BY event_id) AS event_id, user_id FROM events",
+        "ope_hot_key": ("SELECT o_orderkey, dense_rank() OVER (ORDER BY k) AS o_custkey FROM (SELECT o_orderkey, "
+                        "CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS k FROM orders)"),
+        "csv_short_rows": _SUPPLIER_HALF,
+        "csv_schema_na": _SUPPLIER_HALF,
+        "csv_multi_file": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+        "export_columns": "SELECT c_acctbal, c_custkey FROM customer",
         "generalize_fine_bins": _generalize_sql("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem",
                                                 ["l_orderkey", "l_linenumber"], "l_extendedprice", 5000),
         "perturb_nonunique_identifier": ("SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_identifiers, "
@@ -800,259 +883,6 @@ def _own_oracles() -> dict[str, str]:
         "precision_untouched": _precision_simple("SELECT * FROM customer",
                                                  [(f"count({c})", cust_w.get(c, 1.0)) for c in cust_cols]),
         "precision_pipeline": _pipeline_precision_sql(),
-        "precision_with_nulls": q_precision_with_nulls,
-        "precision_type_change": q_precision_type_change,
-        "stats_original": q_stats_original,
-        "stats_working": q_stats_working,
-        "stats_approx": q_stats_approx,
-        "csv_roundtrip": q_csv_roundtrip,
-        "precision_between_export": q_precision_between_export,
-        "bundle_roundtrip": q_bundle_roundtrip,
-        "preview": q_preview,
-        "stream_release": q_stream_release,
-        "stream_events": q_stream_events,
-        "sql_functions": q_sql_functions,
-        "lineitem_release": q_lineitem_release,
-        "lineitem_precision": q_lineitem_precision,
-        "lineitem_stats": q_lineitem_stats,
-    }
-
-
-# ---------------------------------------------------------------------------------------------
-# DuckDB oracles
-# ---------------------------------------------------------------------------------------------
-
-_MASK63 = "9223372036854775807"
-_TWO48 = "281474976710656.0::DOUBLE"
-
-
-def _token_sql(x: str, column: str, secret: str = SECRET, keep_nulls: bool = False) -> str:
-    tagged = f"CASE WHEN {x} IS NULL THEN 'n:' ELSE 'v:' || CAST({x} AS VARCHAR) END"
-    tok = (f"('ID-' || CAST((('0x' || substr(sha256('{secret}|{column}|' || {tagged}), 1, 16))::UBIGINT "
-           f"& {_MASK63}) AS VARCHAR))")
-    if keep_nulls:
-        return f"CASE WHEN {x} IS NULL THEN NULL ELSE {tok} END"
-    return tok
-
-
-def _bins_ctes(src: str, x: str, n: int, include_lowest: bool) -> str:
-    """CTEs ending in ``b(i, e_lo, e_hi, mid)``: pandas.cut edges and label midpoints."""
-    il = "TRUE" if include_lowest else "FALSE"
-    return f"""
-    s_ AS (SELECT min({x})::DOUBLE AS mn, max({x})::DOUBLE AS mx FROM {src}),
-    a_ AS (SELECT CASE WHEN mn = mx THEN mn - (CASE WHEN mn <> 0 THEN 0.001::DOUBLE * abs(mn) ELSE 0.001::DOUBLE END) ELSE mn END AS lo,
-                  CASE WHEN mn = mx THEN mx + (CASE WHEN mx <> 0 THEN 0.001::DOUBLE * abs(mx) ELSE 0.001::DOUBLE END) ELSE mx END AS hi,
-                  mn = mx AS flat FROM s_),
-    e_ AS (SELECT r.i, CASE WHEN r.i = {n} THEN hi
-                            WHEN r.i = 0 AND NOT flat THEN lo - (hi - lo) * 0.001::DOUBLE
-                            ELSE r.i * ((hi - lo) / {n}) + lo END AS edge
-           FROM a_, range(0, {n} + 1) r(i)),
-    rf_ AS (SELECT p.p, e_.i, e_.edge,
-                   CASE WHEN e_.edge = 0 THEN e_.edge
-                        WHEN abs(e_.edge) < 1 THEN round_even(e_.edge, CAST(-floor(log10(abs(e_.edge))) - 1 + p.p AS INTEGER))
-                        ELSE round_even(e_.edge, CAST(p.p AS INTEGER)) END AS lab
-            FROM e_, range(3, 20) p(p)),
-    pc_ AS (SELECT coalesce(min(p), 3) AS prec FROM (SELECT p, count(DISTINCT lab) AS u FROM rf_ GROUP BY p) WHERE u = {n} + 1),
-    lb_ AS (SELECT rf_.i, rf_.edge,
-                   CASE WHEN rf_.i = 0 AND {il} THEN rf_.lab - pow(10, -pc_.prec) ELSE rf_.lab END AS lab
-            FROM rf_, pc_ WHERE rf_.p = pc_.prec),
-    b AS (SELECT l.i, l0.edge AS e_lo, l.edge AS e_hi, 0.5::DOUBLE * (l0.lab + l.lab) AS mid
-          FROM lb_ l JOIN lb_ l0 ON l0.i = l.i - 1)"""
-
-
-def _bin_join(alias: str, x: str, include_lowest: bool) -> str:
-    il = "TRUE" if include_lowest else "FALSE"
-    return f"LEFT JOIN b ON ({alias}.{x} > b.e_lo AND {alias}.{x} <= b.e_hi) OR ({il} AND b.i = 1 AND {alias}.{x} = b.e_lo)"
-
-
-def _generalize_sql(table_sql: str, key: list[str], x: str, n: int, include_lowest: bool = True,
-                    cast: str | None = None, truncate: bool = False) -> str:
-    keys = ", ".join(f"t.{k}" for k in key)
-    if cast:
-        out = f"CAST({'trunc' if truncate else 'round_even'}(b.mid{'' if truncate else ', 0'}) AS {cast})"
-    else:
-        out = "b.mid"
-    return f"""WITH t AS ({table_sql}), {_bins_ctes('t', x, n, include_lowest)}
-    SELECT {keys}, {out} AS {x} FROM t {_bin_join('t', x, include_lowest)}"""
-
-
-def _u48(h: str, start: int) -> str:
-    return f"((('0x' || substr({h}, {start}, 12))::BIGINT)::DOUBLE + 0.5::DOUBLE) / {_TWO48}"
-
-
-def _noise_sql(h: str) -> str:
-    return f"(sqrt(-2.0::DOUBLE * ln({_u48(h, 1)})) * cos(2.0::DOUBLE * pi() * {_u48(h, 13)}))"
-
-
-def _key_part(x: str) -> str:
-    """One keyed-noise key part: ``<length>:<text>``, ``-`` for null."""
-    return f"coalesce(CAST(length(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
-
-
-def _perturb_sql(table: str, key_sql: str, x: str, noise: float, seed: int, select_key: str, cast: str | None,
-                 hash_key: str) -> str:
-    out = f"least(greatest({x}::DOUBLE + {_noise_sql('h')} * eff, mn), mx)"
-    out = f"CAST(round_even({out}, 0) AS {cast})" if cast else f"round({out}, 6)"
-    return f"""WITH m AS (SELECT min({x})::DOUBLE AS mn, max({x})::DOUBLE AS mx FROM {table}),
-    f AS (SELECT mn, mx, ({noise}::DOUBLE * CASE WHEN mx = mn THEN 1.0::DOUBLE ELSE mx - mn END) AS eff FROM m),
-    z AS (SELECT {key_sql}, {x}, sha256('{seed}|{x}|' || {hash_key}) AS h FROM {table})
-    SELECT {select_key}, CASE WHEN {x} IS NULL THEN NULL ELSE {out} END AS {x} FROM z, f"""
-
-
-def _mask_sql(strategy: str, s: str, k: int | None = None, pattern: str | None = None) -> str:
-    if strategy == "mask_first_k":
-        return f"repeat('*', least({k}, length({s}))) || substr({s}, {k + 1})"
-    if strategy == "mask_last_k":
-        return (f"CASE WHEN length({s}) <= {k} THEN repeat('*', length({s})) "
-                f"ELSE substr({s}, 1, length({s}) - {k}) || repeat('*', {k}) END")
-    if strategy == "mask_before_first_space":
-        return (f"CASE WHEN instr({s}, ' ') = 0 THEN {s} "
-                f"ELSE repeat('*', instr({s}, ' ') - 1) || substr({s}, instr({s}, ' ')) END")
-    if strategy == "mask_after_last_space":
-        return (f"CASE WHEN instr({s}, ' ') = 0 THEN {s} "
-                f"ELSE regexp_replace({s}, '[^ ]*$', '') || repeat('*', length(regexp_extract({s}, '[^ ]*$'))) END")
-    return f"regexp_replace({s}, '{pattern}', '*', 'g')"
-
-
-_ORDERS_NULL_CUST = ("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS o_custkey "
-                     "FROM orders")
-_CUSTOMER_NULL_BAL = ("SELECT c_custkey, c_name, c_nationkey, "
-                      "CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal, c_mktsegment "
-                      "FROM customer")
-
-
-def _pipeline_sql() -> str:
-    return f"""WITH t AS (SELECT * FROM customer), {_bins_ctes('t', 'c_acctbal', 10, True)}
-    SELECT {_token_sql('t.c_custkey', 'c_custkey')} AS c_custkey,
-           {_mask_sql('mask_last_k', 't.c_name', 4)} AS c_name,
-           t.c_nationkey, b.mid AS c_acctbal, t.c_mktsegment
-    FROM t {_bin_join('t', 'c_acctbal', True)}"""
-
-
-def _precision_simple(from_sql: str, terms: list[tuple[str, float]]) -> str:
-    aggs = ", ".join(f"({e})::DOUBLE AS e{i}" for i, (e, _) in enumerate(terms))
-    total = " + ".join(f"{w}::DOUBLE * n" for _, w in terms)
-    unchanged = " + ".join(f"{w}::DOUBLE * e{i}" for i, (_, w) in enumerate(terms))
-    prec = f"CASE WHEN ({total}) = 0 THEN 100.0::DOUBLE ELSE ({unchanged}) / ({total}) * 100.0::DOUBLE END"
-    return f"""WITH c AS (SELECT count(*)::DOUBLE AS n, {aggs} FROM ({from_sql}) q)
-    SELECT {prec} AS precision_pct, 100.0::DOUBLE - {prec} AS privacy_pct FROM c"""
-
-
-def _stats_sql_named(table_sql: str, cols: list[tuple[str, str]], digits: int = 6) -> str:
-    parts = []
-    for i, (c, typ) in enumerate(cols):
-        if typ == "numeric":
-            x = f"TRY_CAST({c} AS DOUBLE)"
-            num = (f"round(avg({x}), {digits}) AS mean, round(min({x}), {digits}) AS min, round(max({x}), {digits}) AS max, "
-                   f"round(stddev_samp({x}), {digits}) AS std, round(median({x}), {digits}) AS median")
-        else:
-            num = ("NULL::DOUBLE AS mean, NULL::DOUBLE AS min, NULL::DOUBLE AS max, NULL::DOUBLE AS std, "
-                   "NULL::DOUBLE AS median")
-        parts.append(f"SELECT {i} AS o, '{c}' AS \"column\", '{typ}' AS \"type\", count({c}) AS \"count\", "
-                     f"count(DISTINCT {c}) AS unique_count, count(*) - count({c}) AS nulls, {num} FROM t")
-    return (f"WITH t AS ({table_sql}) SELECT \"column\", \"type\", \"count\", unique_count, nulls, "
-            f"mean, min, max, std, median FROM ({' UNION ALL '.join(parts)}) ORDER BY o")
-
-
-def _lineitem_release_sql(round_quantity: bool = True) -> str:
-    noise = _noise_sql("sha256('" + str(SEED) + "|l_quantity|' || " + _key_part("t.l_orderkey") + " || '|' || "
-                       + _key_part("t.l_linenumber") + ")")
-    qty = f"least(greatest(t.l_quantity + {noise} * f.eff, f.mn), f.mx)"
-    if round_quantity:
-        qty = f"round({qty}, 6)"
-    return f"""WITH t AS (SELECT {', '.join(LINEITEM_COLS)} FROM lineitem),
-    r AS (SELECT l_orderkey AS value, dense_rank() OVER (ORDER BY l_orderkey) AS rank FROM (SELECT DISTINCT l_orderkey FROM t)),
-    m AS (SELECT min(l_quantity)::DOUBLE AS mn, max(l_quantity)::DOUBLE AS mx FROM t),
-    f AS (SELECT mn, mx, (0.05::DOUBLE * CASE WHEN mx = mn THEN 1.0::DOUBLE ELSE mx - mn END) AS eff FROM m),
-    {_bins_ctes('t', 'l_extendedprice', 20, True)[5:]}
-    SELECT r.rank AS l_orderkey, t.l_partkey, {_token_sql('t.l_suppkey', 'l_suppkey')} AS l_suppkey, t.l_linenumber,
-           {qty} AS l_quantity, b.mid AS l_extendedprice, t.l_discount, t.l_tax, t.l_returnflag, t.l_linestatus,
-           {_mask_sql('mask_after_last_space', 'CAST(t.l_shipdate AS VARCHAR)')} AS l_shipdate,
-           t.l_orderkey AS o_orderkey, t.l_suppkey AS o_suppkey, t.l_quantity AS o_quantity,
-           t.l_extendedprice AS o_extendedprice, t.l_shipdate AS o_shipdate
-    FROM t JOIN r ON t.l_orderkey = r.value CROSS JOIN f {_bin_join('t', 'l_extendedprice', True)}"""
-
-
-def _own_oracles() -> dict[str, str]:
-    cust_cols = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
-    cust_w = {"c_acctbal": 2.0}
-    return {
-        "release_pipeline": _pipeline_sql(),
-        "pseudonym_seeded": f"SELECT c_custkey, {_token_sql('c_name', 'c_name')} AS c_name FROM customer",
-        "pseudonym_nulls": f"SELECT o_orderkey, {_token_sql('o_custkey', 'o_custkey')} AS o_custkey FROM ({_ORDERS_NULL_CUST})",
-        "pseudonym_keep_nulls": (f"SELECT o_orderkey, {_token_sql('o_custkey', 'o_custkey', keep_nulls=True)} AS o_custkey "
-                                 f"FROM ({_ORDERS_NULL_CUST})"),
-        "pseudonym_random_invariants": (
-            "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS distinct_in, count(DISTINCT o_custkey) AS distinct_out, "
-            "count(DISTINCT o_custkey) AS distinct_pairs, count(*) AS well_formed, count(*) AS differ_between_runs "
-            "FROM orders"),
-        "ope_int": "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) AS o_custkey FROM orders",
-        "ope_string": "SELECT c_custkey, dense_rank() OVER (ORDER BY c_name) AS c_name FROM customer",
-        "ope_nulls": (f"SELECT o_orderkey, CASE WHEN o_custkey IS NULL THEN NULL ELSE "
-                      f"dense_rank() OVER (PARTITION BY o_custkey IS NULL ORDER BY o_custkey) END AS o_custkey "
-                      f"FROM ({_ORDERS_NULL_CUST})"),
-        "ope_mapping": "SELECT user_id AS value, dense_rank() OVER (ORDER BY user_id) AS rank FROM (SELECT DISTINCT user_id FROM events)",
-        "ope_roundtrip": "SELECT event_id, user_id FROM events",
-        "ope_reverse_forced": (
-            "WITH m AS (SELECT user_id AS value, dense_rank() OVER (ORDER BY user_id) AS rank FROM (SELECT DISTINCT user_id FROM events)), "
-            "g AS (" + _generalize_sql(
-                "SELECT e.event_id, m.rank AS user_id FROM events e JOIN m ON e.user_id = m.value",
-                ["event_id"], "user_id", 7, cast="BIGINT") + ") "
-            "SELECT g.event_id, coalesce(m.value, g.user_id) AS user_id FROM g LEFT JOIN m ON g.user_id = m.rank"),
-        "ope_reverse_passthrough": (
-            "WITH m AS (SELECT user_id AS value, dense_rank() OVER (ORDER BY user_id) AS rank FROM (SELECT DISTINCT user_id FROM events)) "
-            f"SELECT e.event_id, {_token_sql('m.rank', 'user_id')} AS user_id FROM events e JOIN m ON e.user_id = m.value"),
-        "generalize_int": _generalize_sql("SELECT p_partkey, p_size FROM part", ["p_partkey"], "p_size", 10, cast="INTEGER"),
-        "generalize_truncate": _generalize_sql("SELECT p_partkey, p_size FROM part", ["p_partkey"], "p_size", 10,
-                                               cast="INTEGER", truncate=True),
-        "generalize_float": _generalize_sql("SELECT c_custkey, c_acctbal FROM customer", ["c_custkey"], "c_acctbal", 10),
-        "generalize_no_lowest": _generalize_sql("SELECT c_custkey, c_acctbal FROM customer", ["c_custkey"], "c_acctbal", 10,
-                                                include_lowest=False),
-        "generalize_fine_bins": _generalize_sql("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem",
-                                                ["l_orderkey", "l_linenumber"], "l_extendedprice", 5000),
-        "perturb_nonunique_identifier": ("SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_identifiers, "
-                                         "TRUE AS noise_by_row FROM orders"),
-        "reset_working": "SELECT *, 0 AS n_mappings FROM customer",
-        "preview_original": ("SELECT *, (SELECT count(*) FROM customer) AS n_total FROM customer "
-                             "ORDER BY c_custkey LIMIT 15"),
-        "stats_display": _rounded_sql(_stats_sql_named("SELECT * FROM customer", [
-            ("c_custkey", "numeric"), ("c_name", "categorical"), ("c_nationkey", "numeric"), ("c_acctbal", "numeric"),
-            ("c_mktsegment", "categorical")]), 4),
-        "stats_documents": _stats_sql_named("SELECT * FROM documents", [
-            ("doc_id", "numeric"), ("text", "categorical"), ("lang", "categorical"), ("source", "categorical"),
-            ("n_chars", "numeric")]),
-        "precision_display": ("SELECT round(precision_pct, 1) AS precision_pct, round(privacy_pct, 1) AS privacy_pct FROM ("
-                              + _pipeline_precision_sql() + ")"),
-        "generalize_many_bins": _generalize_sql("SELECT c_custkey, c_acctbal FROM customer", ["c_custkey"], "c_acctbal", 200),
-        "generalize_constant": _generalize_sql("SELECT p_partkey, greatest(p_size, 100)::DOUBLE AS v FROM part",
-                                               ["p_partkey"], "v", 4),
-        "generalize_nulls": _generalize_sql(f"SELECT c_custkey, c_acctbal FROM ({_CUSTOMER_NULL_BAL})", ["c_custkey"],
-                                            "c_acctbal", 5),
-        "perturb_seeded": _perturb_sql("events", "event_id", "value", 0.1, SEED, "event_id", None, _key_part("event_id")),
-        "perturb_nulls": _perturb_sql(
-            "(SELECT event_id, CASE WHEN event_type = 'click' THEN NULL ELSE value END AS value FROM events)",
-            "event_id", "value", 0.1, SEED, "event_id", None, _key_part("event_id")),
-        "perturb_int": _perturb_sql("part", "p_partkey", "p_size", 0.2, SEED, "p_partkey", "INTEGER",
-                                    _key_part("p_partkey")),
-        "perturb_zero_noise": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
-        "perturb_invariants": "SELECT count(*) AS n_rows, TRUE AS bounded, 0::BIGINT AS nulls FROM lineitem",
-        "mask_first_k": f"SELECT doc_id, {_mask_sql('mask_first_k', 'text', 5)} AS text FROM documents",
-        "mask_last_k": f"SELECT conv_id, turn, {_mask_sql('mask_last_k', 'text', 7)} AS text FROM conversations",
-        "mask_before_space": f"SELECT doc_id, {_mask_sql('mask_before_first_space', 'text')} AS text FROM documents",
-        "mask_after_space": f"SELECT conv_id, turn, {_mask_sql('mask_after_last_space', 'text')} AS text FROM conversations",
-        "mask_regex": f"SELECT doc_id, {_mask_sql('mask_regex', 'text', pattern=chr(92) + 'p{Nd}+')} AS text FROM documents",
-        "mask_regex_email": (f"SELECT doc_id, {_mask_sql('mask_regex', 'text', pattern='[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}')}"
-                             " AS text FROM documents"),
-        "mask_pages_after_space": f"SELECT page_id, {_mask_sql('mask_after_last_space', 'html')} AS html FROM pages",
-        "mask_pages_regex": f"SELECT page_id, {_mask_sql('mask_regex', 'html', pattern='[0-9]{3,}')} AS html FROM pages",
-        "mask_numeric_column": f"SELECT c_name, {_mask_sql('mask_first_k', 'CAST(c_custkey AS VARCHAR)', 2)} AS c_custkey FROM customer",
-        "precision_untouched": _precision_simple("SELECT * FROM customer",
-                                                 [(f"count({c})", cust_w.get(c, 1.0)) for c in cust_cols]),
-        "precision_pipeline": _precision_simple(
-            f"SELECT t.*, p.c_name AS w_name, p.c_acctbal AS w_acctbal FROM customer t JOIN ({_pipeline_sql()}) p "
-            f"ON {_token_sql('t.c_custkey', 'c_custkey')} = p.c_custkey",
-            [("0", 1.0), ("count_if(c_name = w_name)", 1.0), ("count(c_nationkey)", 1.0),
-             ("count_if(c_acctbal = w_acctbal)", 2.0), ("count(c_mktsegment)", 1.0)]),
         "precision_with_nulls": _precision_simple(_CUSTOMER_NULL_BAL,
                                                   [(f"count({c})", cust_w.get(c, 1.0)) for c in cust_cols]),
         "precision_type_change": _precision_simple(
