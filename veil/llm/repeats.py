@@ -37,9 +37,9 @@ from veil.session import ensure_checkpoint_dir
 #: One text in so many is looked at for hot runs; a run is hot from this share of the sample on.
 SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1 / 20000, 8
 
-#: Text bytes handled at once, and symbols of a shard that are indexed together (a group of one
-#: minimizer is never divided).
-PIECE, SHARD_SYMBOLS = 1 << 20, 400_000
+#: Text bytes cut into segments at once (so many that the arrays stay in a core's cache), and symbols of a
+#: shard that are indexed together (a group of one minimizer is never divided).
+PIECE, SHARD_SYMBOLS = 1 << 17, 400_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -336,7 +336,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        for piece in slices(batch, 4, PIECE):
+        for piece in slices(batch, 4):
             held.append(piece)
             size += piece.nbytes
             if size >= 8 * SHARD_SYMBOLS:
