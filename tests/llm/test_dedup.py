@@ -185,3 +185,44 @@ def test_registered_queries_on_the_small_tables(spark):
     assert sorted((tuple(r) for r in queries.op1_substring_dedup(spark, sf).collect()), key=str) == by_brute_force_words(rows)
     assert sorted((tuple(r) for r in queries.op6_suffix_array_dedup(spark, sf).collect()), key=str) == by_brute_force_bytes(rows)
     assert sorted((tuple(r) for r in queries.op10_near_dedup(spark, sf).collect()), key=str) == near_by_brute_force(rows, 3, 85)
+
+
+def kept_by_brute_force(rows, width, percent):
+    """(doc_id, text) of the rows that stay: one of each component, all without shingles."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return {g: [rows[i] for i in range(len(rows)) if group[i] == g] for g in group}
+
+
+def check_kept(rows, out, width=5, percent=80):
+    """One row of each component leaves, with the smallest id that is not null, and no other row."""
+    left = Counter(out)
+    for members in kept_by_brute_force(rows, width, percent).values():
+        ids = [d for d, _ in members if d is not None]
+        allowed = [m for m in members if m[0] == (min(ids) if ids else None)]
+        got = [m for m in dict.fromkeys(allowed) if left[m]]
+        assert got, members
+        left[got[0]] -= 1
+    assert not +left
+
+
+def test_rows_with_null_or_shared_ids_stay(make_documents):
+    """Different texts stay whatever their ids; a near copy leaves although another row with its id stays."""
+    from tests.llm.conftest import prose
+
+    a, b = prose(9, 300), prose(23, 80)
+    rows = [(None, prose(50, 60)), (None, prose(61, 60)), (None, prose(72, 60)), (None, prose(72, 60)), (None, None),
+            (None, ""), (3, prose(13, 70)), (3, prose(14, 70)), (1, a), (2, a + " tail"), (2, b), (4, b), (4, b),
+            (5, ""), (5, " "), (6, "one two"), (6, "one two"), (7, prose(9, 300).upper())]
+    df = make_documents([(i, t, "en", "s") for i, t in rows])
+    out = minhash_odd.kept_documents(df, 5, 80)
+    assert out.columns == df.columns
+    check_kept(rows, pairs_of(out))

@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import slices, utf8
-from veil.llm.repeats import Unit, keyed, mix, run_hashes, symbols
+from veil.llm._common import WORD, slices, utf8
+from veil.llm.repeats import Unit, document_key, keyed, mix, run_hashes, symbols
 from veil.session import ensure_checkpoint_dir
 
 SAMPLES, BITS = 1 << 16, 2048
@@ -234,8 +234,8 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float, best: boo
         yield from pairs(pa.concat_tables(held))
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def labelled(df: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, doc_id, n and label (its component, null without shingles) of every row."""
     ensure_checkpoint_dir(df.sparkSession)
     threshold = percent / 100
     docs = keyed(df)
@@ -266,8 +266,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
         found = confirm(more.checkpoint(), docs, nodes, width, percent)
         links = links.unionByName(found).checkpoint()
         labels = components(links)
-    of_row = rows.select("doc_id", "n", "node").join(labels, "node", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+    return rows.select("key", "doc_id", "n", "node").join(labels, "node", "left").select(
+        "key", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+
+
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    of_row = labelled(df, width, percent)
     least = of_row.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = of_row.join(least, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
@@ -275,14 +280,26 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
 
 def kept_documents(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each component, with all columns."""
-    kept = near_duplicates(df, width, percent).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "m").checkpoint()
+    """The documents that stay, with all columns: exactly one row of each component, the one with the
+    smallest id (null last, then the smallest key), and every row without shingles.
 
-    def of(ids: DataFrame) -> DataFrame:
-        return df.join(ids, df["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-
-    again = kept.where("m > 1")
+    Rows are told apart by id and key, so neither shared nor null ids make them one document.
+    """
+    same = labelled(df, width, percent).where("label IS NOT NULL").groupBy("label", "doc_id", "key").agg(
+        F.count(F.lit(1)).alias("m"))
+    kept = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "m")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_key"), F.col("k.m").alias("_m")).checkpoint()
+    text = F.col("text").cast("string")
+    key = document_key(F.col("doc_id"), text)
+    worded = F.coalesce(text.rlike(WORD), F.lit(False))
+    docs = df.where(worded)
+
+    def of(rows: DataFrame) -> DataFrame:
+        return docs.join(rows, (key == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    out = df.where(~worded).unionByName(of(kept.where("_m = 1")))
+    again = kept.where("_m > 1")  # equal rows share id and key
     if again.isEmpty():
-        return of(kept)
-    return of(kept.where("m = 1")).unionByName(of(again).dropDuplicates(["doc_id"]))  # rows sharing an id
+        return out
+    one = of(again).withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return out.unionByName(one)
