@@ -226,3 +226,45 @@ def test_rows_with_null_or_shared_ids_stay(make_documents):
     out = minhash_odd.kept_documents(df, 5, 80)
     assert out.columns == df.columns
     check_kept(rows, pairs_of(out))
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """No group holds much more than two blocks, and every pair across components meets in exactly one."""
+    monkeypatch.setattr(minhash_odd, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    members = {1: 60, 2: 40, 3: 5}  # bucket: classes; node 1000 * bucket + i
+    label = {1: lambda i: 0 if i < 45 else i, 2: lambda i: i, 3: lambda i: 0 if i < 4 else i}
+    nodes = [(b, 1000 * b + i, 1000 * b + label[b](i)) for b, m in members.items() for i in range(m)]
+    sketch = [int(x) for x in rng.integers(0, 1 << 62, 32)]
+    places = spark.createDataFrame([(n, b) for b, n, _ in nodes], "node long, band long")
+    labels = spark.createDataFrame([(n, x) for _, n, x in nodes if n != x], "node long, label long")
+    sketches = spark.createDataFrame([(n, 100, sketch) for _, n, _ in nodes], "node long, n long, sketch array<long>")
+    groups = minhash_odd.block_groups(places, labels, sketches)
+    held = Counter((r.band, r.i, r.j) for r in groups.collect())
+    assert max(held.values()) <= 4 * 8 and sum(1 for g in held if g[0] == 3) == 1
+    assert sum(1 for g in held if g[0] == 1) > 10
+    want = {(x, y) for b, x, p in nodes for c, y, q in nodes if b == c and x < y and p != q}
+    got = Counter((r.a, r.b) for r in minhash_odd.meeting_pairs(groups, 0.8, False).collect())
+    assert set(got) == want and set(got.values()) == {1}
+    found = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
+        lambda batches: minhash_odd._block_pairs(batches, 0.8, False),
+        "band long, node long, label long, flips long, other long").count()
+    assert found == len(want)
+    best = minhash_odd.meeting_pairs(groups, 0.8, True).collect()
+    assert 0 < len(best) <= len(want) and {(r.a, r.b) for r in best} <= want
+
+
+def test_blocks_do_not_change_results(make_documents, monkeypatch):
+    """A template family below the threshold, near copies and outsiders in the same buckets."""
+    monkeypatch.setattr(minhash_odd, "BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for m in range(50):
+        copy = list(base)
+        for _ in range(1 if m < 20 else 4):
+            copy[rng.randrange(60)] = f"z{rng.randrange(10 ** 6)}"
+        rows.append((m, " ".join(copy), "en", "s"))
+    df = make_documents(rows)
+    got = sorted((tuple(r) for r in minhash_odd.near_duplicates(df, 3, 85).collect()), key=str)
+    assert got == near_by_brute_force(pairs_of(df), 3, 85)

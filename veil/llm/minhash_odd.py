@@ -13,7 +13,8 @@ still meet, sketches are compared across components, inside the task: first the
 class and another component leaves, then, after another confirmation, all pairs that may reach the
 threshold and are not connected by then. So every pair of a bucket is either connected
 already or compared, whatever the bucket's size. Members of one bucket are gathered as sketches, 256
-bytes a class, from which the largest component's members are never compared among themselves.
+bytes a class, in blocks: a large bucket's blocks meet pairwise, each pair in a group of its own, and the
+largest component's members are never compared among themselves.
 
 24 bands of 5 rows, or 28 of 4 rows for thresholds below 0.85: a pair at 0.85 shares no band with
 probability 8e-7, one at 0.8 with 4e-7. The sketch test allows five standard deviations.
@@ -38,6 +39,10 @@ from veil.llm.repeats import Unit, document_key, keyed, mix, run_hashes, symbols
 from veil.session import ensure_checkpoint_dir
 
 SAMPLES, BITS = 1 << 16, 2048
+
+#: Classes of a bucket that one group compares; a larger bucket is cut into blocks of about so many.
+BLOCK = 4096
+
 SIGMAS = 5.0
 
 _U = np.uint64
@@ -189,21 +194,51 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float, best: bool):
-    """Pairs across components of each bucket of a partition sorted by bucket; with ``best`` only the
-    most similar one of each class and component."""
+def block_groups(places: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The classes of every bucket in which components still meet, dealt into groups (band, i, j).
+
+    A bucket of up to ``BLOCK`` classes is one group. A larger one is cut by a hash of node into blocks
+    of about ``BLOCK``: first the blocks of the classes outside the largest component, then those of its
+    members (``big``). Each of the former meets itself and every other block, so all pairs across
+    components have a group, and the largest component is only streamed past the others.
+    """
+    placed = places.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    held = placed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(
+        F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("m"), F.count(F.lit(1)).alias("kinds"))
+    others = F.col("m") - F.col("most.c")
+    whole = F.col("m") <= BLOCK
+    number = lambda n: F.when(whole, 1).otherwise(F.ceil(n / BLOCK)).cast("int")
+    open_ = held.where("kinds > 1").select(
+        "band", F.col("most.label").alias("_label"), whole.alias("_whole"), number(others).alias("_others"),
+        number(F.col("most.c")).alias("_bigs"))
+    h = F.xxhash64("node")
+    big = F.col("label") == F.col("_label")
+    of_big = F.when(F.col("_whole"), 0).otherwise(F.col("_others") + F.pmod(h, F.col("_bigs"))).cast("int")
+    block = F.when(big, of_big).otherwise(F.pmod(h, F.col("_others"))).cast("int")
+    last = F.when(F.col("_whole"), 0).when(F.col("big"), F.col("_others") - 1).otherwise(
+        F.col("_others") + F.col("_bigs") - 1).cast("int")
+    return (placed.join(open_, "band").withColumns({"big": big, "block": block}).join(sketches, "node")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+            .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                    "block", "big", "node", "label", "n", "sketch"))
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], threshold: float, best: bool):
+    """band, node, label of the other, flips and the other of pairs across components in each group of a
+    partition sorted by group; with ``best`` only the most similar one of each class and component."""
     held: list[pa.Table] = []
 
     def pairs(rows: pa.Table):
-        label, node, n = (rows.column(c).to_numpy() for c in ("label", "node", "n"))
+        label, node, n, block = (rows.column(c).to_numpy() for c in ("label", "node", "n", "block"))
+        big = rows.column("big").to_numpy(zero_copy_only=False)
         words = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
-        kinds, inverse, size = np.unique(label, return_inverse=True, return_counts=True)
-        if len(kinds) < 2:
-            return
-        largest = int(size.argmax())
-        for i in np.flatnonzero(inverse != largest).tolist():
+        apart = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        for i in np.flatnonzero(~big).tolist():
             # members of the largest component, and of the others each pair once
-            other = np.flatnonzero((inverse == largest) | ((inverse > inverse[i]) & (inverse != largest)))
+            meets = big | (label > label[i])
+            if apart:
+                meets &= block != block[i]  # pairs within a block have a group of their own
+            other = np.flatnonzero(meets)
             a, b = n[i], n[other]
             other = other[np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9]
             if not len(other):
@@ -212,21 +247,24 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float, best: boo
             limit = most_flips(float(a), n[other].astype(float), threshold, np.exp, np.sqrt, np.minimum)
             other, flips = other[flips <= limit], flips[flips <= limit]
             if best and len(other) > 1:
-                order = np.lexsort((flips, inverse[other]))
-                other = other[order]
-                other = other[np.r_[True, inverse[other][1:] != inverse[other][:-1]]]
+                order = np.lexsort((flips, label[other]))
+                other, flips = other[order], flips[order]
+                first = np.r_[True, label[other][1:] != label[other][:-1]]
+                other, flips = other[first], flips[first]
             if len(other):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(node[other], node[i])), pa.array(np.maximum(node[other], node[i]))],
-                    names=["a", "b"])
+                    [rows.column("band").combine_chunks().take(pa.array(np.full(len(other), i))),
+                     pa.array(np.full(len(other), node[i])), pa.array(label[other]),
+                     pa.array(flips.astype(np.int64)), pa.array(node[other])],
+                    names=["band", "node", "label", "flips", "other"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(pa.Table.from_batches([batch]))
         rows = pa.concat_tables(held)
-        band = rows.column("band").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(band)) + 1).tolist()]
+        group = [rows.column(c).to_numpy() for c in ("band", "i", "j")]
+        cuts = [0, *(np.flatnonzero(np.any([np.diff(g) != 0 for g in group], axis=0)) + 1).tolist()]
         for x, y in zip(cuts, cuts[1:]):
             yield from pairs(rows.slice(x, y - x))
         held = [rows.slice(cuts[-1])]
@@ -234,6 +272,18 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch], threshold: float, best: boo
         yield from pairs(pa.concat_tables(held))
 
 
+def meeting_pairs(groups: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Pairs (a, b) across components that may reach the threshold; with ``best`` one for each class and
+    other component of a bucket."""
+    pairs = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
+        lambda batches: _block_pairs(batches, threshold, best),
+        "band long, node long, label long, flips long, other long")
+    if best:  # the blocks of a bucket each have found one
+        pairs = pairs.groupBy("band", "node", "label").agg(F.min(F.struct("flips", "other")).alias("s")).select(
+            "node", F.col("s.other").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def labelled(df: DataFrame, width: int, percent: int) -> DataFrame:
     """key, doc_id, n and label (its component, null without shingles) of every row."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -257,12 +307,7 @@ def labelled(df: DataFrame, width: int, percent: int) -> DataFrame:
     # buckets in which different components still meet: first the most similar pairs, which join most of
     # what belongs together, then every pair across components that may reach the threshold
     for best in (True, False):
-        placed = active.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        meeting = placed.join(open_.select("band"), "band").join(sketches, "node").select(
-            "band", "node", "label", "n", "sketch")
-        more = (meeting.repartition("band").sortWithinPartitions("band").mapInArrow(
-            lambda batches, best=best: _bucket_pairs(batches, threshold, best), "a long, b long").distinct())
+        more = meeting_pairs(block_groups(active, labels, sketches), threshold, best)
         found = confirm(more.checkpoint(), docs, nodes, width, percent)
         links = links.unionByName(found).checkpoint()
         labels = components(links)
