@@ -268,3 +268,32 @@ def test_blocks_do_not_change_results(make_documents, monkeypatch):
     df = make_documents(rows)
     got = sorted((tuple(r) for r in minhash_odd.near_duplicates(df, 3, 85).collect()), key=str)
     assert got == near_by_brute_force(pairs_of(df), 3, 85)
+
+
+@pytest.mark.parametrize("unit", [repeats.Unit(True, 35, 8), repeats.Unit(False, 200, 32)])
+def test_windows_at_the_edge_of_a_hot_passage_are_dealt(make_documents, monkeypatch, unit):
+    """A passage in every text: no shard holds its edges, and no window is sent once a text."""
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    rng = random.Random(6)
+    line = " ".join(f"w{i}" for i in range(90))
+    n = 200
+    rows = [(i, " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(40)) + " " + line + " "
+             + " ".join(f"u{rng.randrange(10 ** 6)}" for _ in range(40)), "en", "s") for i in range(n)]
+    docs = repeats.keyed(make_documents(rows)).coalesce(2)
+    def index(runs, texts, weights):
+        assert max(Counter(runs).values()) <= n // 4, "edges of the passage met in one shard"
+        make = fm_dedup.index_words if unit.words else sa_dedup.index_bytes
+        return make(runs, texts, weights, unit.length)
+
+    assert repeats.covered(docs, unit, index).count() >= n
+    hot = repeats.hot_runs(docs, unit)
+    assert len(hot)
+    blobs = [r[1].encode() for r in rows]
+    doc, start, count, value, _, a, b, first = repeats.segments(blobs, unit, hot)
+    far = value >= np.uint64(1 << 62)
+    texts = repeats._cut(blobs, doc[far], start[far], count[far], a, b, first, unit)
+    merged = Counter(texts)
+    told = repeats._settle({t: min(c, 2) for t, c in merged.items()}, unit).to_pydict()
+    assert max(Counter(w for w in told["window"] if w is not None).values()) == 1
+    whole = Counter(w for t, c in merged.items() for w in repeats._windows(t, unit) for _ in range(min(c, 2)))
+    assert max(whole.values()) > n // 2  # windows inside stand in most edge segments

@@ -7,7 +7,8 @@ below the window length. Segments are streamed against the index from right to l
 at once: backward search extends each match by a word while the pattern still occurs twice (segments
 held by several texts count so often); where it doesn't, the match is cut on the right to the
 enclosing LCP interval. This yields the matching statistics up to the window length, and a window is
-reported where the match is that long. Words are compared, not hashes.
+reported where the match is that long. Words are compared, not hashes; only windows of hot passages, which
+reach no shard, are compared by 128-bit digests of their words.
 
 Defined results: null and empty texts have no words; a text shorter than the window keeps all; equal
 rows (also with the same or a null doc_id) repeat each other; texts are handled whole; an empty

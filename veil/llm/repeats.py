@@ -12,10 +12,12 @@ minimizer travel as one segment of text.
 
 Hot passages: runs of symbols that are frequent in a hash sample of the texts count as hot and are
 chosen only if a window has no other selected run. So windows that reach beyond a common passage are
-dealt by what is beside it, and windows inside of it are equal in all texts; equal segments are
-merged within each task before they travel (their number is kept), and what is found returns by a
-join on their digest, which Spark can split. The sample only decides on routes: any choice of hot
-runs gives the same result.
+dealt by what is beside it if a selected run is there. Windows whose minimizer is hot or not selected
+never go to the shard of that minimizer: each is dealt by a 128-bit digest of its own symbols, which
+decides whether it occurs twice. Equal segments are merged within each task before that (their
+number is kept), so a window inside of the passage is one row a flush, and what is found returns by
+a join on the segment's digest, which Spark can split. The sample only decides on routes: any choice of
+hot runs gives the same result.
 
 Rows are known by a hash of doc_id and text. Equal rows share it and get equal results.
 """
@@ -41,6 +43,9 @@ SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1 / 20000, 8
 #: shard that are indexed together (a group of one minimizer is never divided).
 PIECE, SHARD_SYMBOLS = 1 << 17, 400_000
 
+#: Windows of hot segments that a task merges before it lets them go.
+FLUSH_WINDOWS = 200_000
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _P = 0xD6E8FEB86659FD93
@@ -248,57 +253,33 @@ def covered(docs: DataFrame, unit: Unit, index: Callable) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):  # columns key, doc_id, text, starts
-        merged: dict[bytes, list] = {}
-
-        def flush():
-            rows = list(merged.values())
-            merged.clear()
-            return _segment_rows([r[0] for r in rows], [None] * len(rows), None, [-1] * len(rows), [r[1] for r in rows],
-                                 [r[2] for r in rows], id_type)
-
-        id_type = None
         for batch in batches:
-            id_type = batch.schema.field(1).type
             for piece in slices(batch, 2, PIECE):
                 blobs = utf8(piece.column(2).to_pylist())
                 doc, start, count, value, _, a, b, first = segments(blobs, unit, hot)
-                lists = piece.column(3)
-                lengths = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()])
-                wanted = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in lists.to_pylist() if x]])
-                wanted += np.repeat(np.arange(len(blobs)), lengths) << 40
-                plain = value < _U(1 << 62)
-                take = plain & np.isin((doc.astype(np.int64) << 40) + start, wanted)
+                lists = piece.column(3).to_pylist()
+                wanted = np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in lists]])
+                wanted += np.repeat(np.arange(len(blobs)), [len(x) for x in lists]) << 40
+                take = (value < _U(1 << 62)) & np.isin((doc.astype(np.int64) << 40) + start, wanted)
                 if take.any():
                     d = doc[take]
-                    texts = _cut(blobs, d, start[take], count[take], a, b, first, unit)
-                    yield _segment_rows(value[take].view(np.int64).tolist(), piece.column(0).to_numpy()[d].tolist(),
-                                        piece.column(1).take(pa.array(d)), start[take].tolist(), texts,
-                                        [1] * len(texts), id_type)
-                if (~plain).any():
-                    texts = _cut(blobs, doc[~plain], start[~plain], count[~plain], a, b, first, unit)
-                    for text, v in zip(texts, value[~plain].view(np.int64).tolist()):
-                        row = merged.get(text)
-                        if row is None:
-                            merged[text] = [v, text, 1]
-                        else:
-                            row[2] = 2
-                    if len(merged) > 20_000:
-                        yield flush()
-        if merged:
-            yield flush()
+                    yield pa.RecordBatch.from_arrays(
+                        [_long(value[take]), pa.array(piece.column(0).to_numpy()[d]), piece.column(1).take(pa.array(d)),
+                         pa.array(start[take].astype(np.int32)),
+                         pa.array(_cut(blobs, d, start[take], count[take], a, b, first, unit), pa.binary())],
+                        names=["run", "key", "doc_id", "start", "segment"])
 
     candidates = repeated_minimizers(docs, unit, hot)
-    pieces = docs.join(candidates, "key", "left").select("key", "doc_id", "text", "starts").mapInArrow(
-        cut, f"run long, key long, doc_id {kind}, start int, segment binary, weight int")
+    pieces = docs.join(candidates, "key").select("key", "doc_id", "text", "starts").mapInArrow(
+        cut, f"run long, key long, doc_id {kind}, start int, segment binary")
 
     def decide(batches):
-        out_type = None
         for rows in _groups(batches):
-            out_type = rows.schema.field("doc_id").type
-            yield from _decide(rows, unit, index, out_type)
+            yield from _decide(rows, unit, index)
 
-    found = pieces.repartition("run").sortWithinPartitions("run").mapInArrow(
-        decide, f"key long, doc_id {kind}, digest binary, start int, end int").checkpoint()  # read twice below
+    direct = pieces.repartition("run").sortWithinPartitions("run").mapInArrow(
+        decide, f"key long, doc_id {kind}, start int, end int")
+    shared = repeated_hot_windows(docs, unit, hot)
 
     def hot_places(batches):
         for batch in batches:
@@ -316,19 +297,73 @@ def covered(docs: DataFrame, unit: Unit, index: Callable) -> DataFrame:
                     names=["digest", "key", "doc_id", "at"])
 
     places = docs.mapInArrow(hot_places, f"digest binary, key long, doc_id {kind}, at int")
-    direct = found.where(F.col("digest").isNull()).select("key", "doc_id", "start", "end")
-    shared = found.where(F.col("digest").isNotNull()).select("digest", "start", "end")
     returned = places.join(shared, "digest").select(
         "key", "doc_id", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
     return direct.unionByName(returned)
 
 
-def _segment_rows(runs, keys, ids, starts, texts, weights, id_type) -> pa.RecordBatch:
-    ids = pa.nulls(len(runs), id_type) if ids is None else ids
-    return pa.RecordBatch.from_arrays(
-        [pa.array(runs, pa.int64()), pa.array(keys, pa.int64()), ids, pa.array(starts, pa.int32()),
-         pa.array(texts, pa.binary()), pa.array(weights, pa.int32())],
-        names=["run", "key", "doc_id", "start", "segment", "weight"])
+def _windows(segment: bytes, unit: Unit) -> list[bytes]:
+    """The digest of every window of a segment; words count without the white space between them."""
+    if unit.words:
+        words = segment.split()
+        return [_digest(b" ".join(words[i:i + unit.length])) for i in range(len(words) - unit.length + 1)]
+    return [_digest(segment[i:i + unit.length]) for i in range(len(segment) - unit.length + 1)]
+
+
+def _settle(merged: dict[bytes, int], unit: Unit) -> pa.RecordBatch:
+    """What a task says of the segments it has merged: rows (window, digest, start, end, n).
+
+    Windows held twice here are settled: their segments' intervals leave without a window, and the window
+    itself once, without a segment, for other tasks. Only windows held once leave with their place.
+    """
+    times: dict[bytes, int] = {}
+    windows = {text: _windows(text, unit) for text in merged}
+    for text, found in windows.items():
+        for w in found:
+            times[w] = times.get(w, 0) + merged[text]
+    rows: list[tuple] = [(w, None, None, None, 2) for w, n in times.items() if n > 1]
+    for text, found in windows.items():
+        digest = _digest(text)
+        begin = None
+        for i, w in enumerate(found):
+            if times[w] > 1:
+                begin = i if begin is None else begin
+                continue
+            rows.append((w, digest, i, i + unit.length, 1))
+            if begin is not None:
+                rows.append((None, digest, begin, i - 1 + unit.length, 0))
+                begin = None
+        if begin is not None:
+            rows.append((None, digest, begin, len(found) - 1 + unit.length, 0))
+    kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                      names=["window", "digest", "start", "end", "n"])
+
+
+def repeated_hot_windows(docs: DataFrame, unit: Unit, hot: np.ndarray) -> DataFrame:
+    """digest of a segment without a plain minimizer, and the intervals that its repeated windows cover."""
+    def windows(batches):
+        merged: dict[bytes, int] = {}
+        held = 0
+        for batch in batches:
+            for piece in slices(batch, 2, PIECE):
+                blobs = utf8(piece.column(2).to_pylist())
+                doc, start, count, value, _, a, b, first = segments(blobs, unit, hot)
+                far = value >= _U(1 << 62)
+                texts = _cut(blobs, doc[far], start[far], count[far], a, b, first, unit)
+                for text, c in zip(texts, count[far].tolist()):
+                    held += c if text not in merged else 0
+                    merged[text] = 2 if text in merged else 1
+                    if held > FLUSH_WINDOWS:
+                        yield _settle(merged, unit)
+                        merged, held = {}, 0
+        if merged:
+            yield _settle(merged, unit)
+
+    rows = docs.mapInArrow(windows, "window binary, digest binary, start int, end int, n int").checkpoint()  # read twice
+    seen = rows.where("window IS NOT NULL").withColumn("n", F.sum("n").over(Window.partitionBy("window"))).where(
+        (F.col("n") > 1) & F.col("digest").isNotNull())
+    return rows.where("window IS NULL").unionByName(seen).select("digest", "start", "end").distinct()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -354,48 +389,26 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _decide(rows: pa.Table, unit: Unit, index: Callable, id_type) -> Iterator[pa.RecordBatch]:
+def _decide(rows: pa.Table, unit: Unit, index: Callable) -> Iterator[pa.RecordBatch]:
     runs, texts = rows.column("run").to_pylist(), rows.column("segment").to_pylist()
-    weights = rows.column("weight").to_pylist()
     place: dict[tuple, int] = {}
-    distinct: list[bytes] = []
-    total: list[int] = []
-    owner = np.empty(len(texts), np.int64)
-    for i, (r, t, w) in enumerate(zip(runs, texts, weights)):
-        j = place.setdefault((r, t), len(distinct))
-        if j == len(distinct):
-            distinct.append(t)
-            total.append(0)
-        total[j] += w
-        owner[i] = j
-    marks = index([r for r, _ in place], distinct, np.minimum(np.array(total), 2))
+    owner = np.array([place.setdefault(x, len(place)) for x in zip(runs, texts)], np.int64)
+    marks = index([r for r, _ in place], [t for _, t in place], np.minimum(np.bincount(owner), 2))
     spans = []
     for m in marks:
         edge = np.flatnonzero(np.diff(np.r_[False, m, False].astype(np.int8)))
         spans.append((edge[0::2], edge[1::2] + unit.length - 1))
     number = np.array([len(s[0]) for s in spans], np.int64)
-    starts = rows.column("start").to_numpy()
-    keep = np.flatnonzero((starts >= 0) & (number[owner] > 0))
+    keep = np.flatnonzero(number[owner] > 0)
     if len(keep):
         many = number[owner[keep]]
-        base = np.repeat(starts[keep], many)
+        base = np.repeat(rows.column("start").to_numpy()[keep], many)
         yield pa.RecordBatch.from_arrays(
             [rows.column("key").combine_chunks().take(pa.array(np.repeat(keep, many))),
              rows.column("doc_id").combine_chunks().take(pa.array(np.repeat(keep, many))),
-             pa.nulls(len(base), pa.binary()),
              pa.array((base + np.concatenate([spans[j][0] for j in owner[keep]])).astype(np.int32)),
              pa.array((base + np.concatenate([spans[j][1] for j in owner[keep]])).astype(np.int32))],
-            names=["key", "doc_id", "digest", "start", "end"])
-    shared = sorted({int(j) for j in owner[starts < 0] if number[j]})
-    if shared:
-        many = number[shared]
-        digests = [d for j in shared for d in [_digest(distinct[j])] * int(number[j])]
-        n = int(many.sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), pa.nulls(n, id_type), pa.array(digests, pa.binary()),
-             pa.array(np.concatenate([spans[j][0] for j in shared]).astype(np.int32)),
-             pa.array(np.concatenate([spans[j][1] for j in shared]).astype(np.int32))],
-            names=["key", "doc_id", "digest", "start", "end"])
+            names=["key", "doc_id", "start", "end"])
 
 
 def with_covered(docs: DataFrame, found: DataFrame) -> DataFrame:
