@@ -5,7 +5,8 @@ score, in order of their component. Candidates are dealt into shards of about ``
 queries into blocks of ``BLOCK`` rows; each pair of a shard and a block is one group, so the work
 spreads and no side is broadcast. Within a shard, a query's terms are ordered by the most that they
 can add there. The first ones, whose bounds alone lift a vector above the k-th best score known, are
-essential: their postings are traversed. The other terms are probed for the vectors seen, a few at a
+essential: on dense vectors nearly every posting holds a large part of the shard, so they are evaluated
+for all vectors of the shard at once; postings only give the first bound. The other terms are probed for the vectors seen, a few at a
 time, while partial score plus remaining bounds stays competitive. Shards are merged by rank.
 
 Scores are exact integers (float64 sums are used only while all of them stay below 2**53).
