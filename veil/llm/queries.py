@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veil.llm import bpe, fm_dedup, langid, maxscore, minhash_odd, mixing, quality_gbdt, quality_rules, sa_dedup, toxicity
+from veil.llm import (
+    bpe, fm_dedup, importance, langid, maxscore, merkle, minhash_odd, mixing, quality_gbdt, quality_rules, sa_dedup,
+    sharding, toxicity)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +62,21 @@ def op10_near_dedup(spark, sf_dir):
     return minhash_odd.near_duplicates(_t(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_merkle(spark, sf_dir):
+    return merkle.verified_documents(_t(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance.resample(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.shard_documents(_t(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_bpe, op3_language_id, op4_quality_rules, op5_toxicity, op6_suffix_array_dedup,
-    op7_quality_classifier, op8_maxscore, op9_mixing, op10_near_dedup)}
+    op7_quality_classifier, op8_maxscore, op9_mixing, op10_near_dedup, op11_merkle, op12_importance, op13_sharding)}
 
 _OP4 = f"""
 WITH base AS (
@@ -101,4 +115,69 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 WHERE rank <= 5"""
 
-ORACLES = {"op4_quality_rules": _OP4, "op8_maxscore": _OP8}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, by the table of single bytes."""
+    table = [int(x) for x in importance.Shifts().table]
+    return f"""xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)),
+        lambda r, b: xor(r >> 8, list_extract({table}, xor(r, b) % 256 + 1))))"""
+
+
+def _op11(levels: int = 5, tops: int = 3) -> str:
+    """Trees of up to 16 ** levels leaves a source and 16 ** tops sources, a step of the tables a level: ``t`` holds the
+    nodes of a level, ``l`` every leaf with its node's place, its siblings so far and what it folds to."""
+    def field(c):
+        return f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text):
+        return "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def level(k, group):
+        return f"""
+r{k} AS (SELECT {group}, place // 16 AS run, any_value(n) AS n, list(digest ORDER BY place) AS kids FROM t{k} GROUP BY ALL),
+t{k + 1} AS (SELECT {group}, run AS place, (n + 15) // 16 AS n,
+             CASE WHEN n = 1 THEN kids[1] ELSE sha256(array_to_string(kids, '')) END AS digest FROM r{k}),
+l{k + 1} AS (SELECT l.* EXCLUDE (place, proof, folded, n, lft, rgt), l.place // 16 AS place,
+             CASE WHEN n = 1 THEN proof ELSE proof || lft || rgt END AS proof,
+             CASE WHEN n = 1 THEN folded ELSE sha256(lft || folded || rgt) END AS folded
+      FROM (SELECT l.*, r.n, array_to_string(kids[1:l.place % 16], '') AS lft, array_to_string(kids[l.place % 16 + 2:], '') AS rgt
+            FROM l{k} l JOIN r{k} r ON l.{group} = r.{group} AND l.place // 16 = r.run) l)"""
+
+    steps = ",".join(level(k, "src") for k in range(levels))
+    top = levels + 1
+    up = ",".join(level(k, "one") for k in range(top, top + tops))
+    return f"""
+WITH h AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, {_crc32("doc_id::VARCHAR")} % 5 = 0 AS tampered,
+         {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other FROM documents),
+g AS (SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS src,
+      row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+      count(*) OVER (PARTITION BY source) AS n FROM h),
+t0 AS (SELECT src, place, n, leaf AS digest FROM g),
+l0 AS (SELECT doc_id, src, leaf, place, '' AS proof, CASE WHEN tampered THEN other ELSE leaf END AS folded FROM g),{steps},
+t{top} AS (SELECT 0 AS one, src AS place, count(*) OVER () AS n, digest FROM t{levels}),
+l{top} AS (SELECT doc_id, leaf, src AS place, src, 0 AS one, proof, folded FROM l{levels}),{up}
+SELECT doc_id, leaf, s.digest AS subroot, o.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = o.digest AS verified
+FROM l{top + tops} l JOIN t{levels} s USING (src) CROSS JOIN t{top + tops} o"""
+
+
+_OP13 = f"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents),
+k AS (
+  SELECT *, ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '-')), 1, 15))::HUGEINT AS key,
+         ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, '-') || ':' || size || ':' || text_crc32), 1, 15))::HUGEINT AS h FROM d),
+j AS (
+  SELECT *, list_reduce(list_prepend({{'b': -1::HUGEINT, 'j': 0::HUGEINT, 'k': key}}, [{{'b': 0::HUGEINT, 'j': 0::HUGEINT, 'k': 0::HUGEINT}} for x in range(40)]),
+    lambda s, x: CASE WHEN s.j >= 40 THEN s ELSE {{'b': s.j,
+      'j': floor((s.j + 1)::DOUBLE * (2147483648.0::DOUBLE / (((s.k * {sharding.MULTIPLIER} + 1) % 18446744073709551616 // 8589934592) + 1)::DOUBLE))::HUGEINT,
+      'k': (s.k * {sharding.MULTIPLIER} + 1) % 18446744073709551616}} END) AS s FROM k)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, s.b::INTEGER AS shard,
+       row_number() OVER (PARTITION BY s.b ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+       (CASE WHEN s.j = 40 THEN 40 ELSE s.b END)::INTEGER AS grown_shard
+FROM j"""
+
+ORACLES = {"op4_quality_rules": _OP4, "op8_maxscore": _OP8, "op11_merkle": _op11(), "op13_sharding": _OP13}
