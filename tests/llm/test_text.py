@@ -178,6 +178,12 @@ def test_quality_rules_on_messy_documents(messy):
         assert r.kept == (not r.base_failed and r.broken_rules == [])
 
 
+def test_filters_extract_words_once(documents):
+    rules = quality_rules.quality_rules(documents)
+    for df in (rules, rules.where("kept"), rules.where("NOT base_failed AND n_repeat_words > 3").select("doc_id")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
 def test_quality_rules_keep_clean_documents(documents, labels):
     got = quality_rules.quality_rules(documents).join(labels, "doc_id").where("NOT base_failed").toPandas()
     assert got[got.quality == 1].kept.all()

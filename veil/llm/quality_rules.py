@@ -66,29 +66,34 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 6, F.lit(0).cast("long")).otherwise(_let(_let(F.array_sort(grams), found), covered))
 
 
-def measures(df: DataFrame) -> DataFrame:
-    """doc_id and every count that the rules use."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    with_words = documents(df).select(
-        "doc_id", text.alias("text"),
-        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
-        F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
-    words, lines = F.col("words"), F.col("lines")
-    return with_words.select(
-        "doc_id",
+def _counts(text: Column, words: Column, lines: Column) -> Column:
+    """Struct of every count that the rules use."""
+    return F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         _repeat_words(words).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.length(F.regexp_replace("text", r"[^!]+", "")).cast("long").alias("n_shouts"),
-        F.length(F.regexp_replace("text", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace(text, r"[^!]+", "")).cast("long").alias("n_shouts"),
+        F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long").alias("n_upper"),
         F.size(F.array_distinct(words)).cast("long").alias("n_distinct_words"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
 
 
+def measures(df: DataFrame) -> DataFrame:
+    """doc_id and every count that the rules use.
+
+    Words and lines are bound to names before any lambda sees them, and the counts come out of a generator,
+    through which no condition is pushed: a filter on the result evaluates nothing a second time.
+    """
+    counts = _let(F.coalesce(F.col("text"), F.lit("")), lambda text: _let(
+        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda words: _let(
+            F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda lines: _counts(text, words, lines))))
+    return documents(df).select("doc_id", F.inline(F.array(counts)))
+
+
 def _ratios() -> dict[str, Column]:
     def per(count: str, of: str) -> Column:
         return F.col(count).cast("double") / F.greatest(F.col(of), F.lit(1))
