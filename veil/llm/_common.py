@@ -8,11 +8,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from veil.session import remove_tree, scratch_path
+
 #: A word: a maximal run without ASCII white space (``bytes.split()`` cuts at the same characters).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,3 +83,25 @@ def flat(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.zeros(len(blobs) + 1, np.int64)
     np.cumsum([len(b) for b in blobs], out=starts[1:])
     return np.frombuffer(b"".join(blobs), np.uint8), starts
+
+
+class Scratch:
+    """Tables written to the shared scratch folder and read back: they cut lineage, give the optimizer their size,
+    and can be deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = back, path
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _, path = self.paths.pop(id(t), (t, None))
+            if path:
+                remove_tree(self.spark, path)

@@ -16,8 +16,12 @@ already or compared, whatever the bucket's size. Members of one bucket are gathe
 bytes a class, in blocks: a large bucket's blocks meet pairwise, each pair in a group of its own, and the
 largest component's members are never compared among themselves.
 
-24 bands of 5 rows, or 28 of 4 rows for thresholds below 0.85: a pair at 0.85 shares no band with
-probability 8e-7, one at 0.8 with 4e-7. The sketch test allows five standard deviations.
+The band plan follows from the threshold: a pair right at it shares no band with probability MISS at
+most (24 bands of 5 rows at 0.85, 27 of 4 at 0.8). The sketch test allows five standard deviations.
+
+Buckets that hold the same classes as another one are left out. Texts move once: those of classes that
+share a bucket with another one, brought to their class, serve every confirmation. Tables that
+later steps read again are written to the scratch folder, and deleted when no step needs them any more.
 
 Defined results: null and empty texts and texts without words have no shingles, are linked with
 nothing and are their own component; fewer words than a shingle count as one shingle; equal rows are
@@ -27,6 +31,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import WORD, slices, utf8
+from veil.llm._common import WORD, Scratch, slices, utf8
+from veil.llm.places import bounded
 from veil.llm.repeats import Unit, document_key, keyed, mix, run_hashes, symbols
-from veil.session import ensure_checkpoint_dir
 
 SAMPLES, BITS = 1 << 16, 2048
 
@@ -45,6 +50,12 @@ BLOCK = 4096
 
 SIGMAS = 5.0
 
+#: Chance that a pair at the threshold shares no band, and the most bands that a plan has.
+MISS, BANDS = 1e-6, 28
+
+#: Rows (two numbers each) up to which a list of classes or rows is broadcast.
+FEW = 1_000_000
+
 _U = np.uint64
 
 
@@ -65,8 +76,18 @@ def shingle_sets(blobs: list[bytes], width: int) -> list[np.ndarray]:
 
 
 def band_plan(percent: int) -> tuple[int, int]:
-    """Number of bands and rows a band."""
-    return (24, 5) if percent >= 85 else (28, 4)
+    """Number of bands and rows a band: the most rows with which BANDS bands are enough."""
+    if not 0 < percent <= 100:
+        raise ValueError("The threshold is a percentage above 0.")
+    if percent == 100:
+        return 1, 8
+    best = None
+    for rows in range(1, 17):
+        shared = (percent / 100) ** rows
+        count = math.ceil(math.log(MISS) / math.log1p(-shared))
+        if best is None or count <= BANDS:
+            best = count, rows
+    return best
 
 
 def _multipliers(count: int) -> np.ndarray:
@@ -152,10 +173,14 @@ def flip_count(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(BITS // 64)), F.lit(0))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+def class_texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """node and text of the classes in ``needed`` (node, key): other texts stay where they are read, unless
+    the list is too long to be brought to them."""
+    return docs.join(bounded(needed, FEW), "key").select("node", "text").dropDuplicates(["node"])
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "key"), "node")
-    texts = docs.select("key", "text").join(needed, "key").select("node", "text").dropDuplicates(["node"])
     rows = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", "text_a", "text_b"))
@@ -174,23 +199,29 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
     return rows.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node and label (the component's smallest node) of every node that has a link.
 
     Every node joins its smallest neighbour, links are renamed and loops dropped, until none is left;
     each round at least halves the nodes that still have links.
     """
-    links = links.where("a <> b").distinct().checkpoint()
-    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-    while not links.isEmpty():
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("old"), F.least("a", "m").alias("new"))
-        labels = labels.join(to, F.col("label") == F.col("old"), "left").select(
-            "node", F.coalesce("new", "label").alias("label")).checkpoint()
-        links = (links.join(to, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b")
-                 .join(to, F.col("b") == F.col("old")).select("a", F.col("new").alias("b"))
-                 .where("a <> b").distinct().checkpoint())
+    scratch = scratch or Scratch(links.sparkSession)
+    left = scratch.write(links.where("a <> b").distinct(), "links")
+    labels = scratch.write(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn(
+        "label", F.col("node")), "labels")
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        to = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("old"), F.least("a", "m").alias("new")), "to")
+        next_labels = scratch.write(labels.join(to, F.col("label") == F.col("old"), "left").select(
+            "node", F.coalesce("new", "label").alias("label")), "labels")
+        next_left = scratch.write(
+            left.join(to, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b")
+            .join(to, F.col("b") == F.col("old")).select("a", F.col("new").alias("b"))
+            .where("a <> b").distinct(), "links")
+        scratch.drop(left, labels, to)
+        left, labels = next_left, next_labels
+    scratch.drop(left)
     return labels
 
 
@@ -284,34 +315,53 @@ def meeting_pairs(groups: DataFrame, threshold: float, best: bool) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def open_places(nodes: DataFrame) -> DataFrame:
+    """band, node and center (the same for all of a bucket) of every bucket with several classes; of buckets
+    that hold the same classes, only one."""
+    places = nodes.select("node", F.explode("bands").alias("band"))
+    held = places.groupBy("band").agg(
+        F.min_by("node", F.xxhash64("node")).alias("center"), F.count(F.lit(1)).alias("m"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    first = held.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "center")).alias("f"))
+    return places.join(first.select("f.band", "f.center"), "band")
+
+
 def labelled(df: DataFrame, width: int, percent: int) -> DataFrame:
     """key, doc_id, n and label (its component, null without shingles) of every row."""
-    ensure_checkpoint_dir(df.sparkSession)
+    scratch = Scratch(df.sparkSession)
     threshold = percent / 100
     docs = keyed(df)
-    rows = signature_table(docs, width, percent).checkpoint()
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("key"))
-    nodes = rows.select("key", "node", "n", "bands", "sketch").join(nodes.select("key", "node"), ["key", "node"]).dropDuplicates(["node"])
-    places = nodes.select("node", F.explode("bands").alias("band"))
-    center = places.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("center"), F.count(F.lit(1)).alias("m"))
-    active = places.join(center.where("m > 1").select("band", "center"), "band").checkpoint()
-    sketches = nodes.select("node", "n", "sketch")
+    full = scratch.write(signature_table(docs, width, percent), "signatures")
+    nodes = scratch.write(full.where("n > 0").groupBy("node").agg(
+        F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch")), "nodes")
+    rows = scratch.write(full.select("key", "doc_id", "n", "node"), "rows")
+    scratch.drop(full)
+    active = scratch.write(open_places(nodes), "places")
+    met = active.select("node").distinct()
+    sketches = scratch.write(nodes.join(met, "node").select("node", "key", "n", "sketch"), "sketches")
+    scratch.drop(nodes)
+    texts = scratch.write(class_texts(docs, sketches.select("node", "key")), "texts")
     pairs = active.where("node <> center").select(
         F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
     x = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     y = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
-    pairs = pairs.join(x, "a").join(y, "b").where(
-        near_enough(F.col("n_a"), F.col("n_b"), flip_count(F.col("s_a"), F.col("s_b")), threshold)).select("a", "b")
-    links = confirm(pairs.checkpoint(), docs, nodes, width, percent).checkpoint()
-    labels = components(links)
+    pairs = scratch.write(pairs.join(x, "a").join(y, "b").where(near_enough(
+        F.col("n_a"), F.col("n_b"), flip_count(F.col("s_a"), F.col("s_b")), threshold)).select("a", "b"), "pairs")
+    links = scratch.write(confirm(pairs, texts, width, percent), "links")
+    scratch.drop(pairs)
+    labels = components(links, scratch)
     # buckets in which different components still meet: first the most similar pairs, which join most of
     # what belongs together, then every pair across components that may reach the threshold
     for best in (True, False):
-        more = meeting_pairs(block_groups(active, labels, sketches), threshold, best)
-        found = confirm(more.checkpoint(), docs, nodes, width, percent)
-        links = links.unionByName(found).checkpoint()
-        labels = components(links)
-    return rows.select("key", "doc_id", "n", "node").join(labels, "node", "left").select(
+        more = scratch.write(meeting_pairs(
+            block_groups(active.select("band", "node"), labels, sketches), threshold, best), "pairs")
+        joined = scratch.write(links.unionByName(confirm(more, texts, width, percent)), "links")
+        scratch.drop(more, links, labels)
+        links = joined
+        labels = components(links, scratch)
+    scratch.drop(active, sketches, texts, links)
+    return rows.join(labels, "node", "left").select(
         "key", "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
 
 
@@ -328,23 +378,29 @@ def kept_documents(df: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     """The documents that stay, with all columns: exactly one row of each component, the one with the
     smallest id (null last, then the smallest key), and every row without shingles.
 
-    Rows are told apart by id and key, so neither shared nor null ids make them one document.
+    Rows are told apart by id and key, so neither shared nor null ids make them one document. What goes is
+    a list of ids and keys; the texts stay where they are read unless that list is too long.
     """
-    same = labelled(df, width, percent).where("label IS NOT NULL").groupBy("label", "doc_id", "key").agg(
-        F.count(F.lit(1)).alias("m"))
-    kept = same.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "m")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.key").alias("_key"), F.col("k.m").alias("_m")).checkpoint()
+    scratch = Scratch(df.sparkSession)
+    own = F.struct("doc_id", "key").alias("own")
+    same = scratch.write(labelled(df, width, percent).where("label IS NOT NULL").groupBy("label", own).agg(
+        F.count(F.lit(1)).alias("m")), "classes")
+    order = F.struct(F.col("own.doc_id").isNull().alias("none"), "own")
+    first = same.groupBy("label").agg(F.min(order).alias("f")).select("label", F.col("f.own").alias("first"))
+    judged = same.join(first, "label")
+    gone = scratch.write(judged.where("NOT own <=> first").select(F.col("own").alias("gone")), "gone")
+    # equal rows share id and key: one of them stays
+    again = scratch.write(judged.where("own <=> first AND m > 1").select(F.col("own").alias("again")), "again")
+    scratch.drop(same)
     text = F.col("text").cast("string")
-    key = document_key(F.col("doc_id"), text)
-    worded = F.coalesce(text.rlike(WORD), F.lit(False))
-    docs = df.where(worded)
-
-    def of(rows: DataFrame) -> DataFrame:
-        return docs.join(rows, (key == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-
-    out = df.where(~worded).unionByName(of(kept.where("_m = 1")))
-    again = kept.where("_m > 1")  # equal rows share id and key
+    rows = df.select(F.struct(*df.columns).alias("row"), F.struct(
+        "doc_id", document_key(F.col("doc_id"), text).alias("key")).alias("own"),
+        F.coalesce(text.rlike(WORD), F.lit(False)).alias("worded"))
+    worded = rows.where("worded").join(bounded(gone, FEW), F.col("own").eqNullSafe(F.col("gone")), "left_anti")
+    kept = rows.where("NOT worded").select("row")
     if again.isEmpty():
-        return out
-    one = of(again).withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
-    return out.unionByName(one)
+        return kept.unionByName(worded.select("row")).select("row.*")
+    twice = F.col("own").eqNullSafe(F.col("again"))
+    return (kept.unionByName(worded.join(bounded(again, FEW), twice, "left_anti").select("row"))
+            .unionByName(worded.join(bounded(again, FEW), twice, "left_semi").groupBy("own").agg(
+                F.first("row").alias("row")).select("row")).select("row.*"))
