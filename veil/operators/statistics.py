@@ -1,12 +1,11 @@
 """Per-column statistics, exact and distributed.
 
 Cells are unpivoted once into fixed-width keys (numbers as they are, texts as 128 bits of hash, so a
-long text travels as 16 bytes), reduced to distinct keys with their multiplicity (map-side combined: a
-hot value costs one row a task) and written to the shared checkpoint folder. Counts, exact distinct
-counts, mean, min, max and the sample deviation are sums over that table; medians are selected from
-range-partitioned values, reading back only the partitions that hold the middle ranks. The rule is the
-same for any number of values; the scratch tables are removed when the result is known. No column's
-values are gathered in one task or on the driver. ``approx=True`` swaps in ``approx_count_distinct`` and
+long text travels as 16 bytes) and reduced to distinct keys with their multiplicity (map-side combined: a
+hot value costs one row a task), which stay on the executors until the result is known. Counts, exact distinct
+counts, mean, min, max and the sample deviation are sums over them; medians come from radix selection
+(``selection``), which moves counts only. The rule is the same for any number of values; nothing is sorted
+or written to the scratch folder, and no column's values are gathered in one task or on the driver. ``approx=True`` swaps in ``approx_count_distinct`` and
 ``percentile_approx`` in one aggregate.
 """
 
@@ -14,26 +13,26 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .._util import INTEGRAL, local_frame, qcol
 from ..functions.text import key_text
 from ..metadata import NUMERIC, Metadata
-from ..plans.ranking import check_positions, materialize, release_scratch, running_offsets, sorted_positions
 from .numeric import as_double
+from .selection import medians
 
 SCHEMA = T.StructType([
     T.StructField("o", T.IntegerType(), False),
     T.StructField("column", T.StringType(), False),
     T.StructField("type", T.StringType(), False),
 ])
+MEANS = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("mean", T.DoubleType())])
 SUMMARY = T.StructType([T.StructField(n, t) for n, t in (
     ("o", T.IntegerType()), ("count", T.LongType()), ("unique_count", T.LongType()), ("nulls", T.LongType()),
     ("mean", T.DoubleType()), ("min", T.DoubleType()), ("max", T.DoubleType()), ("std", T.DoubleType()),
     ("median", T.DoubleType()))])
-MEANS = T.StructType([T.StructField("o", T.IntegerType()), T.StructField("mean", T.DoubleType())])
 # approx=True: relative standard deviation of the distinct-count sketch (bounded HyperLogLog++ state)
 APPROX_RSD = 0.01
 
@@ -103,10 +102,10 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
         return _finish(df, metadata, stats)
 
     spark = df.sparkSession
-    none = F.lit(None).cast("long")
-    cells = long.select("o", "k", "x", *[F.when(F.col("t").isNotNull(), h).otherwise(none).alias(n) for n, h in (
+    cells = long.select("o", "k", "x", *[F.when(F.col("t").isNotNull(), h).alias(n) for n, h in (
         ("t1", F.xxhash64("t")), ("t2", F.xxhash64(F.lit(1), "t")))])
-    pairs = materialize(cells.groupBy("o", "k", "x", "t1", "t2").agg(F.count(F.lit(1)).alias("c")), "stats-pairs")
+    # the table may be the end of a long plan: it is computed once, for all that follows
+    pairs = cells.groupBy("o", "k", "x", "t1", "t2").agg(F.count(F.lit(1)).alias("c")).persist()
     present = F.col("k").isNotNull() | F.col("x").isNotNull() | F.col("t1").isNotNull()
     valued = pairs.where(F.col("x").isNotNull()).select("o", "x", "c")
     try:
@@ -117,52 +116,16 @@ def column_statistics(df: DataFrame, metadata: Metadata, approx: bool = False) -
             F.sum(F.col("x") * F.col("c")).alias("sx"), F.min("x").alias("min"), F.max("x").alias("max"),
         ).collect()}  # a row a column
         means = {o: r["sx"] / r["nx"] for o, r in summary.items() if r["nx"]}
-        squares, medians = {}, {}
+        squares, middle = {}, {}
         if means:
             known = local_frame(spark, list(means.items()), MEANS)
             squares = {r["o"]: r["ss"] for r in valued.join(F.broadcast(known), "o").groupBy("o").agg(
                 F.sum(F.col("c") * (F.col("x") - F.col("mean")) ** 2).alias("ss")).collect()}  # a row a column
-            medians = dict(_selected_medians(valued))
+            middle = medians(valued, {o: (summary[o]["nx"], summary[o]["min"], summary[o]["max"]) for o in means})
     finally:
-        release_scratch(pairs)
+        pairs.unpersist()
     rows = []
     for o, r in summary.items():
         std = math.sqrt(squares[o] / (r["nx"] - 1)) if r["nx"] > 1 else None
-        rows.append((o, r["count"], r["unique"], r["nulls"], means.get(o), r["min"], r["max"], std, medians.get(o)))
+        rows.append((o, r["count"], r["unique"], r["nulls"], means.get(o), r["min"], r["max"], std, middle.get(o)))
     return _finish(df, metadata, local_frame(spark, rows, SUMMARY))
-
-
-def _selected_medians(values: DataFrame) -> list[tuple[int, float]]:
-    """Exact medians of ``(o, x, c)`` without gathering a column: distributed selection.
-
-    Values are range-partitioned and sorted; per-(column, partition) weights give each partition's
-    offset; only the one or two partitions holding ranks ``(n-1) div 2`` and ``n div 2`` are read
-    back (pushed-down ``__pid`` filter) and walked with a window inside each of them.
-    """
-    pos = sorted_positions(values, ["o", "x"], name="stats-median")
-    per = pos.groupBy("o", "__pid").agg(F.sum("c").alias("nx"), F.count(F.lit(1)).alias("__n")).cache()
-    check_positions(per.groupBy("__pid").agg(F.sum("__n").alias("w")).agg(F.max("w")).first()[0])
-    totals = per.groupBy("o").agg(F.sum("nx").alias("n"))
-    offs = running_offsets(per, "nx", ["o"])
-    targets = totals.select(
-        "o", F.explode(F.array_distinct(F.array(((F.col("n") - 1) / 2).cast("long"),
-                                                 (F.col("n") / 2).cast("long")))).alias("__k"))
-    blocks = offs.join(F.broadcast(targets), "o").where(
-        (F.col("__k") >= F.col("__off")) & (F.col("__k") < F.col("__off") + F.col("nx"))
-    ).select("o", "__pid", "__off", "__k")
-    # at most two partition ids per column: pushed into the scan so only those files are read
-    pids = sorted({r["__pid"] for r in blocks.select("__pid").distinct().collect()})
-    before = Window.partitionBy("o", "__pid").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
-    cand = (
-        pos.where(F.col("__pid").isin(pids))
-        .join(F.broadcast(blocks.select("o", "__pid", "__off").distinct()), ["o", "__pid"])
-        .withColumn("lo", F.col("__off") + F.coalesce(F.sum("c").over(before), F.lit(0)))
-    )
-    hits = cand.join(F.broadcast(blocks.select("o", "__pid", "__k")), ["o", "__pid"]).where(
-        (F.col("__k") >= F.col("lo")) & (F.col("__k") < F.col("lo") + F.col("c"))
-    )
-    found = hits.groupBy("o").agg(((F.min("x") + F.max("x")) / 2).alias("median"))
-    got = [tuple(r) for r in found.collect()]  # a row a column
-    per.unpersist()
-    release_scratch(pos)
-    return got
