@@ -48,7 +48,7 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = BATCH_BYTES) -> I
         yield batch.slice(a, b - a)
 
 
-def map_documents(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_documents(df: DataFrame, make: Callable[[], Callable], schema: str, most: int = BATCH_BYTES) -> DataFrame:
     """Apply a function of (ids, texts) to bounded pieces of every partition, without a shuffle.
 
     ``make()`` runs once a task and returns the function; it gets the pyarrow array of ids and a
@@ -59,7 +59,7 @@ def map_documents(df: DataFrame, make: Callable[[], Callable], schema: str) -> D
     def run(batches):
         fn = make()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 1, most):
                 columns = fn(piece.column(0), piece.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type)

@@ -21,6 +21,7 @@ import json
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -260,10 +261,13 @@ def encode_documents(df: DataFrame, path: str) -> DataFrame:
 
         def run(ids, texts):
             rows = bpe.measure_all(texts)
-            return ids, [r[0] for r in rows], [[int(i) for i in r[1].split()] for r in rows], [r[2] for r in rows]
+            sizes = [r[0] for r in rows]
+            numbers = np.fromstring(" ".join([r[1] for r in rows if r[1]]), np.int32, sep=" ")
+            starts = np.r_[0, np.cumsum(np.array(sizes, np.int64))].astype(np.int32)
+            return ids, sizes, pa.ListArray.from_arrays(starts, numbers), [r[2] for r in rows]
         return run
 
-    return map_documents(df, make, f"doc_id {_id_type(df)}, n_tokens long, ids array<int>, decoded string")
+    return map_documents(df, make, f"doc_id {_id_type(df)}, n_tokens long, ids array<int>, decoded string", 1 << 20)
 
 
 def digest_documents(df: DataFrame, path: str) -> DataFrame:

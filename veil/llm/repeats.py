@@ -41,7 +41,7 @@ SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1 / 20000, 8
 
 #: Text bytes cut into segments at once (so many that the arrays stay in a core's cache), and symbols of a
 #: shard that are indexed together (a group of one minimizer is never divided).
-PIECE, SHARD_SYMBOLS = 1 << 17, 400_000
+PIECE, SHARD_SYMBOLS = 1 << 17, 100_000
 
 #: Windows of hot segments that a task merges before it lets them go.
 FLUSH_WINDOWS = 200_000

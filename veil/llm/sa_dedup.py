@@ -1,8 +1,8 @@
 """Suffix-array dedup of byte strings, the suffix order built by linear grouping.
 
 ``repeats`` routes segments of text so that all occurrences of a 200-byte string meet in one shard.
-There the distinct segments are read as tokens (a word and the white space behind it) and their suffixes
-are sorted in two linear phases, without recursive renaming. First, suffixes are grouped by Lyndon
+There the distinct segments are read as tokens (words up to one that ends in one of a quarter of all bytes, and the
+white space behind it, so equal text is cut alike wherever it stands) and their suffixes are sorted in two linear phases, without recursive renaming. First, suffixes are grouped by Lyndon
 prefix: groups are taken in descending order; every suffix of a group points to the previous smaller
 one (the nearest to the left that is not in a group taken before), whose Lyndon prefix it
 extends; the suffixes pointed to leave for a new group right above their old one, ordered by how
@@ -32,7 +32,9 @@ from veil.llm.repeats import Unit, covered, document_key, keyed, mix, with_cover
 
 BYTES, ROUTE = 200, 32
 
-_TOKEN = re.compile(rb"[^\x09-\x0d\x20]*[\x09-\x0d\x20]*")
+_BLANK = rb"\x09-\x0d\x20"
+_CUT = b"".join(rb"\x%02x" % b for b in range(256) if b % 4 == 1 and b not in range(9, 14))
+_TOKEN = re.compile(rb"(?:[^%b]++(?<![%b])[%b]++)*+[^%b]*+[%b]*+" % (_BLANK, _CUT, _BLANK, _BLANK, _BLANK))
 
 
 def suffix_array(text: list[int]) -> list[int]:
@@ -174,6 +176,7 @@ def index_bytes(runs: list[int], texts: list[bytes], weights: np.ndarray, window
     best = np.empty(len(text), np.int64)
     best[order] = np.maximum(lcp, np.r_[lcp[1:], 0])  # tokens of each suffix found elsewhere too
     size_of = np.array([len(x) for x in names] or [0])
+    blank_of = size_of - np.array([len(x.rstrip(b"\x09\x0a\x0b\x0c\x0d\x20")) for x in names] or [0])
     picked, begin = [], 0
     for s, t in zip(several, tokens):
         n = len(texts[s])
@@ -182,7 +185,9 @@ def index_bytes(runs: list[int], texts: list[bytes], weights: np.ndarray, window
         begin += len(t) + 1
         at = np.arange(max(n - window + 1, 0))
         inner = edges[:-1]
-        first = np.searchsorted(inner, at, side="right")  # first token that begins behind the string's first byte
+        # the byte that ended the token before decides where a token begins; the first one's lies elsewhere
+        decided = np.r_[-1, inner[1:] - blank_of[t[:-1]] - 1] if t else inner
+        first = np.searchsorted(decided, at)  # first token of whose beginning the string itself decides
         last = np.searchsorted(inner, at + window - 1, side="right") - 1  # last that begins within it
         ok = last <= first
         whole = ~ok
