@@ -279,26 +279,37 @@ _SUPPLIER_CSV = Metadata({"s_suppkey": "numeric", "s_name": "categorical", "s_ac
 
 
 def _supplier_lines(spark, sf_dir, missing: str) -> str:
-    """A CSV file of suppliers whose odd keys end in ``missing`` instead of a balance."""
+    """CSV files of suppliers, each with a header; odd keys end in ``missing`` instead of a balance."""
     path = scratch_path(spark, "supplier-csv")
     rows = _t(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("i"), F.concat(
+        F.pmod(F.xxhash64("s_suppkey"), F.lit(16)).alias("file"), F.col("s_suppkey").cast("long").alias("i"), F.concat(
             F.concat_ws(",", "s_suppkey", "s_name"),
             F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(","), F.col("s_acctbal"))).otherwise(F.lit(missing))).alias("value"))
-    header = spark.range(1).select(F.lit(-1).cast("long").alias("i"), F.lit("s_suppkey,s_name,s_acctbal").alias("value"))
-    header.unionByName(rows.withColumn("i", F.col("i").cast("long"))).coalesce(1).sortWithinPartitions("i").select(
-        "value").write.text(path)  # one file, as its first line is the header
+    header = rows.select("file").distinct().select(
+        "file", F.lit(-1).cast("long").alias("i"), F.lit("s_suppkey,s_name,s_acctbal").alias("value"))
+    header.unionByName(rows).repartition("file").sortWithinPartitions("file", "i").drop("i").write.partitionBy("file").text(path)
     return path
 
 
 def q_csv_short_rows(spark, sf_dir):
-    return read_csv(spark, _supplier_lines(spark, sf_dir, ""), _SUPPLIER_CSV)
+    return read_csv(spark, _supplier_lines(spark, sf_dir, ""), _SUPPLIER_CSV, recursiveFileLookup="true")
 
 
 def q_csv_schema_na(spark, sf_dir):
     schema = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType()),
                            T.StructField("s_acctbal", T.DoubleType())])
-    return read_csv(spark, _supplier_lines(spark, sf_dir, ",NA"), schema=schema)
+    return read_csv(spark, _supplier_lines(spark, sf_dir, ",NA"), schema=schema, recursiveFileLookup="true")
+
+
+def q_csv_multiline(spark, sf_dir):
+    """Fields with line breaks and quotes, read back by lines: blocks of a file may begin within a field."""
+    path = scratch_path(spark, "csv-lines")
+    note = F.concat(F.col("o_orderpriority"), F.repeat(F.lit("\n"), (F.col("o_orderkey") % 3).cast("int")), F.lit('"'),
+                    F.col("o_orderstatus"), F.lit('",'), F.when(F.col("o_orderkey") % 2 == 0, F.lit("\n.")).otherwise(F.lit(".")))
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"), "o_totalprice")
+    md = Metadata({"o_orderkey": "numeric", "note": "categorical", "o_totalprice": "numeric"})
+    Release(orders, md).export_csv(path)
+    return read_csv(spark, path, md)
 
 
 def q_csv_multi_file(spark, sf_dir):
@@ -583,6 +594,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_short_rows": q_csv_short_rows,
         "csv_schema_na": q_csv_schema_na,
         "csv_multi_file": q_csv_multi_file,
+        "csv_multiline": q_csv_multiline,
         "export_columns": q_export_columns,
         "generalize_many_bins": q_generalize_many_bins,
         "generalize_fine_bins": q_generalize_fine_bins,
@@ -840,6 +852,9 @@ def _own_oracles() -> dict[str, str]:
                         "CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS k FROM orders)"),
         "csv_short_rows": _SUPPLIER_HALF,
         "csv_schema_na": _SUPPLIER_HALF,
+        "csv_multiline": (
+            "SELECT o_orderkey, o_orderpriority || repeat(chr(10), (o_orderkey % 3)::INT) || '\"' || o_orderstatus || '\",' || "
+            "CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '.' ELSE '.' END AS note, o_totalprice FROM orders"),
         "csv_multi_file": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
         "export_columns": "SELECT c_acctbal, c_custkey FROM customer",
         "generalize_fine_bins": _generalize_sql("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem",

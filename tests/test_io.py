@@ -144,13 +144,47 @@ def test_short_rows_are_padded_and_long_ones_raise(spark, tmp_path):
         read_csv(spark, _csv(tmp_path, "b.csv", "a,b\n1,2\n1,2,3\n")).collect()
 
 
-def test_fields_over_several_lines_are_an_option(spark, tmp_path):
+def test_fields_over_several_lines(spark, tmp_path):
     from veil.sources.csv import read_csv
 
-    path = _csv(tmp_path, "m.csv", 'a,b\n1,"x\ny"\n2,z\n')
-    assert [tuple(r) for r in read_csv(spark, path, multiLine=True).collect()] == [(1, "x\ny"), (2, "z")]
-    with pytest.raises(Exception, match="multiLine"):
-        read_csv(spark, path).collect()
+    path = _csv(tmp_path, "m.csv", 'a,b\n1,"x\ny"\n2,z\n\n3,"say ""\n\n"" twice"\n4\n')
+    want = [(1, "x\ny"), (2, "z"), (3, 'say "\n\n" twice'), (4, None)]
+    assert sorted(tuple(r) for r in read_csv(spark, path).collect()) == want
+    assert sorted(tuple(r) for r in read_csv(spark, path, multiLine=True).collect()) == want
+    with pytest.raises(ValueError, match="never ends"):
+        read_csv(spark, _csv(tmp_path, "n.csv", 'a,b\n1,"x\n2,y\n'))
+    with pytest.raises(Exception, match="more fields"):
+        read_csv(spark, _csv(tmp_path, "o.csv", 'a,b\n1,"x\ny"\n1,2,3\n')).collect()
+    both = tmp_path / "both"
+    _csv(both, "p.csv", 'a,b\n1,"x\ny"\n')
+    _csv(both, "q.csv", 'b,a\n1,"x\ny"\n')
+    with pytest.raises(Exception, match="header"):
+        read_csv(spark, str(both)).collect()
+
+
+def test_records_over_lines_are_read_by_several_tasks(spark, tmp_path):
+    """Blocks of a file begin anywhere, also within quotes; the rows equal those of pandas."""
+    import random
+
+    import pandas as pd
+
+    from veil.sources import records
+    from veil.sources.csv import _READ_DEFAULTS, read_csv
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(['a', 'é', '"', ",", "\n", "\n\n", " "]) for _ in range(rng.randrange(1, 40))) + "." for _ in range(3000)]
+    frame = pd.DataFrame({"i": range(3000), "the text": texts, "k": [f"k{i % 7}" for i in range(3000)]})
+    path = str(tmp_path / "big.csv")
+    frame.to_csv(path, index=False, lineterminator="\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        blocks = records.lines_of(spark, path, _READ_DEFAULTS).select("block").distinct().count()
+        got = sorted(tuple(r) for r in read_csv(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert blocks > 3
+    assert got == [tuple(r) for r in pd.read_csv(path).itertuples(index=False)]
 
 
 def test_files_are_split(spark, tmp_path):

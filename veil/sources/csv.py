@@ -1,7 +1,8 @@
 """CSV source and sink.
 
-Source: files are split among tasks; a quoted field that spans lines needs ``multiLine=True`` (one
-task per file) and raises without it. Rows shorter than the header are padded with NULL, longer ones
+Source: files are split among tasks, also where quoted fields span lines (``records``; one count of quotes
+tells whether any does). ``multiLine=True`` leaves such files to Spark's own reader, one task a file, as do
+encodings other than UTF-8. Rows shorter than the header are padded with NULL, longer ones
 raise, and every file's own header must name the same columns in the same order. Every field is read
 as text, the reference's missing-value tokens become NULL, then each
 column is cast by its declared type (numeric -> long when every value is an integer, else double;
@@ -27,6 +28,8 @@ from .._util import qcol
 from ..functions.text import py_str
 from ..metadata import CATEGORICAL, NUMERIC, Metadata
 from ..operators.numeric import NUMBER_TEXT
+from . import records
+from .records import literal
 
 # The text tokens pandas.read_csv treats as missing by default.
 NA_TOKENS = (
@@ -61,14 +64,17 @@ def _text_rows(spark: SparkSession, path: str, names: list[str], opts: dict) ->
     """Every field as text with missing tokens as NULL, rows checked against the header."""
     fields = [T.StructField(n, T.StringType(), True) for n in names]
     sep, quote = opts.get("sep", opts.get("delimiter", ",")), opts["quote"]
-    raw = spark.read.options(**{**opts, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
-                                "enforceSchema": "false"}).schema(
-        T.StructType([*fields, T.StructField(_CORRUPT, T.StringType(), True)])).csv(path)
+    if opts["multiLine"].lower() != "true" and records.applies(opts) and records.spans_lines(spark, path, opts):
+        raw = records.parsed(spark, path, names, opts, _CORRUPT)
+    else:
+        raw = spark.read.options(**{**opts, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
+                                    "enforceSchema": "false"}).schema(
+            T.StructType([*fields, T.StructField(_CORRUPT, T.StringType(), True)])).csv(path)
     row = qcol(_CORRUPT)
     # separators outside of quotes; an odd number of quotes means that a field goes on in the next line
-    bare = F.regexp_replace(row, f"{_re(quote)}[^{_re(quote)}]*{_re(quote)}", "")
-    too_long = F.size(F.split(bare, _re(sep), -1)) > len(names)
-    open_quote = F.length(F.regexp_replace(row, f"[^{_re(quote)}]", "")) % 2 == 1
+    bare = F.regexp_replace(row, f"{literal(quote)}[^{literal(quote)}]*{literal(quote)}", "")
+    too_long = F.size(F.split(bare, literal(sep), -1)) > len(names)
+    open_quote = F.length(F.regexp_replace(row, f"[^{literal(quote)}]", "")) % 2 == 1
     problem = F.when(row.isNull(), None).when(
         open_quote, F.lit("a quoted field spans lines; read with multiLine=True")).when(
         too_long, F.lit("a row has more fields than the header"))
@@ -80,10 +86,6 @@ def _text_rows(spark: SparkSession, path: str, names: list[str], opts: dict) ->
     return raw.select(*[cell(n) for n in names])
 
 
-def _re(text: str) -> str:
-    return "".join(c if c.isalnum() else "\\" + c for c in text)
-
-
 def _as_type(f: T.StructField):
     """Text as the declared type; text that isn't of the type raises, as under ANSI casts."""
     c = qcol(f.name)
