@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veil.llm import fm_dedup, minhash_odd, queries, repeats, sa_dedup
 
@@ -170,6 +171,23 @@ def test_one_document_of_each_group_stays(messy):
     assert len(ids) == len(set(ids)) and 7 in ids and 8 not in ids and 10 not in ids
 
 
+def test_kept_documents_with_any_column_names(make_documents):
+    names = ["_key", "_id", "_m", "own", "gone", "again", "worded", "key", "first", "node"]
+    df = make_documents([(1, "one two three", "en", "a"), (2, "one two three", "en", "a"), (3, None, "en", "a")])
+    df = df.select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = minhash_odd.kept_documents(df, 5, 80)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_band_plans_miss_hardly_any_pair():
+    assert minhash_odd.band_plan(85) == (24, 5)
+    for percent in range(30, 100, 5):
+        count, rows = minhash_odd.band_plan(percent)
+        assert (1 - (percent / 100) ** rows) ** count <= minhash_odd.MISS and (count <= minhash_odd.BANDS or rows == 1)
+    with pytest.raises(ValueError):
+        minhash_odd.band_plan(0)
+
+
 def test_odd_sketch_counts_differences():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 1 << 63, 600).astype(np.uint64) * np.uint64(2))
