@@ -2,7 +2,8 @@
 
 Each stage takes the documents that the one before kept and returns documents again (the last one
 returns tokens). ``run`` writes each stage's result to the shared scratch folder and reads it back, so a
-stage is computed once and a lost executor costs at most the stage at hand.
+stage is computed once and a lost executor costs at most the stage at hand. A stage's table is deleted
+once the next one is written; the last one stays for the caller.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veil.llm import bpe, minhash_odd, mixing, quality_gbdt, queries, sa_dedup
 from veil.llm._common import fold
-from veil.session import scratch_path
+from veil.session import remove_tree, scratch_path
 
 
 def accept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = scratch_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove_tree(spark, before)
+        before = path
     return docs
