@@ -194,9 +194,10 @@ def top_by_brute_force(rows, every=50, k=5):
     usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows
               if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in usable:
+    for at, (i, q) in enumerate(usable):
         if i % every == 0:
-            found = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in usable if j != i and len(v) == len(q))
+            found = sorted((-sum(a * b for a, b in zip(q, v)), j) for place, (j, v) in enumerate(usable)
+                           if place != at and len(v) == len(q))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found[:k])]
     return sorted(out)
 
@@ -215,6 +216,37 @@ def test_top_k_against_brute_force(spark, monkeypatch, shard):
     assert sorted(tuple(r) for r in maxscore.top_k(df).collect()) == top_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("shard", [2, 4096])
+def test_top_k_of_repeated_rows(spark, monkeypatch, shard):
+    monkeypatch.setattr(maxscore, "SHARD", shard)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(30)]
+    rows += [(50, rows[3][1])] * 9 + [(50, rows[4][1]), (100, rows[5][1]), (100, rows[5][1])] + [(22, rows[3][1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(tuple(r) for r in maxscore.top_k(df).collect()) == top_by_brute_force(rows)
+
+
+def test_top_k_reads_few_vectors():
+    rng = np.random.default_rng(7)
+    x = rng.integers(-256, 256, (2000, 32))
+    shard = maxscore.Shard(np.arange(2000), x, np.ones(2000, np.int64))
+    for query in (0, 50):
+        ids, scores = shard.search(query, x[query], 5)
+        want = sorted((-int(x[j] @ x[query]), j) for j in range(2000) if j != query)[:5]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == want
+    at, component = shard.posting(3, -1.0)
+    assert (component < 0).all() and set(at.tolist()) == set(np.flatnonzero(x[:, 3] < 0).tolist())
+    assert len(shard.posting(3, 0.0)[0]) == 0
+
+
+def test_samples_are_bounded_by_ids(spark):
+    docs = spark.range(5000).selectExpr("id % 2 AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    got = quality_gbdt.labelled(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted(map(tuple, got)) == [(0, "text 0", 1.0), (1, "text 1", 0.0)]
+    assert langid.fit(docs, sample_rows=10).classes == ["en"]
+
+
 def targets_by_brute_force(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}

@@ -73,6 +73,22 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(rows)
 
 
+def numbered_copies(df: DataFrame, n: str, number: str = "copy", chunk: int = 4096, deal: bool = False) -> DataFrame:
+    """Every row as often as column ``n`` says, numbered from 0 in ``number``. Numbers are made ``chunk`` at a time,
+    so no row becomes one long array; ``deal`` sends the chunks to different tasks first."""
+    first = F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / chunk))
+    rows = df.where(F.col(n) > 0).withColumn("_chunk", F.explode(first))
+    rows = rows.repartition(*rows.columns) if deal else rows
+    begin = F.col("_chunk") * chunk
+    return rows.withColumn(number, F.explode(F.sequence(begin, F.least(F.col(n), begin + chunk) - 1))).drop("_chunk")
+
+
+def one_text_an_id(df: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, also..., text) with one row for each doc_id: the smallest text. Bounds by ids a sample whose rows are
+    joined by doc_id, however often the table repeats one."""
+    return df.groupBy("doc_id", *also).agg(F.min("text").alias("text"))
+
+
 def utf8(texts: list[str | None]) -> list[bytes]:
     """UTF-8 of each text, null as empty."""
     return [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]

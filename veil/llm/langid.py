@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import bounded_sample, documents, fold, map_documents, utf8
+from veil.llm._common import bounded_sample, documents, fold, map_documents, one_text_an_id, utf8
 
 SPAN, HIDDEN, LANES = 96, 12, 4096
 
@@ -183,7 +183,8 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit(docs: DataFrame, learn: Column | None = None, sample_rows: int = 2048, spans: int = 4) -> ByteTagger:
-    """Train on at most ``sample_rows`` labelled documents, ``spans`` spans spread over each."""
+    """Train on at most ``sample_rows`` labelled documents, ``spans`` spans spread over each. Rows that share a
+    doc_id are one document: the smallest lang, and the smallest text in it."""
     ids = docs.select("doc_id", F.col("lang").cast("string").alias("lang"))
     picked = ids.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                        & (F.lit(True) if learn is None else learn))
@@ -205,7 +206,8 @@ def fit(docs: DataFrame, learn: Column | None = None, sample_rows: int = 2048, s
                 names=["doc_id", "at", "lang", "span"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = (documents(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "lang")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    got = (one_text_an_id(texts.join(F.broadcast(picked), ["doc_id", "lang"]), "lang").select("doc_id", "text", "lang")
            .mapInArrow(run, f"doc_id {kind}, at long, lang string, span binary").collect())  # sample_rows * spans
     got = sorted((r.doc_id, r.at, r.lang, bytes(r.span)) for r in got)
     classes = sorted({g[2] for g in got})

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import bounded_sample, documents, flat, fold, map_documents, slices, utf8
+from veil.llm._common import bounded_sample, documents, flat, fold, map_documents, one_text_an_id, slices, utf8
 
 FEATURES = [
     "log_words", "mean_word_bytes", "longest_word", "distinct_words", "same_as_before", "upper", "digits", "symbols",
@@ -52,7 +52,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
         size = len(blob)
         pairs = len(set(zip(words, words[1:])))
         out[i] = (
-            np.log1p(m), (size - k[4]) / m, min(max(map(len, words)), 200), len(set(words)) / m,
+            np.log1p(m), (size - k[4]) / m, max(map(len, words)), len(set(words)) / m,
             sum(map(bytes.__eq__, words, words[1:])) / m, k[1] / size, k[3] / size, k[5] / m, k[6] / m, k[7] / m,
             k[8] / m, k[9] / size, k[4] / size, len(lines) / m, 1 - len(set(lines)) / len(lines), (pairs + 1) / m)
     return out
@@ -141,11 +141,11 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: i
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
     """At most ``rows`` documents with a usable label: (doc_id, text, y). The label side is cut first,
-    so the joined side has a known bound."""
+    so the joined side has a known bound; of rows that share a doc_id, the smallest text is learned from."""
     picked = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & learn)
               .groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("y")))
     picked = bounded_sample(picked, "doc_id", rows)
-    return documents(docs).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    return one_text_an_id(documents(docs).join(F.broadcast(picked), "doc_id"), "y").select("doc_id", "text", "y")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None,
