@@ -1,6 +1,7 @@
 """Tokenizing, classifying, rules, search, mixing and the pipeline."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veil.llm import bpe, langid, maxscore, mixing, quality_gbdt, quality_rules, queries, toxicity
-from veil.llm._common import fold
+from veil.llm._common import Scratch, fold
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -280,14 +281,49 @@ def test_mixing_targets(request, table):
         assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 * max(1, want[r.source])
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
     assert Counter(map(tuple, mixing.mix_copies(df).collect())) == Counter(map(tuple, got))
+    if table == "messy":  # rows equal in doc_id and text are drawn one by one above, together in the mix itself
+        df = df.dropDuplicates(["doc_id", "text"])
+        got = mixing.mix_copies(df).collect()
     copies = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
     assert copies == Counter({k: v for k, v in sum((Counter({r.doc_id: r.copies}) for r in got), Counter()).items() if v})
 
 
-def test_newton_multiplier(spark):
-    df = spark.createDataFrame([(10.0, 20.0), (10.0, 1e-9), (3.0, 3.0), (1e12, 7.0)], "w double, t double")
-    for r in df.select("*", (F.col("w") * F.exp(mixing.newton_multiplier(F.col("w"), F.col("t")))).alias("got")).collect():
-        assert abs(r.got - r.t) < 1e-9 * r.t
+def test_tilts_meet_the_targets(spark):
+    """Every document's rate is min(2, exp(tilt * size / longest)), and the rates' words are the target."""
+    rng = np.random.default_rng(3)
+    sizes = {"down": [int(x) for x in rng.lognormal(5, 1.5, 400) + 1], "up": [int(x) for x in rng.lognormal(4, 2, 300) + 1],
+             "all": [3, 7], "one": [50], None: [1, 20000], "few": [5, 6, 7]}
+    target = {"down": 0.03, "up": 1.97, "all": 2.0, "one": 0.4, None: 1.5, "few": 0.0}
+    rows = [(s, n, Counter(v)[n]) for s, v in sizes.items() for n in set(v)]
+    plans = [(s, sum(v), 1.0, target[s] * sum(v)) for s, v in sizes.items()]
+    got = mixing.source_tilts(
+        spark.createDataFrame(rows, "source string, size long, n long"),
+        spark.createDataFrame(plans, "source string, source_size long, weight double, target double"), Scratch(spark)).collect()
+    for r in got:
+        if r.source == "few":
+            assert r.tilt is None
+            continue
+        rates = [min(2.0, math.exp(min(r.tilt * n / r.longest, 50))) for n in sizes[r.source]]
+        assert abs(sum(n * x for n, x in zip(sizes[r.source], rates)) - r.target) <= 1e-4 * r.target, r
+        assert r.gap <= 1e-9
+        if r.source in ("down", "up"):
+            assert len(set(rates)) > 20
+
+
+def test_mixing_repeated_rows(spark):
+    """Equal rows are drawn one by one, so a source that is mostly one repeated row still meets its target."""
+    rows = [(1, "ten words " * 5, "a")] * 100 + [(2, "two words", "a")] + [(3, "w " * 901, "b")] + [(None, "x y", "b")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_copies(df).collect()
+    assert len(got) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        source = "a" if r.source_size == 1002 else "b"
+        taken[source] += r.taken
+        target[source] = r.target
+        assert r.taken <= 2 * r.size
+    assert abs(taken["a"] - target["a"]) <= 10 and abs(taken["b"] - target["b"]) <= 901
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_copies(df.repartition(7)).collect()))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

@@ -1,22 +1,26 @@
 """Mixing sources to target weights by entropy balancing; DataFrame functions only.
 
 Targets: every source's share of the mix by weight, capped at a multiple of the source's own words,
-the excess shared again among the others. Rates: minimise the relative entropy of the words taken
-against the words given, subject to each source's words meeting its target. The convex dual has one
-multiplier per source, document rates are ``q * exp(multiplier)`` for a base rate ``q``, and each
-Newton step needs only the tilted words of a source. These sums are aggregated from all documents
-once (with map-side partial sums); the steps run as an expression on that table, one row a source.
-Rates are rounded into copies by a running total: documents of a source stand in a fixed random
-order and get one copy more while the total stays within the target; then FILLS times the largest
-document that still fits. The total is taken over hash buckets, then over finer buckets of the one where
-it passes the target, so no task orders a whole source. What remains is one row a source, which is
-joined to the documents.
+the excess shared again among the others. Rates: minimise the relative entropy of the documents' rates
+against one copy each, subject to each source's words meeting its target and no rate above the cap. The
+convex dual has one multiplier per source, and the rate of a document of n words is
+``min(cap, exp(multiplier * n / longest))``: sources that give less than they have lose long documents first, sources
+that give more repeat long documents first. A Newton step on the logarithm of the words taken needs two sums a
+source over all documents; equal sizes of a source are counted once, then each step is an aggregate over
+these counts. A step that leaves the bracket of the root is replaced by a cut of the bracket.
+
+Rates are rounded into copies: the whole part for certain, and one more for the documents of the smallest ``u / f``
+(u a hash in (0, 1), f the rest of the rate; a document then gets it with a chance near f) while a running total
+stays within the target; then FILLS times the largest document that still fits. The total is taken over
+ranges of that order, then over finer ranges of the one where it passes the target, so no task orders
+a whole source. What remains is one row a source, which is joined to the documents.
 
 The single-task windows see one row per source; sources are the settings of a mix, not data.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source, sorted last;
-rows with a null doc_id are documents like others; rows equal in doc_id and text get equal copies; a source without words has target 0; an
-empty table gives an empty table.
+rows with a null doc_id are documents like others; a source without words has target 0; an empty table gives an empty
+table. Rows equal in doc_id, source and text are numbered and drawn one by one in ``mix_copies``;
+``mixed_documents``, which carries other columns along, gives rows equal in doc_id and text equal copies.
 """
 
 from __future__ import annotations
@@ -24,13 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.llm._common import WORD
+from veil.llm._common import WORD, Scratch, numbered_copies
 from veil.session import ensure_checkpoint_dir
 
-WEIGHTS, SHARE, CAP, STEPS, FILLS = (5, 2, 1), 1.5, 2.0, 100, 2
+WEIGHTS, SHARE, CAP, FILLS = (5, 2, 1), 1.5, 2.0, 2
 
-#: Hash buckets of each of the two levels of the running total.
-BUCKETS = 4096
+#: Newton steps at most (about ten do), and the relative distance from the target that ends them.
+STEPS, NEAR = 100, 1e-9
+
+#: Ranges of each of the two levels of the running total, as a power of two, and bits of a place in the order.
+LEVEL, PLACE = 12, 48
 
 
 def text_size(text: Column) -> Column:
@@ -62,43 +69,87 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
                       F.when(open_, F.col("weight") * F.col("rate")).otherwise(most).alias("target"))
 
 
-def newton_multiplier(words: Column, target: Column, steps: int = STEPS) -> Column:
-    """The source's multiplier: root of words * exp(x) = target by Newton steps from 0, each at most 1
-    long; the dual is convex, so the steps end at the root."""
-    def step(x: Column, _: Column) -> Column:
-        tilted = words * F.exp(x)
-        return x - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (tilted - target) / tilted))
-
-    return F.when((words > 0) & (target > 0),
-                  F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
+def _rate(size: Column, cap: Column) -> Column:
+    """The tilted rate of a document with words, from its source's plan; 0 in a source that gives nothing."""
+    tilt = F.col("tilt").cast("double")
+    return F.coalesce(F.least(cap, F.exp(F.least(tilt * size / F.col("longest"), F.lit(50.0)))), F.lit(0.0))
+
+
+def source_tilts(counts: DataFrame, targets: DataFrame, scratch: Scratch, cap: float = CAP) -> DataFrame:
+    """targets with ``longest`` (size), ``tilt`` (the multiplier, null where nothing is taken) and ``gap`` (relative distance
+    of the tilted words from the target). ``counts`` has source, size (over 0) and n, the documents of that size."""
+    ends = counts.groupBy(F.col("source").alias("s")).agg(F.max("size").alias("longest"), F.min("size").alias("shortest"))
+    words, target = F.col("source_size").cast("double"), F.col("target")
+    highest = F.log(F.lit(float(cap))) * F.col("longest") / F.col("shortest") * 2  # every rate is at the cap
+    full = target >= words * cap * (1 - 1e-12)
+    some = (words > 0) & (target > 0)
+    plan = targets.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        *targets.columns, "longest", F.when(some, F.when(full, highest).otherwise(0.0)).alias("tilt"),
+        F.when(target < words, F.lit(float("-inf"))).otherwise(0.0).alias("lo"),
+        F.when(target < words, F.lit(0.0)).otherwise(highest).alias("hi"),
+        F.when(some & ~full, F.lit(float("inf"))).otherwise(0.0).alias("gap"))
+    plan = scratch.write(plan, "tilts")
+    for _ in range(STEPS):
+        if not plan.where(F.col("gap") > NEAR).limit(1).count():
+            break
+        after = scratch.write(_newton_step(counts, plan, cap), "tilts")
+        scratch.drop(plan)
+        plan = after
+    # sums of doubles may differ in the last bits between runs; single precision hides that, rounding hits the target
+    return plan.select(*targets.columns, "longest", F.col("tilt").cast("float").alias("tilt"), "gap")
+
+
+def _newton_step(counts: DataFrame, plan: DataFrame, cap: float) -> DataFrame:
+    """Sums of the tilted words and of their slope over all documents, then each source's next multiplier."""
+    open_ = plan.where(F.col("gap") > NEAR).select(F.col("source").alias("s"), "longest", "tilt")
+    rows = counts.join(open_, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", _rate(F.col("size"), F.lit(float(cap))))
+    tilted = F.col("n") * F.col("size") * F.col("rate")
+    sums = rows.groupBy("s").agg(
+        F.sum(tilted).alias("words"),
+        F.sum(F.when(F.col("rate") < cap, tilted * F.col("size") / F.col("longest")).otherwise(0.0)).alias("slope"))
+    words, x, target = F.col("words"), F.col("tilt"), F.col("target")
+    lo = F.when(words < target, x).otherwise(F.col("lo"))
+    hi = F.when(words > target, x).otherwise(F.col("hi"))
+    newton = x - F.log(F.try_divide(words, target)) * F.try_divide(words, F.col("slope"))
+    middle = F.when(F.col("lo2") >= 0, F.sqrt((F.col("lo2") + 1) * (F.col("hi2") + 1)) - 1).otherwise(
+        F.when(F.col("lo2") == float("-inf"), F.col("hi2") * 2 - 1).otherwise((F.col("lo2") + F.col("hi2")) / 2))
+    gap = F.abs(F.try_divide(words, target) - 1)
+    return plan.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "*", lo.alias("lo2"), hi.alias("hi2"), newton.alias("next")).select(
+        *[c for c in plan.columns if c not in ("tilt", "lo", "hi", "gap")],
+        F.when(words.isNull() | (gap <= NEAR), x).when(
+            (F.col("next") > F.col("lo2")) & (F.col("next") < F.col("hi2")), F.col("next")).otherwise(middle).alias("tilt"),
+        F.coalesce("lo2", "lo").alias("lo"), F.coalesce("hi2", "hi").alias("hi"), F.coalesce(gap, "gap").alias("gap"))
 
 
 def mix_plan(slim: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """One row a source: size, target, rate, whole copies, and up to which place of the source's order a
-    document gets one copy more. ``slim`` has source, size and h, which fixes the order."""
-    targets = source_targets(slim.select("source", "size"), weights, share, cap)
-    plan = targets.select(
-        "source", "source_size", "target",
-        F.coalesce(F.exp(newton_multiplier(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0))
-        .alias("rate"))
-    # Newton's steps end within rounding of a whole rate
-    plan = plan.withColumn("rate", F.least(F.lit(float(cap)), F.when(
-        F.abs(F.col("rate") - F.rint("rate")) < 1e-9, F.rint("rate")).otherwise(F.col("rate"))))
-    plan = plan.withColumn("whole", F.floor("rate")).withColumn(
-        "room", F.rint((F.col("rate") - F.col("whole")) * F.col("source_size")).cast("long"))
-    rows = slim.select(F.col("source").alias("s"), "size", "h", *_buckets(F.col("h")))
-    # first the bucket, then the finer bucket in which the running total passes the room that is left
-    level1 = _edge(rows.groupBy("s", "b1").agg(F.sum("size").alias("w")), plan, "b1", "e1")
+    """One row a source: size, target, tilt, and up to which place of the source's order a document gets one
+    copy more. ``slim`` has source, size and h, which fixes the order."""
+    scratch = Scratch(slim.sparkSession)
+    counts = scratch.write(slim.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    targets = source_targets(counts.select("source", (F.col("size") * F.col("n")).alias("size")), weights, share, cap)
+    used = counts.where(F.col("size") > 0)
+    plan = source_tilts(used, targets, scratch, cap).withColumn("cap", F.lit(float(cap)))
+    # what the whole copies take is certain; the rest of the target is the room of the order
+    certain = used.join(plan.select(F.col("source").alias("s"), "longest", "tilt"), F.col("source").eqNullSafe(F.col("s"))
+                        ).groupBy("s").agg(F.sum(F.col("n") * F.col("size") * F.floor(_rate(F.col("size"), F.lit(float(cap))))).alias("certain"))
+    plan = plan.join(certain, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        "source", "source_size", "target", "longest", "tilt", "cap",
+        (F.rint("target").cast("long") - F.coalesce("certain", F.lit(0))).alias("rest")).checkpoint()
+    rows = _drawn(_joined(slim.select("source", "size", "h"), plan)).where("may").select(
+        F.col("source").alias("s"), "size", "place", "b1", "b2")
+    # first the range, then the finer range in which the running total passes the room that is left
+    level1 = _edge(rows.groupBy("s", "b1").agg(F.sum("size").alias("w")), plan.withColumn("room", F.col("rest")), "b1", "e1")
     inside = rows.join(level1.select(F.col("source").alias("s1"), "e1"), F.col("s").eqNullSafe(F.col("s1"))
-                       & (F.col("b1") == F.col("e1"))).select("s", "b2", "h", "size")
+                       & (F.col("b1") == F.col("e1"))).select("s", "b2", "place", "size")
     level2 = _edge(inside.groupBy("s", "b2").agg(F.sum("size").alias("w")), level1, "b2", "e2")
     last = inside.join(level2.select(F.col("source").alias("s2"), "e2", "room"), F.col("s").eqNullSafe(F.col("s2"))
                        & (F.col("b2") == F.col("e2")))
-    line = Window.partitionBy("s").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("s").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cut = last.withColumn("upto", F.sum("size").over(line)).where(F.col("upto") <= F.col("room")).groupBy("s").agg(
-        F.max("h").alias("cut"))
+        F.max("place").alias("cut"))
     ends = level2.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "rate", "whole", "e1", "e2", "cut", F.array().cast("array<long>").alias("fills"))
+        *plan.columns, "e1", "e2", "cut", F.array().cast("array<long>").alias("fills"))
     for _ in range(FILLS):
         ends = _fill(slim, ends.checkpoint())
     return ends
@@ -106,32 +157,40 @@ def mix_plan(slim: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
 
 def _fill(slim: DataFrame, plan: DataFrame) -> DataFrame:
     """One more document a source: the largest that the words still missing have room for."""
-    rows = _joined(slim.select("source", "size", "h"), plan)
+    rows = _drawn(_joined(slim.select("source", "size", "h"), plan)).where("may")
     used = rows.groupBy("_source").agg(F.sum(F.when(_extra(), F.col("size")).otherwise(0)).alias("used"))
     missing = plan.join(used, F.col("source").eqNullSafe(F.col("_source"))).select(
-        *plan.columns, (F.rint((F.col("rate") - F.col("whole")) * F.col("source_size")) - F.col("used")).alias("gap"))
-    rows = _joined(slim.select("source", "size", "h"), missing.checkpoint()).where(
-        ~_extra() & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+        *plan.columns, (F.col("rest") - F.col("used")).alias("gap"))
+    rows = _drawn(_joined(slim.select("source", "size", "h"), missing.checkpoint())).where(
+        F.col("may") & ~_extra() & (F.col("size") <= F.col("gap")))
     best = rows.groupBy(F.col("_source").alias("s")).agg(F.max(F.struct("size", "h")).alias("best"))
     return plan.join(best, F.col("source").eqNullSafe(F.col("s")), "left").select(
         *[c for c in plan.columns if c != "fills"],
         F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", F.array("best.h"))).alias("fills"))
 
 
-def _buckets(h: Column) -> list[Column]:
-    return [F.pmod(h, F.lit(BUCKETS)).alias("b1"), F.pmod(F.shiftright(h, 16), F.lit(BUCKETS)).alias("b2")]
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Rows joined to their plan with rate, whole copies, whether one more may come (``may``) and the place in the order."""
+    rows = rows.withColumn("rate", F.when(F.col("size") > 0, _rate(F.col("size"), F.col("cap"))).otherwise(0.0))
+    rows = rows.withColumn("whole", F.floor("rate")).withColumn("part", F.col("rate") - F.col("whole"))
+    u = (F.pmod("h", F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    place = F.floor(u / (u + F.col("part")) * float((1 << PLACE) - 1))
+    rows = rows.withColumn("may", (F.col("part") > 0) & (F.col("whole") + 1 <= F.col("cap"))).withColumn("place", place)
+    mask = (1 << LEVEL) - 1
+    return rows.withColumn("b1", F.shiftright("place", PLACE - LEVEL)).withColumn(
+        "b2", F.shiftright("place", PLACE - 2 * LEVEL).bitwiseAND(F.lit(mask)))
 
 
 def _edge(sums: DataFrame, plan: DataFrame, bucket: str, name: str) -> DataFrame:
     """For every source the first bucket that the room doesn't hold whole, and the room left there
-    (no bucket and so a number behind all if it holds all). A source has at most ``BUCKETS`` rows."""
+    (no bucket and so a number behind all if it holds all). A source has at most ``2 ** LEVEL`` rows."""
     line = Window.partitionBy("s").orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("w").over(line))
     first = (sums.join(plan.select("source", "room"), F.col("s").eqNullSafe(F.col("source")))
              .where(F.col("upto") > F.col("room"))
              .groupBy("s").agg(F.min(F.struct(bucket, (F.col("room") - F.col("upto") + F.col("w")).alias("left"))).alias("f")))
     return plan.withColumnRenamed("room", "_room").join(first, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        *[c for c in plan.columns if c != "room"], F.coalesce(F.col(f"f.{bucket}"), F.lit(BUCKETS)).alias(name),
+        *[c for c in plan.columns if c != "room"], F.coalesce(F.col(f"f.{bucket}"), F.lit(1 << LEVEL)).alias(name),
         F.coalesce("f.left", F.lit(0)).alias("room"))
 
 
@@ -147,17 +206,17 @@ def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _extra() -> Column:
-    """Whether a document stands before its source's end, or was filled in."""
-    b1, b2 = _buckets(F.col("h"))
+    """Whether a document that may get one copy more stands before its source's end, or was filled in."""
+    b1, b2 = F.col("b1"), F.col("b2")
     before = (b1 < F.col("e1")) | ((b1 == F.col("e1")) & (
-        (b2 < F.col("e2")) | ((b2 == F.col("e2")) & F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)))))
+        (b2 < F.col("e2")) | ((b2 == F.col("e2")) & F.coalesce(F.col("place") <= F.col("cut"), F.lit(False)))))
     return before | F.array_contains("fills", F.col("h"))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Each row (with source, size and h) with its source's figures, copies and taken words."""
-    rows = _joined(rows, plan)
-    copies = F.when(F.col("size") > 0, F.col("whole") + _extra().cast("int")).otherwise(F.lit(0)).cast("int")
+    rows = _drawn(_joined(rows, plan))
+    copies = (F.col("whole") + (F.col("may") & _extra()).cast("int")).cast("int")
     return rows.withColumn("copies", copies).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
@@ -168,8 +227,11 @@ def _place(doc_id: Column, text: Column) -> Column:
 def mix_copies(df: DataFrame, **settings) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken words of every document."""
     ensure_checkpoint_dir(df.sparkSession)
-    slim = df.select("doc_id", "source", text_size(F.col("text")).alias("size"),
-                     _place(F.col("doc_id"), F.col("text")).alias("h")).checkpoint()
+    equal = df.select("doc_id", "source", text_size(F.col("text")).alias("size"),
+                      _place(F.col("doc_id"), F.col("text")).alias("same")).groupBy(
+        "doc_id", "source", "size", "same").agg(F.count(F.lit(1)).alias("n"))
+    slim = numbered_copies(equal, "n", "number", deal=True).select(
+        "doc_id", "source", "size", F.xxhash64("same", "number").alias("h")).checkpoint()
     plan = mix_plan(slim, **settings).checkpoint()
     return _with_plan(slim, plan).select("doc_id", "source", "size", "source_size", "target", "rate", "copies", "taken")
 
@@ -178,7 +240,8 @@ def mixed_documents(df: DataFrame, **settings) -> DataFrame:
     """The mix itself: every document as often as it has copies, with all its columns. The texts stay
     where they are read; only the plan (one row a source) is brought to them."""
     ensure_checkpoint_dir(df.sparkSession)
-    size, place = text_size(F.col("text")).alias("size"), _place(F.col("doc_id"), F.col("text")).alias("h")
+    size = text_size(F.col("text")).alias("size")
+    place = F.xxhash64(_place(F.col("doc_id"), F.col("text")), F.lit(0).cast("long")).alias("h")
     plan = mix_plan(df.select("source", size, place).checkpoint(), **settings).checkpoint()
     rows = df.select(F.struct(*df.columns).alias("row"), "source", size, place)
     out = _with_plan(rows, plan).where(F.col("copies") > 0)
