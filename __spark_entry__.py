@@ -23,7 +23,8 @@ sys.path.insert(0, ROOT)
 from veil import Metadata, Release, read_csv  # noqa: E402
 from veil.functions.hashing import new_secret, pseudonym_token, secret_value  # noqa: E402
 from veil.functions.sql import register_sql_functions  # noqa: E402
-from veil.operators.metrics import precision_privacy_between  # noqa: E402
+from veil.operators.metrics import precision_privacy_between, precision_privacy_by_position  # noqa: E402
+from veil.operators.positions import with_position  # noqa: E402
 from veil.operators.perturb import perturb as perturb_df  # noqa: E402
 from veil.session import ensure_checkpoint_dir, scratch_path  # noqa: E402
 from veil.streaming import BinModel, NoiseModel, mask_stream, pseudonymize_stream  # noqa: E402
@@ -453,6 +454,41 @@ def q_bundle_roundtrip(spark, sf_dir):
     return Release.load(spark, path).working()
 
 
+ORDERED_META = Metadata(
+    column_types={"l_orderkey": "numeric", "l_linenumber": "numeric", "l_extendedprice": "numeric",
+                  "l_shipdate": "categorical"},
+    identifiers=["l_orderkey"], quasi_identifiers=["l_shipdate"], sensitive_attributes=["l_extendedprice"],
+)
+
+
+def _ordered_release(spark, sf_dir) -> Release:
+    """Lines of orders as they stand in the file (no unique key), ranked through a join."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice",
+                                              F.col("l_shipdate").cast("string").alias("l_shipdate"))
+    return (Release(li, ORDERED_META, file_order=True).order_preserving_pseudonyms("l_orderkey")
+            .mask("l_shipdate", "mask_last_k", k=11))
+
+
+def q_preview_file_order(spark, sf_dir):
+    return _ordered_release(spark, sf_dir).preview(40)
+
+
+def q_export_file_order(spark, sf_dir):
+    """The whole release exported in file order, read again with the number of each row."""
+    path = scratch_path(spark, "ordered")
+    _ordered_release(spark, sf_dir).export_csv(path)
+    return with_position(read_csv(spark, path, ORDERED_META))
+
+
+def q_precision_by_position(spark, sf_dir):
+    """Metric between the table and its re-read export, row by row in file order."""
+    path = scratch_path(spark, "aligned")
+    _ordered_release(spark, sf_dir).export_csv(path)
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice",
+                                              F.col("l_shipdate").cast("string").alias("l_shipdate"))
+    return precision_privacy_by_position(li, read_csv(spark, path, ORDERED_META), ORDERED_META)
+
+
 def q_preview(spark, sf_dir):
     return _customer(spark, sf_dir).preview(20, order_by=["c_custkey"])
 
@@ -633,6 +669,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "precision_between_export": q_precision_between_export,
         "bundle_roundtrip": q_bundle_roundtrip,
         "preview": q_preview,
+        "preview_file_order": q_preview_file_order,
+        "export_file_order": q_export_file_order,
+        "precision_by_position": q_precision_by_position,
         "stream_release": q_stream_release,
         "stream_events": q_stream_events,
         "sql_functions": q_sql_functions,
@@ -646,6 +685,14 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # DuckDB oracles
 # ---------------------------------------------------------------------------------------------
 
+#: Tables are scanned in file order, so row numbers without an order are the rows' places.
+_ORDERED_SQL = (
+    "SELECT dense_rank() OVER (ORDER BY l_orderkey) AS l_orderkey, l_linenumber, l_extendedprice, "
+    "repeat('*', least(11, length(d))) AS m, position, d FROM (SELECT row_number() OVER () - 1 AS position, l_orderkey, "
+    "CAST(l_linenumber AS BIGINT) AS l_linenumber, l_extendedprice, CAST(l_shipdate AS VARCHAR) AS d FROM lineitem)")
+_ORDERED_SQL = ("SELECT position, l_orderkey, l_linenumber, l_extendedprice, "
+                f"left(d, greatest(length(d) - 11, 0)) || m AS l_shipdate FROM ({_ORDERED_SQL})")
+
 _SUPPLIER_HALF = ("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END AS s_acctbal "
                   "FROM supplier")
 _MASK63 = "9223372036854775807"
@@ -931,6 +978,13 @@ def _own_oracles() -> dict[str, str]:
              ("count_if(c_acctbal = w_acctbal)", 2.0), ("count(c_mktsegment)", 1.0)]),
         "bundle_roundtrip": _pipeline_sql(),
         "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 20",
+        "preview_file_order": f"SELECT * EXCLUDE (position) FROM ({_ORDERED_SQL}) WHERE position < 40",
+        "export_file_order": _ORDERED_SQL,
+        "precision_by_position": _precision_simple(
+            f"SELECT w.*, o.* FROM ({_ORDERED_SQL}) w JOIN (SELECT row_number() OVER () - 1 AS at, l_orderkey AS o_key, "
+            "CAST(l_shipdate AS VARCHAR) AS o_date FROM lineitem) o ON o.at = w.position",
+            [("count_if(l_orderkey = o_key)", 1.0), ("count(l_linenumber)", 1.0), ("count(l_extendedprice)", 2.0),
+             ("count_if(l_shipdate = o_date)", 1.0)]),
         "stream_release": _pipeline_sql(),
         "lineitem_release": ("SELECT " + ", ".join(LINEITEM_COLS) + " FROM (" + _lineitem_release_sql() + ")"),
         "lineitem_precision": _precision_simple(

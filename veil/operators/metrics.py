@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import family, orig_name, qcol
+from .._util import family, nan_to_null, orig_name, qcol
 from ..metadata import Metadata
+from .positions import with_position
 
 
 def equal_count(c: str, changed: bool, orig_type: T.DataType, work_type: T.DataType) -> Column:
@@ -79,6 +80,26 @@ def precision_privacy_between(original: DataFrame, working: DataFrame, key: list
     return precision_privacy(paired, cols, set(cols), metadata, rows=n)
 
 
+def precision_privacy_by_position(original: DataFrame, working: DataFrame, metadata: Metadata) -> DataFrame:
+    """The same metric for two tables read from files, row by row in file order (``positions``).
+
+    Columns must match by name and order and row counts must be equal, as in the reference; NaN is a missing value.
+    Positions are unique, so the join has no hot key; the row count is checked again inside the aggregate.
+    """
+    if list(original.columns) != list(working.columns):
+        raise ValueError("The two tables differ in columns or row count; cells cannot be paired.")
+    n = original.count()
+    if n != working.count():
+        raise ValueError("The two tables differ in columns or row count; cells cannot be paired.")
+    cols = list(original.columns)
+    left, right = (with_position(d, "__position") for d in (original, working))
+    o = left.select(*[nan_to_null(qcol(f.name), f.dataType).alias(orig_name(f.name)) for f in original.schema.fields],
+                    F.col("__position").alias("__at"))
+    w = right.select(*[nan_to_null(qcol(f.name), f.dataType).alias(f.name) for f in working.schema.fields], "__position")
+    paired = o.join(w, F.col("__at") == F.col("__position"))
+    return precision_privacy(paired, cols, set(cols), metadata, rows=n)
+
+
 def _keys(df: DataFrame, key: list[str]) -> tuple[int, int]:
     """Rows, and the most rows that share a key."""
     per = df.groupBy(*[qcol(k) for k in key]).agg(F.count(F.lit(1)).alias("__m"))

@@ -27,6 +27,7 @@ from ..operators import mask as msk
 from ..operators import perturb as ptb
 from ..operators import pseudonyms as ps
 from ..operators.metrics import precision_privacy
+from ..operators.positions import PLACE, with_places
 from ..operators.statistics import column_statistics
 from ..session import ensure_checkpoint_dir
 from .ranking import RankTable, materialize, release_scratch
@@ -87,10 +88,12 @@ class _State:
 class Release:
     """Original and working views of one table plus metadata and reversible mappings."""
 
-    def __init__(self, df: DataFrame, metadata: Metadata, *, snapshot: bool = False):
+    def __init__(self, df: DataFrame, metadata: Metadata, *, snapshot: bool = False, file_order: bool = False):
+        """``file_order`` keeps each row's place in the files ``df`` is read from (hidden, like the originals),
+        so that previews and exports can follow it."""
         _check_columns(df)
         metadata.validate(df.columns)
-        src = _normalize(df)
+        src = _normalize(with_places(df) if file_order else df)
         if snapshot:
             ensure_checkpoint_dir(df.sparkSession)
             src = src.checkpoint(eager=True)
@@ -137,8 +140,12 @@ class Release:
     def mapping(self, column: str) -> DataFrame:
         return self._s.mappings[column].table
 
+    @property
+    def in_file_order(self) -> bool:
+        return set(PLACE) <= set(self._s.frame.columns)
+
     def original(self) -> DataFrame:
-        return self._s.source
+        return self._s.source.select(*[qcol(c) for c in self._s.columns])
 
     def working(self) -> DataFrame:
         return self._s.frame.select(*[qcol(c) for c in self._s.columns])
@@ -154,20 +161,23 @@ class Release:
     reset_working_dataset = reset
 
     def preview(self, n: int = 20, use_working: bool = True, order_by: list[str] | None = None) -> DataFrame:
-        """First ``n`` rows; deterministic only with ``order_by`` (a top-n, not a full sort)."""
+        """First ``n`` rows: by ``order_by``, else in file order if the release keeps it (a top-n, not a full
+        sort), else any."""
         if not isinstance(n, int) or n < 1:
             raise ValueError("n must be a positive integer.")
-        df = self.working() if use_working else self.original()
-        if order_by:
-            df = df.orderBy(*[qcol(c) for c in order_by])
-        return df.limit(n)
+        df = self._s.frame if use_working else self._s.source
+        order = list(order_by or (PLACE if self.in_file_order else ()))
+        if order:
+            df = df.orderBy(*[qcol(c) for c in order])
+        return df.limit(n).select(*[qcol(c) for c in self._s.columns])
 
     def checkpoint(self) -> Release:
         """Cut the lineage of a long chain of verbs: write the paired frame as parquet in the shared
         checkpoint folder and continue from it. Original, working, mappings and metric are unchanged."""
         frame = materialize(self._s.frame, "release")
         cols = self._s.columns
-        source = frame.select(*[(qcol(orig_name(c)) if c in self._s.versions else qcol(c)).alias(c) for c in cols])
+        source = frame.select(*[(qcol(orig_name(c)) if c in self._s.versions else qcol(c)).alias(c) for c in cols],
+                              *(PLACE if self.in_file_order else ()))
         return Release._from_state(replace(self._s, frame=frame, source=source))
 
     def count(self) -> int:
@@ -381,8 +391,14 @@ class Release:
     # -- persistence and export ---------------------------------------------------------------
 
     def export_csv(self, path: str, **options) -> None:
+        """CSV parts of the working view. A release that keeps the file order writes its rows in that order: sorted
+        by range in parallel, and the parts' names ascend with it."""
         from ..sources.csv import write_csv
-        write_csv(self.working(), path, **options)
+        if self.in_file_order:
+            cols = self._s.columns
+            write_csv(self._s.frame.orderBy(*PLACE).select(*[qcol(c) for c in cols]), path, **options)
+        else:
+            write_csv(self.working(), path, **options)
 
     export_working_to_csv = export_csv
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from .._util import local_frame, orig_name, qcol
 from ..errors import LoadError
 from ..metadata import Metadata
+from ..operators.positions import PLACE
 from ..plans.ranking import RankTable
 
 FORMAT = "veil-release"
@@ -95,12 +96,14 @@ def load(spark: SparkSession, path: str):
                                                 bool(m.get("from_original", False)))
     except (PySparkException, KeyError, TypeError, ValueError) as e:
         _fail(f"bundle '{base}' is incomplete or corrupt", e)
-    expected = set(columns) | {orig_name(c) for c in versions}
+    places = PLACE if set(PLACE) <= set(frame.columns) else ()  # kept file order
+    expected = set(columns) | {orig_name(c) for c in versions} | set(places)
     if set(frame.columns) != expected:
         _fail(f"bundle '{base}' frame columns do not match its metadata")
     try:
         metadata.validate(columns)
     except ValueError as e:
         _fail(f"the saved metadata names columns that the data lacks: {e}", e)
-    source = frame.select(*[(qcol(orig_name(c)) if c in versions else qcol(c)).alias(c) for c in columns])
+    source = frame.select(*[(qcol(orig_name(c)) if c in versions else qcol(c)).alias(c) for c in columns],
+                          *places)
     return Release._from_state(_State(source, frame, metadata, tuple(columns), versions, mappings))
