@@ -102,6 +102,51 @@ def test_language_gradients():
         assert abs((up - down) / (2 * eps) - g[at]) < 1e-3 * max(1, abs(g[at]))
 
 
+def test_language_scores_equal_plain_loops(messy):
+    model = langid.ByteTagger(["de", "en", "fr"])  # random weights: any mistake in order or gates would show
+    k = langid.HIDDEN
+
+    def sigmoid(v):
+        return 1 / (1 + math.exp(-v))
+
+    def states(net, data):
+        e, u, h, out = net.e.astype(float), net.u.astype(float), [0.0] * k, []
+        for byte in data:
+            b = [sum(h[i] * u[i, j] for i in range(k)) for j in range(3 * k)]
+            z = [sigmoid(e[byte, j] + b[j]) for j in range(k)]
+            r = [sigmoid(e[byte, k + j] + b[k + j]) for j in range(k)]
+            c = [math.tanh(e[byte, 2 * k + j] + r[j] * b[2 * k + j]) for j in range(k)]
+            h = [(1 - z[j]) * h[j] + z[j] * c[j] for j in range(k)]
+            out.append(h)
+        return out
+
+    def plain(text):
+        data, total = text.encode(), [0.0] * 3
+        for at in range(0, len(data), langid.SPAN):
+            span = data[at:at + langid.SPAN]
+            padded = span + bytes(langid.SPAN - len(span))
+            forth, back = states(model.nets[0], padded), states(model.nets[1], padded[::-1])[::-1]
+            for f, g in list(zip(forth, back))[:len(span)]:
+                a = [sum(v * float(model.w[i, j]) for i, v in enumerate(f + g)) + float(model.b[j]) for j in range(3)]
+                top = max(a)
+                p = [math.exp(v - top) for v in a]
+                total = [t + v / sum(p) for t, v in zip(total, p)]
+        return [t / len(data) for t in total]
+
+    some = messy.where("doc_id in (1, 2, 3, 4, 6, 7, 18, 20)")
+    got = sorted((r.doc_id, r.lang_pred, r.score) for r in langid.label_documents(some, model).collect())
+    want = []
+    for r in some.collect():
+        if not langid.has_letter(r.text):
+            want.append((r.doc_id, "und", 0.0))
+            continue
+        p = plain(r.text)
+        best = max(range(3), key=p.__getitem__)
+        want.append((r.doc_id, model.classes[best], p[best]))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=1e-4)
+
+
 def test_models_on_messy_documents(messy, labels):
     n = messy.count()
     lang = langid.language_ids(messy).collect()
@@ -124,11 +169,46 @@ def test_toxicity_on_held_out_documents(spark):
     assert (toxic.predicted == 1).mean() > 0.8 and (clean.predicted == 1).mean() < 0.02
 
 
-def test_misspellings_share_subwords():
+def _toxicity_model():
     bad, good = ["dreadful", "horrible"], ["pleasant", "wonderful", "morning", "garden", "window", "river"]
     texts = [f"{good[i % 6]} {good[(i + 1) % 6]} {bad[i % 2] if i % 3 == 0 else good[(i + 2) % 6]}" for i in range(240)]
-    y = np.array([float(i % 3 == 0) for i in range(240)])
-    model = toxicity.train(texts, y)
+    return toxicity.train(texts, np.array([float(i % 3 == 0) for i in range(240)]))
+
+
+def test_toxicity_scores_equal_plain_loops(messy, make_documents):
+    model = _toxicity_model()
+    texts = messy.unionByName(make_documents([(200, "a horribel garden", "en", "a"), (201, "dreadful " * 30, "en", "a")]))
+    assert model.slope[0] > 0 and model.embeddings.shape == (toxicity.BUCKETS, toxicity.WIDTH)  # the average counts
+
+    def plain(text):
+        vectors = []
+        for w in sorted(toxicity.words(text)):
+            buckets = toxicity.subwords([w])[0].tolist()
+            vectors.append([sum(float(model.embeddings[b, k]) for b in buckets) / len(buckets)
+                            for k in range(toxicity.WIDTH)])
+        mean = [sum(v[k] for v in vectors) / max(len(vectors), 1) for k in range(toxicity.WIDTH)]
+        document = sum(a * b for a, b in zip(mean, model.doc_weights)) + model.doc_bias
+        margins = sorted((sum(a * b for a, b in zip(v, model.word_weights)) + model.word_bias for v in vectors), reverse=True)
+        margins = [max(min(m, 20.0), -20.0) for m in margins[:toxicity.TOP]]
+        margins += [toxicity.NO_WORD] * (toxicity.TOP - len(margins))
+        z = sum(a * b for a, b in zip(model.slope, [document, *margins])) + model.offset
+        return 1 / (1 + math.exp(-max(min(z, 30.0), -30.0)))
+
+    want = sorted(((r.doc_id, plain(r.text)) for r in texts.collect()), key=str)
+    got = sorted(((r.doc_id, r.score) for r in toxicity.score_documents(texts, model).collect()), key=str)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-6)
+    same = model.word_vectors(["horrible", "garden"])
+    assert np.allclose(toxicity.averages(same, np.array([2, 0])), [same.mean(0), np.zeros(toxicity.WIDTH)])
+
+
+def test_strongest_words_with_ties_and_empty_documents():
+    got = toxicity.strongest(np.array([1.0, 3.0, 3.0, 2.0, -50.0]), np.array([4, 0, 1]))
+    assert got.tolist() == [[3.0, 3.0, 2.0], [-20.0] * 3, [-20.0] * 3]
+
+
+def test_misspellings_share_subwords():
+    model = _toxicity_model()
     seen = dict(zip(["horrible", "horribel", "horible", "garden"],
                     model.word_margins(["horrible", "horribel", "horible", "garden"])))
     assert min(seen["horrible"], seen["horribel"], seen["horible"]) > seen["garden"]

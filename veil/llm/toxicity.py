@@ -1,24 +1,25 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the average of the embeddings of its character n-grams, its first letters and the whole word, so
-a misspelling that shares n-grams with known words gets a near vector. Two classes, one linear
-softmax. Embeddings and softmax weights are trained together on the driver from a bounded sample of
-labelled documents (``sample_rows``, half of them toxic if there are so many). A document is a bag of
-words of which few are enough: its score pools the TOP strongest ones. Training alternates: words of
-a toxic document that score low are taken out of its positives, words of clean documents always are
-negatives. A last logistic step maps the strongest words' margins to the document's probability; its
-offset is set back from the sample's share of toxic documents to that of all labels.
+a misspelling that shares n-grams with known words gets a near vector. A document's vector is the average of the
+vectors of its words, and a linear softmax of two classes turns it into a margin. Embeddings and softmax weights
+are trained together on the driver, on averages of documents and on single words at once, from a bounded sample
+of labelled documents (``sample_rows``, half of them toxic if there are so many). One insult fades in the average of a
+long text, so the margins of the TOP strongest words are further features of the document. Training of words
+alternates: words of a toxic document that score low are taken out of its positives, words of clean documents
+always are negatives. A last logistic step weighs the average's margin and the strongest words' margins; its offset
+is set back from the sample's share of toxic documents to that of all labels.
 
 Scoring keeps a bounded table of words already scored and needs no shuffle.
 
 Defined results: null, empty and letterless texts score the probability of a document without any
-word; without labels of both kinds every score is 0; labels given twice for a document count as
+word; without labels of both kinds every score is
+next to 0 (1e-13); labels given twice for a document count as
 their maximum; very long texts are read whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from veil.llm._common import fold, map_documents
 from veil.llm.quality_gbdt import labelled
 
-BUCKETS, WIDTH, NGRAMS, PREFIXES, TOP = 1 << 18, 2, (3, 4, 5), (5, 6, 7, 8, 9), 3
+BUCKETS, WIDTH, NGRAMS, PREFIXES, TOP = 1 << 18, 4, (3, 4, 5), (5, 6, 7, 8, 9), 3
 
 #: A word counts as if PRIOR more documents of the usual toxicity held it; a subword is learned from
 #: SHARED documents on.
@@ -89,42 +90,71 @@ def subwords(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SubwordSoftmax:
-    """Margin (toxic against clean) of a word, and the probability of a document."""
+    """Vectors of words, margins (toxic against clean) of words and documents, probabilities of documents.
 
-    def __init__(self, margins: np.ndarray, bias: float, slope: np.ndarray, offset: float):
-        self.margins, self.bias, self.slope, self.offset = margins.astype(np.float32), bias, slope, offset
+    ``word_weights`` and ``doc_weights`` are the softmax's weights, toxic less clean, for a word's own vector and for
+    the average of a document's; ``slope`` weighs a document's margin and its strongest words' margins.
+    """
 
-    def word_margins(self, vocabulary: list[str]) -> np.ndarray:
+    def __init__(self, embeddings: np.ndarray, word_weights: np.ndarray, word_bias: float, doc_weights: np.ndarray,
+                 doc_bias: float, slope: np.ndarray, offset: float):
+        self.embeddings = embeddings.astype(np.float32)
+        self.word_weights, self.word_bias = word_weights, word_bias
+        self.doc_weights, self.doc_bias = doc_weights, doc_bias
+        self.slope, self.offset = slope, offset
+
+    def word_vectors(self, vocabulary: list[str]) -> np.ndarray:
+        """Averages of the subwords' embeddings."""
         if not vocabulary:
-            return np.zeros(0)
+            return np.zeros((0, self.embeddings.shape[1]))
         b, o = subwords(vocabulary)
         n = len(vocabulary)
-        return np.bincount(o, self.margins[b], n) / np.bincount(o, minlength=n) + self.bias
+        many = np.bincount(o, minlength=n)
+        return np.stack([np.bincount(o, e, n) / many for e in self.embeddings[b].T], 1)
+
+    def word_margins(self, vocabulary: list[str]) -> np.ndarray:
+        return self.word_vectors(vocabulary) @ self.word_weights + self.word_bias
 
-    def probability(self, strongest: np.ndarray) -> np.ndarray:
-        """From rows of the TOP largest margins of documents."""
-        return 1 / (1 + np.exp(-np.clip(strongest @ self.slope + self.offset, -30, 30)))
+    def features(self, vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """From the vectors of all documents' words in a row and each document's number of words: the margin of its
+        average vector and the TOP largest margins of its words."""
+        average = averages(vectors, sizes)
+        margins = vectors @ self.word_weights + self.word_bias
+        return np.concatenate([(average @ self.doc_weights + self.doc_bias)[:, None], strongest(margins, sizes)], 1)
+
+    def probability(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(features @ self.slope + self.offset, -30, 30)))
 
 
 #: Margin taken for each word that a document lacks.
 NO_WORD = -20.0
 
 
-def strongest(margins: list[list[float]]) -> np.ndarray:
+def averages(vectors: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean vector of each document's words; zero for a document without words."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.stack([np.bincount(doc, v, len(sizes)) for v in vectors.T], 1)
+    return total / np.maximum(sizes, 1)[:, None]
+
+
+def strongest(margins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The TOP largest margins of each document, largest first."""
-    out = np.full((len(margins), TOP), NO_WORD)
-    for row, m in zip(out, margins):
-        best = heapq.nlargest(TOP, m)
-        row[:len(best)] = best
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((-margins, doc))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # doc is ascending already
+    out = np.full((len(sizes), TOP), NO_WORD)
+    use = place < TOP
+    out[doc[use], place[use]] = margins[order[use]]
     return np.clip(out, NO_WORD, -NO_WORD)
 
 
 def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int = 25, rate: float = 0.08,
           seed: int = 7, share: float | None = None) -> SubwordSoftmax:
-    """Embeddings and softmax weights by Adam on the word bags of three documents in four; the rest
-    fit the document's logistic step, so that words never seen count as they will when scoring."""
+    """Embeddings and softmax weights by Adam on three documents in four, their words and their averages; the rest
+    fit the logistic step, so that words never seen count as they will when scoring."""
     if not len(y) or y.min() == y.max():
-        return SubwordSoftmax(np.zeros(BUCKETS), 0.0, np.zeros(TOP), -30.0)
+        return SubwordSoftmax(np.zeros((BUCKETS, WIDTH)), np.zeros(WIDTH), 0.0, np.zeros(WIDTH), 0.0,
+                              np.zeros(1 + TOP), -30.0)
     all_bags, all_y = [sorted(words(t)) for t in texts], y
     rest = np.arange(len(y)) % 4 == 3
     if min((rest & (y > 0.5)).sum(), (rest & (y <= 0.5)).sum(), (~rest & (y > 0.5)).sum(), (~rest & (y <= 0.5)).sum()) < 2:
@@ -132,7 +162,8 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int =
     bags, y = [b for b, r in zip(all_bags, rest) if not r], y[~rest]
     vocabulary = sorted(set().union(*bags))
     index = {w: i for i, w in enumerate(vocabulary)}
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    sizes = np.array([len(b) for b in bags])
+    doc = np.repeat(np.arange(len(bags)), sizes)
     word = np.array([index[w] for b in bags for w in b], np.int64)
     n = len(vocabulary)
     b, o = subwords(vocabulary)
@@ -147,10 +178,13 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int =
     out[:, 1] = rng.normal(0, 0.5, WIDTH)
     out[:, 0] = -out[:, 1]
     bias = np.zeros(2, np.float32)
+    doc_out, doc_bias = out.copy(), np.zeros(2, np.float32)
     toxic = y[doc] > 0.5
     clean = np.bincount(word[~toxic], minlength=n).astype(np.float32)
     positive = toxic.copy()
-    state = [np.zeros_like(p) for p in (emb, emb, out, out, bias, bias)]
+    params = (emb, out, bias, doc_out, doc_bias)
+    state = [np.zeros_like(p) for p in params for _ in range(2)]
+    share_of = (1 / np.maximum(sizes, 1))[doc]  # a word's part of its document's average
     t = 0
     order = np.argsort(b, kind="stable")
     bs, os_ = b[order], o[order]
@@ -171,9 +205,15 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int =
             d1 = weight * (p1 * total - bad) / np.sqrt(n)
             dz = np.stack([-d1, d1], 1).astype(np.float32)
             g_out, g_bias = v.T @ dz, dz.sum(0)
-            per_word = (dz @ out.T) / many
-            g_emb = np.add.reduceat(per_word[os_], cuts, axis=0)
-            for i, (p, g) in enumerate(((emb, g_emb), (out, g_out), (bias, g_bias))):
+            average = averages(v[word], sizes)
+            zd = average @ doc_out + doc_bias
+            pd1 = 1 / (1 + np.exp(np.clip(zd[:, 0] - zd[:, 1], -30, 30)))
+            dd = np.stack([y - pd1, pd1 - y], 1) / np.sqrt(len(bags))
+            g_doc = (dd @ doc_out.T)[doc] * share_of[:, None]
+            g_avg = np.stack([np.bincount(word, g, n) for g in g_doc.T], 1)
+            per_word = ((dz @ out.T + g_avg) / many).astype(np.float32)
+            grads = (np.add.reduceat(per_word[os_], cuts, axis=0), g_out, g_bias, average.T @ dd, dd.sum(0))
+            for i, (p, g) in enumerate(zip(params, grads)):
                 state[2 * i] += 0.1 * (g - state[2 * i])
                 state[2 * i + 1] += 0.001 * (g * g - state[2 * i + 1])
                 p -= rate * (state[2 * i] / (1 - 0.9 ** t)) / (np.sqrt(state[2 * i + 1] / (1 - 0.999 ** t)) + 1e-8)
@@ -182,12 +222,13 @@ def train(texts: list[str | None], y: np.ndarray, rounds: int = 3, steps: int =
         best = np.full(len(bags), -np.inf)
         np.maximum.at(best, doc, margin[word])
         positive = toxic & (margin[word] >= np.minimum(best[doc], np.maximum(best[doc] * 0.5, 0)))
-    margins = np.zeros(BUCKETS, np.float32)
-    margins[seen] = emb @ (out[:, 1] - out[:, 0])
-    model = SubwordSoftmax(margins, float(bias[1] - bias[0]), np.zeros(TOP), 0.0)
+    table = np.zeros((BUCKETS, WIDTH), np.float32)
+    table[seen] = emb
+    model = SubwordSoftmax(table, out[:, 1] - out[:, 0], float(bias[1] - bias[0]), doc_out[:, 1] - doc_out[:, 0],
+                           float(doc_bias[1] - doc_bias[0]), np.zeros(1 + TOP), 0.0)
     held = [(b, v) for b, v, r in zip(all_bags, all_y, rest) if r] or list(zip(bags, y))
-    best = strongest([model.word_margins(b).tolist() for b, _ in held])
-    model.slope, model.offset = _logistic(best, np.array([v for _, v in held]))
+    x = model.features(model.word_vectors([w for b, _ in held for w in b]), np.array([len(b) for b, _ in held]))
+    model.slope, model.offset = _logistic(x, np.array([v for _, v in held]))
     if share is not None:
         here = np.clip(all_y.mean(), 1e-6, 1 - 1e-6)
         model.offset += np.log(share / (1 - share)) - np.log(here / (1 - here))
@@ -244,16 +285,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
 def score_documents(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
     """doc_id and score (0 to 1) of every document."""
     def make():
-        known: dict[str, float] = {}
+        known: dict[str, int] = {}
+        table = np.zeros((0, WIDTH))
 
         def run(ids, texts):
+            nonlocal table
             bags = [words(t) for t in texts]
             new = sorted(set().union(*bags) - known.keys())
             if len(known) + len(new) > TABLE_ROWS:
                 known.clear()
+                table = table[:0]
                 new = sorted(set().union(*bags))
-            known.update(zip(new, model.word_margins(new).tolist()))
-            return ids, model.probability(strongest([list(map(known.__getitem__, b)) for b in bags]))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            table = np.concatenate([table, model.word_vectors(new)])
+            sizes = np.array([len(b) for b in bags], np.int64)
+            at = np.fromiter((known[w] for b in bags for w in sorted(b)), np.int64, int(sizes.sum()))
+            return ids, model.probability(model.features(table[at], sizes))
         return run
 
     return map_documents(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
