@@ -469,6 +469,11 @@ def _ordered_release(spark, sf_dir) -> Release:
             .mask("l_shipdate", "mask_last_k", k=11))
 
 
+def q_export_with_metric(spark, sf_dir):
+    """The pipeline's metric, counted while its release is written."""
+    return _pipeline(spark, sf_dir).export_with_metric(scratch_path(spark, "measured"))
+
+
 def q_preview_file_order(spark, sf_dir):
     return _ordered_release(spark, sf_dir).preview(40)
 
@@ -669,6 +674,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "precision_between_export": q_precision_between_export,
         "bundle_roundtrip": q_bundle_roundtrip,
         "preview": q_preview,
+        "export_with_metric": q_export_with_metric,
         "preview_file_order": q_preview_file_order,
         "export_file_order": q_export_file_order,
         "precision_by_position": q_precision_by_position,
@@ -945,6 +951,7 @@ def _own_oracles() -> dict[str, str]:
         "precision_untouched": _precision_simple("SELECT * FROM customer",
                                                  [(f"count({c})", cust_w.get(c, 1.0)) for c in cust_cols]),
         "precision_pipeline": _pipeline_precision_sql(),
+        "export_with_metric": _pipeline_precision_sql(),
         "precision_with_nulls": _precision_simple(_CUSTOMER_NULL_BAL,
                                                   [(f"count({c})", cust_w.get(c, 1.0)) for c in cust_cols]),
         "precision_type_change": _precision_simple(

@@ -1,7 +1,7 @@
-from pyspark.sql import functions as F
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from veil import LoadError, Metadata, Release, read_csv
 from veil.session import local_path
@@ -78,6 +78,39 @@ def test_bundle_roundtrip_and_resave(spark, scratch, staff):
     assert sorted(x["badge"] for x in again.working().collect()) == list(range(1, 151))
 
 
+def test_bundle_keeps_the_newest_complete_versions(spark, scratch, staff):
+    from veil.sources import bundle
+
+    df, md = staff
+    path = scratch("versions")
+    r = Release(df, md)
+    names = [r.save(path).rsplit("/", 1)[1] for _ in range(2)]
+    os.makedirs(f"{path}/v{'9' * 20}-{'0' * 8}/frame")  # being written: neither loaded nor deleted
+    last = r.generalize("years", 5)
+    names.append(last.save(path, keep=2).rsplit("/", 1)[1])
+    assert bundle.versions_of(spark, path) == [f"v{'9' * 20}-{'0' * 8}", names[2], names[1]]
+    assert Release.load(spark, path).changed_columns == ["years"]
+    assert bundle.prune(spark, path, 1) == [names[1]]
+    assert Release.load(spark, path).working().exceptAll(last.working()).count() == 0
+    with pytest.raises(ValueError, match="keep"):
+        r.save(path, keep=0)
+
+
+@pytest.mark.parametrize("file_order", [False, True])
+def test_metric_counted_while_exporting(spark, scratch, staff, file_order):
+    df, md = staff
+    source = scratch("measured-in")
+    df.withColumn("years", F.when(F.col("badge") % 3 > 0, F.col("years"))).write.parquet(source)
+    r = (Release(spark.read.parquet(source), md, file_order=file_order).order_preserving_pseudonyms()
+         .generalize("years", 5).random_pseudonyms("badge").mask("office", "mask_first_k", k=1))  # number to text
+    out = scratch("measured-out")
+    got = r.export_with_metric(out).first()
+    assert (got.precision_pct, got.privacy_pct) == r.compute_precision_privacy_tradeoff()
+    assert 0 < got.precision_pct < 100 and read_csv(spark, out).count() == 150
+    none = Release(spark.read.parquet(source).where("badge < 0"), md).export_with_metric(scratch("measured-none")).first()
+    assert (none.precision_pct, none.privacy_pct) == (100.0, 0.0)
+
+
 def test_load_errors(spark, scratch):
     with pytest.raises(LoadError):
         Release.load(spark, scratch("missing"))

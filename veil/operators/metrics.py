@@ -7,11 +7,13 @@ null never equals null; cells of a number and a text never compare equal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .._util import family, nan_to_null, orig_name, qcol
+from .._util import family, local_frame, nan_to_null, orig_name, qcol
 from ..metadata import Metadata
 from .positions import with_position
 
@@ -20,7 +22,7 @@ def equal_count(c: str, changed: bool, orig_type: T.DataType, work_type: T.DataT
     if not changed:
         return F.count(qcol(c))
     if family(orig_type) != family(work_type):
-        return F.lit(0).cast("long")
+        return F.count(F.lit(None))  # never equal: 0
     return F.count_if(qcol(orig_name(c)) == qcol(c))
 
 
@@ -31,12 +33,36 @@ def precision_privacy(frame: DataFrame, columns: list[str], changed: set[str], m
     ``rows``: the expected row count; the query fails if the frame has another (a join on a key
     that is not unique), checked inside the same aggregate.
     """
+    return _from_counts(frame.agg(*_counts(frame, columns, changed)), columns, metadata, rows)
+
+
+def observed_precision(frame: DataFrame, columns: list[str], changed: set[str], metadata: Metadata
+                       ) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``frame`` that counts its cells in the next action on it, and a function that gives the metric afterwards."""
+    seen = Observation()
+    aggs = _counts(frame, columns, changed)
+    names = ["__n", *(f"__eq{i}" for i in range(len(columns)))]
+
+    def finish() -> DataFrame:
+        got = seen.get
+        row = local_frame(frame.sparkSession, [tuple(int(got[n]) for n in names)],
+                          T.StructType([T.StructField(n, T.LongType()) for n in names]))
+        return _from_counts(row, columns, metadata)
+
+    return frame.observe(seen, *aggs), finish
+
+
+def _counts(frame: DataFrame, columns: list[str], changed: set[str]) -> list[Column]:
+    """Rows, and each column's unchanged cells."""
     types = {f.name: f.dataType for f in frame.schema.fields}
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(columns):
         o = types[orig_name(c)] if c in changed else types[c]
         aggs.append(equal_count(c, c in changed, o, types[c]).alias(f"__eq{i}"))
-    row = frame.agg(*aggs)
+    return aggs
+
+
+def _from_counts(row: DataFrame, columns: list[str], metadata: Metadata, rows: int | None = None) -> DataFrame:
     n = F.col("__n").cast("double")
     total = F.lit(0.0)
     unchanged = F.lit(0.0)

@@ -26,7 +26,7 @@ from ..operators import generalize as gen
 from ..operators import mask as msk
 from ..operators import perturb as ptb
 from ..operators import pseudonyms as ps
-from ..operators.metrics import precision_privacy
+from ..operators.metrics import observed_precision, precision_privacy
 from ..operators.positions import PLACE, with_places
 from ..operators.statistics import column_statistics
 from ..session import ensure_checkpoint_dir
@@ -402,9 +402,20 @@ class Release:
 
     export_working_to_csv = export_csv
 
-    def save(self, path: str) -> str:
+    def save(self, path: str, keep: int | None = None) -> str:
+        """Write a version of the bundle; ``keep=n`` deletes all but the newest n complete versions."""
         from ..sources.bundle import save
-        return save(self, path)
+        return save(self, path, keep)
+
+    def export_with_metric(self, path: str, **options) -> DataFrame:
+        """``export_csv`` and the row ``(precision_pct, privacy_pct)`` from one run: cells are counted while they are
+        written (observed metrics of the writing stage, which count each partition once also when a task is retried)."""
+        from ..sources.csv import write_csv
+        cols = list(self._s.columns)
+        frame = self._s.frame.orderBy(*PLACE) if self.in_file_order else self._s.frame
+        frame, finish = observed_precision(frame, cols, set(self._s.versions), self.metadata)
+        write_csv(frame.select(*[qcol(c) for c in cols]), path, **options)
+        return finish()
 
     @classmethod
     def load(cls, spark, path: str) -> Release:

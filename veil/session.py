@@ -93,6 +93,16 @@ def remove_tree(spark: SparkSession, path: str) -> None:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path``, whatever file system it is on; none if there is no such folder."""
+    local = local_path(re.sub(r"^file:/+", "file:/", path))
+    if local is not None:
+        return [e.name for e in os.scandir(local) if e.is_dir()] if os.path.isdir(local) else []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()] if fs.exists(target) else []
+
+
 def local_path(path: str) -> str | None:
     """The local filesystem path behind ``path`` if it is a local path, else None."""
     if path.startswith("file:"):

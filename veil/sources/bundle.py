@@ -3,13 +3,15 @@
 Layout: ``<path>/v<time>-<id>/frame`` (paired parquet: working + original of changed columns),
 ``.../mapping-<i>`` (one parquet per rank mapping) and ``.../_release`` (JSON, written last; a
 version without it is incomplete and ignored). Each save adds a new version folder, so saving a
-release that was loaded from the same path never deletes the files it is still reading. Loading
-picks the newest complete version. All I/O goes through Spark readers and writers.
+release that was loaded from the same path never deletes the files it is still reading. ``keep=n`` deletes all but
+the newest n complete versions once the new one is written. Loading lists the versions by name, newest first, and reads
+the manifest of the newest complete one only. All data goes through Spark readers and writers.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
@@ -22,14 +24,19 @@ from ..errors import LoadError
 from ..metadata import Metadata
 from ..operators.positions import PLACE
 from ..plans.ranking import RankTable
+from ..session import folder_names, remove_tree
 
 FORMAT = "veil-release"
 FORMAT_VERSION = 1
+_VERSION = re.compile(r"v\d{20}-[0-9a-f]{8}")
 
 
-def save(release, path: str) -> str:
+def save(release, path: str, keep: int | None = None) -> str:
+    """Add a version and return its folder. ``keep`` must leave room for the version a release still reads."""
     from ..plans.release import Release  # noqa: F401 - type only
 
+    if keep is not None and (not isinstance(keep, int) or keep < 1):
+        raise ValueError("keep must be a positive integer.")
     spark = release.frame.sparkSession
     version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     base = f"{path.rstrip('/')}/{version}"
@@ -52,9 +59,38 @@ def save(release, path: str) -> str:
     }
     text = T.StructType([T.StructField("value", T.StringType())])
     local_frame(spark, [(json.dumps(meta),)], text).coalesce(1).write.text(f"{base}/_release")
+    if keep is not None:
+        prune(spark, path, keep)
     return base
 
 
+def versions_of(spark: SparkSession, path: str) -> list[str]:
+    """Names of the versions under ``path``, newest first (names begin with the time, at full width)."""
+    return sorted((n for n in folder_names(spark, path.rstrip("/")) if _VERSION.fullmatch(n)), reverse=True)
+
+
+def prune(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Delete versions older than the newest ``keep`` complete ones; returns their names. Incomplete ones that are newer
+    stay: they may be in the middle of being written."""
+    left, gone = keep, []
+    for v in versions_of(spark, path):
+        if not left:
+            remove_tree(spark, f"{path.rstrip('/')}/{v}")
+            gone.append(v)
+        elif _manifest(spark, f"{path.rstrip('/')}/{v}") is not None:
+            left -= 1
+    return gone
+
+
+def _manifest(spark: SparkSession, base: str) -> dict | None:
+    """The version's JSON document; None if it is incomplete or isn't of this format."""
+    try:
+        m = json.loads("\n".join(r["value"] for r in spark.read.text(f"{base}/_release").limit(2).collect()))
+    except (PySparkException, TypeError, ValueError):
+        return None
+    return m if isinstance(m, dict) and m.get("format") == FORMAT else None
+
+
 def _fail(msg: str, cause: Exception | None = None):
     raise LoadError(f"Cannot load release: {msg}") from cause
 
@@ -63,22 +99,12 @@ def load(spark: SparkSession, path: str):
     from ..plans.release import RankMapping, Release, _State
 
     root = path.rstrip("/")
-    try:
-        # one small JSON document per saved version
-        rows = spark.read.text(f"{root}/*/_release").collect()
-    except PySparkException as e:
-        _fail(f"no bundle at '{path}'", e)
-    metas = []
-    for r in rows:
-        try:
-            m = json.loads(r["value"])
-        except (TypeError, ValueError):
-            continue
-        if isinstance(m, dict) and m.get("format") == FORMAT:
-            metas.append(m)
-    if not metas:
+    found = versions_of(spark, root)
+    if not found:
+        _fail(f"no bundle at '{path}'")
+    meta = next((m for m in (_manifest(spark, f"{root}/{v}") for v in found) if m is not None), None)
+    if meta is None:
         _fail(f"'{path}' holds no complete bundle")
-    meta = max(metas, key=lambda m: m["version"])
     if meta.get("format_version") != FORMAT_VERSION:
         _fail(f"unsupported bundle format version {meta.get('format_version')}")
     base = f"{root}/{meta['version']}"
