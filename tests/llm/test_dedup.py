@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -315,3 +316,53 @@ def test_windows_at_the_edge_of_a_hot_passage_are_dealt(make_documents, monkeypa
     assert max(Counter(w for w in told["window"] if w is not None).values()) == 1
     whole = Counter(w for t, c in merged.items() for w in repeats._windows(t, unit) for _ in range(min(c, 2)))
     assert max(whole.values()) > n // 2  # windows inside stand in most edge segments
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_segments_hold_every_window_under_its_smallest_run(monkeypatch, words):
+    """Each window once, under the leftmost run of the smallest order, in blocks of any size."""
+    monkeypatch.setattr(repeats, "BLOCK", 7)
+    rng = random.Random(11)
+    top = np.uint64(62)
+    for _ in range(150):
+        k = rng.choice([1, 2, 5])
+        unit = repeats.Unit(words, k + rng.choice([0, 2, 12, 40]), k)
+        vocabulary = [b"a", b"b ", b"c", b" ", b"dd\n", b"\xc3\xa4 "][:rng.randrange(2, 7)]
+        blobs = [b"".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 30, 150])))
+                 for _ in range(rng.randrange(1, 6))]
+        values, _, _, first = repeats.symbols(blobs, unit)
+        at = np.arange(max(len(values) - k + 1, 0))
+        h = repeats.run_hashes(values, at, at + k)
+        order = np.where(h & np.uint64(3), h >> np.uint64(2) | np.uint64(2) << top, h >> np.uint64(2))
+        seen = np.unique(order[order < np.uint64(1) << top])
+        hot = np.sort(np.array(rng.sample(seen.tolist(), len(seen) // 3), np.uint64))
+        order = np.where(np.isin(order, hot), order | np.uint64(1) << top, order)
+        want = {}
+        for d in range(len(blobs)):
+            for s in range(first[d], first[d + 1] - unit.length + 1):
+                want[d, s - first[d]] = int(order[s:s + unit.runs].min()), s + int(order[s:s + unit.runs].argmin())
+        got, before = {}, None
+        for d, s, n, value, again in zip(*[x.tolist() for x in repeats.segments(blobs, unit, hot)[:5]]):
+            assert 0 < n <= unit.runs and again == (want[d, s][1] != want[d, s + n - 1][1])
+            assert before != (d, s, value), "cut without need"
+            before = (d, s + n, value) if n < unit.runs else None
+            for i in range(s, s + n):
+                assert (d, i) not in got
+                got[d, i] = value
+        assert got == {w: value for w, (value, _) in want.items()}
+
+
+def test_cutting_keeps_no_array_of_all_places():
+    """Only selected runs are held for a text's whole length: places and order of 1 in 4, not of every byte."""
+    rng = random.Random(3)
+    blobs = [" ".join(f"w{rng.randrange(10 ** 5)}" for _ in range(2000)).encode() for _ in range(10)]
+    unit = repeats.Unit(False, 200, 32)
+    hot = np.arange(1, 500, dtype=np.uint64) << np.uint64(50)
+    repeats.segments(blobs, unit, hot)
+    tracemalloc.start()
+    try:
+        repeats.segments(blobs, unit, hot)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * sum(map(len, blobs)), "arrays of every place"

@@ -43,6 +43,9 @@ SAMPLE, HOT_SHARE, HOT_LEAST = 64, 1 / 20000, 8
 #: shard that are indexed together (a group of one minimizer is never divided).
 PIECE, SHARD_SYMBOLS = 1 << 17, 100_000
 
+#: Runs that are hashed at once.
+BLOCK = 1 << 13
+
 #: Windows of hot segments that a task merges before it lets them go.
 FLUSH_WINDOWS = 200_000
 
@@ -86,9 +89,12 @@ _POWERS = Powers()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
+    h = h ^ (h >> _U(30))
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(27)
+    h *= _U(0x94D049BB133111EB)
+    h ^= h >> _U(31)
+    return h
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,13 +106,11 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def symbols(blobs: list[bytes], unit: Unit):
-    """Hash and text place (start, end) of every symbol, and where each text's symbols begin."""
-    data, starts = flat([b + b"\n" for b in blobs])
+    """Hash (of bytes: the byte) and text place (start, end) of every symbol, and where each text's symbols begin."""
     if not unit.words:
-        keep = np.ones(len(data), bool)
-        keep[starts[1:] - 1] = False
-        first = starts - np.arange(len(starts))
-        return data[keep].astype(np.uint64) + _U(1), None, None, first
+        data, first = flat(blobs)
+        return data, None, None, first
+    data, starts = flat([b + b"\n" for b in blobs])
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(blank, prepend=True))
     a, b = edge[0::2], edge[1::2]
@@ -116,65 +120,94 @@ def symbols(blobs: list[bytes], unit: Unit):
     return h, a - starts[owner], b - starts[owner], first
 
 
-def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
-    """Smallest of each ``w`` neighbours, from running minima of blocks in both directions."""
-    n = len(v)
-    if n < w:
-        return v[:0]
-    blocks = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    blocks[:n] = v
-    blocks = blocks.reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n - w + 1], ahead[w - 1:n])
-
-
-def run_order(values: np.ndarray, unit: Unit, hot: np.ndarray) -> np.ndarray:
-    """Order of every run of k symbols: selected runs first (top bits 0), then hot ones (1), then the rest (2)."""
-    n = len(values) - unit.k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    h = run_hashes(values, at, at + unit.k)
-    order = (h >> _U(2)) | _U(2 << 62)
-    chosen = np.flatnonzero((h & _U(3)) == 0)
-    few = h[chosen] >> _U(2)
-    if len(hot):
-        near = np.minimum(np.searchsorted(hot, few), len(hot) - 1)
-        few = few | ((hot[near] == few).astype(np.uint64) << _U(62))
-    order[chosen] = few
-    return order
+def _block_hashes(values: np.ndarray, k: int, begin: int, end: int) -> np.ndarray:
+    """The hashes of the runs of k symbols that begin from begin to end."""
+    n = end - begin
+    up, down = _POWERS.get(n + k)
+    total = np.zeros(n + k, np.uint64)
+    np.cumsum(values[begin:end + k - 1] * up[:n + k - 1], out=total[1:])
+    h = total[k:] - total[:n]
+    h *= down[:n]
+    return mix(h)
+
+
+def selected_runs(values: np.ndarray, unit: Unit, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and order of the selected runs of k symbols (1 in 4): top bits 0, or 1 for hot ones."""
+    n = max(len(values) - unit.k + 1, 0)
+    places, orders = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    if len(hot):  # most runs are told from the hot ones by their leading bits
+        maybe = np.zeros(1 << 16, bool)
+        maybe[hot >> _U(46)] = True
+    for begin in range(0, n, BLOCK):
+        h = _block_hashes(values, unit.k, begin, min(begin + BLOCK, n))
+        chosen = np.flatnonzero((h & _U(3)) == 0)
+        few = h[chosen]
+        few >>= _U(2)
+        if len(hot):
+            at = np.flatnonzero(maybe[few >> _U(46)])
+            near = hot[np.minimum(np.searchsorted(hot, few[at]), len(hot) - 1)]
+            few[at] |= (near == few[at]).astype(np.uint64) << _U(62)
+        chosen += begin
+        places.append(chosen)
+        orders.append(few)
+    return np.concatenate(places), np.concatenate(orders)
+
+
+def smallest_runs(values: np.ndarray, unit: Unit, place: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and order of the runs that are the leftmost smallest one of some window.
+
+    ``place`` and ``order`` hold the selected runs. Windows without one get all their runs, ordered behind the
+    selected (top bits 2). A run between two better ones (to the left: equally good) that no window has room to
+    avoid is never the smallest; such runs leave until none is left.
+    """
+    edge = np.concatenate([[-1], place, [max(len(values) - unit.k + 1, 0)]])
+    gap = np.flatnonzero(np.diff(edge) > unit.runs)
+    if len(gap):
+        more, rest = [], []
+        for begin, end in zip((edge[gap] + 1).tolist(), edge[gap + 1].tolist()):
+            more.append(np.arange(begin, end))
+            rest.append(_block_hashes(values, unit.k, begin, end) >> _U(2) | _U(2 << 62))
+        at = np.searchsorted(place, np.concatenate(more))
+        place, order = np.insert(place, at, np.concatenate(more)), np.insert(order, at, np.concatenate(rest))
+    while len(place) > 2:
+        falls = order[1:] < order[:-1]
+        stay = np.ones(len(place), bool)
+        stay[1:-1] = falls[:-1] | ~falls[1:] | (place[2:] - place[:-2] > unit.runs)
+        keep = np.flatnonzero(stay)
+        if len(keep) == len(place):
+            break
+        place, order = place[keep], order[keep]
+    return place, order
 
 
 def segments(blobs: list[bytes], unit: Unit, hot: np.ndarray):
     """Segments of all texts: text index, first window, number of windows, minimizer, whether the
     minimizer stands there more than once; then the words' places.
 
-    The minimizer is the leftmost run with the smallest leading bits of its order.
+    The minimizer is the leftmost run of the smallest order: selected runs first, then hot ones, then the rest.
     """
     values, a, b, first = symbols(blobs, unit)
-    order = run_order(values, unit, hot)
-    low = _U((1 << 20) - 1)
-    least = sliding_min((order & ~low) | (np.arange(len(order), dtype=np.uint64) & low), unit.runs)
-    n = len(least)  # a window starts at each of these symbols, if its text is long enough
-    place = np.arange(n) + (((least & low).astype(np.int64) - np.arange(n)) & ((1 << 20) - 1))
-    least = order[place]
-    size = np.diff(first)
-    owner = np.repeat(np.arange(len(blobs)), size)
-    last = np.repeat(first[1:], size)
-    at = np.flatnonzero(np.arange(n) + unit.length <= last[:n])
-    if not len(at):
+    place, order = smallest_runs(values, unit, *selected_runs(values, unit, hot))
+    # windows that begin from low to high have this run as their minimizer: a better one takes over when it
+    # comes in, another one when the run before has gone; a text's windows end inside of it
+    turn = np.where(order[1:] < order[:-1], place[1:] - unit.runs, place[:-1]) + 1
+    doc = np.searchsorted(first, place, side="right") - 1
+    low = np.maximum(np.r_[0, turn][:len(place)], first[doc])
+    high = np.minimum(np.r_[turn, len(values)][:len(place)], first[doc + 1] - unit.length + 1)
+    some = np.flatnonzero(low < high)
+    if not len(some):
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64), none.astype(bool), a, b, first
-    value, doc, place = least[at], owner[at], place[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
-    begin = np.flatnonzero(new)
-    offset = np.arange(len(at)) - np.repeat(begin, np.diff(np.r_[begin, len(at)]))
-    begin = np.flatnonzero(offset % unit.runs == 0)
-    end = np.r_[begin[1:], len(at)]
-    return (doc[begin], at[begin] - first[doc[begin]], end - begin, value[begin], place[begin] != place[end - 1],
-            a, b, first)
+    value, doc, low, high = order[some], doc[some], low[some], high[some]
+    new = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1]) | (low[1:] != high[:-1])])
+    begin, end = low[new], high[np.r_[new[1:], len(some)] - 1]
+    parts = -(-(end - begin) // unit.runs)  # runs of windows with one minimizer, cut at each unit.runs windows
+    number = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, end = np.repeat(begin, parts) + number * unit.runs, np.repeat(end, parts)
+    end = np.minimum(end, begin + unit.runs)
+    at = np.searchsorted(low, begin, side="right") - 1
+    again = at != np.searchsorted(low, end - 1, side="right") - 1
+    return doc[at], begin - first[doc[at]], end - begin, value[at], again, a, b, first
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -200,8 +233,7 @@ def hot_runs(docs: DataFrame, unit: Unit) -> np.ndarray:
         for batch in batches:
             for piece in slices(batch, 2, PIECE):
                 values, _, _, _ = symbols(utf8(piece.column(2).to_pylist()), unit)
-                order = run_order(values, unit, none)
-                order, count = np.unique(order[order < _U(1 << 62)], return_counts=True)
+                order, count = np.unique(selected_runs(values, unit, none)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(order), pa.array(count, pa.int64())], names=["run", "n"])
 
     sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).mapInArrow(run, "run long, n long")
