@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -18,8 +19,8 @@ from veil.session import remove_tree, scratch_path
 #: A word: a maximal run without ASCII white space (``bytes.split()`` cuts at the same characters).
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Text bytes that a Python worker handles at once.
-BATCH_BYTES = 4 << 20
+#: Text bytes that a Python worker handles at once, and where its arrays are many times the text.
+BATCH_BYTES, SMALL_BYTES = 4 << 20, 1 << 20
 
 
 def documents(df: DataFrame) -> DataFrame:
@@ -48,6 +49,25 @@ def slices(batch: pa.RecordBatch, column: int = 1, most: int = BATCH_BYTES) -> I
         yield batch.slice(a, b - a)
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def give_back(run: Callable) -> Callable:
+    """``run`` over a task's batches, after which its Python worker hands freed memory back to the system.
+
+    Workers are kept for the tasks of later stages; otherwise each would hold on to the most that any of them took.
+    """
+    def whole(batches):
+        yield from run(batches)
+        _release()
+
+    return whole
+
+
 def map_documents(df: DataFrame, make: Callable[[], Callable], schema: str, most: int = BATCH_BYTES) -> DataFrame:
     """Apply a function of (ids, texts) to bounded pieces of every partition, without a shuffle.
 
@@ -65,7 +85,7 @@ def map_documents(df: DataFrame, make: Callable[[], Callable], schema: str, most
                     [pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type)
                      for c, f in zip(columns, out)], schema=out)
 
-    return documents(df).mapInArrow(run, schema)
+    return documents(df).mapInArrow(give_back(run), schema)
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -30,8 +30,8 @@ from veil.llm._common import flat, map_documents, sha256_hex
 #: The Unicode White_Space characters, which the tokenizer's \s stands for.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
-#: Words whose encoding a task keeps at hand.
-TABLE_ROWS = 250_000
+#: Words whose encoding a task keeps at hand (some 400 bytes each).
+TABLE_ROWS = 60_000
 
 #: Rounds in which all fragments advance together, before the rest is finished one by one.
 ROUNDS = 40
@@ -48,30 +48,32 @@ def byte_alphabet() -> list[str]:
 
 
 class PairTable:
-    """Rank of a pair of ids, for whole arrays: hash tables in a chain, colliding pairs in the next one."""
+    """Rank of a pair of ids, for whole arrays: hash tables in a chain, colliding pairs in the next one, which is as
+    large as they need."""
 
     def __init__(self, ranks: dict[int, int], bits: int = 19):
         keys = np.fromiter(ranks.keys(), np.int64, len(ranks))
         values = np.fromiter(ranks.values(), np.int64, len(ranks))
-        self.bits, self.levels = bits, []
+        self.levels = []
         while len(keys):
-            slot = self.slot(keys, len(self.levels))
+            bits = min(bits, len(keys).bit_length() + 4)
+            slot = self.slot(keys, len(self.levels), bits)
             _, first = np.unique(slot, return_index=True)
             table, held = np.full(1 << bits, -1), np.full(1 << bits, _NONE)
             table[slot[first]], held[slot[first]] = keys[first], values[first]
-            self.levels.append((table, held))
+            self.levels.append((bits, table, held))
             rest = np.ones(len(keys), bool)
             rest[first] = False
             keys, values = keys[rest], values[rest]
 
-    def slot(self, keys: np.ndarray, level: int) -> np.ndarray:
+    def slot(self, keys: np.ndarray, level: int, bits: int) -> np.ndarray:
         odd = np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * 7919 * level)
-        return ((keys.astype(np.uint64) * odd) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.astype(np.uint64) * odd) >> np.uint64(64 - bits)).astype(np.int64)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys, out = a << 20 | b, np.full(len(a), _NONE)
-        for level, (table, held) in enumerate(self.levels):
-            slot = self.slot(keys, level)
+        for level, (bits, table, held) in enumerate(self.levels):
+            slot = self.slot(keys, level, bits)
             hit = table[slot] == keys
             out[hit] = held[slot[hit]]
         return out
@@ -267,7 +269,7 @@ def encode_documents(df: DataFrame, path: str) -> DataFrame:
             return ids, sizes, pa.ListArray.from_arrays(starts, numbers), [r[2] for r in rows]
         return run
 
-    return map_documents(df, make, f"doc_id {_id_type(df)}, n_tokens long, ids array<int>, decoded string", 1 << 20)
+    return map_documents(df, make, f"doc_id {_id_type(df)}, n_tokens long, ids array<int>, decoded string", 1 << 19)
 
 
 def digest_documents(df: DataFrame, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import WORD, Scratch, slices, utf8
+from veil.llm._common import WORD, Scratch, give_back, slices, utf8
 from veil.llm.places import bounded
 from veil.llm.repeats import Unit, document_key, keyed, mix, run_hashes, symbols
 
@@ -143,7 +143,7 @@ def signature_table(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     names=["key", "doc_id", "n", "node", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key long, doc_id {kind}, n long, node long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(give_back(run), f"key long, doc_id {kind}, n long, node long, bands array<long>, sketch array<long>")
 
 
 def most_flips(n_a, n_b, threshold: float, exp, sqrt, least):
@@ -196,7 +196,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0).filter(ok), piece.column(1).filter(ok)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(give_back(run), "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -307,7 +307,7 @@ def meeting_pairs(groups: DataFrame, threshold: float, best: bool) -> DataFrame:
     """Pairs (a, b) across components that may reach the threshold; with ``best`` one for each class and
     other component of a bucket."""
     pairs = groups.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
-        lambda batches: _block_pairs(batches, threshold, best),
+        give_back(lambda batches: _block_pairs(batches, threshold, best)),
         "band long, node long, label long, flips long, other long")
     if best:  # the blocks of a bucket each have found one
         pairs = pairs.groupBy("band", "node", "label").agg(F.min(F.struct("flips", "other")).alias("s")).select(

@@ -17,7 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import bounded_sample, documents, flat, fold, map_documents, one_text_an_id, slices, utf8
+from veil.llm._common import (SMALL_BYTES, bounded_sample, documents, flat, fold, give_back, map_documents, one_text_an_id,
+                              slices, utf8)
 
 FEATURES = [
     "log_words", "mean_word_bytes", "longest_word", "distinct_words", "same_as_before", "upper", "digits", "symbols",
@@ -156,13 +157,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Colum
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            x = statistics(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+        for batch in batches:
+            for b in slices(batch, 1, SMALL_BYTES):
+                x = statistics(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sorted(sample.mapInArrow(run, f"doc_id {kind}, y double, x array<double>").collect())  # sample_rows at most
+    got = sorted(sample.mapInArrow(give_back(run), f"doc_id {kind}, y double, x array<double>").collect())  # sample_rows at most
     if not got:
         return Forest()
     return train(np.array([r.x for r in got]), np.array([r.y for r in got]))
@@ -175,7 +177,7 @@ def score_documents(docs: DataFrame, forest: Forest) -> DataFrame:
             return ids, forest.score(statistics(texts))
         return run
 
-    return map_documents(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_documents(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double", SMALL_BYTES)
 
 
 def accepted_documents(df: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
@@ -186,11 +188,11 @@ def accepted_documents(df: DataFrame, forest: Forest, threshold: float = 0.3) ->
         import pyarrow as pa
 
         for batch in batches:
-            for piece in slices(batch, at):
+            for piece in slices(batch, at, SMALL_BYTES):
                 ok = forest.score(statistics(piece.column(at).to_pylist())) >= threshold
                 yield piece.filter(pa.array(ok))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(give_back(run), df.schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, held: int = 0,

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veil.llm._common import documents, flat, slices, utf8
+from veil.llm._common import documents, flat, give_back, slices, utf8
 from veil.session import ensure_checkpoint_dir
 
 #: One text in so many is looked at for hot runs; a run is hot from this share of the sample on.
@@ -236,7 +236,7 @@ def hot_runs(docs: DataFrame, unit: Unit) -> np.ndarray:
                 order, count = np.unique(selected_runs(values, unit, none)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([_long(order), pa.array(count, pa.int64())], names=["run", "n"])
 
-    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).mapInArrow(run, "run long, n long")
+    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).mapInArrow(give_back(run), "run long, n long")
     counts = sample.groupBy("run").agg(F.sum("n").alias("n"))
     counts = counts.where(F.col("n") >= HOT_LEAST)  # so the total below is that of the repeated runs
     total = sample.agg(F.sum("n")).first()[0] or 0
@@ -256,7 +256,7 @@ def repeated_minimizers(docs: DataFrame, unit: Unit, hot: np.ndarray) -> DataFra
                     [_long(value[plain]), pa.array(keys[doc[plain]]), pa.array(start[plain].astype(np.int32))],
                     names=["run", "key", "start"])
 
-    rows = docs.mapInArrow(run, "run long, key long, start int")
+    rows = docs.mapInArrow(give_back(run), "run long, key long, start int")
     seen = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("run"))).where(F.col("n") > 1)
     return seen.groupBy("key").agg(F.collect_set("start").alias("starts"))
 
@@ -303,14 +303,14 @@ def covered(docs: DataFrame, unit: Unit, index: Callable) -> DataFrame:
 
     candidates = repeated_minimizers(docs, unit, hot)
     pieces = docs.join(candidates, "key").select("key", "doc_id", "text", "starts").mapInArrow(
-        cut, f"run long, key long, doc_id {kind}, start int, segment binary")
+        give_back(cut), f"run long, key long, doc_id {kind}, start int, segment binary")
 
     def decide(batches):
         for rows in _groups(batches):
             yield from _decide(rows, unit, index)
 
     direct = pieces.repartition("run").sortWithinPartitions("run").mapInArrow(
-        decide, f"key long, doc_id {kind}, start int, end int")
+        give_back(decide), f"key long, doc_id {kind}, start int, end int")
     shared = repeated_hot_windows(docs, unit, hot)
 
     def hot_places(batches):
@@ -328,7 +328,7 @@ def covered(docs: DataFrame, unit: Unit, index: Callable) -> DataFrame:
                      piece.column(1).take(pa.array(doc)), pa.array(start.astype(np.int32))],
                     names=["digest", "key", "doc_id", "at"])
 
-    places = docs.mapInArrow(hot_places, f"digest binary, key long, doc_id {kind}, at int")
+    places = docs.mapInArrow(give_back(hot_places), f"digest binary, key long, doc_id {kind}, at int")
     returned = places.join(shared, "digest").select(
         "key", "doc_id", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
     return direct.unionByName(returned)
@@ -392,7 +392,7 @@ def repeated_hot_windows(docs: DataFrame, unit: Unit, hot: np.ndarray) -> DataFr
         if merged:
             yield _settle(merged, unit)
 
-    rows = docs.mapInArrow(windows, "window binary, digest binary, start int, end int, n int").checkpoint()  # read twice
+    rows = docs.mapInArrow(give_back(windows), "window binary, digest binary, start int, end int, n int").checkpoint()  # read twice
     seen = rows.where("window IS NOT NULL").withColumn("n", F.sum("n").over(Window.partitionBy("window"))).where(
         (F.col("n") > 1) & F.col("digest").isNotNull())
     return rows.where("window IS NULL").unionByName(seen).select("digest", "start", "end").distinct()

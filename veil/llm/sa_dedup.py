@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veil.llm._common import flat, sha256_hex, slices
+from veil.llm._common import SMALL_BYTES, flat, give_back, sha256_hex, slices
 from veil.llm.repeats import Unit, covered, document_key, keyed, mix, with_covered
 
 BYTES, ROUTE = 200, 32
@@ -205,14 +205,26 @@ def index_bytes(runs: list[int], texts: list[bytes], weights: np.ndarray, window
     return marks
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers of an odd number from 0 to n - 1."""
+    powers = np.full(n, base, np.uint64)
+    powers[:1] = 1
+    return np.cumprod(powers, out=powers)
+
+
 def _occurrences(data: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     """How many of the places hold the same string of bytes."""
     keys = []
-    for base in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407):
-        up = np.cumprod(np.r_[np.uint64(1), np.full(len(data), base, np.uint64)])
-        down = np.cumprod(np.r_[np.uint64(1), np.full(len(data), pow(base, -1, 1 << 64), np.uint64)])
-        total = np.r_[np.uint64(0), np.cumsum(mix(data.astype(np.uint64) + np.uint64(base & 0xFF)) * up[:-1])]
-        keys.append(mix((total[places + window] - total[places]) * down[places]))
+    for base in (0xD6E8FEB86659FD93, 0xA24BAED4963EE407):  # three arrays of the data's length at most
+        values = mix(np.arange(256, dtype=np.uint64) + np.uint64(base & 0xFF))[data]
+        values *= _powers(base, len(data))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        del values
+        sums = total[places + window] - total[places]
+        del total
+        sums *= _powers(pow(base, -1, 1 << 64), len(data))[places]
+        keys.append(mix(sums))
     order = np.lexsort(keys)
     a, b = keys[0][order], keys[1][order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
@@ -244,14 +256,14 @@ def dedup_texts(df: DataFrame, length: int = BYTES) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, at):
+            for piece in slices(batch, at, SMALL_BYTES):
                 texts = [None if t is None else _kept(t, s)[3].decode("utf-8", "ignore")
                          for t, s in zip(piece.column(at).to_pylist(), piece.column(width).to_pylist())]
                 columns = [*piece.columns[:width]]
                 columns[at] = pa.array(texts, columns[at].type)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = rows.mapInArrow(run, df.schema)
+    out = rows.mapInArrow(give_back(run), df.schema)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
     return out
@@ -282,7 +294,7 @@ def _assemble(found: DataFrame, column: str, show) -> DataFrame:
     def run(batches):
         name, kind = column.split()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, 1, SMALL_BYTES):
                 rows = [_kept(t, s) for t, s in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist())]
                 cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
                 last = pa.array([show(r[3]) for r in rows], pa.binary() if kind == "binary" else pa.string())
@@ -290,7 +302,7 @@ def _assemble(found: DataFrame, column: str, show) -> DataFrame:
                     [piece.column(0), *cols, last], names=["doc_id", "n_bytes", "n_removed", "n_spans", name])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {column}")
+    return found.mapInArrow(give_back(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {column}")
 
 
 def dedup_documents(df: DataFrame, length: int = BYTES) -> DataFrame:
